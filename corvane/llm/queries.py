@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality_rules, tokenfile
+from . import chat, classifier, decontaminate, langid, packing, quality_rules, tokenfile
 from .shared import new_path, stage
 
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
@@ -21,6 +21,24 @@ def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return rows.select("doc_id", F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
+
+
+def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), classifier.fold(F.col("doc_id"), 5) == 0
+    model = classifier.fit(docs, table(spark, sf_dir, "labels").filter(~held))
+    return classifier.score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), classifier.fold(F.col("doc_id"), 4) == 2
+    profiles = langid.learn(docs.filter(~F.coalesce(held, F.lit(False))))
+    return langid.identify(docs.select("doc_id", "text"), profiles, keep=["doc_id"]).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID, WINDOW)
 
@@ -49,7 +67,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_host_rules, op7_best_fit_packing, op8_chat_parts, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_host_rules, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op7_best_fit_packing, op8_chat_parts, op9_token_files)}
 
 ORACLE = {
     "op1_host_rules": r"""
@@ -72,6 +90,17 @@ a AS (SELECT m, CASE WHEN tau > 0 THEN least(greatest(m * (1 - m) / tau - 1, 1),
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce((h.f + a.m * a.q) / (h.n + a.q) > 0.5, false) AS kept
 FROM b LEFT JOIN h ON b.source = h.source LEFT JOIN a ON true""",
+    "op3_winnowing": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, ns WHERE len(w) >= n)),
+hit AS (SELECT r, p, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.k = iw.k),
+c AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM hit)) GROUP BY r),
+t AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.s, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN t ON d.r = t.r""",
     "op8_chat_parts": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
