@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, langid, packing, quality_rules, tokenfile
+from . import chat, classifier, decontaminate, langid, neardup, packing, quality_rules, tokenfile
 from .shared import new_path, stage
 
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
@@ -39,6 +39,10 @@ def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return langid.identify(docs.select("doc_id", "text"), profiles, keep=["doc_id"]).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_inverted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("_t")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID, WINDOW)
 
@@ -67,7 +71,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_host_rules, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op7_best_fit_packing, op8_chat_parts, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_host_rules, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files)}
 
 ORACLE = {
     "op1_host_rules": r"""
@@ -101,6 +105,19 @@ c AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + n)) A
 t AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.s, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN t ON d.r = t.r""",
+    "op6_inverted_minhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS x FROM d),
+c AS (SELECT x, min(doc_id) AS rep FROM s WHERE len(x) > 0 GROUP BY x),
+e AS MATERIALIZED (SELECT rep, len(x) AS n, unnest(x) AS g FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS m FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * m >= 85 * (na + nb - m)),
+u AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a),
+k AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
+SELECT s.doc_id, len(s.x)::BIGINT AS n_shingles, coalesce(k.root, c.rep, s.doc_id) AS component_id, s.doc_id = coalesce(k.root, c.rep, s.doc_id) AS kept
+FROM s LEFT JOIN c ON s.x = c.x LEFT JOIN k ON c.rep = k.node""",
     "op8_chat_parts": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
