@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, langid, neardup, packing, quality_rules, tokenfile
+from . import chat, classifier, decontaminate, langid, linededup, neardup, packing, quality_rules, tokenfile
 from .shared import new_path, stage
 
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
@@ -71,7 +71,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_host_rules, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files)}
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
+    return rows.select("doc_id", n.alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed_lines"), F.sha2(F.coalesce("_kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_host_rules, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files, op10_fuzzy_lines)}
 
 ORACLE = {
     "op1_host_rules": r"""
