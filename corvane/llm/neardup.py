@@ -176,7 +176,7 @@ def link_classes(signed: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id, kept, and _t (hash of the text) for each row of docs."""
+    """id_col, n_shingles, component_id, kept, _t (hash of the text) and _stays (the one (id, _t) of each component that stays) for each row of docs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"))
     kind = dict(rows.dtypes)["_id"]
@@ -184,6 +184,6 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     roots = link_classes(signed, rows, s)
     named = signed.select("_id", "_t", "n_shingles", "_cls").join(roots, F.col("_cls") == F.col("node"), "left").select("_id", "_t", "n_shingles", F.coalesce("root", "_cls").alias("_root"))
     named = stage(named, "named")
-    least = named.filter("_root is not null").groupBy("_root").agg(F.min("_id").alias("_least"))
+    least = named.filter("_root is not null").groupBy("_root").agg(F.min("_id").alias("_least"), F.min(F.struct("_id", "_t")).alias("_one"))
     out = named.join(least, "_root", "left").withColumn("component_id", F.when(F.col("_root").isNull(), F.col("_id")).otherwise(F.col("_least")))
-    return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "_t")
+    return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "_t", (F.col("_one").isNull() | F.struct("_id", "_t").eqNullSafe(F.col("_one"))).alias("_stays"))

@@ -40,7 +40,7 @@ def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_inverted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("_t")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("_t", "_stays")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
