@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, langid, linededup, neardup, packing, quality_rules, tokenfile
+from . import chat, classifier, decontaminate, langid, linededup, neardup, packing, quality_rules, substring, tokenfile
 from .shared import new_path, stage
 
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
@@ -21,6 +21,10 @@ def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
+def op2_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("removed")
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -77,7 +81,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", n.alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed_lines"), F.sha2(F.coalesce("_kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_rules, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_host_rules, op2_fm_index_repeats, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files, op10_fuzzy_lines)}
 
 ORACLE = {
     "op1_host_rules": r"""
@@ -100,6 +104,16 @@ a AS (SELECT m, CASE WHEN tau > 0 THEN least(greatest(m * (1 - m) / tau - 1, 1),
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce((h.f + a.m * a.q) / (h.n + a.q) > 0.5, false) AS kept
 FROM b LEFT JOIN h ON b.source = h.source LEFT JOIN a ON true""",
+    "op2_fm_index_repeats": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT r, p, md5(array_to_string(w[p:p + 34], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+two AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+s AS (SELECT r, p FROM k JOIN two USING (k)),
+c AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS p FROM s),
+g AS (SELECT r, list(p) AS gone FROM c GROUP BY r),
+e AS (SELECT d.r, doc_id, w, coalesce(len(gone), 0) AS n, gone FROM d LEFT JOIN g ON d.r = g.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, n::BIGINT AS n_removed,
+  sha256(CASE WHEN n = 0 THEN array_to_string(w, ' ') ELSE array_to_string(list_select(w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))), ' ') END) AS kept_sha256 FROM e""",
     "op3_winnowing": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
