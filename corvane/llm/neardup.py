@@ -1,16 +1,18 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-A document is the set of its distinct `k`-word shingles. Equal sets are one class from the start. A class's signature has
-`coords` MinHash coordinates, and every (coordinate, value) pair is a posting list. Two sets of Jaccard similarity s
-agree on a coordinate with probability s, so linked classes (s >= threshold) share `min_match` or more pairs but for a
-chance below 1e-7 (binomial, 48 coordinates, 27 matches, s = 0.85). Classes that share min_match pairs are found by
-
-  prefix: of the pairs that a class shares with any other, ordered by rising list length, only the first
-    (shared - min_match + 1) are posted; two classes with min_match common pairs meet in at least one;
-  skip: a list whose members are in one component already is done; else its members are held only against a few pivots
-    of the list that are in other components, pivots leave the list, and lists of at most `small` members are finished
-    by comparing all members of different components. No list is cut or capped, and none is expanded into all pairs
-    while its members are linked to a pivot.
+A document is the set of its distinct `k`-word shingles; equal sets are one class from the start. A class's signature has
+MinHash coordinates, and every (coordinate, value) pair is a posting list. Two sets of Jaccard similarity s agree on a
+coordinate with probability s, so linked classes (s >= 0.85) agree on 29 of 48 coordinates but for a chance of 1e-5, and on
+90 of 128 but for 2e-5.
+
+  screen   every class posts `screen` coordinates; one that shares fewer than `screen_match` of its pairs with any other
+           has no link. What is left (near copies, in the main) is read again for its full set and `coords` coordinates.
+  prefix   of the pairs that a class shares with any other, ordered by rising list length, only the first
+           (shared - min_match + 1) are posted: two classes with min_match common pairs meet in at least one list.
+  skip     each list is first held against its most central class (most shared pairs); confirmed links are merged into
+           components. A list whose members are in one component is done. In any other, members of different components
+           are compared, in blocks of bounded size that are dealt out over tasks: a pair counts its agreeing coordinates,
+           once, in the first list that both share, and emits a row only if it links two components. No list is cut.
 
 What agrees on min_match coordinates is confirmed on the full sets. Links make components by distributed stars.
 
@@ -38,10 +40,11 @@ from .shared import stage
 class Settings:
     k: int = 5
     percent: int = 85
-    coords: int = 48
-    min_match: int = 27
-    small: int = 32
-    pivots: int = 4
+    screen: int = 48
+    screen_match: int = 29
+    coords: int = 128
+    min_match: int = 90
+    block: int = 1024
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +98,9 @@ def _sign(s: Settings):
             text = B.text_array(batch.column(2))
             for lo, hi in B.slices(text, 1 << 20):
                 value, at = shingle_sets(text.slice(lo, hi - lo), s.k)
-                sig = signatures(value, at, s.coords).view(np.int64)
+                sig = signatures(value, at, s.screen).view(np.int64)
                 part = batch.slice(lo, hi - lo)
-                offs = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * s.coords)
+                offs = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * s.screen)
                 cols = [part.column(0), part.column(1), pa.array(np.diff(at)), pa.array(_digests(value, at), pa.binary()), pa.ListArray.from_arrays(offs, pa.array(sig.ravel()))]
                 yield pa.RecordBatch.from_arrays(cols, ["_id", "_t", "n_shingles", "_cls", "_sig"])
 
@@ -110,69 +113,122 @@ def _sets(s: Settings):
             text = B.text_array(batch.column(1))
             for lo, hi in B.slices(text, 1 << 20):
                 value, at = shingle_sets(text.slice(lo, hi - lo), s.k)
-                data = value.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.slice(lo, hi - lo).column(0), pa.array([data[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["_cls", "_set"])
+                data, sig = value.tobytes(), signatures(value, at, s.coords)
+                sets = pa.array([data[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.slice(lo, hi - lo).column(0), pa.array([x.tobytes() for x in sig], pa.binary()), sets], ["_cls", "_sig", "_set"])
 
     return run
 
 
-def _confirm(percent: int):
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm(s: Settings):
+    """Pairs (a, b, signatures, sets) to those that are linked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            ok = []
-            for i in range(batch.num_rows):
-                a, b = np.frombuffer(x[i].as_buffer(), B.U64), np.frombuffer(y[i].as_buffer(), B.U64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
+            sig, sets = ([[np.frombuffer(v.as_buffer(), B.U64) for v in batch.column(c)] for c in cs] for cs in ((2, 3), (4, 5)))
+            ok = [int((p == q).sum()) >= s.min_match and similar(x, y, s.percent) for p, q, x, y in zip(*sig, *sets, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _compare(rows: pa.Table, s: Settings) -> list[tuple[bytes, bytes]]:
+    """Links between different components of one pair of blocks: columns _tok, _i, _j, _cls, _root, _block, _first, _sig, _set."""
+    n = rows.num_rows
+    i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+    cls, root = rows.column(3).to_pylist(), rows.column(4).to_pylist()
+    number = {r: k for k, r in enumerate(dict.fromkeys(root))}
+    root = np.array([number[r] for r in root])
+    block = rows.column(5).to_numpy()
+    sig = np.frombuffer(b"".join(rows.column(7).to_pylist()), B.U64).reshape(n, -1)
+    low = (sig & B.U64(0xFF)).astype(np.uint8)
+    sets = [np.frombuffer(x, B.U64) for x in rows.column(8).to_pylist()]
+    first = [set(x) for x in rows.column(6).to_pylist()]
+    size = np.array([len(x) for x in sets])
+    out = []
+    for a in np.flatnonzero(block == i).tolist():
+        other = np.flatnonzero((root != root[a]) & (block == j))
+        other = other[other > a] if i == j else other
+        other = other[(100 * np.minimum(size[other], size[a]) >= s.percent * np.maximum(size[other], size[a]))]
+        if not len(other):
+            continue
+        other = other[(low[other] == low[a]).sum(1) >= s.min_match]
+        for b in other.tolist():
+            if root[b] != root[a] and int((sig[a] == sig[b]).sum()) >= s.min_match and first[a].isdisjoint(first[b]) and similar(sets[a], sets[b], s.percent):
+                out.append((cls[a], cls[b]))
+                root[root == root[b]] = root[a]
+    return out
+
+
+def _blocks(s: Settings):
+    """Rows sorted by (_tok, _i, _j), one pair of blocks after the other, to links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            links = _compare(pa.Table.from_batches(held), s) if held else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                now = tuple(key[lo])
+                if now != last:
+                    yield from flush()
+                    held, last = [], now
+                held.append(batch.slice(lo, hi - lo))
+        yield from flush()
+
+    return run
+
+
 def link_classes(signed: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """(node, root) of classes that are linked; signed: _id, _t, _cls, _sig of rows, docs: _id, _t, _text of the same."""
-    classes = stage(signed.filter("_cls is not null").groupBy("_cls").agg(F.min(F.struct("_id", "_t")).alias("_rep"), F.min("_sig").alias("_sig")), "classes")
-    pairs = classes.select("_cls", F.explode("_sig").alias("_tok"))
-    common = pairs.groupBy("_tok").agg(F.count("*").alias("_n")).filter("_n > 1")
-    shared = pairs.join(common, "_tok").groupBy("_cls").agg(F.collect_list(F.struct("_n", "_tok")).alias("_p")).filter(F.size("_p") >= s.min_match)  # at most `coords` pairs a class
-    prefix = shared.select("_cls", F.explode(F.slice(F.sort_array("_p"), F.lit(1), F.size("_p") - (s.min_match - 1))).alias("_p")).select("_cls", F.col("_p._tok").alias("_tok"))
-    posted = stage(prefix, "postings")
-    posted = stage(posted.join(posted.groupBy("_tok").agg(F.count("*").alias("_n")).filter("_n > 1").select("_tok"), "_tok").withColumn("_root", F.col("_cls")), "postings")
-    wanted = posted.select("_cls").distinct().join(classes.select("_cls", "_sig", F.col("_rep._id").alias("_id"), F.col("_rep._t").alias("_t")), "_cls")
-    wanted = stage(wanted, "wanted")
-    sigs = wanted.select("_cls", "_sig")
-    w = wanted.select("_cls", F.col("_id").alias("_wid"), F.col("_t").alias("_wt"))
-    texts = docs.join(w, docs["_id"].eqNullSafe(w["_wid"]) & (docs["_t"] == w["_wt"])).select("_cls", "_text")
-    sets = stage(texts.mapInArrow(_sets(s), "_cls binary, _set binary").dropDuplicates(["_cls"]), "sets")
-
-    def confirm(cand: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b), those that agree on min_match coordinates and, on full sets, on the threshold."""
-        cand = cand.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        both = cand.join(sigs.toDF("a", "_x"), "a").join(sigs.toDF("b", "_y"), "b")
-        same = F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        both = both.filter(same >= s.min_match).select("a", "b")
-        return both.join(sets.toDF("a", "_x"), "a").join(sets.toDF("b", "_y"), "b").select("a", "b", "_x", "_y").mapInArrow(_confirm(s.percent), "a binary, b binary")
-
-    links, roots, n_pivots, turn = None, None, 1, 0
-    while True:
-        lists = posted.groupBy("_tok").agg(F.count("*").alias("_n"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.array(*[F.min(F.struct(F.xxhash64("_cls", F.lit(turn * 64 + j)).alias("h"), F.col("_cls").alias("c"), F.col("_root").alias("r"))) for j in range(n_pivots)]).alias("_piv")).filter("_lo <> _hi")
-        lists = stage(lists.select("_tok", "_n", F.array_distinct("_piv").alias("_piv")), "lists")
-        if not lists.limit(1).count():
-            break
-        big = lists if turn == 0 else lists.filter(F.col("_n") > s.small)
-        cand = posted.join(big.select("_tok", F.explode("_piv").alias("_v")), "_tok").filter("_root <> _v.r").select(F.col("_cls").alias("a"), F.col("_v.c").alias("b"))
-        if turn:
-            few = posted.join(lists.filter(F.col("_n") <= s.small).select("_tok"), "_tok")
-            other = few.select("_tok", F.col("_cls").alias("b"), F.col("_root").alias("_rb"))
-            cand = cand.unionByName(few.join(other, "_tok").filter("_cls < b and _root <> _rb").select(F.col("_cls").alias("a"), "b"))  # at most small**2 / 2 for each list
-        new = stage(confirm(cand), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-        left = posted.drop("_root").join(big.select("_tok", F.expr("transform(_piv, p -> p.c)").alias("_piv")), "_tok").filter(~F.array_contains("_piv", F.col("_cls"))).select("_tok", "_cls")
-        posted = stage(left.join(roots, left["_cls"] == roots["node"], "left").select("_tok", "_cls", F.coalesce("root", "_cls").alias("_root")), "postings")
-        turn, n_pivots = turn + 1, min(s.pivots ** (turn + 1), 64)
-    return roots if roots is not None else posted.select(F.col("_cls").alias("node"), F.col("_root").alias("root")).limit(0)
+    classes = signed.filter("_cls is not null").groupBy("_cls").agg(F.min(F.struct("_id", "_t")).alias("_rep"), F.min("_sig").alias("_sig"))
+    classes = stage(classes.withColumn("_alias", F.xxhash64("_cls")), "classes")
+    # Screen. Two classes of one alias would be screened together, which never loses any.
+    pairs = classes.select("_alias", F.explode("_sig").alias("_tok"))
+    common = lambda pairs: pairs.groupBy("_tok").agg(F.count("*").alias("_n")).filter("_n > 1")
+    left = pairs.join(common(pairs), "_tok").groupBy("_alias").agg(F.count("*").alias("_m")).filter(F.col("_m") >= s.screen_match)
+    wanted = classes.join(left.select("_alias"), "_alias", "left_semi").select("_cls", F.col("_rep._id").alias("_wid"), F.col("_rep._t").alias("_wt"))
+    texts = docs.join(wanted, docs["_id"].eqNullSafe(wanted["_wid"]) & (docs["_t"] == wanted["_wt"])).select("_cls", "_text")
+    sets = stage(texts.mapInArrow(_sets(s), "_cls binary, _sig binary, _set binary").dropDuplicates(["_cls"]), "sets")
+    # Prefix.
+    words = F.transform(F.sequence(F.lit(0), F.lit(s.coords - 1)), lambda i: F.xxhash64(i, F.substring("_sig", i * 8 + 1, F.lit(8))))
+    pairs = stage(sets.select("_cls", F.explode(words).alias("_tok")), "pairs")
+    shared = pairs.join(common(pairs), "_tok").groupBy("_cls").agg(F.sort_array(F.collect_list(F.struct("_n", "_tok"))).alias("_p")).filter(F.size("_p") >= s.min_match)  # at most `coords` pairs a class
+    first = F.transform(F.slice("_p", F.lit(1), F.size("_p") - (s.min_match - 1)), lambda x: x["_tok"])
+    prefix = shared.select("_cls", F.size("_p").alias("_m"), first.alias("_first"))
+    posted = prefix.select("_cls", "_m", F.posexplode("_first").alias("_at", "_tok"), "_first").select("_tok", "_cls", "_m", F.slice("_first", F.lit(1), F.col("_at")).alias("_first"))
+    posted = stage(posted, "postings")
+    # Skip: every list against its most central class.
+    centre = posted.groupBy("_tok").agg(F.count("*").alias("_n"), F.max(F.struct("_m", "_cls")).alias("_c")).filter("_n > 1")
+    cand = posted.select("_tok", "_cls").join(centre.select("_tok", F.col("_c._cls").alias("b")), "_tok").filter("_cls <> b").select(F.greatest("_cls", "b").alias("a"), F.least("_cls", "b").alias("b")).distinct()
+    both = cand.join(sets.toDF("a", "_p", "_x"), "a").join(sets.toDF("b", "_q", "_y"), "b").select("a", "b", "_p", "_q", "_x", "_y")
+    links = stage(both.mapInArrow(_confirm(s), "a binary, b binary"), "links")
+    roots = components(links)
+    member = stage(posted.join(roots, posted["_cls"] == roots["node"], "left").select("_tok", "_cls", "_first", F.coalesce("root", "_cls").alias("_root")), "members")
+    mixed = member.groupBy("_tok").agg(F.count("*").alias("_n"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_tok", F.ceil(F.col("_n") / s.block).cast("long").alias("_nb"))
+    block = F.pmod(F.xxhash64("_cls"), F.col("_nb"))
+    dealt = member.join(mixed, "_tok").withColumn("_block", block).join(sets, "_cls")
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    dealt = dealt.select("_tok", F.least("_block", "_o").alias("_i"), F.greatest("_block", "_o").alias("_j"), "_cls", "_root", "_block", "_first", "_sig", "_set")
+    more = dealt.repartition("_tok", "_i", "_j").sortWithinPartitions("_tok", "_i", "_j").mapInArrow(_blocks(s), "a binary, b binary")
+    return components(links.unionByName(stage(more, "links")))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
