@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with a score (double) added; all their columns stay."""
+    """docs with a score (double) added; all their columns stay, but one of the score's name is replaced."""
+    docs = docs.drop(out_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)

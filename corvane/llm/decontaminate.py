@@ -158,7 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     block = lambda b: Index([tuple(r) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()], span, k)  # noqa: E731  within block_bytes on average
-    carried = docs.columns if keep_columns else [id_col]
+    carried = [c for c in docs.columns if c not in ("_words", "_spans", "_items")] if keep_columns else [id_col]
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"_c{i} {t}" for i, (_, t) in enumerate(rows.dtypes[:-1]))
 
