@@ -77,6 +77,19 @@ def segments(h: np.ndarray, first: np.ndarray, s: Settings) -> tuple[np.ndarray,
     return doc[begin], at[begin], np.diff(np.append(begin, len(at))), g[p[at[begin]]]
 
 
+def _grouped(batch: pa.RecordBatch, row: np.ndarray, anchor: np.ndarray, seg: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows (_id, _t, _anchor, _seg, _ats, _n): the places of a segment in a document together, however often a text repeats itself."""
+    order = np.lexsort((at, seg, row))
+    row, anchor, seg, at, n = (x[order] for x in (row, anchor, seg, at, n))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (seg[1:] != seg[:-1]) | (anchor[1:] != anchor[:-1])
+    begin = np.flatnonzero(new)
+    ats = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)).astype(np.int32)), pa.array(at.astype(np.int32)))
+    take = pa.array(row[begin])
+    cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor[begin].view(np.int64)), pa.array(seg[begin].view(np.int64)), ats, pa.array(n[begin].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, ["_id", "_t", "_anchor", "_seg", "_ats", "_n"])
+
+
 def _segment(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +101,7 @@ def _segment(s: Settings):
                 doc, at, n, anchor = segments(h, first, s)
                 if len(doc):
                     d = sequence_digests(h, at, at + n + s.span - 1)
-                    take = pa.array(doc + lo)
-                    cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor.view(np.int64)), pa.array(d.view(np.int64)), pa.array((at - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, ["_id", "_t", "_anchor", "_seg", "_at", "_n"])
+                    yield _grouped(batch, doc + lo, anchor, d, at - first[doc], n)
 
     return run
 
@@ -102,7 +113,7 @@ def _hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _apart(s: Settings):
-    """Segments as (_id, _t, _text, _list of _at, _n) to one segment for each window."""
+    """Segments as (_id, _t, _text, _list of _ats, _n) to one segment for each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,14 +122,13 @@ def _apart(s: Settings):
                 h, first = _hashes(text.slice(lo, hi - lo))
                 rows, at = [], []
                 for d in range(hi - lo):
-                    own = [x["_at"] + j for x in lists[lo + d] for j in range(x["_n"])]
+                    own = [a + j for x in lists[lo + d] for a in x["_ats"] for j in range(x["_n"])]
                     rows += [lo + d] * len(own)
                     at += [int(first[d]) + x for x in own]
                 if rows:
-                    pos, take = np.array(at, np.int64), pa.array(rows, pa.int64())
-                    key = pa.array(sequence_digests(h, pos, pos + s.span).view(np.int64))
-                    local = (pos - first[np.array(rows) - lo]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), key, key, pa.array(local), pa.array(np.ones(len(rows), np.int32))], ["_id", "_t", "_anchor", "_seg", "_at", "_n"])
+                    pos, row = np.array(at, np.int64), np.array(rows)
+                    key = sequence_digests(h, pos, pos + s.span)
+                    yield _grouped(batch, row, key, key, pos - first[row - lo], np.ones(len(row), np.int64))
 
     return run
 
@@ -180,15 +190,20 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"))
     kind = dict(rows.dtypes)["_id"]
-    schema = f"_id {kind}, _t long, _anchor long, _seg long, _at int, _n int"
+    schema = f"_id {kind}, _t long, _anchor long, _seg long, _ats array<int>, _n int"
     every = stage(rows.mapInArrow(_segment(s), schema), "segments")
-    twice = lambda df: df.join(df.groupBy("_anchor").agg(F.count("*").alias("_c")).filter("_c > 1").select("_anchor"), "_anchor")
-    some = stage(twice(every).select("_id", "_t", "_anchor", "_seg", "_at", "_n"), "shared")
-    texts = lambda some: some.groupBy("_anchor", "_seg").agg(F.count("*").alias("_m"), F.min(F.struct("_id", "_t", "_at", "_n")).alias("_r"))
+
+    def twice(df: DataFrame) -> DataFrame:
+        # The counts are a table of their own, so that both sides of the join are plain exchanges and a hot anchor's rows can be split.
+        common = stage(df.groupBy("_anchor").agg(F.sum(F.size("_ats")).alias("_c")).filter("_c > 1").select("_anchor"), "anchors")
+        return df.join(common, "_anchor")
+
+    some = stage(twice(every).select("_id", "_t", "_anchor", "_seg", "_ats", "_n"), "shared")
+    texts = lambda some: some.groupBy("_anchor", "_seg").agg(F.sum(F.size("_ats")).alias("_m"), F.min(F.struct("_id", "_t", F.col("_ats")[0].alias("_at"), "_n")).alias("_r"))
     different = stage(texts(some), "different")
     hot = stage(different.groupBy("_anchor").agg(F.count("*").alias("_c")).filter(F.col("_c") > s.hot).select("_anchor"), "hot")
     if hot.limit(1).count():
-        lists = some.join(hot, "_anchor").groupBy("_id", "_t").agg(F.collect_list(F.struct("_at", "_n")).alias("_list"))  # within one document
+        lists = some.join(hot, "_anchor").groupBy("_id", "_t").agg(F.collect_list(F.struct("_ats", "_n")).alias("_list"))  # within one document
         lists = lists.select(F.col("_id").alias("_wid"), F.col("_t").alias("_wt"), "_list")
         owners = rows.dropDuplicates(["_id", "_t"]).join(lists, rows["_id"].eqNullSafe(lists["_wid"]) & (rows["_t"] == lists["_wt"])).select("_id", "_t", "_text", "_list")
         apart = twice(stage(owners.mapInArrow(_apart(s), schema), "apart")).select(*some.columns)
@@ -199,7 +214,8 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
     held = owners.mapInArrow(_cut_out(s), "_anchor long, _seg long, _m long, _words binary")
     shards = held.repartition("_anchor").dropDuplicates(["_anchor", "_seg"]).sortWithinPartitions("_anchor")
     found = stage(shards.mapInArrow(_search(s), "_anchor long, _seg long, _spans array<struct<a:int,b:int>>"), "found")
-    hits = some.join(found, ["_anchor", "_seg"]).select("_id", "_t", F.transform("_spans", lambda x: F.struct((x["a"] + F.col("_at")).alias("a"), (x["b"] + F.col("_at")).alias("b"))).alias("_spans"))
+    moved = lambda at: F.transform("_spans", lambda x: F.struct((x["a"] + at).alias("a"), (x["b"] + at).alias("b")))
+    hits = some.join(found, ["_anchor", "_seg"]).select("_id", "_t", F.flatten(F.transform("_ats", moved)).alias("_spans"))
     return stage(hits.groupBy("_id", "_t").agg(F.array_distinct(F.flatten(F.collect_list("_spans"))).alias("_spans")), "spans")  # within one document
 
 
