@@ -3,6 +3,7 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 from test_operators import brute_components, shingles
 
@@ -35,6 +36,23 @@ def test_near_dups_leave_one_of_each_group(staged):
     assert any(shingles(t) for _, t in rows)
 
 
+def test_near_dups_link_from_80_percent(spark, small):
+    """Copies at Jaccard 0.77 to 0.91; those of 0.80 to 0.85 are what a threshold of 85 leaves in."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for group in range(30):
+        base = [f"g{group}w{i}" for i in range(200)]
+        rows.append((len(rows), " ".join(base)))
+        for n in (2, 3, 4, 5):
+            t = list(base)
+            for i in rng.choice(np.arange(5, 195, 10), n, replace=False):
+                t[i] = f"x{len(rows)}y{i}"
+            rows.append((len(rows), " ".join(t)))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dups(spark, df, small).collect()}
+    assert kept == {r[0] for r in brute_components(rows, 80) if r[3]} and kept < {r[0] for r in brute_components(rows, 85) if r[3]}
+
+
 def test_packed_pieces_cover_all(staged):
     before, after = staged[4]
     assert after.select("doc_id").distinct().count() == before.count()
