@@ -3,10 +3,16 @@
 Lines (split at \\n) of at least `min_chars` letters and digits take part; others always stay. Equal lines (after case
 folding of A-Z and squeezing blanks) are one class. A class's signature is the MinHash of its distinct `k`-character
 shingles; `bands` bands of `rows` coordinates each give high recall (at Jaccard 0.8 a pair is missed with chance
-(1 - 0.8**rows) ** bands, 2e-4 by default). In a bucket of a band, each class meets the bucket's least class and its
-neighbour in order; the pairs are verified by the exact Jaccard similarity of their shingle sets. A distributed
-union-find makes components, and of each component the first line (least document id, then text hash, then line number)
-is kept, all others go.
+(1 - 0.8**rows) ** bands, 2e-4 by default). Pairs that share a bucket of a band are verified by the exact Jaccard
+similarity of their shingle sets, in two passes:
+
+  near   each class meets the bucket's least class and its neighbour in order; links are merged into components.
+  rest   a bucket of four or more classes (in a smaller one, all have met) whose members are in one component is done. In
+         any other, all members of different components are compared, in blocks of bounded size that are dealt out over
+         tasks; a row is emitted only if it links two components. No bucket is cut.
+
+A distributed union-find makes components, and of each component the first line (least document id, then text hash, then
+line number) is kept, all others go.
 
 A task sends a line's bands once, however often it holds the line; a band's rows are sorted and streamed, so no bucket
 is held in memory.
@@ -39,6 +45,8 @@ class Settings:
     rows: int = 4
     percent: int = 80
     min_chars: int = 20
+    block: int = 1024
+    block_bytes: int = 1 << 20
 
 
 #: What doesn't count towards min_chars: all but letters, digits and first bytes of other characters.
@@ -168,8 +176,8 @@ def _banded(s: Settings):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) from rows sorted by (_key, _l1): each line with its bucket's first line and with the line before it."""
-    key, first, last = None, 0, 0
+    """Rows (_key, _l1, _first, _last, _at) from rows sorted by (_key, _l1): each line of a bucket but the first, with the bucket's first line, the line before it and its place."""
+    key, first, last, place = None, 0, 0, 0
     for batch in batches:
         k, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(k):
@@ -179,13 +187,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         begin = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        a = np.concatenate([x, x[1:]])
-        b = np.concatenate([x[begin], x[:-1]])
-        ok = (a != b) & np.concatenate([np.ones(len(x), bool), ~new[1:]])
-        pairs = np.unique(np.stack([np.maximum(a[ok], b[ok]), np.minimum(a[ok], b[ok])], 1), axis=0)
-        key, first, last = int(k[-1]), int(x[begin[-1]]), int(x[-1])
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        fresh = ~new
+        fresh[1:] &= x[1:] != x[:-1]
+        if key is not None:
+            fresh[:2] = False
+        count = np.concatenate([[0], np.cumsum(fresh)])
+        at = count[1:] - count[begin] + np.where(begin == 0, place, 0)
+        rows = np.flatnonzero(fresh)
+        key, first, last, place = int(k[-1]), int(x[begin[-1]]), int(x[-1]), int(at[-1])
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[rows], x[rows], x[begin[rows]], x[rows - 1], at[rows])], ["_key", "_l1", "_first", "_last", "_at"])
 
 
 def _wanted_lines(s: Settings):
@@ -228,6 +239,86 @@ def _verify(s: Settings):
     return run
 
 
+def _compare(rows: pa.Table, s: Settings) -> list[int]:
+    """Links between different components of one pair of blocks, as row numbers one after the other: columns _key, _i, _j, _block, _root, _l1, _l2, _line."""
+    n = rows.num_rows
+    i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+    block = rows.column(3).to_numpy()
+    names = [(r["x"], r["y"]) for r in rows.column(4).to_pylist()]
+    number = {r: k for k, r in enumerate(dict.fromkeys(names))}
+    root = np.array([number[r] for r in names])
+    if len(number) < 2:
+        return []
+    shingle, at = line_shingles(rows.column(7).to_pylist(), s.k)
+    value, code = np.unique(shingle, return_inverse=True)
+    cell = np.unique(np.repeat(np.arange(n, dtype=np.int64), np.diff(at)) * len(value) + code)  # no repeats within a line
+    owner, code = cell // len(value), cell % len(value)
+    at = np.searchsorted(owner, np.arange(n + 1))
+    size, mark, out = np.diff(at), np.zeros(len(value), np.int32), []
+    for a in np.flatnonzero(root != np.bincount(root).argmax()).tolist():  # one of each pair is outside the largest component
+        mine = code[at[a] : at[a + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[code], at[:-1])
+        mark[mine] = 0
+        other = np.flatnonzero((block == (j if block[a] == i else i)) & (root != root[a]) & (100 * both >= s.percent * (size + size[a] - both)))
+        for b in other.tolist():
+            if root[b] != root[a]:
+                out += [a, b]
+                root[root == root[b]] = root[a]
+    return out
+
+
+def _blocks(s: Settings):
+    """Rows sorted by (_key, _i, _j), one pair of blocks after the other, to links (_l1, _l2, _m1, _m2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held) if held else None
+            links = _compare(rows, s) if held else []
+            if links:
+                one, two = (rows.select([5, 6]).take(pa.array(links[k::2])).combine_chunks() for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in (*one.columns, *two.columns)], ["_l1", "_l2", "_m1", "_m2"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                now = tuple(key[lo])
+                if now != last:
+                    yield from flush()
+                    held, last = [], now
+                held.append(batch.slice(lo, hi - lo))
+        yield from flush()
+
+    return run
+
+
+def _pairs(links: DataFrame) -> DataFrame:
+    return links.select(F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y")).alias("a"), F.struct(F.col("_m1").alias("x"), F.col("_m2").alias("y")).alias("b"))
+
+
+def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """(_l1, _l2, _m1, _m2): links of different components in buckets of four or more. met: rows of _meet; roots: (node, root) of the components so far."""
+    large = met.filter("_at = 3").select("_key")
+    many = met.join(large, "_key")
+    many = many.select("_key", "_l1").unionByName(many.filter("_at = 1").select("_key", F.col("_first").alias("_l1")))
+    own = F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))
+    lines = texts.select("_l1", "_l2", F.length("_line").alias("_bytes"), own.alias("_own"))
+    lines = lines.join(roots, lines["_own"] == roots["node"], "left").select("_l1", "_l2", "_bytes", F.coalesce("root", "_own").alias("_root"))
+    member = stage(many.join(lines, "_l1"), "members")
+    blocks = F.ceil(F.greatest(F.col("_n") / s.block, F.col("_sum") / s.block_bytes)).cast("long")
+    mixed = member.groupBy("_key").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_sum"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_key", blocks.alias("_nb"))
+    dealt = member.join(mixed, "_key").withColumn("_block", F.pmod(F.xxhash64("_l1", "_l2"), F.col("_nb"))).join(texts, ["_l1", "_l2"])
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    dealt = dealt.select("_key", F.least("_block", "_o").alias("_i"), F.greatest("_block", "_o").alias("_j"), "_block", "_root", "_l1", "_l2", "_line")
+    return stage(dealt.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(_blocks(s), "_l1 long, _l2 long, _m1 long, _m2 long"), "links")
+
+
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to ascending line numbers a flag for each line up to the last, so that a lookup takes constant time."""
     for batch in batches:
@@ -247,7 +338,9 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     lines = stage(rows.mapInArrow(_lines(s), f"_id {kind}, _t long, _pos int, _l1 long, _l2 long"), "lines")
     bands = rows.select("_text").mapInArrow(_banded(s), "_key long, _l1 long")
     bucket = bands.repartition("_key").sortWithinPartitions("_key", "_l1")
-    cand = stage(bucket.mapInArrow(_meet, "a long, b long").distinct(), "candidates")
+    met = stage(bucket.mapInArrow(_meet, "_key long, _l1 long, _first long, _last long, _at long"), "buckets")
+    pair = lambda c: met.select(F.greatest("_l1", c).alias("a"), F.least("_l1", c).alias("b"))
+    cand = stage(pair("_first").unionByName(pair("_last")).distinct(), "candidates")
     wanted = cand.select(F.col("a").alias("_l1")).unionByName(cand.select(F.col("b").alias("_l1"))).distinct()
     classes = lines.groupBy("_l1", "_l2").agg(F.min(F.struct("_id", "_t", "_pos")).alias("_first"))
     where = classes.join(wanted, "_l1").select("_first.*").groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_at"))  # within one document
@@ -257,7 +350,10 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     one, two = texts.toDF("a", "_l2", "_x"), texts.toDF("b", "_m2", "_y")
     pairs = cand.join(one, "a").join(two, "b").select(F.col("a").alias("_l1"), "_l2", F.col("b").alias("_m1"), "_m2", "_x", "_y")
     links = stage(pairs.mapInArrow(_verify(s), "_l1 long, _l2 long, _m1 long, _m2 long"), "links")
-    roots = components(links.select(F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y")).alias("a"), F.struct(F.col("_m1").alias("x"), F.col("_m2").alias("y")).alias("b")))
+    roots = components(_pairs(links))
+    rest = link_rest(met, texts, roots, s)
+    if not rest.isEmpty():
+        roots = components(roots.toDF("a", "b").unionByName(_pairs(rest)))
     roots = roots.select(F.col("node.x").alias("_l1"), F.col("node.y").alias("_l2"), "root")
     rooted = classes.join(roots, ["_l1", "_l2"], "left").withColumn("_root", F.coalesce("root", F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))))
     kept = rooted.groupBy("_root").agg(F.min("_first").alias("_keep"))

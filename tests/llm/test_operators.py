@@ -409,6 +409,31 @@ def test_fuzzy_lines(spark, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("more", [{}, {"block": 16}, {"block_bytes": 50_000}])
+def test_fuzzy_lines_in_hot_buckets(spark, more):
+    """Lines of one template, at Jaccard 0.76 to each other, fill the buckets; 30 pairs among them are at 0.84."""
+    rng = np.random.default_rng(12)
+    base = rng.choice(list("abcdefghijk"), 3000)
+
+    def edited(places):
+        x = base.copy()
+        x[places] = rng.choice(list("lmnopqrstuvwxyz"), len(places))
+        return x
+
+    lines = [edited(rng.choice(3000, 26, replace=False)) for _ in range(100)]
+    for _ in range(30):
+        both = edited(rng.choice(3000, 17, replace=False))
+        for _ in range(2):
+            one, own = both.copy(), rng.choice(3000, 9, replace=False)
+            one[own] = rng.choice(list("lmnopqrstuvwxyz"), 9)
+            lines.append(one)
+    rows = [(int(i), "".join(lines[n])) for i, n in enumerate(rng.permutation(len(lines)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = brute_lines(rows, linededup.Settings())
+    assert len(gone) == 30
+    assert {(r["doc_id"], p) for r in linededup.dedup_lines(df, linededup.Settings(**more)).collect() for p in r["_removed"]} == gone
+
+
 def test_fuzzy_lines_of_awkward_texts(docs):
     got = linededup.dedup_lines(docs)
     assert got.count() == len(ROWS) and got.columns == [*docs.columns, "_removed", "_kept_text"]
