@@ -18,18 +18,20 @@ from .pages import read_pages
 from .positions import with_positions
 
 
-def walk(spark: SparkSession, links: DataFrame, seed: str, max_pages: int = MAX_PAGES, scope: Column | None = None) -> DataFrame:
-    """(url, visit_seq) of visited pages. links: (url, place, link), one row for each link in page order; scope: a predicate on `link`."""
+def walk(spark: SparkSession, links: DataFrame, seed: str, max_pages: int | None = MAX_PAGES, scope: Column | None = None) -> DataFrame:
+    """(url, visit_seq) of visited pages. links: (url, place, link), one row for each link in page order; scope: a predicate on `link`; max_pages None: no limit."""
     edges = links.filter("link is not null")
     edges = edges if scope is None else edges.filter(scope)
     level = spark.createDataFrame([(seed, 0)], "url string, visit_seq bigint")
-    visited, n = level.limit(max(max_pages, 0)), min(1, max_pages)
+    most = float("inf") if max_pages is None else max_pages
+    visited, n = level if most >= 1 else level.limit(0), min(1, most)
     queued = level.select("url")
-    while 0 < n < max_pages:
+    while 0 < n < most:
         named = edges.join(level, "url").groupBy("link").agg(F.min(F.struct("visit_seq", "place")).alias("_first"))
         fresh = named.join(queued, named["link"] == queued["url"], "left_anti")
         numbered = with_positions(fresh.select(F.col("link").alias("url"), F.col("_first.visit_seq").alias("_by"), F.col("_first.place").alias("_place")), ["_by", "_place", "url"], "_rank")
-        level = keep(numbered.filter(F.col("_rank") < max_pages - n).select("url", (F.col("_rank") + n).alias("visit_seq")), "level")
+        numbered = numbered if max_pages is None else numbered.filter(F.col("_rank") < max_pages - n)
+        level = keep(numbered.select("url", (F.col("_rank") + n).alias("visit_seq")), "level")
         more = level.count()
         if not more:
             break
@@ -39,7 +41,7 @@ def walk(spark: SparkSession, links: DataFrame, seed: str, max_pages: int = MAX_
     return visited
 
 
-def crawl(spark: SparkSession, web: DataFrame, seed: str, max_pages: int = MAX_PAGES, includes: list[str] = (), crawl_excludes: list[str] | None = None, index_excludes: list[str] | None = None, sizes: ChunkSizes = ChunkSizes(), generic: list[str] | None = None) -> tuple[DataFrame, DataFrame, str]:
+def crawl(spark: SparkSession, web: DataFrame, seed: str, max_pages: int | None = MAX_PAGES, includes: list[str] = (), crawl_excludes: list[str] | None = None, index_excludes: list[str] | None = None, sizes: ChunkSizes = ChunkSizes(), generic: list[str] | None = None) -> tuple[DataFrame, DataFrame, str]:
     """(parents with pid, children with doc and pid, site name) of what is reached from the seed in web (url, body).
 
     A page that web doesn't have is visited and gives nothing, as a failed fetch does. Code hosts' text files are looked

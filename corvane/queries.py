@@ -213,7 +213,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.walk(spark, keep(_graph(spark, sf_dir), "graph"), "p0")
+    return crawl.walk(spark, keep(_graph(spark, sf_dir), "graph"), "p0", max_pages=None)
 
 
 def crawl_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,15 +228,20 @@ def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(url.alias("url"), F.concat("html", more).alias("body"))
 
 
+def _whole_site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """Without a limit: links to pages that the site doesn't have are visits too, so no count of rows bounds them."""
+    return crawl.crawl(spark, _site(spark, sf_dir), "https://docs.example.org/p/1", max_pages=None, generic=["article"])
+
+
 def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walk, extraction and chunking of a whole site."""
-    parents, children, _ = crawl.crawl(spark, _site(spark, sf_dir), "https://docs.example.org/p/1", generic=["article"])
+    parents, children, _ = _whole_site(spark, sf_dir)
     return children.join(parents.select("pid", F.length("x").cast("bigint").alias("parent_chars")), "pid").select("doc", "pid", "t", "u", F.length("x").cast("bigint").alias("chars"), "parent_chars")
 
 
 def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of an index built from a site, end to end."""
-    parents, children, site = crawl.crawl(spark, _site(spark, sf_dir), "https://docs.example.org/p/1", generic=["article"])
+    parents, children, site = _whole_site(spark, sf_dir)
     index = build_index(parents, children, site, text=F.col("x"))
     n = index.children.agg(F.count("*").alias("chunks"), F.countDistinct("u").alias("sources"))
     more = index.parents.agg(F.count("*").alias("parents"))

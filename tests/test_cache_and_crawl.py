@@ -3,6 +3,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import queries
 from corvane.operators import cache, crawl
 from corvane.schemas import CACHE, RESPONSE
 from corvane.session import shared_path
@@ -131,3 +132,22 @@ def test_streams(spark, tmp_path):
     texts = spark.createDataFrame([(1, "https://a.org/x.txt", "word " * 100)], "doc_id int, url string, body string")
     assert updates.stream_children(texts).count() == 2
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def test_whole_crawls_have_no_limit(spark, tmp_path):
+    """Over 10,000 pages are reached, and 400 that the site doesn't have come before them."""
+    n = 10_200
+    text = "<article><h1>T</h1><p>" + "some words of a page that is long enough to be a chunk " * 2 + "</p></article>"
+    more = "".join(f'<a href="/gone/{i}">g</a>' for i in range(400)) + "".join(f'<a href="/p/{i}">n</a>' for i in range(n))
+    html = F.concat(F.lit(text), F.when(F.col("id") == 1, F.lit(more)).otherwise(F.lit("")))
+    spark.range(n).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    seen, queue = {0: 0}, deque([0])
+    while queue:
+        i = queue.popleft()
+        for j in ((i * 2 + 1) % n, (i * 7 + 3) % n, (i * 3 + 2) % n):
+            if j not in seen:
+                seen[j] = len(seen)
+                queue.append(j)
+    assert len(seen) > 10_000
+    assert {r["url"]: r["visit_seq"] for r in queries.crawl_order(spark, str(tmp_path)).collect()} == {f"p{i}": k for i, k in seen.items()}
+    assert queries.site_crawl(spark, str(tmp_path)).select("u").distinct().count() == n
