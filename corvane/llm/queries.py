@@ -55,7 +55,8 @@ def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    out = chat.format_chat(rows.unionByName(more))
+    part = F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units"))
+    out = chat.format_chat(rows.unionByName(more).withColumn("content", F.array(part)), parts="content")
     turns = F.concat_ws("", F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     learnt = chat.learnt_text(F.col("formatted"), F.col("loss_spans"))
     return out.select(

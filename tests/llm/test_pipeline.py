@@ -8,6 +8,7 @@ import pytest
 from test_operators import brute_components, shingles
 
 import corpus_pipeline
+from corvane.llm import chat
 from corvane.llm.queries import ORACLE, QUERIES
 
 
@@ -64,6 +65,12 @@ def test_run_is_the_stages(spark, small, staged):
     assert pick(corpus_pipeline.run(spark, small)) == pick(staged[4][1])
 
 
+def test_chat_query_visits_parts(spark, small, monkeypatch):
+    seen, visit = [], chat.visit_parts
+    monkeypatch.setattr(chat, "visit_parts", lambda parts: seen.append(parts) or visit(parts))
+    assert QUERIES["op8_chat_parts"](spark, small).count() > 0 and seen
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_their_sql(spark, small, name):
     db = duckdb.connect()
