@@ -216,7 +216,16 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
     found = stage(shards.mapInArrow(_search(s), "_anchor long, _seg long, _spans array<struct<a:int,b:int>>"), "found")
     moved = lambda at: F.transform("_spans", lambda x: F.struct((x["a"] + at).alias("a"), (x["b"] + at).alias("b")))
     hits = some.join(found, ["_anchor", "_seg"]).select("_id", "_t", F.flatten(F.transform("_ats", moved)).alias("_spans"))
-    return stage(hits.groupBy("_id", "_t").agg(F.array_distinct(F.flatten(F.collect_list("_spans"))).alias("_spans")), "spans")  # within one document
+    return stage(hits.groupBy("_id", "_t").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), "spans")  # within one document
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of intervals [a, b), ascending and apart."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order]) if len(b) else b
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] > b[:-1]
+    return a[new], b[np.append(np.flatnonzero(new)[1:], len(a)) - 1] if len(a) else b
 
 
 def remove_repeats(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -233,20 +242,17 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
             n_words, n_removed, digest, removed, texts = [], [], [], [], []
             for t, spans in zip(batch.column(1), batch.column(2), strict=True):
                 words = t.as_buffer().to_pybytes().split() if t.is_valid else []
-                merged: list[list[int]] = []
-                for x in sorted((x["a"], x["b"]) for x in spans.as_py() or ()):
-                    if merged and x[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x[1])
-                    else:
-                        merged.append(list(x))
-                n = len(words)
-                for a, b in reversed(merged):
-                    del words[a:b]
-                kept = b" ".join(words)
+                lo, hi = merged(*(spans.values.field(c).to_numpy() for c in ("a", "b"))) if spans.is_valid else ((), ())
+                n, left, at = len(words), [], 0
+                for a, b in zip(lo, hi, strict=True):
+                    left += words[at:a]
+                    at = b
+                left = left + words[at:] if at else words
+                kept = b" ".join(left)
                 n_words.append(n)
-                n_removed.append(n - len(words))
+                n_removed.append(n - len(left))
                 digest.append(hashlib.sha256(kept).hexdigest())
-                removed.append([{"a": a, "b": b} for a, b in merged])
+                removed.append([{"a": int(a), "b": int(b)} for a, b in zip(lo, hi, strict=True)])
                 texts.append(kept)
             cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(removed, interval)]
             names = ["_id", "n_words", "n_removed", "kept_sha256", "removed"]
