@@ -10,9 +10,10 @@ coordinate with probability s, so linked classes (s >= 0.85) agree on 29 of 48 c
   prefix   of the pairs that a class shares with any other, ordered by rising list length, only the first
            (shared - min_match + 1) are posted: two classes with min_match common pairs meet in at least one list.
   skip     each list is first held against its most central class (most shared pairs); confirmed links are merged into
-           components. A list whose members are in one component is done. In any other, members of different components
-           are compared, in blocks of bounded size that are dealt out over tasks: a pair counts its agreeing coordinates,
-           once, in the first list that both share, and emits a row only if it links two components. No list is cut.
+           components. A list whose members are in one component is done. In any other, members outside the list's largest
+           component are compared with all of other components, in blocks of bounded rows and bytes that are dealt out
+           over tasks: a pair counts its agreeing coordinates, once, in the first list that both share, and emits a row
+           only if it links two components. No list is cut.
 
 What agrees on min_match coordinates is confirmed on the full sets. Links make components by distributed stars.
 
@@ -45,6 +46,7 @@ class Settings:
     coords: int = 128
     min_match: int = 90
     block: int = 1024
+    block_bytes: int = 1 << 24
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,25 +143,22 @@ def _confirm(s: Settings):
 
 
 def _compare(rows: pa.Table, s: Settings) -> list[tuple[bytes, bytes]]:
-    """Links between different components of one pair of blocks: columns _tok, _i, _j, _cls, _root, _block, _first, _sig, _set."""
+    """Links between different components of one cell: columns _tok, _i, _j, _one (is it to be compared with all others), _cls, _root, _first, _sig, _set."""
     n = rows.num_rows
-    i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
-    cls, root = rows.column(3).to_pylist(), rows.column(4).to_pylist()
+    one, cls, root = rows.column(3).to_numpy(), rows.column(4).to_pylist(), rows.column(5).to_pylist()
+    if one.all() or not one.any():
+        return []
     number = {r: k for k, r in enumerate(dict.fromkeys(root))}
     root = np.array([number[r] for r in root])
-    block = rows.column(5).to_numpy()
     sig = np.frombuffer(b"".join(rows.column(7).to_pylist()), B.U64).reshape(n, -1)
     low = (sig & B.U64(0xFF)).astype(np.uint8)
-    sets = [np.frombuffer(x, B.U64) for x in rows.column(8).to_pylist()]
+    sets = [np.frombuffer(x.as_buffer(), B.U64) for x in rows.column(8)]
     first = [set(x) for x in rows.column(6).to_pylist()]
     size = np.array([len(x) for x in sets])
-    out = []
-    for a in np.flatnonzero(block == i).tolist():
-        other = np.flatnonzero((root != root[a]) & (block == j))
-        other = other[other > a] if i == j else other
+    out, others = [], np.flatnonzero(~one)
+    for a in np.flatnonzero(one).tolist():
+        other = others[root[others] != root[a]]
         other = other[(100 * np.minimum(size[other], size[a]) >= s.percent * np.maximum(size[other], size[a]))]
-        if not len(other):
-            continue
         other = other[(low[other] == low[a]).sum(1) >= s.min_match]
         for b in other.tolist():
             if root[b] != root[a] and int((sig[a] == sig[b]).sum()) >= s.min_match and first[a].isdisjoint(first[b]) and similar(sets[a], sets[b], s.percent):
@@ -202,7 +201,8 @@ def link_classes(signed: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     classes = stage(classes.withColumn("_alias", F.xxhash64("_cls")), "classes")
     # Screen. Two classes of one alias would be screened together, which never loses any.
     pairs = classes.select("_alias", F.explode("_sig").alias("_tok"))
-    common = lambda pairs: pairs.groupBy("_tok").agg(F.count("*").alias("_n")).filter("_n > 1")
+    # Counts are tables of their own, so that both sides of a join with them are plain exchanges and a hot list's rows can be split.
+    common = lambda pairs: stage(pairs.groupBy("_tok").agg(F.count("*").alias("_n")).filter("_n > 1"), "counts")
     left = pairs.join(common(pairs), "_tok").groupBy("_alias").agg(F.count("*").alias("_m")).filter(F.col("_m") >= s.screen_match)
     wanted = classes.join(left.select("_alias"), "_alias", "left_semi").select("_cls", F.col("_rep._id").alias("_wid"), F.col("_rep._t").alias("_wt"))
     texts = docs.join(wanted, docs["_id"].eqNullSafe(wanted["_wid"]) & (docs["_t"] == wanted["_wt"])).select("_cls", "_text")
@@ -217,17 +217,25 @@ def link_classes(signed: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     posted = stage(posted, "postings")
     # Skip: every list against its most central class.
     centre = posted.groupBy("_tok").agg(F.count("*").alias("_n"), F.max(F.struct("_m", "_cls")).alias("_c")).filter("_n > 1")
-    cand = posted.select("_tok", "_cls").join(centre.select("_tok", F.col("_c._cls").alias("b")), "_tok").filter("_cls <> b").select(F.greatest("_cls", "b").alias("a"), F.least("_cls", "b").alias("b")).distinct()
+    cand = posted.select("_tok", "_cls").join(stage(centre.select("_tok", F.col("_c._cls").alias("b")), "centres"), "_tok").filter("_cls <> b").select(F.greatest("_cls", "b").alias("a"), F.least("_cls", "b").alias("b")).distinct()
     both = cand.join(sets.toDF("a", "_p", "_x"), "a").join(sets.toDF("b", "_q", "_y"), "b").select("a", "b", "_p", "_q", "_x", "_y")
     links = stage(both.mapInArrow(_confirm(s), "a binary, b binary"), "links")
     roots = components(links)
-    member = stage(posted.join(roots, posted["_cls"] == roots["node"], "left").select("_tok", "_cls", "_first", F.coalesce("root", "_cls").alias("_root")), "members")
-    mixed = member.groupBy("_tok").agg(F.count("*").alias("_n"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_tok", F.ceil(F.col("_n") / s.block).cast("long").alias("_nb"))
-    block = F.pmod(F.xxhash64("_cls"), F.col("_nb"))
-    dealt = member.join(mixed, "_tok").withColumn("_block", block).join(sets, "_cls")
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
-    dealt = dealt.select("_tok", F.least("_block", "_o").alias("_i"), F.greatest("_block", "_o").alias("_j"), "_cls", "_root", "_block", "_first", "_sig", "_set")
-    more = dealt.repartition("_tok", "_i", "_j").sortWithinPartitions("_tok", "_i", "_j").mapInArrow(_blocks(s), "a binary, b binary")
+    size = sets.select("_cls", F.length("_set").cast("long").alias("_bytes"))
+    member = posted.join(size, "_cls").join(roots, F.col("_cls") == F.col("node"), "left")
+    member = stage(member.select("_tok", "_cls", "_first", "_bytes", F.coalesce("root", "_cls").alias("_root")), "members")
+    by_root = member.groupBy("_tok", "_root").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_sum"))
+    main = F.max(F.struct("_n", "_sum", "_root")).alias("_main")
+    mixed = by_root.groupBy("_tok").agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.count("*").alias("_roots"), main).filter("_roots > 1")
+    of = lambda n, size: F.ceil(F.greatest(n / s.block, size / s.block_bytes)).cast("long")
+    mixed = mixed.select("_tok", F.col("_main._root").alias("_main"), of(F.col("_n") - F.col("_main._n"), F.col("_sum") - F.col("_main._sum")).alias("_ni"), of(F.col("_n"), F.col("_sum")).alias("_nj"))
+    dealt = member.join(stage(mixed, "mixed"), "_tok").join(sets, "_cls")
+    block, upto = lambda n: F.pmod(F.xxhash64("_cls"), n), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    cols = ["_tok", "_i", "_j", "_one", "_cls", "_root", "_first", "_sig", "_set"]
+    one = dealt.filter("_root <> _main").withColumn("_j", upto(F.col("_nj"))).withColumn("_i", block(F.col("_ni"))).withColumn("_one", F.lit(True))
+    other = dealt.withColumn("_i", upto(F.col("_ni"))).withColumn("_j", block(F.col("_nj"))).withColumn("_one", F.lit(False))
+    cells = one.select(cols).unionByName(other.select(cols)).repartition("_tok", "_i", "_j").sortWithinPartitions("_tok", "_i", "_j")
+    more = cells.mapInArrow(_blocks(s), "a binary, b binary")
     return components(links.unionByName(stage(more, "links")))
 
 
@@ -238,8 +246,11 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     kind = dict(rows.dtypes)["_id"]
     signed = stage(rows.mapInArrow(_sign(s), f"_id {kind}, _t long, n_shingles long, _cls binary, _sig array<long>"), "signatures")
     roots = link_classes(signed, rows, s)
-    named = signed.select("_id", "_t", "n_shingles", "_cls").join(roots, F.col("_cls") == F.col("node"), "left").select("_id", "_t", "n_shingles", F.coalesce("root", "_cls").alias("_root"))
+    # Rows without a set stay apart: a join would bring them all to one task.
+    own = signed.select("_id", "_t", "n_shingles", "_cls")
+    named = own.filter("_cls is not null").join(roots, F.col("_cls") == F.col("node"), "left").select("_id", "_t", "n_shingles", F.coalesce("root", "_cls").alias("_root"))
     named = stage(named, "named")
-    least = named.filter("_root is not null").groupBy("_root").agg(F.min("_id").alias("_least"), F.min(F.struct("_id", "_t")).alias("_one"))
-    out = named.join(least, "_root", "left").withColumn("component_id", F.when(F.col("_root").isNull(), F.col("_id")).otherwise(F.col("_least")))
-    return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "_t", (F.col("_one").isNull() | F.struct("_id", "_t").eqNullSafe(F.col("_one"))).alias("_stays"))
+    least = stage(named.groupBy("_root").agg(F.min("_id").alias("component_id"), F.min(F.struct("_id", "_t")).alias("_one")), "least")
+    empty = own.filter("_cls is null").select("_id", "_t", "n_shingles", F.col("_id").alias("component_id"), F.struct("_id", "_t").alias("_one"))
+    out = named.join(least, "_root").select(*empty.columns).unionByName(empty)
+    return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "_t", F.struct("_id", "_t").eqNullSafe(F.col("_one")).alias("_stays"))
