@@ -6,16 +6,19 @@ shingles; `bands` bands of `rows` coordinates each give high recall (at Jaccard
 (1 - 0.8**rows) ** bands, 2e-4 by default). Pairs that share a bucket of a band are verified by the exact Jaccard
 similarity of their shingle sets, in two passes:
 
-  near   each class meets the bucket's least class and its neighbour in order; links are merged into components.
+  near   each class meets the bucket's first class and its neighbour in order; links are merged into components.
   rest   a bucket of four or more classes (in a smaller one, all have met) whose members are in one component is done. In
-         any other, all members of different components are compared, in blocks of bounded size that are dealt out over
-         tasks; a row is emitted only if it links two components. No bucket is cut.
+         any other, all members outside the bucket's largest component are compared with all of other components, in
+         blocks of bounded size that are dealt out over tasks; a row is emitted only if it links two components. No
+         bucket is cut. Within a block, a pair is left to the first band that it shares, and pairs that agree on fewer
+         than `screen_match` of the `bands * rows` coordinates (at Jaccard 0.8: a chance of 1e-5) are passed over.
 
 A distributed union-find makes components, and of each component the first line (least document id, then text hash, then
 line number) is kept, all others go.
 
-A task sends a line's bands once, however often it holds the line; a band's rows are sorted and streamed, so no bucket
-is held in memory.
+A task sends a line's bands once, however often it holds the line, as packed records by range of key. Of a bucket that
+has more than `local` lines in one task, all but the first and the last meet there and aren't sent on; a reader that
+holds `held` records of a range lets them meet and goes on with one record a bucket. So a hot bucket is never in one place.
 
 Defined cases: null and empty texts have no lines; lines too short to take part stay, however often they repeat; equal
 rows (id and text alike) are one document: their lines are decided alike; rows of a null id sort first; other columns
@@ -30,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,23 +51,30 @@ class Settings:
     min_chars: int = 20
     block: int = 1024
     block_bytes: int = 1 << 20
+    screen_match: int = 36
+    local: int = 32
+    held: int = 1 << 23
 
 
-#: What doesn't count towards min_chars: all but letters, digits and first bytes of other characters.
-_OUTER = bytes(b for b in range(256) if not (0x30 <= b < 0x3A or 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or b >= 0xC0))
+#: What counts towards min_chars: letters, digits and first bytes of other characters.
+_COUNTS = np.array([0x30 <= b < 0x3A or 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or b >= 0xC0 for b in range(256)], np.uint8)
+#: Lower case, and one kind of blank; line feeds stay.
+_NORMAL = np.where(B.NOT_BLANK | (np.arange(256) == 10), B.LOWER, np.uint8(0x20))
 _CODE = B.mix(np.arange(1, (1 << 16) + 1, dtype=B.U64))
 _SHINGLE = B.U64(0xD6E8FEB86659FD93)
 
 
-def line_shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit shingle hashes, offsets), repeats included; a line shorter than k is one shingle. Lines hold no line feed."""
-    code = np.frombuffer((b"\n".join(lines) + b"\n").decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+def line_shingles(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit shingle hashes, offsets) of lines that each end with a line feed, repeats included; a line shorter than k is one shingle."""
+    code = np.frombuffer(data, np.uint8)
+    if len(code) and int(code.max()) >= 0x80:
+        code = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
     end = np.flatnonzero(code == 10)
     start = np.concatenate([[0], end[:-1] + 1])
     size = end - start
     n = np.maximum(size - k + 1, np.minimum(size, 1))
     total = np.concatenate([[0], np.cumsum(n)])
-    h = _CODE[code] if int(code.max()) < 1 << 16 else np.where(code < 1 << 16, _CODE[np.minimum(code, (1 << 16) - 1)], B.mix(code.astype(B.U64) + B.U64(1)))
+    h = _CODE[code] if code.dtype == np.uint8 or int(code.max()) < 1 << 16 else np.where(code < 1 << 16, _CODE[np.minimum(code, (1 << 16) - 1)], B.mix(code.astype(B.U64) + B.U64(1)))
     h[end] = 0  # so what a short line's shingle takes from beyond its end is nothing
     out, have, step = h, 1, _SHINGLE
     whole = np.zeros(len(h), B.U64)
@@ -78,10 +89,11 @@ def line_shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
             twice = out * step
             twice[: len(h) - have] += out[have:]
             out, have, step = twice, 2 * have, B.U64(int(step) ** 2 % (1 << 64))
-    pos = np.arange(total[-1]) + np.repeat(start - total[:-1], n)
-    short = np.flatnonzero((size < k) & (size > 0))
-    found = whole[pos]
-    for i in short.tolist():  # their shingle ends with the line
+    inside = np.zeros(len(h) + 1, np.int8)  # where a shingle begins
+    np.add.at(inside, start[n > 0], 1)
+    np.add.at(inside, (start + n)[n > 0], -1)
+    found = whole[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    for i in np.flatnonzero((size < k) & (size > 0)).tolist():  # their shingle ends with the line
         x = np.zeros(1, B.U64)
         for c in range(start[i], end[i]):
             x = B.mix(x + h[c : c + 1])
@@ -89,40 +101,57 @@ def line_shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return B.mix(found), total
 
 
-def line_bands(shingle: np.ndarray, at: np.ndarray, s: Settings) -> np.ndarray:
-    """A row of band keys for each non-empty line."""
-    n = len(at) - 1
-    keys = B.mix(np.arange(1, s.bands * s.rows + 1, dtype=B.U64) * B.U64(0x9E3779B97F4A7C15))
+def line_coordinates(shingle: np.ndarray, at: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
+    """Minimum of each non-empty line, coordinate by coordinate."""
+    keys = _coordinate_keys(s)
     low = (shingle >> B.U64(32)).astype(np.uint32)
     x = np.empty_like(low)
-    out = np.empty((n, s.bands), B.U64)
-    for b in range(s.bands):
-        acc = np.full(n, keys[b * s.rows], B.U64)
-        for r in range(s.rows):
-            key = keys[b * s.rows + r]
-            np.bitwise_xor(low, np.uint32(key & B.U64(0xFFFFFFFF)), out=x)
-            np.multiply(x, np.uint32((key >> B.U64(32)) | B.U64(1)), out=x)
-            acc = B.mix(acc ^ np.minimum.reduceat(x, at[:-1]).astype(B.U64)) + acc
-        out[:, b] = B.mix(acc)
-    return out
-
-
-def _ids(lines: list[bytes]) -> np.ndarray:
-    """Two 64-bit words of each line's digest."""
-    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines), np.int64).reshape(-1, 2)
-
-
-def taking_part(data: bytes, s: Settings) -> tuple[list[int], list[bytes], int]:
-    """(line numbers, normal forms, count of all lines) of a text."""
-    lines = data.split(b"\n") if data else []
-    if not lines:
-        return [], [], 0
-    at, some = [], []
-    for i, x in enumerate(lines):
-        if len(x) >= s.min_chars and len(x.translate(None, _OUTER)) >= s.min_chars:
-            at.append(i)
-            some.append(b" ".join(x.lower().split()))
-    return at, some, len(lines)
+    for key in keys:
+        np.bitwise_xor(low, np.uint32(key & B.U64(0xFFFFFFFF)), out=x)
+        np.multiply(x, np.uint32((key >> B.U64(32)) | B.U64(1)), out=x)
+        yield np.minimum.reduceat(x, at[:-1])
+
+
+def _coordinate_keys(s: Settings) -> np.ndarray:
+    return B.mix(np.arange(1, s.bands * s.rows + 1, dtype=B.U64) * B.U64(0x9E3779B97F4A7C15))
+
+
+def line_bands(coordinates: Iterator[np.ndarray], s: Settings) -> np.ndarray:
+    """A row of band keys for each line, from its coordinates."""
+    keys, out, acc = _coordinate_keys(s), [], None
+    for c, least in enumerate(coordinates):
+        acc = np.full(len(least), keys[c], B.U64) if c % s.rows == 0 else acc
+        acc = B.mix(acc ^ least.astype(B.U64)) + acc
+        if c % s.rows == s.rows - 1:
+            out.append(B.mix(acc))
+    return np.stack(out, 1).view(np.int64)
+
+
+def _ids(data: bytes) -> np.ndarray:
+    """Two 64-bit words of the digest of each line; lines end with a line feed."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in data.split(b"\n")[:-1]]), np.int64).reshape(-1, 2)
+
+
+def taking_part(text: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(text, line number, normal forms that each end with a line feed) of the lines that take part."""
+    buf, offs = B.raw(pc.binary_join_element_wise(text, "", "\n"))
+    feed = buf == 10
+    end = np.flatnonzero(feed)
+    begin = np.concatenate([[0], end[:-1] + 1])
+    if not len(end):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), b""
+    takes = np.add.reduceat(_COUNTS[buf], begin, dtype=np.int32) >= s.min_chars
+    first = np.searchsorted(begin, offs[:-1])
+    doc = np.searchsorted(first, np.flatnonzero(takes), "right") - 1
+    inside = np.repeat(takes, end - begin + 1)
+    solid = B.NOT_BLANK[buf] & inside
+    opens = solid.copy()  # words begin; \n is a blank
+    opens[1:] &= ~solid[:-1]
+    at = np.flatnonzero(opens)
+    opens[at[np.searchsorted(at, begin[takes])]] = False  # the first of a line has no blank before it
+    keep = solid | (feed & inside)
+    keep[:-1] |= opens[1:]
+    return doc, np.flatnonzero(takes) - first[doc], _NORMAL[buf[keep]].tobytes()
 
 
 def _lines(s: Settings):
@@ -132,71 +161,181 @@ def _lines(s: Settings):
         for batch in batches:
             text = B.text_array(batch.column(2))
             for lo, hi in B.slices(text):
-                buf, offs = B.raw(text.slice(lo, hi - lo))
-                data, rows, pos, lines = buf.tobytes(), [], [], []
-                for d, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-                    at, some, _ = taking_part(data[a:b], s)
-                    rows += [lo + d] * len(at)
-                    pos += at
-                    lines += some
-                if rows:
-                    ids, take = _ids(lines), pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["_id", "_t", "_pos", "_l1", "_l2"])
+                doc, pos, data = taking_part(text.slice(lo, hi - lo), s)
+                if len(doc):
+                    ids, take = _ids(data), pa.array(doc + lo)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["_id", "_t", "_pos", "_l1", "_l2"])
 
     return run
 
 
-def _banded(s: Settings):
-    """Rows (_key, _l1) of the bands of each line of a task."""
+def _some(data: bytes, which: np.ndarray) -> bytes:
+    """The lines of a mask."""
+    if which.all():
+        return data
+    buf = np.frombuffer(data, np.uint8)
+    size = np.diff(np.concatenate([[-1], np.flatnonzero(buf == 10)]))
+    return buf[np.repeat(which, size)].tobytes()
+
+
+def _pieces(data: bytes, limit: int = 1 << 19) -> Iterator[bytes]:
+    """Whole lines of about `limit` bytes; a longer line is a piece of its own."""
+    lo = 0
+    while lo < len(data):
+        hi = data.find(b"\n", min(lo + limit, len(data)) - 1) + 1
+        yield data[lo:hi]
+        lo = hi
+
+
+_MET = ["_key", "_l1", "_first", "_last", "_at"]
+
+
+class _Buckets:
+    """Lets the lines of a bucket meet: each but the first meets the first and the one before it."""
+
+    def __init__(self):
+        self.key, self.first, self.last, self.n = (np.zeros(0, np.int64) for _ in range(4))
+
+    def met(self, key: np.ndarray, line: np.ndarray, hold: bool, at_least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of _MET of buckets of at_least lines, mask of records that were in none). hold: remember a record for each bucket, for later calls."""
+        order = np.argsort(key)
+        k = key[order]
+        same = k[1:] == k[:-1]
+        multi = np.zeros(len(k), bool)
+        multi[1:] |= same
+        multi[:-1] |= same
+        known = np.zeros(len(k), np.int64)
+        if len(self.key):
+            known = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
+            multi |= self.key[known] == k
+        some = order[multi]
+        some = some[np.lexsort((line[some], key[some]))]
+        x, y = key[some], line[some]
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        fresh = new.copy()
+        fresh[1:] |= y[1:] != y[:-1]
+        some, x, y, new = some[fresh], x[fresh], y[fresh], new[fresh]
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(x)))
+        first, last, place = np.repeat(y[begin], size), np.concatenate([y[:1], y[:-1]]), np.arange(len(x)) - np.repeat(begin, size)
+        meets = ~new & (np.repeat(size, size) >= at_least)
+        if len(self.key) and len(x):
+            known = np.minimum(np.searchsorted(self.key, x[begin]), len(self.key) - 1)
+            old = self.key[known] == x[begin]
+            every = np.repeat(old, size)
+            first, place = np.where(every, np.repeat(self.first[known], size), first), np.where(every, np.repeat(self.n[known], size) + place, place)
+            last[begin[old]] = self.last[known[old]]
+            meets = every | meets
+            meets &= (y != first)
+        rows = np.stack([x, y, first, last, place])[:, meets]
+        alone = np.ones(len(line), bool)
+        alone[some[np.repeat(size, size) >= at_least]] = False
+        if hold and len(k):
+            begin = np.flatnonzero(np.concatenate([[True], ~same]))
+            now = line[order]
+            key = np.concatenate([self.key, k[begin]])
+            self.key, at, of = np.unique(key, return_index=True, return_inverse=True)  # what is held already comes first
+            self.first = np.concatenate([self.first, now[begin]])[at]
+            self.n = np.bincount(of, np.concatenate([self.n, np.diff(np.append(begin, len(k)))])).astype(np.int64)
+            last = np.empty(len(self.key), np.int64)
+            last[of] = np.concatenate([self.last, now[np.append(begin[1:], len(k)) - 1]])  # the later one stays
+            self.last = last
+        return rows, alone
+
+
+def _records(rows: np.ndarray) -> bytes:
+    return np.ascontiguousarray(rows.T).tobytes()
+
+
+def _banded(s: Settings, parts: int):
+    """Rows (_part, _kind, _data): packed records of a range of keys. Kind 0: (_key, _l1); kind 1: _MET of buckets that have more than s.local lines here."""
+
+    def flush(keys: list[np.ndarray], lines: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, line = np.concatenate(keys), np.concatenate(lines)
+        met, alone = _Buckets().met(key, line, False, s.local + 1)
+        if met.shape[1]:  # of such a bucket, its first and its last line go on
+            new = np.ones(met.shape[1] + 1, bool)
+            new[1:-1] = met[0, 1:] != met[0, :-1]
+            ends = [met[[0, 2]][:, new[:-1]], met[:2][:, new[1:]]]
+            key, line = (np.concatenate([x[alone], *(e[i] for e in ends)]) for i, x in enumerate((key, line)))
+        out = [(0, np.stack([key, line]))] + ([(1, met)] if met.shape[1] else [])
+        for kind, rows in out:
+            part = ((rows[0].view(B.U64) >> B.U64(32)) * B.U64(parts) >> B.U64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, rows = part[order], rows[:, order]
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            pairs = list(zip(cuts, cuts[1:], strict=False))
+            for at in range(0, len(pairs), 64):  # a bounded batch each
+                some = pairs[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([_records(rows[:, a:b]) for a, b in some], pa.binary())], ["_part", "_kind", "_data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        keys, lines, held = [], [], 0
         for batch in batches:
             text = B.text_array(batch.column(0))
             for lo, hi in B.slices(text, 1 << 18):
-                buf, offs = B.raw(text.slice(lo, hi - lo))
-                data, lines = buf.tobytes(), []
-                for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                    lines += taking_part(data[a:b], s)[1]
-                if not lines:
+                data = taking_part(text.slice(lo, hi - lo), s)[2]
+                if not data:
                     continue
-                ids = _ids(lines)[:, 0]
-                _, first = np.unique(ids, return_index=True)
-                first = np.array([i for i in first.tolist() if int(ids[i]) not in seen], np.int64)
+                ids = _ids(data)[:, 0]
+                fresh = np.zeros(len(ids), bool)
+                fresh[np.unique(ids, return_index=True)[1]] = True
+                fresh &= np.array([i not in seen for i in ids.tolist()])
                 if len(seen) > 1 << 20:
                     seen.clear()
-                seen.update(ids[first].tolist())
-                if not len(first):
+                seen.update(ids[fresh].tolist())
+                if not fresh.any():
                     continue
-                shingle, at = line_shingles([lines[i] for i in first.tolist()], s.k)
-                bands = line_bands(shingle, at, s).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(ids[first], s.bands))], ["_key", "_l1"])
+                lines.append(np.repeat(ids[fresh], s.bands))
+                for some in _pieces(_some(data, fresh)):
+                    keys.append(line_bands(line_coordinates(*line_shingles(some, s.k), s), s).ravel())
+                    held += len(keys[-1])
+                if held >= 1 << 20:
+                    yield from flush(keys, lines)
+                    keys, lines, held = [], [], 0
+        if held:
+            yield from flush(keys, lines)
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (_key, _l1, _first, _last, _at) from rows sorted by (_key, _l1): each line of a bucket but the first, with the bucket's first line, the line before it and its place."""
-    key, first, last, place = None, 0, 0, 0
-    for batch in batches:
-        k, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(k):
-            continue
-        if key is not None:
-            k, x = np.concatenate([[key, key], k]), np.concatenate([[first, last], x])
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        fresh = ~new
-        fresh[1:] &= x[1:] != x[:-1]
-        if key is not None:
-            fresh[:2] = False
-        count = np.concatenate([[0], np.cumsum(fresh)])
-        at = count[1:] - count[begin] + np.where(begin == 0, place, 0)
-        rows = np.flatnonzero(fresh)
-        key, first, last, place = int(k[-1]), int(x[begin[-1]]), int(x[-1]), int(at[-1])
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[rows], x[rows], x[begin[rows]], x[rows - 1], at[rows])], ["_key", "_l1", "_first", "_last", "_at"])
+def _meet(s: Settings):
+    """Rows of _MET, from rows (_part, _kind, _data) sorted by _part."""
+
+    def table(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, rows.shape[1], 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:, lo : lo + (1 << 17)]], _MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, last, blobs, held = _Buckets(), None, [], 0
+
+        def flush(hold: bool) -> np.ndarray:
+            pairs = np.concatenate(blobs) if blobs else np.zeros((0, 2), np.int64)
+            return buckets.met(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), hold)[0]
+
+        for batch in batches:
+            for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows = np.frombuffer(data.as_buffer().to_pybytes(), np.int64).reshape(-1, 5 if kind else 2)
+                if part != last:
+                    yield from table(flush(False))
+                    buckets, last, blobs, held = _Buckets(), part, [], 0
+                if kind:
+                    yield from table(rows.T)
+                    continue
+                blobs.append(rows)
+                held += len(rows)
+                if held >= max(s.held, 2 * len(buckets.key)):
+                    yield from table(flush(True))
+                    blobs, held = [], 0
+        yield from table(flush(False))
+
+    return run
+
+
+def _fed(lines: list[bytes]) -> bytes:
+    return b"\n".join(lines) + b"\n"
 
 
 def _wanted_lines(s: Settings):
@@ -214,86 +353,132 @@ def _wanted_lines(s: Settings):
                         seen.add(x)
                         out.append(x)
             if out:
-                ids = _ids(out)
+                ids = _ids(_fed(out))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(out, pa.binary())], ["_l1", "_l2", "_line"])
 
     return run
 
 
+_SHIFT, _REST = B.U64(48), B.U64((1 << 48) - 1)
+
+
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from each lo on, one range after the other."""
+    end = np.cumsum(n)
+    return np.arange(int(end[-1]) if len(n) else 0) + np.repeat(lo - (end - n), n)
+
+
+def _numbered(values: list) -> tuple[np.ndarray, list]:
+    """(number of each value among the distinct ones, these)."""
+    number = {v: k for k, v in enumerate(dict.fromkeys(values))}
+    return np.array([number[v] for v in values], np.int64), list(number)
+
+
+def line_sets(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(48 bits of each distinct shingle under the line's number, sorted; offsets) of fewer than 65,536 lines."""
+    shingle, at = line_shingles(data, k)
+    line = np.arange(len(at), dtype=B.U64) << _SHIFT
+    cell = np.sort(np.repeat(line[:-1], np.diff(at)) | (shingle >> B.U64(16)))
+    new = np.ones(len(cell), bool)
+    new[1:] = cell[1:] != cell[:-1]
+    return (cell := cell[new]), np.searchsorted(cell, line)
+
+
+def common(cell: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of shingles that the lines x[i] and y[i] share."""
+    size, out = np.diff(at), np.zeros(len(x), np.int64)
+    upto, lo = np.cumsum(size[x] + size[y]), 0
+    while lo < len(x):
+        hi = min(max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20))), lo + 1), lo + 65535, len(x))
+        pair = np.arange(hi - lo, dtype=B.U64) << _SHIFT
+        both = np.sort(np.concatenate([(cell[_ranges(at[z], size[z])] & _REST) | np.repeat(pair, size[z]) for z in (x[lo:hi], y[lo:hi])]))
+        out[lo:hi] = np.bincount((both[1:][both[1:] == both[:-1]] >> _SHIFT).astype(np.int64), minlength=hi - lo)
+        lo = hi
+    return out
+
+
 def _verify(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for lo in range(0, batch.num_rows, 256):
-                x, y = (batch.column(c).slice(lo, 256).to_pylist() for c in (4, 5))
-                shingle, at = line_shingles([*x, *y], s.k)
-                n = len(x)
-                each = shingle.tolist()
-                at = at.tolist()
-                for i in range(n):
-                    a, b = set(each[at[i] : at[i + 1]]), set(each[at[n + i] : at[n + i + 1]])
-                    both = len(a & b)
-                    ok.append(100 * both >= s.percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["_l1", "_l2", "_m1", "_m2"]).filter(pa.array(ok, pa.bool_()))
+            bytes_ = np.cumsum([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5), strict=True)])
+            ok, lo = [], 0
+            while lo < batch.num_rows:
+                hi = min(max(int(np.searchsorted(bytes_, (bytes_[lo - 1] if lo else 0) + (1 << 20))), lo + 1), lo + 16384)
+                x, y = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (4, 5))
+                of, lines = _numbered([*x, *y])
+                cell, at = line_sets(_fed(lines), s.k)
+                one, two = of[: len(x)], of[len(x) :]
+                both, size = common(cell, at, one, two), np.diff(at)
+                ok.append(100 * both >= s.percent * (size[one] + size[two] - both))
+                lo = hi
+            if ok:
+                yield pa.RecordBatch.from_arrays(batch.columns[:4], ["_l1", "_l2", "_m1", "_m2"]).filter(pa.array(np.concatenate(ok)))
 
     return run
 
 
-def _compare(rows: pa.Table, s: Settings) -> list[int]:
-    """Links between different components of one pair of blocks, as row numbers one after the other: columns _key, _i, _j, _block, _root, _l1, _l2, _line."""
-    n = rows.num_rows
-    i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
-    block = rows.column(3).to_numpy()
-    names = [(r["x"], r["y"]) for r in rows.column(4).to_pylist()]
-    number = {r: k for k, r in enumerate(dict.fromkeys(names))}
-    root = np.array([number[r] for r in names])
-    if len(number) < 2:
-        return []
-    shingle, at = line_shingles(rows.column(7).to_pylist(), s.k)
-    value, code = np.unique(shingle, return_inverse=True)
-    cell = np.unique(np.repeat(np.arange(n, dtype=np.int64), np.diff(at)) * len(value) + code)  # no repeats within a line
-    owner, code = cell // len(value), cell % len(value)
-    at = np.searchsorted(owner, np.arange(n + 1))
-    size, mark, out = np.diff(at), np.zeros(len(value), np.int32), []
-    for a in np.flatnonzero(root != np.bincount(root).argmax()).tolist():  # one of each pair is outside the largest component
-        mine = code[at[a] : at[a + 1]]
-        mark[mine] = 1
-        both = np.add.reduceat(mark[code], at[:-1])
-        mark[mine] = 0
-        other = np.flatnonzero((block == (j if block[a] == i else i)) & (root != root[a]) & (100 * both >= s.percent * (size + size[a] - both)))
-        for b in other.tolist():
-            if root[b] != root[a]:
-                out += [a, b]
-                root[root == root[b]] = root[a]
+def _compare(rows: pa.Table, cuts: list[int], s: Settings) -> list[int]:
+    """Links between different components of cells (rows cuts[i] to cuts[i + 1]), as row numbers one after the other: columns _key, _i, _j, _one (is it a line to compare with all others), _root, _l1, _l2, _line."""
+    one = rows.column(3).to_numpy()
+    roots, _ = _numbered([(r["x"], r["y"]) for r in rows.column(4).to_pylist()])
+    of, lines = _numbered(rows.column(7).to_pylist())
+    cell, at = line_sets(_fed(lines), s.k)
+    least = list(line_coordinates(cell << B.U64(16), at, s))
+    bands, least, key = line_bands(iter(least), s), np.stack(least, 1), rows.column(0).to_numpy()
+    size, out = np.diff(at), []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        band = int(np.argmax(bands[of[lo]] == key[lo]))
+        ones, others = lo + np.flatnonzero(one[lo:hi]), lo + np.flatnonzero(~one[lo:hi])
+        root = roots[lo:hi].copy()  # components of this cell: a link is wanted once
+        for step in range(0, len(ones), max(1, (1 << 16) // max(len(others), 1))):
+            some = ones[step : step + max(1, (1 << 16) // max(len(others), 1))]
+            apart = root[some - lo][:, None] != root[others - lo]
+            n, m = size[of[some]][:, None], size[of[others]]
+            apart &= 100 * np.minimum(n, m) >= s.percent * np.maximum(n, m)
+            x, y = np.nonzero(apart)
+            x, y = some[x], others[y]
+            agree = least[of[x]] == least[of[y]]
+            earlier = agree.reshape(len(x), s.bands, s.rows)[:, :band].all(2).any(1)  # they meet in that band's bucket too
+            near = (agree.sum(1) >= s.screen_match) & ~earlier
+            x, y = x[near], y[near]
+            both = common(cell, at, of[x], of[y])
+            linked = 100 * both >= s.percent * (size[of[x]] + size[of[y]] - both)
+            for a, b in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+                if root[a - lo] != root[b - lo]:
+                    out += [a, b]
+                    root[root == root[b - lo]] = root[a - lo]
     return out
 
 
 def _blocks(s: Settings):
-    """Rows sorted by (_key, _i, _j), one pair of blocks after the other, to links (_l1, _l2, _m1, _m2)."""
+    """Rows sorted by (_key, _i, _j), some cells at a time, to links (_l1, _l2, _m1, _m2)."""
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        key = np.stack([rows.column(c).to_numpy() for c in range(3)], 1)
+        links = _compare(rows, [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)], s)
+        if links:
+            one, two = (rows.select([5, 6]).take(pa.array(links[k::2])).combine_chunks() for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in (*one.columns, *two.columns)], ["_l1", "_l2", "_m1", "_m2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held) if held else None
-            links = _compare(rows, s) if held else []
-            if links:
-                one, two = (rows.select([5, 6]).take(pa.array(links[k::2])).combine_chunks() for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in (*one.columns, *two.columns)], ["_l1", "_l2", "_m1", "_m2"])
-
+        size, n, last = 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            length = pc.binary_length(batch.column(7)).to_numpy()
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 now = tuple(key[lo])
-                if now != last:
-                    yield from flush()
-                    held, last = [], now
+                if now != last and (size >= s.block_bytes or n >= 16384):
+                    yield from flush(held)
+                    held, size, n = [], 0, 0
                 held.append(batch.slice(lo, hi - lo))
-        yield from flush()
+                size, n, last = size + int(length[lo:hi].sum()), n + hi - lo, now
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -304,19 +489,23 @@ def _pairs(links: DataFrame) -> DataFrame:
 
 def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
     """(_l1, _l2, _m1, _m2): links of different components in buckets of four or more. met: rows of _meet; roots: (node, root) of the components so far."""
-    large = met.filter("_at = 3").select("_key")
-    many = met.join(large, "_key")
-    many = many.select("_key", "_l1").unionByName(many.filter("_at = 1").select("_key", F.col("_first").alias("_l1")))
     own = F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))
     lines = texts.select("_l1", "_l2", F.length("_line").alias("_bytes"), own.alias("_own"))
     lines = lines.join(roots, lines["_own"] == roots["node"], "left").select("_l1", "_l2", "_bytes", F.coalesce("root", "_own").alias("_root"))
-    member = stage(many.join(lines, "_l1"), "members")
-    blocks = F.ceil(F.greatest(F.col("_n") / s.block, F.col("_sum") / s.block_bytes)).cast("long")
-    mixed = member.groupBy("_key").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_sum"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_key", blocks.alias("_nb"))
-    dealt = member.join(mixed, "_key").withColumn("_block", F.pmod(F.xxhash64("_l1", "_l2"), F.col("_nb"))).join(texts, ["_l1", "_l2"])
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
-    dealt = dealt.select("_key", F.least("_block", "_o").alias("_i"), F.greatest("_block", "_o").alias("_j"), "_block", "_root", "_l1", "_l2", "_line")
-    return stage(dealt.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(_blocks(s), "_l1 long, _l2 long, _m1 long, _m2 long"), "links")
+    every = met.select("_key", "_l1").unionByName(met.filter("_at = 1").select("_key", F.col("_first").alias("_l1")))
+    member = stage(every.join(lines, "_l1"), "members")
+    by_root = member.groupBy("_key", "_root").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_sum"))
+    of = lambda n, size: F.ceil(F.greatest(n / s.block, size / s.block_bytes)).cast("long")
+    main = F.max(F.struct("_n", "_sum", "_root")).alias("_main")
+    mixed = by_root.groupBy("_key").agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.count("*").alias("_roots"), main).filter("_roots > 1 and _n > 3")
+    mixed = stage(mixed.select("_key", F.col("_main._root").alias("_main"), of(F.col("_n") - F.col("_main._n"), F.col("_sum") - F.col("_main._sum")).alias("_ni"), of(F.col("_n"), F.col("_sum")).alias("_nj")), "mixed")
+    dealt = member.join(mixed, "_key").join(texts, ["_l1", "_l2"])
+    block, upto = lambda n: F.pmod(F.xxhash64("_l1", "_l2"), n), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    cols = ["_key", "_i", "_j", "_one", "_root", "_l1", "_l2", "_line"]
+    one = dealt.filter("_root <> _main").withColumn("_j", upto(F.col("_nj"))).withColumn("_i", block(F.col("_ni"))).withColumn("_one", F.lit(True))
+    other = dealt.withColumn("_i", upto(F.col("_ni"))).withColumn("_j", block(F.col("_nj"))).withColumn("_one", F.lit(False))
+    cells = one.select(cols).unionByName(other.select(cols)).repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
+    return stage(cells.mapInArrow(_blocks(s), "_l1 long, _l2 long, _m1 long, _m2 long"), "links")
 
 
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,13 +525,13 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"))
     kind = dict(rows.dtypes)["_id"]
     lines = stage(rows.mapInArrow(_lines(s), f"_id {kind}, _t long, _pos int, _l1 long, _l2 long"), "lines")
-    bands = rows.select("_text").mapInArrow(_banded(s), "_key long, _l1 long")
-    bucket = bands.repartition("_key").sortWithinPartitions("_key", "_l1")
-    met = stage(bucket.mapInArrow(_meet, "_key long, _l1 long, _first long, _last long, _at long"), "buckets")
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = rows.select("_text").mapInArrow(_banded(s, parts), "_part int, _kind int, _data binary").repartition("_part").sortWithinPartitions("_part")
+    met = stage(bands.mapInArrow(_meet(s), "_key long, _l1 long, _first long, _last long, _at long"), "buckets")
     pair = lambda c: met.select(F.greatest("_l1", c).alias("a"), F.least("_l1", c).alias("b"))
     cand = stage(pair("_first").unionByName(pair("_last")).distinct(), "candidates")
     wanted = cand.select(F.col("a").alias("_l1")).unionByName(cand.select(F.col("b").alias("_l1"))).distinct()
-    classes = lines.groupBy("_l1", "_l2").agg(F.min(F.struct("_id", "_t", "_pos")).alias("_first"))
+    classes = stage(lines.groupBy("_l1", "_l2").agg(F.min(F.struct("_id", "_t", "_pos")).alias("_first"), F.count("*").alias("_n")), "classes")
     where = classes.join(wanted, "_l1").select("_first.*").groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_at"))  # within one document
     where = where.select(F.col("_id").alias("_wid"), F.col("_t").alias("_wt"), "_at")
     found = rows.join(where, rows["_id"].eqNullSafe(where["_wid"]) & (rows["_t"] == where["_wt"])).select("_at", "_text")
@@ -354,11 +543,13 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     rest = link_rest(met, texts, roots, s)
     if not rest.isEmpty():
         roots = components(roots.toDF("a", "b").unionByName(_pairs(rest)))
-    roots = roots.select(F.col("node.x").alias("_l1"), F.col("node.y").alias("_l2"), "root")
-    rooted = classes.join(roots, ["_l1", "_l2"], "left").withColumn("_root", F.coalesce("root", F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))))
-    kept = rooted.groupBy("_root").agg(F.min("_first").alias("_keep"))
-    first = stage(rooted.select("_l1", "_l2", "_root").join(kept, "_root").select("_l1", "_l2", "_keep"), "kept")
-    gone = lines.join(first, ["_l1", "_l2"]).filter(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("_keep")))
+    # Classes that repeat, and those of a component with its first line; the rest of the classes lose nothing.
+    own = F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))
+    linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node.x").alias("_l1"), F.col("node.y").alias("_l2"), "root")
+    groups = stage(classes.join(linked, ["_l1", "_l2"], "left").filter("_n > 1 or root is not null").select("_l1", "_l2", "_first", F.coalesce("root", own).alias("_root")), "groups")
+    keep = stage(groups.groupBy("_root").agg(F.min("_first").alias("_keep")), "keep")
+    kept = stage(groups.join(keep, "_root").select("_l1", "_l2", "_keep"), "kept")
+    gone = lines.join(kept, ["_l1", "_l2"]).filter(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("_keep")))
     numbers = gone.groupBy("_id", "_t").agg(F.array_sort(F.collect_set("_pos")).alias("removed"))
     return stage(numbers.mapInArrow(_flagged, f"_id {kind}, _t long, removed array<int>, flags array<boolean>"), "removed")
 
