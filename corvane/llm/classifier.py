@@ -10,7 +10,7 @@ weighted by similarity and by the inverse size of their class.
 Fitting uses at most `max_per_class` rows of each label, those of least hash of their id; everything else covers all
 rows. Only the text is ever an input of a score.
 
-Defined cases: null and empty texts have no features and get 0.5; labels that are null or neither 0 nor 1 are not
+Defined cases: null and empty texts have one feature, that of few words, and are scored by it like any other; labels that are null or neither 0 nor 1 are not
 learnt; if one label or all are missing, every score is the share of label 1 in the sample (0.5 without any); repeated
 rows get equal scores; an empty table gives no rows; other columns are ignored.
 """
@@ -92,8 +92,8 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         new[1:] = (h[order][1:] != h[order][:-1]) | (wdoc[order][1:] != wdoc[order][:-1])
         distinct = np.bincount(wdoc[order][new], minlength=n)
         expected = np.minimum(1, 6 / np.sqrt(some))
-        share[:, 3] = np.clip(1 - distinct / some, 0, 1)
-        share[:, 4] = distinct / some < 0.5 * expected
+        share[:, 3] = np.where(words > 0, np.clip(1 - distinct / some, 0, 1), 0)
+        share[:, 4] = (words > 0) & (distinct / some < 0.5 * expected)
     if len(buf):
         c = _CLASS[buf]
         for k, which in ((5, c == 2), (6, c == 3), (7, c >= 6), (8, c == 5)):
@@ -104,7 +104,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for lo, hi in ((0, SHAPES), (SHAPES, SHAPES + PAIRS)):
         total = out[:, lo:hi].sum(1, keepdims=True)
         out[:, lo:hi] = np.sqrt(out[:, lo:hi] / np.maximum(total, 1))
-    out[:, SHAPES + PAIRS :] = np.sqrt(share) * (size > 0)[:, None]
+    out[:, SHAPES + PAIRS :] = np.sqrt(share)
     return out
 
 
@@ -144,7 +144,6 @@ class Model:
             top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
             w = np.maximum(np.take_along_axis(cos, top, 1), 1e-3) ** self.s.sharpness * self.vote[top]
             out[lo : lo + len(block)] = (w * self.label[top]).sum(1) / w.sum(1)
-        out[x.sum(1) == 0] = 0.5
         return np.clip(out, 0.0, 1.0)
 
 

@@ -6,7 +6,11 @@ language's prototype the sum over its texts, each scaled to weigh alike; the lan
 Letters are lower-cased Unicode letters; runs of anything else read as one blank, which has a vector too.
 
 Prototypes are bundled over all given rows: each task sums trigram counts by language and emits one vector for each
-language, which are added by (language, position).
+language, which are added by (language, position). Vectors are made for a bounded number of trigrams at a time, and texts
+are read a bounded number at a time, so memory doesn't grow with a text's distinct trigrams.
+
+Prototypes are held whole by the driver and every worker, so languages are limited: more than `max_languages` distinct
+ones raise ValueError before any text is read.
 
 Defined cases: null texts, and texts without a letter, are `und` with score 0; null languages are not learnt; without
 any prototype every text is `und`; ties go to the language that sorts first; repeated rows count each.
@@ -25,6 +29,9 @@ from . import bytesops as B
 
 DIMS, SEED = 1024, 17
 _BLANK = 0
+#: Trigrams whose vectors are held at once, and texts that are read at once.
+KEYS, TEXTS = 4096, 1024
+MAX_LANGUAGES = 2000
 _tables: dict[str, np.ndarray] = {}
 _vectors: dict[int, np.ndarray] = {}
 
@@ -100,63 +107,86 @@ class Profiles:
         self.held: dict[int, np.ndarray] = {}
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        names, score = [], np.zeros(len(texts))
+        for lo in range(0, len(texts), TEXTS):
+            some = texts.slice(lo, TEXTS)
+            found, score[lo : lo + TEXTS] = self._predict(some)
+            names += found
+        return names, score
+
+    def _predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         doc, number, keys, letters = trigrams(texts)
         n = len(texts)
         names, score = ["und"] * n, np.zeros(n)
         if not self.names:
             return names, score
-        vectors = gram_vectors(keys)
-        for lo in range(0, n, 256):
-            hi = min(lo + 256, n)
-            a, b = np.searchsorted(doc, [lo, hi])
-            if len(keys):
-                counts = np.bincount((doc[a:b] - lo) * len(keys) + number[a:b], minlength=(hi - lo) * len(keys)).reshape(hi - lo, len(keys)).astype(np.float32)
+        bundle = np.zeros((n, DIMS), np.float32)
+        for mine, at, vectors in _blocks(number, keys):
+            where = doc if mine is None else doc[mine]
+            for lo in range(0, n, 256):
+                hi = min(lo + 256, n)
+                a, b = np.searchsorted(where, [lo, hi])
+                counts = np.bincount((where[a:b] - lo) * len(vectors) + at[a:b], minlength=(hi - lo) * len(vectors)).reshape(hi - lo, len(vectors)).astype(np.float32)
                 used = counts.any(0)
-                bundle = counts[:, used] @ vectors[used]
-            else:
-                bundle = np.zeros((hi - lo, DIMS), np.float32)
-            cos = bundle @ self.unit.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9)
-            best = cos.argmax(1)
-            for i in range(hi - lo):
-                if letters[lo + i]:
-                    names[lo + i] = self.names[best[i]]
-                    score[lo + i] = min(max(float(cos[i, best[i]]), 0.0), 1.0)
+                bundle[lo:hi] += counts[:, used] @ vectors[used]
+        cos = bundle @ self.unit.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9)
+        best = cos.argmax(1)
+        for i in np.flatnonzero(letters).tolist():
+            names[i] = self.names[best[i]]
+            score[i] = min(max(float(cos[i, best[i]]), 0.0), 1.0)
         return names, score
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Profiles:
-    """Profiles of all rows of docs with a language."""
+def _blocks(number: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray]]:
+    """(which trigrams, or None for all; their rows in vectors; vectors) for KEYS distinct trigrams at a time."""
+    for lo in range(0, len(keys), KEYS):
+        vectors = gram_vectors(keys[lo : lo + KEYS])
+        if len(keys) <= KEYS:
+            yield None, number, vectors
+        else:
+            mine = np.flatnonzero((number >= lo) & (number < lo + KEYS))
+            yield mine, number[mine] - lo, vectors
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_languages: int = MAX_LANGUAGES) -> Profiles:
+    """Profiles of all rows of docs with a language; ValueError if there are more than max_languages."""
     rows = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")).filter("_lang is not null and _text is not null")
+    if rows.select("_lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             text, langs = B.text_array(batch.column(1)), np.array(batch.column(0).to_pylist(), object)
             for lo, hi in B.slices(text, 1 << 20):
-                doc, number, keys, _ = trigrams(text.slice(lo, hi - lo))
-                if not len(keys):
-                    continue
-                size = np.bincount(doc, minlength=hi - lo)
-                weight = 1 / np.maximum(size, 1)
-                vectors = gram_vectors(keys)
-                names, which = np.unique(langs[lo:hi].astype(str), return_inverse=True)
-                for j, name in enumerate(names):
-                    mine = which[doc] == j
-                    total = np.bincount(number[mine], weights=weight[doc[mine]], minlength=len(keys))
-                    sums[name] = sums.get(name, 0) + total.astype(np.float32) @ vectors
+                for lo in range(lo, hi, TEXTS):
+                    _add(sums, text.slice(lo, min(TEXTS, hi - lo)), langs[lo : min(lo + TEXTS, hi)])
         if sums:
             names = [name for name in sums for _ in range(DIMS)]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.tile(np.arange(DIMS, dtype=np.int32), len(sums))), pa.array(np.concatenate(list(sums.values())).astype(np.float64))], ["lang", "i", "v"])
 
-    total = rows.mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()  # languages x DIMS numbers
-    names = sorted({r["lang"] for r in total})
+    total = rows.mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).toArrow()  # at most max_languages x DIMS numbers
+    langs = total.column("lang").combine_chunks().dictionary_encode()
+    langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
+    names = langs.dictionary.to_pylist()
     vectors = np.zeros((len(names), DIMS))
-    at = {n: k for k, n in enumerate(names)}
-    for r in total:
-        vectors[at[r["lang"]], r["i"]] = r["v"]
+    vectors[langs.indices.to_numpy(), total.column("i").to_numpy()] = total.column("v").to_numpy()
     return Profiles(names, vectors)
 
 
+def _add(sums: dict[str, np.ndarray], text: pa.Array, langs: np.ndarray) -> None:
+    """Adds each text's trigram vectors, scaled to weigh alike, to its language's sum."""
+    doc, number, keys, _ = trigrams(text)
+    weight = 1 / np.maximum(np.bincount(doc, minlength=len(text)), 1)
+    names, which = np.unique(langs.astype(str), return_inverse=True)
+    for mine, at, vectors in _blocks(number, keys):
+        where = doc if mine is None else doc[mine]
+        for j in np.unique(which[where]).tolist():
+            own = which[where] == j
+            total = np.bincount(at[own], weights=weight[where[own]], minlength=len(vectors))
+            sums[names[j]] = sums.get(names[j], 0) + total.astype(np.float32) @ vectors
+
+
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep's columns (all but the text if None) with lang_pred and score."""
     held = docs.sparkSession.sparkContext.broadcast(profiles)

@@ -107,6 +107,14 @@ def test_substring_repeats(docs, none, settings):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_a_text_that_repeats_itself(spark):
+    """200,000 words of one phrase: every window repeats, and time is in proportion."""
+    phrase = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(phrase * 5000)), (2, " ".join(["a"] * 3 + phrase[:36] + ["b"])), (3, "nothing of the kind")]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (200000, 200000), 2: (40, 36), 3: (4, 0)}
+
+
 def test_fm_index_against_counting():
     rng = np.random.default_rng(0)
     for _ in range(60):
@@ -166,7 +174,18 @@ def test_neighbour_quality(spark, docs, none):
     assert sum((got[i] >= 0.5) == bool(i % 4) for i in test) > 0.95 * len(test)
     scored = classifier.score(docs.withColumn("score", F.lit("old")), model)
     assert scored.columns == [*docs.columns, "score"] and scored.count() == len(ROWS)
-    assert scored.filter("text is null or text = ''").select("score").distinct().first()[0] == 0.5
+    # Every score is the vote of the exact cosines with all labelled vectors; empty texts are scored like any other.
+    texts = [t or "" for _, t, *_ in ROWS if t is None or len(t) < 20000] + [t for _, t in rows]
+    x = classifier.features(*bytesops.raw(pa.array(texts)))
+    assert all((classifier.features(*bytesops.raw(pa.array([t]))) == x[i]).all() for i, t in enumerate(texts) if i % 40 == 0)
+    for i, v in enumerate(model.predict(x)):
+        z = (x[i] * model.scale - model.mean).astype(float) @ model.basis.astype(float)
+        cos = [float(z @ k) / max(np.linalg.norm(z), 1e-9) for k in model.known.astype(float)]
+        near = sorted(range(len(cos)), key=lambda j: -cos[j])[: model.s.neighbours]
+        w = [max(cos[j], 1e-3) ** model.s.sharpness * model.vote[j] for j in near]
+        assert abs(v - sum(a * model.label[j] for a, j in zip(w, near, strict=True)) / sum(w)) < 1e-3, texts[i][:40]
+    empty = {r["score"] for r in scored.filter("text is null or text = ''").select("score").collect()}
+    assert len(empty) == 1
     assert scored.filter("score < 0 or score > 1 or score is null").count() == 0
     assert classifier.score(none, model).count() == 0
     unlearnt = classifier.fit(df, labels.limit(0))
@@ -193,6 +212,61 @@ def test_language_profiles(spark, docs, none):
     assert (v[number[0]] == np.roll(one[0], 2) * np.roll(one[1], 1) * one[2]).all()
 
 
+def brute_language_vector(text):
+    """The bundle of bound trigrams, letter by letter."""
+    letters = [" "]
+    for c in text:
+        if c.isalpha():
+            letters.append(c.lower() if len(c.lower()) == 1 else c)
+        elif letters[-1] != " ":
+            letters.append(" ")
+    letters = letters[1:] if text and text[0].isalpha() else letters
+    v = np.zeros(langid.DIMS)
+    for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+        x, y, z = (langid.letter_vector(0 if q == " " else ord(q)).astype(float) for q in (a, b, c))
+        v += np.roll(x, 2) * np.roll(y, 1) * z
+    return v, max(len(letters) - 2, 0), any(c != " " for c in letters)
+
+
+@pytest.mark.parametrize("keys", [langid.KEYS, 7])
+def test_language_cosines_against_brute_force(spark, monkeypatch, keys):
+    monkeypatch.setattr(langid, "KEYS", keys)
+    rng = np.random.default_rng(11)
+    letters = {"aa": "abcdeé ", "bb": "cdefgß- ", "cc": "日本語中文 "}
+    rows = [("".join(rng.choice(list(letters[n]), int(rng.integers(1, 60)))), n) for n in list(letters) * 12] + [("", "aa"), ("x", "bb"), ("1 2 3", "cc"), ("aa bb", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    profiles = langid.learn(df)
+    made = {}
+    for text, n in rows:
+        v, count, _ = brute_language_vector(text)
+        if n is not None:
+            made[n] = made.get(n, 0) + v / max(count, 1)
+    assert profiles.names == sorted(made)
+    for n, u in zip(profiles.names, profiles.unit, strict=True):
+        assert np.abs(u - made[n] / np.linalg.norm(made[n])).max() < 1e-5
+    names, score = profiles.predict(pa.array([t for t, _ in rows]))
+    for (text, _), name, got in zip(rows, names, score, strict=True):
+        v, _, some = brute_language_vector(text)
+        if not some:
+            assert (name, got) == ("und", 0.0)
+            continue
+        cos = {n: float(v @ made[n]) / max(np.linalg.norm(v) * np.linalg.norm(made[n]), 1e-9) for n in made}
+        best = max(cos.values())
+        assert abs(got - min(max(best, 0), 1)) < 1e-4 and cos[name] > best - 1e-4
+
+
+def test_languages_are_limited(spark):
+    df = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(5)], "text string, lang string")
+    with pytest.raises(ValueError):
+        langid.learn(df, max_languages=4)
+    assert len(langid.learn(df, max_languages=5).names) == 5
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    df = spark.createDataFrame([("same words here", n) for n in ("zz", "mm", "aa")], "text string, lang string")
+    assert langid.learn(df).predict(pa.array(["same words"]))[0] == ["aa"]
+
+
 def shingles(text, k=5):
     w = words_of((text or "").translate(LOWER))
     return frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)])
