@@ -37,15 +37,12 @@ def child_windows(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
 
 def parents(pages: DataFrame, order: str, url: str = "url", sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
     """(order, t, x, u, host, kind, weight, local_pid) of pages with title and sections."""
-    u = F.col(url)
-    section = pages.select(F.col(order).alias("_page"), u.alias("u"), "title", F.posexplode("sections").alias("_s", "_section"))
-    heading = F.when(F.col("_section.heading").isNull(), F.col("title")).otherwise(F.concat("title", F.lit(" -- "), "_section.heading"))
-    text = section.select("_page", "u", "_s", heading.alias("t"), squeeze_breaks(F.coalesce("_section.text", F.lit(""))).alias("_text"))
-    page = text.select("_page", "u", "_s", "t", cut_parent(F.col("_text"), sizes).alias("_x"))
-    # Pieces of a page are numbered within the page, so no row of another page is needed.
-    grouped = page.groupBy("_page", "u").agg(F.sort_array(F.collect_list(F.struct("_s", "t", "_x"))).alias("_g"))
-    flat = F.flatten(F.transform("_g", lambda g: F.transform(g["_x"], lambda x: F.struct(g["t"].alias("t"), x.alias("x")))))
-    out = grouped.select("_page", "u", F.posexplode(flat).alias("local_pid", "_c"))
+    # A page's pieces are an array of its own row: no shuffle, and pages that repeat id and URL stay apart.
+    def pieces(section: Column) -> Column:
+        heading = F.when(section["heading"].isNull(), F.col("title")).otherwise(F.concat("title", F.lit(" -- "), section["heading"]))
+        return F.transform(cut_parent(squeeze_breaks(F.coalesce(section["text"], F.lit(""))), sizes), lambda x: F.struct(heading.alias("t"), x.alias("x")))
+
+    out = pages.select(F.col(order).alias("_page"), F.col(url).alias("u"), F.posexplode(F.flatten(F.transform("sections", pieces))).alias("local_pid", "_c"))
     return out.select(F.col("_page").alias(order), F.col("_c.t").alias("t"), F.col("_c.x").alias("x"), "u", urls.host(F.col("u")).alias("host"), urls.kind(F.col("u")).alias("kind"), F.lit(1.0).alias("weight"), F.col("local_pid").cast("bigint").alias("local_pid"))
 
 

@@ -1,17 +1,22 @@
 """Greedy near-duplicate collapse of vectors, and compaction of what is left.
 
 In position order a row goes if its dot product with some row that stayed is above the threshold. Edges (pairs above it)
-are found by an exact filter: vectors of norm r or less above the threshold are within sqrt(2 r**2 - 2 threshold) of each
-other, so are their projections on any unit vector; with cells of that width, pairs lie in neighbouring cells. The greedy
-result is the lexicographically first maximal independent set of the edge graph, found in rounds.
+come from exact products of bounded blocks. Every vector belongs to the nearest of a bounded number of pivots (one for each block of vectors, 64 at most); vectors
+above the threshold are within sqrt(2 r**2 - 2 threshold) of each other, r being the greatest norm, so two pivots whose
+distance less their radii is more than that have no pair, and are left out. What is left is cut into cells of two blocks
+each, dealt out over tasks; a cell is one matrix product and emits its edges only. How many cells are left depends on
+the data: among vectors without clusters, or at a low threshold, it is all of them, n * n / 2 products.
+
+The greedy result is the lexicographically first maximal independent set of the edge graph, found in rounds.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,25 +25,92 @@ from ..schemas import NEAR_DUP_COSINE
 from ..session import keep
 from .positions import with_positions
 
+#: Vectors that stand for a group, and vectors of a block.
+PIVOTS, BLOCK = 64, 2048
 
-def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "pos", vec: str = "embedding", directions: int = 2, seed: int = 7) -> DataFrame:
-    """(a, b), a < b: positions whose dot product is above the threshold (strictly)."""
-    v = vecs.select(F.col(pos).cast("bigint").alias("pos"), F.col(vec).alias("vec"))
-    top = v.agg(F.max(dot(F.col("vec"), F.col("vec"))).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    if top["d"] is None:
-        return v.select(F.col("pos").alias("a"), F.col("pos").alias("b")).limit(0)
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "pos", vec: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: positions whose dot product is above the threshold (strictly). Null vectors, and pairs of different lengths, have none."""
+    spark = vecs.sparkSession
+    v = vecs.select(F.col(pos).cast("bigint").alias("pos"), F.col(vec).cast("array<double>").alias("vec")).filter("pos is not null and vec is not null and size(vec) > 0")
+    top = v.agg(F.max(dot(F.col("vec"), F.col("vec"))).alias("n"), F.max(F.size("vec")).alias("d"), F.count("*").alias("rows")).first()
     reach = 2 * float(top["n"] or 0.0) - 2 * threshold
-    if reach <= 0:
+    if top["d"] is None or reach <= 0:
         return v.select(F.col("pos").alias("a"), F.col("pos").alias("b")).limit(0)
-    width = math.sqrt(reach) * (1 + 1e-9) + 1e-12
-    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(top["d"], min(directions, top["d"]))))
-    # Orthonormal directions: what one projection doesn't part, another may.
-    cells = [F.floor(dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in q[:, j]])) / width) for j in range(q.shape[1])]
-    left = v.select("pos", "vec", F.array(*cells).alias("cell"))
-    near = F.explode(F.array(*[F.array(*[F.col("cell")[j] + s for j, s in enumerate(shift)]) for shift in itertools.product((-1, 0, 1), repeat=q.shape[1])]))
-    right = left.select(F.col("pos").alias("b"), F.col("vec").alias("_w"), near.alias("cell"))
-    pairs = left.join(right, "cell").filter(F.col("pos") < F.col("b"))
-    return pairs.filter(dot(F.col("vec"), F.col("_w")) > threshold).select(F.col("pos").alias("a"), "b")
+    near, dims = math.sqrt(reach) * (1 + 1e-9) + 1e-9, top["d"]
+    held = v.filter(F.size("vec") == dims).orderBy(F.xxhash64("pos"), "pos").limit(min(pivots, top["rows"] // block + 1)).collect()  # at most `pivots` vectors
+    centre = spark.sparkContext.broadcast(np.array([r["vec"] for r in held]))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = centre.value
+        square = (c * c).sum(1)
+        for batch in batches:
+            size = np.array([len(x) for x in batch.column(1)])
+            group, far = -size.astype(np.int64), np.full(len(size), np.inf)
+            same = np.flatnonzero(size == dims)
+            for lo in range(0, len(same), 4096):
+                rows = same[lo : lo + 4096]
+                x = _matrix(batch.column(1).take(pa.array(rows)))
+                away = (x * x).sum(1)[:, None] + square - 2 * (x @ c.T)
+                group[rows] = away.argmin(1)
+                far[rows] = np.sqrt(np.maximum(away.min(1), 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(far)], ["pos", "vec", "g", "far"])
+
+    rows = keep(v.mapInArrow(nearest, "pos bigint, vec array<double>, g bigint, far double"), "vectors")
+    # Groups: one for each pivot, and one for each other length of vectors.
+    group = rows.groupBy("g").agg(F.max("far").alias("r"), F.ceil(F.count("*") / block).cast("bigint").alias("nb"))
+    one, two = group.toDF("g", "r", "nb"), group.toDF("h", "s", "nc")
+    at = centre.value
+    apart = np.sqrt(np.maximum(((at[:, None, :] - at[None, :, :]) ** 2).sum(2), 0))
+    far = spark.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(at)) for j in range(i, len(at))], "g bigint, h bigint, away double")  # at most pivots**2 / 2 rows
+    cells = far.join(one, "g").join(two, "h").filter(F.col("away") - F.col("r") - F.col("s") <= near * (1 + 1e-6) + 1e-6)
+    other = group.filter("g < 0").select("g", F.col("g").alias("h"), "nb", F.col("nb").alias("nc"))
+    cells = keep(cells.select("g", "h", "nb", "nc").unionByName(other), "cells")
+    spread = lambda own, n, upto: rows.join(cells, rows["g"] == cells[own]).select("pos", "vec", cells["g"].alias("g"), cells["h"].alias("h"), F.pmod(F.xxhash64("pos"), n).alias("_own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(upto) - 1)).alias("_other"))
+    left = spread("g", F.col("nb"), "nc").select("g", "h", F.col("_own").alias("i"), F.col("_other").alias("j"), F.lit(0).alias("side"), "pos", "vec")
+    right = spread("h", F.col("nc"), "nb").select("g", "h", F.col("_other").alias("i"), F.col("_own").alias("j"), F.lit(1).alias("side"), "pos", "vec")
+    # Within a group a pair of blocks is taken once.
+    dealt = left.unionByName(right).filter("g <> h or i <= j").repartition("g", "h", "i", "j").sortWithinPartitions("g", "h", "i", "j")
+
+    def product(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        side, where, x = t.column(4).to_numpy(), t.column(5).to_numpy(), _matrix(t.column(6).combine_chunks())
+        rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for lo in range(0, len(rows), 1024):
+            some = rows[lo : lo + 1024]
+            value = x[some] @ x[cols].T
+            p, q = np.nonzero(value > threshold - 1e-9)
+            close = np.flatnonzero(value[p, q] < threshold + 1e-9)
+            p, q = some[p], cols[q]
+            ok = np.ones(len(p), bool)
+            for k in close.tolist():  # in component order
+                ok[k] = np.cumsum(x[p[k]] * x[q[k]])[-1] > threshold
+            a, b = where[p[ok]], where[q[ok]]
+            if t.column(0)[0] == t.column(1)[0] and t.column(2)[0] == t.column(3)[0]:
+                a, b = a[a < b], b[a < b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(4)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(key[lo]) != last:
+                    yield from product(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = tuple(key[lo])
+        if held:
+            yield from product(held)
+
+    return dealt.mapInArrow(products, "a bigint, b bigint").filter("a < b")
 
 
 def greedy_keep(rows: DataFrame, edges: DataFrame, pos: str = "pos") -> DataFrame:

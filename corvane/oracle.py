@@ -97,7 +97,6 @@ SELECT doc_id, url, regexp_matches(url, '(?i){ASSET}') AS asset, regexp_matches(
     "near_duplicate_edges": f"WITH {_EDGES} SELECT a, b FROM e",
     "greedy_near_duplicates": f"WITH RECURSIVE {_GREEDY} SELECT vec_id FROM k",
     "compacted_parents": f"WITH RECURSIVE {_GREEDY} SELECT vec_id, dense_rank() OVER (ORDER BY vec_id // 4) - 1 AS pid FROM k",
-    "calibration_stats": f"WITH {_BEST} SELECT round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, count(*) AS sample_size FROM b",
     "calibration_all": f"WITH {_BEST} SELECT round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, count(*) AS sample_size FROM b",
     "cache_revalidation": f"WITH {_SCRIPT} SELECT url, conditional, outcome, sha256(body) AS body_sha256, etag, last_modified, fetched_at, sha256 FROM f",
     "cache_after_fetch": f"WITH {_SCRIPT} SELECT url, etag, fetched_at, sha256 FROM f WHERE sha256 IS NOT NULL",

@@ -1,6 +1,7 @@
 import json
 import sqlite3
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,8 +9,10 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
 from corvane.functions.vectors import dequantise, quantise
-from corvane.operators import bm25, calibration, dedup, embedding, metadata, retrieval
+from corvane.operators import bm25, calibration, chunking, dedup, embedding, metadata, retrieval
+from corvane.operators.calibration import calibrate
 from corvane.plans.build import build_from_pages, build_index
+from corvane.schemas import CALIBRATION_SEED
 from corvane.sinks import outputs
 from corvane.sources import container, files
 
@@ -60,6 +63,42 @@ def test_greedy_collapse(spark, thr):
     assert sorted(r["pos"] for r in dedup.drop_near_duplicates(df, thr).collect()) == greedy(v, thr)
 
 
+@pytest.mark.parametrize("thr", [0.5, 0.98])
+def test_edges_of_pivots_and_blocks(spark, thr):
+    """Clusters, repeated vectors, nulls and vectors of another length; most pairs of groups are left out at 0.98."""
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.normal(size=(12, 8)), 20, 0) + rng.normal(size=(240, 8)) * 0.05
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] = v[100]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (301, []), (302, [1.0, 0.0]), (303, [1.0, 0.1]), (304, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "pos long, embedding array<double>").repartition(3)
+    edges = Counter((r["a"], r["b"]) for r in dedup.near_edges(df, thr, block=16).collect())
+    assert edges == Counter((i, j) for j in range(240) for i in range(j) if v[i] @ v[j] > thr) + Counter({(302, 303): 1})
+
+
+def test_calibration_of_a_sample(spark):
+    """More rows than the sample: the drawn positions, each against all rows."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(620, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "pos long, embedding array<double>").repartition(3)
+    dots = v @ v.T
+    np.fill_diagonal(dots, -1.0)
+    drawn = np.random.default_rng(CALIBRATION_SEED).choice(620, size=500, replace=False)
+    best = np.maximum(dots[drawn].max(1), -1.0)
+    got = calibrate(df, 620).first()
+    assert got["sample_size"] == 500 and got["mean"] == pytest.approx(best.mean()) and got["std"] == pytest.approx(best.std())
+
+
+def test_parents_stay_in_their_row(spark):
+    """Pages that repeat id and URL are cut apart, without a shuffle."""
+    section = lambda text: [(None, text), ("More", text)]
+    pages = spark.createDataFrame([(1, "https://a.b/c", "T", section("x" * 1300)), (1, "https://a.b/c", "T", section("y" * 60)), (2, None, "U", None)], "page_id long, url string, title string, sections array<struct<heading:string,text:string>>")
+    out = chunking.parents(pages, "page_id")
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+    got = sorted((r["local_pid"], r["t"], r["x"][0], len(r["x"])) for r in out.collect())
+    assert got == sorted([(0, "T", "x", 1200), (1, "T", "x", 100), (2, "T -- More", "x", 1200), (3, "T -- More", "x", 100), (0, "T", "y", 60), (1, "T -- More", "y", 60)])
+
+
 def test_nothing_to_collapse(spark):
     df = spark.createDataFrame([], "pos long, embedding array<double>")
     assert dedup.drop_near_duplicates(df).count() == 0
