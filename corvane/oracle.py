@@ -11,21 +11,19 @@ _NORMALISE = r"regexp_replace(regexp_replace(split_part({u}, '#', 1), '^\s+|\s+$
 _GIT_HOST = r"regexp_full_match(lower(" + _NETLOC + r"), '(?:github\.com|gitlab\.com|git\.[^.]+\.(?:com|edu|org|io)|(?:[^.]+\.)?github\.io)')"
 _ANY = lambda patterns: "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
-_DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text, 'https://github.com/org/repo/blob/main/docs/doc-' || doc_id || '.txt' AS u FROM documents)"
-_PARENTS = (
-    _DOCS
-    + r""",
-s AS (SELECT doc_id, u, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS x FROM d),
-r(doc_id, u, n, piece, rest) AS (
-  SELECT doc_id, u, -1, NULL::VARCHAR, x FROM s WHERE length(x) >= 60
+_DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text, 'https://github.com/org/repo/blob/main/docs/doc-' || doc_id || '.txt' AS u, 'Doc ' || doc_id AS t FROM documents)"
+# Each takes a table d of (doc_id, text, u, t).
+_PARENTS_OF = r"""
+s AS (SELECT doc_id, u, t, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS x FROM d),
+r(doc_id, u, t, n, piece, rest) AS (
+  SELECT doc_id, u, t, -1, NULL::VARCHAR, x FROM s WHERE length(x) >= 60
   UNION ALL
-  SELECT doc_id, u, n + 1, left(rest, cut), regexp_replace(substr(rest, cut + 1), '^\s+|\s+$', '', 'g')
+  SELECT doc_id, u, t, n + 1, left(rest, cut), regexp_replace(substr(rest, cut + 1), '^\s+|\s+$', '', 'g')
   FROM (SELECT *, CASE WHEN length(rest) <= 1200 THEN length(rest) WHEN strpos(w, chr(10)) = 0 OR 1200 - strpos(reverse(w), chr(10)) < 60 THEN 1200 ELSE 1200 - strpos(reverse(w), chr(10)) END AS cut
         FROM (SELECT *, left(rest, 1200) AS w FROM r WHERE rest <> ''))),
-p AS (SELECT doc_id, n::BIGINT AS pid, 'Doc ' || doc_id AS t, piece AS x, u FROM r WHERE n >= 0)"""
-)
-_CHILDREN = (
-    _PARENTS
+p AS (SELECT doc_id, n::BIGINT AS pid, t, piece AS x, u FROM r WHERE n >= 0)"""
+_CHILDREN_OF = (
+    _PARENTS_OF
     + r""",
 w AS (SELECT doc_id, pid, t, x, u, length(x) AS n, unnest(range(0, length(x), 297)) AS s FROM p),
 v AS (SELECT *, substr(x, s + 1, 350) AS y FROM w WHERE s = 0 OR s - 297 + 350 < n),
@@ -34,6 +32,19 @@ k AS (SELECT doc_id, pid, t, u, s, c FROM z WHERE n <= 350 OR length(c) >= 60
   UNION ALL SELECT DISTINCT doc_id, pid, t, u, 0, x FROM z WHERE n > 350 AND (doc_id, pid) NOT IN (SELECT (doc_id, pid) FROM z WHERE length(c) >= 60)),
 c AS (SELECT doc_id, pid, row_number() OVER (PARTITION BY doc_id, pid ORDER BY s) - 1 AS ordinal, t, u, c AS x FROM k)"""
 )
+_PARENTS, _CHILDREN = f"{_DOCS},{_PARENTS_OF}", f"{_DOCS},{_CHILDREN_OF}"
+_TITLE = r"""regexp_replace(trim(replace(replace(replace(replace(regexp_extract({html}, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '\s*[|]\s*.+$', '')"""
+# The text of a page's article, one line for each string of it: the test pages have no other elements there than h1, p, b and br.
+_ARTICLE = r"""array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>'),
+  lambda y: regexp_replace(regexp_replace(replace(replace(replace(y, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')), lambda y: y <> ''), chr(10))"""
+_PAGES = f"d AS (SELECT page_id AS doc_id, {_ARTICLE} AS text, url AS u, {_TITLE.replace('{html}', 'html')} AS t FROM pages)"
+# Pages of the site in the order of the walk; links to what the site doesn't have give nothing, so they are left out.
+_SITE = f"""e AS (SELECT count(*) AS n FROM pages), g AS (SELECT page_id AS i, list_filter([page_id * 2 + 1, page_id * 3 + 1], lambda x: x < n) AS o FROM pages, e),
+q(h, seen) AS (SELECT 0::BIGINT, [1::BIGINT] UNION ALL SELECT h + 1, list_concat(seen, list_filter(g.o, lambda x: NOT list_contains(seen, x))) FROM q JOIN g ON g.i = seen[h + 1] WHERE h < len(seen)),
+o AS (SELECT unnest(seen) AS page_id, unnest(range(0, len(seen))) AS doc_id FROM (SELECT seen FROM q ORDER BY h DESC LIMIT 1)),
+d AS (SELECT o.doc_id, {_ARTICLE} AS text, 'https://docs.example.org/p/' || page_id AS u, {_TITLE.replace('{html}', 'html')} AS t FROM o JOIN pages USING (page_id)),{_CHILDREN_OF},
+m AS (SELECT *, row_number() OVER (ORDER BY doc_id, pid) - 1 AS parent, length(x) AS parent_chars FROM p),
+b AS (SELECT row_number() OVER (ORDER BY c.doc_id, c.pid, c.ordinal) - 1 AS doc, m.parent AS pid, c.t, c.u, c.x, length(c.x) AS chars, m.parent_chars FROM c JOIN m ON m.doc_id = c.doc_id AND m.pid = c.pid)"""
 _TERMS = "d AS (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{3,}') AS terms FROM documents)"
 _TF = _TERMS + ", tf AS (SELECT term, doc, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) GROUP BY term, doc)"
 _VECS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -82,8 +93,10 @@ SELECT url, place, link, starts_with(link, o) AND NOT asset AND starts_with(link
     "url_filters": f"""WITH d AS (SELECT doc_id, 'https://site' || (doc_id % 7) || '.example.org' || ['/Search', '/Search/?q=1', '/issues/4', '/a.PDF', '/a.pdf/x', '/b.md?raw=1', '/tree/main', '/CategoryID=3', '/wiki/_edit', '/styles.css?v=2', '/TDClient/12/Help/KB'][(doc_id % 11 + 1)::INT] AS url FROM documents)
 SELECT doc_id, url, regexp_matches(url, '(?i){ASSET}') AS asset, regexp_matches(url, '{_ANY(CRAWL_EXCLUDES)}') AS crawl_excluded, regexp_matches(url, '{_ANY(INDEX_EXCLUDES)}') AS index_excluded, {_fmt(_ORIGIN)} || regexp_extract(url, '/TDClient/[0-9]+/[^/]+/') AS auto_prefix FROM d""",
     "git_files": f"WITH {_DOCS} SELECT doc_id, true AS git_text, 'https://raw.githubusercontent.com/org/repo/main/docs/doc-' || doc_id || '.txt' AS raw_url, 'Doc ' || doc_id AS title, '.kb_cache/pages/' || sha1(u) || '.html' AS cache_path, left(sha1(u || chr(0) || 'Doc'), 16) AS stable_id FROM d",
-    "page_titles": r"""SELECT page_id, regexp_replace(trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '\s*[|]\s*.+$', '') AS title FROM pages""",
+    "page_titles": f"SELECT page_id, {_TITLE.replace('{html}', 'html')} AS title FROM pages",
     "page_links": f"WITH {_LINKS} SELECT page_id, place, link FROM k WHERE link <> ''",
+    "page_sections": f"WITH {_PAGES} SELECT doc_id AS page_id, t AS title, 0::BIGINT AS place, NULL::VARCHAR AS heading, text FROM d",
+    "page_chunks": f"WITH RECURSIVE {_PAGES},{_CHILDREN_OF} SELECT doc_id AS page_id, t, u, lower({_fmt(_NETLOC, 'u')}) AS host, CASE WHEN {_fmt(_GIT_HOST, 'u')} THEN 'code' WHEN contains(lower(u), 'teamdynamix.') THEN 'kb' ELSE 'page' END AS kind, 1.0::DOUBLE AS weight, pid, ordinal, x FROM c",
     "parent_chunks": f"WITH RECURSIVE {_PARENTS} SELECT doc_id, pid AS local_pid, t, x, u, 'github.com' AS host, 'code' AS kind, 1.0::DOUBLE AS weight FROM p",
     "child_chunks": f"WITH RECURSIVE {_CHILDREN} SELECT doc_id, pid, ordinal, x FROM c",
     "chunk_positions": f"WITH RECURSIVE {_PARENTS} SELECT row_number() OVER (ORDER BY doc_id, pid) - 1 AS pid, doc_id, sha256(x) AS x_sha256 FROM p",
@@ -98,11 +111,16 @@ SELECT doc_id, url, regexp_matches(url, '(?i){ASSET}') AS asset, regexp_matches(
     "greedy_near_duplicates": f"WITH RECURSIVE {_GREEDY} SELECT vec_id FROM k",
     "compacted_parents": f"WITH RECURSIVE {_GREEDY} SELECT vec_id, dense_rank() OVER (ORDER BY vec_id // 4) - 1 AS pid FROM k",
     "calibration_all": f"WITH {_BEST} SELECT round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, count(*) AS sample_size FROM b",
+    "hash_embeddings": f"WITH RECURSIVE {_CHILDREN} SELECT doc_id, pid, ordinal, 384::BIGINT AS dims, 1.0::DOUBLE AS norm FROM c",
     "cache_revalidation": f"WITH {_SCRIPT} SELECT url, conditional, outcome, sha256(body) AS body_sha256, etag, last_modified, fetched_at, sha256 FROM f",
     "cache_after_fetch": f"WITH {_SCRIPT} SELECT url, etag, fetched_at, sha256 FROM f WHERE sha256 IS NOT NULL",
     "changed_pages": "SELECT page_id FROM pages WHERE page_id % 3 = 0",
     "crawl_order": f"WITH RECURSIVE {_WALK} SELECT 'p' || unnest(seen) AS url, unnest(range(0, len(seen))) AS visit_seq FROM w",
     "crawl_limited": f"WITH RECURSIVE {_WALK} SELECT 'p' || unnest(seen[1:17]) AS url, unnest(range(0, least(17, len(seen)))) AS visit_seq FROM w",
+    "site_crawl": f"WITH RECURSIVE {_SITE} SELECT doc, pid, t, u, chars, parent_chars FROM b",
+    "index_manifest": f"""WITH RECURSIVE {_SITE}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc) AS copy FROM b) WHERE copy = 1),
+y AS (SELECT count(DISTINCT term) AS terms FROM (SELECT unnest(regexp_extract_all(lower(t || ' ' || x), '[a-z0-9]{{3,}}')) AS term FROM f))
+SELECT count(*) AS chunks, count(DISTINCT u) AS sources, count(DISTINCT pid) AS parents, any_value(terms) AS terms, least(count(*), 500) AS sample_size, (SELECT t FROM d WHERE doc_id = 0) AS site FROM f, y""",
     "bm25_search": f"""WITH {_TF}, n AS (SELECT count(*) AS n, avg(len(terms)) AS a FROM d), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS term FROM benchmark),
 s AS (SELECT query_id, tf.doc, round(sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * (0.5 + tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len(d.terms) / n.a)))), 6) AS score FROM q JOIN f USING (term) JOIN tf USING (term) JOIN d ON d.doc = tf.doc, n GROUP BY query_id, tf.doc)

@@ -44,13 +44,20 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     return ship(spark)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: `spark.checkpoint.dir`, or a folder of our own where that is unset (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`. Where that is unset, a folder of our own, on one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/corvane"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

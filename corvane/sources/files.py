@@ -62,6 +62,8 @@ def save_cache_metadata(meta: DataFrame, path: str) -> None:
     fs_path = jvm.org.apache.hadoop.fs.Path
     fs = fs_path(part).getFileSystem(spark._jsc.hadoopConfiguration())
     file = next(str(s.getPath()) for s in fs.listStatus(fs_path(part)) if str(s.getPath().getName()).startswith("part-"))
-    fs.delete(fs_path(path), False)
-    fs.rename(fs_path(file), fs_path(path))
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE  # one step: a reader finds the old file or the new one
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fs_path(file)), fs.makeQualified(fs_path(path)), over)
     fs.delete(fs_path(part), True)
