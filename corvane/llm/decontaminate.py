@@ -6,7 +6,8 @@ of documents are joined with those of benchmark items, and each match is extende
 comparing the words themselves; what reaches `span` words is a hit. An item of fewer words is one window of its own
 length, found by the hash of its whole sequence and compared likewise.
 
-The benchmark is broadcast in blocks of at most `block_bytes` of text. One block (the usual case) needs no shuffle at
+The benchmark is broadcast in blocks of at most `block_bytes` of text (a longer text is a block of its own), held as
+arrays of about three times that. One block (the usual case) needs no shuffle at
 all; more blocks run one after the other, and their hits, rows of documents that have any, meet in one aggregation.
 
 Defined cases: null texts have no words; items without words are no windows; equal items are each reported; equal
@@ -31,43 +32,77 @@ SPAN, GRAM = 10, 6
 BLOCK_BYTES = 32 << 20
 
 
+class Postings:
+    """Values by hash: sorted arrays, so they cost 16 bytes a value."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, first = np.unique(hashes[order], return_index=True)
+        self.bounds, self.values = np.append(first, len(hashes)), values[order]
+
+    def __getitem__(self, h: int) -> list[int]:
+        i = int(np.searchsorted(self.hashes, B.U64(h)))
+        return self.values[self.bounds[i] : self.bounds[i + 1]].tolist()
+
+
 class Index:
-    """Fingerprints of a block of items."""
+    """Fingerprints of a block of items, scanned as documents are: arrays of word spans over the items' bytes."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], span: int = SPAN, k: int = GRAM):
         if not 0 < k <= span:
             raise ValueError("k must be 1 to span")
         self.span, self.k = span, k
-        same: dict[tuple[bytes, ...], list[str]] = {}
+        same: dict[bytes, list[str]] = {}
         for name, text in items:
-            words = tuple((text or "").encode().translate(_SEPARATED).split())
-            if words:
-                held = same.setdefault(words, [])
+            if words := (text or "").encode().translate(_SEPARATED).split():
+                held = same.setdefault(b" ".join(words), [])
                 if name is not None:
                     held.append(name)
-        self.words = list(same)
         self.names = list(same.values())
-        long_, short = {}, {}
-        for i, words in enumerate(self.words):
-            h = word_hashes(words)
-            if len(words) < span:
-                short.setdefault(len(words), {})[int(B.grams(h, len(words))[0])] = i
-            else:
-                g = B.grams(h, k)
-                for p in np.unique(B.winnow(g, span - k + 1)).tolist():
-                    long_.setdefault(int(g[p]), []).append((i, p))
-        self.long = long_
-        self.prints = np.array(sorted(long_), B.U64)
-        self.short = {n: (np.array(sorted(x), B.U64), x) for n, x in short.items()}
+        texts = pa.array(list(same), pa.large_binary())
+        self.data = b"".join(same)
+        starts, ends, sizes, base = [], [], [], 0
+        prints, at, short = [], [], {}
+        done = 0
+        for lo, hi in B.slices(texts):
+            buf, offs = B.raw(texts.slice(lo, hi - lo))
+            s, e, first = B.word_spans(buf, offs, B.ALNUM)
+            h, n = B.span_hashes(buf, s, e), np.diff(first)
+            g, w = B.grams(h, k), span - k + 1
+            if len(g) >= w:
+                p = B.winnow(g, w)
+                p = np.unique(p[B.in_document(first, span, len(p))])
+                prints.append(g[p])
+                at.append(p + done)
+            for m in np.unique(n[n < span]).tolist():
+                of = np.flatnonzero(n == m)
+                short.setdefault(m, []).append((B.grams(h, m)[first[of]], of + lo))
+            starts.append(s + base)
+            ends.append(e + base)
+            sizes.append(n)
+            base += len(buf)
+            done += len(s)
+        kind = np.int32 if base < 1 << 31 else np.int64
+        join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        self.starts, self.ends = join(starts, kind), join(ends, kind)
+        self.first = np.concatenate([[0], np.cumsum(join(sizes, np.int64))])
+        self.long = Postings(join(prints, B.U64), join(at, np.int64))
+        self.short = {m: Postings(join([x for x, _ in found], B.U64), join([x for _, x in found], np.int64)) for m, found in short.items()}
+
+    def item(self, i: int) -> Words:
+        a, b = self.first[i], self.first[i + 1]
+        return Words(self.data, self.starts[a:b], self.ends[a:b])
 
     def hits(self, words: list[bytes] | Words, prints: list[tuple[int, int]], short: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """(start, end, item) of what the matches of one document extend to; prints: (position, hash); short: (position, length, hash)."""
         out, done = [], {}
         for p, h in prints:
-            for i, q in self.long[h]:
+            for at in self.long[h]:
+                i = int(np.searchsorted(self.first, at, "right")) - 1
+                q = at - int(self.first[i])
                 if p < done.get((i, p - q), 0):
                     continue
-                item = self.words[i]
+                item = self.item(i)
                 a, b = 0, 0
                 while a < p and a < q and words[p - a - 1] == item[q - a - 1]:
                     a += 1
@@ -77,9 +112,10 @@ class Index:
                 if a + b >= self.span and b:
                     out.append((p - a, p + b, i))
         for p, n, h in short:
-            i = self.short[n][1][h]
-            if all(words[p + j] == w for j, w in enumerate(self.words[i])):
-                out.append((p, p + n, i))
+            for i in self.short[n][h]:
+                item = self.item(i)
+                if all(words[p + j] == item[j] for j in range(n)):
+                    out.append((p, p + n, i))
         return out
 
 
@@ -99,12 +135,6 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]]
 
 
-def word_hashes(words: tuple[bytes, ...]) -> np.ndarray:
-    size = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(size)
-    return B.span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - size, ends)
-
-
 def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
     """(row, words, hits) of each text."""
     for lo, hi in B.slices(texts):
@@ -117,16 +147,16 @@ def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, list[tuple[i
         sizes = np.diff(first)
         doc = np.repeat(np.arange(hi - lo), sizes)
         found: dict[int, tuple[list, list]] = {}
-        if len(index.prints) and len(g) >= w:
+        if len(index.long.hashes) and len(g) >= w:
             at = B.winnow(g, w)
             at = np.unique(at[B.in_document(first, index.span, len(at))])
-            at = at[np.isin(g[at], index.prints)]
+            at = at[np.isin(g[at], index.long.hashes)]
             for p, d, x in zip((at - first[doc[at]]).tolist(), doc[at].tolist(), g[at].tolist(), strict=True):
                 found.setdefault(d, ([], []))[0].append((p, x))
-        for n, (hashes, _) in index.short.items():
+        for n, postings in index.short.items():
             s = B.grams(h, n)
             if len(s):
-                at = np.flatnonzero(B.in_document(first, n, len(s)) & np.isin(s, hashes))
+                at = np.flatnonzero(B.in_document(first, n, len(s)) & np.isin(s, postings.hashes))
                 for p, d, x in zip((at - first[doc[at]]).tolist(), doc[at].tolist(), s[at].tolist(), strict=True):
                     found.setdefault(d, ([], []))[1].append((p, n, x))
         data = buf.tobytes() if found else b""
@@ -152,12 +182,25 @@ def union_length(spans: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int
 _SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
+def _block_of(n: int):
+    return F.pmod(F.xxhash64("text"), F.lit(n))
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> int:
+    """How many blocks leave none above block_bytes but those of a single text (equal texts are one)."""
+    texts = items.select("text", F.octet_length("text").cast("long").alias("size")).dropDuplicates(["text"])
+    total, count = texts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    n = max(1, -(-total // block_bytes))
+    while n > 1 and n < count and texts.groupBy(_block_of(n).alias("b")).agg(F.sum("size").alias("size"), F.count("*").alias("texts")).filter((F.col("size") > block_bytes) & (F.col("texts") > 1)).limit(1).count():
+        n *= 2
+    return n
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM, block_bytes: int = BLOCK_BYTES, keep_columns: bool = False) -> DataFrame:
     """Each document with _words, _spans (merged hit spans, in words) and _items (ids of items found, as sorted strings); keep_columns keeps all columns of docs, else only id_col."""
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    block = lambda b: Index([tuple(r) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()], span, k)  # noqa: E731  within block_bytes on average
+    n = _blocks(items, block_bytes)
+    block = lambda b: Index([tuple(r) for r in items.filter(_block_of(n) == b).collect()], span, k)  # noqa: E731  of block_bytes, or one text
     carried = [c for c in docs.columns if c not in ("_words", "_spans", "_items")] if keep_columns else [id_col]
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"_c{i} {t}" for i, (_, t) in enumerate(rows.dtypes[:-1]))
@@ -185,14 +228,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if n == 1:
         out = rows.mapInArrow(matcher(block(0), False), f"{kinds}, {tail}")
     else:
-        keyed = rows.select(F.xxhash64("_text").alias("_h"), F.length("_text").alias("_l"), "_text").dropDuplicates(["_h", "_l"])
+        key = F.unhex(F.md5(F.col("_text").cast("binary"))).alias("_h")  # 128 bits name a text across the corpus
+        keyed = rows.select(key, "_text").dropDuplicates(["_h"])
         found = None
         for b in range(n):
-            part = stage(keyed.mapInArrow(matcher(block(b), True), f"_h long, _l int, {tail}"), "hits")
+            part = stage(keyed.mapInArrow(matcher(block(b), True), f"_h binary, {tail}"), "hits")
             found = part if found is None else found.unionByName(part)
-        merged = found.groupBy("_h", "_l").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
-        counted = rows.withColumn("_h", F.xxhash64("_text")).withColumn("_l", F.length("_text"))
-        out = counted.join(merged, ["_h", "_l"], "left")
+        merged = found.groupBy("_h").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+        out = rows.withColumn("_h", key).join(merged, "_h", "left")
         out = out.select(*[f"_c{i}" for i in range(len(carried))], count_words(F.col("_text")).alias("_words"), merge_spans(F.coalesce("_spans", F.expr(f"cast(array() as {_SPANS})"))).alias("_spans"), F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("_items"))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)], "_words", "_spans", "_items")
 

@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir, shared_path as new_path
 
-def base_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session, or, only where that is unset (tests), a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{base_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+__all__ = ["new_path", "release", "stage"]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -32,5 +20,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this module; results that were not written yet are lost with them."""
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{base_dir(spark)}/corvane")
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
