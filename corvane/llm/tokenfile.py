@@ -4,11 +4,15 @@ One file holds one shard (little-endian throughout):
 
     bytes 0-7    b"CVIDS\\x00\\x01\\x00"
     bytes 8-11   length of the header, unsigned 32 bits
-    header       JSON: part, shard, base (ids of the same part before this shard), docs, ids, width, end, levels, keys, at
+    header       JSON: part, shard, base (ids of the same part before this shard), docs, ids, width, end, least, greatest
+                 (of its keys, null without any), levels, keys, at
     sections     at header.at[name], from the end of the header on, each on a multiple of 8:
                  key i64[docs]; valid u8[docs]; offset u64[docs+1]; words u64 (hash levels);
                  print u32[keys] and ordinal u32[keys] by slot; ids u16 or u32 [ids]
 
+The folder `_directory` beside them holds (file, docs, least, greatest) of each shard as Parquet: `lookup` opens only files
+whose range holds a key, one for a key unless its copies run on into the next shard.
+
 What follows the last section is not part of the file's data. Spark's own writer makes the files (one row, one file), so
 any store that Spark can write is good, and a lost task's half-written files are never committed. A key lookup is a
 slot from the hash levels, a fingerprint to compare, an ordinal, an offset: constant time. Rows that share a key lie next
@@ -54,7 +58,7 @@ def encode_shard(part: int, shard: int, base: int, keys: np.ndarray, valid: np.n
         at[name] = [here, len(data)]
         body.append(data + b"\0" * (-len(data) % 8))
         here += len(body[-1])
-    header = json.dumps({"part": part, "shard": shard, "base": base, "docs": len(keys), "ids": len(ids), "width": width, "end": end, "levels": levels, "keys": len(slot), "at": at}).encode()
+    header = json.dumps({"part": part, "shard": shard, "base": base, "docs": len(keys), "ids": len(ids), "width": width, "end": end, "least": int(distinct[0]) if len(distinct) else None, "greatest": int(distinct[-1]) if len(distinct) else None, "levels": levels, "keys": len(slot), "at": at}).encode()
     header += b" " * (-(len(header) + 12) % 8)
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *body])
 
@@ -88,7 +92,11 @@ class Shard:
 
     def get(self, key: int) -> list[np.ndarray]:
         """Ids of every document with this key."""
-        i, out = int(self.ordinals(np.array([key]))[0]), []
+        return self.copies(key, int(self.ordinals(np.array([key]))[0]))
+
+    def copies(self, key: int, i: int) -> list[np.ndarray]:
+        """Ids of the documents with this key, from the i-th on."""
+        out = []
         while 0 <= i < len(self.key) and self.valid[i] and self.key[i] == key:
             out.append(self.document(i))
             i += 1
@@ -128,11 +136,48 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
 
     files = rows.mapInArrow(run, "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    _headers(docs.sparkSession, path).coalesce(1).write.parquet(f"{path}/_directory")
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """The directory's rows, from the files' headers; without Python."""
+    size = F.conv(F.concat(*[F.hex(F.substring("content", i, 1)) for i in (12, 11, 10, 9)]), 16, 10).cast("int")
+    shards = _binary(spark, path).filter(F.length("content") > 12)
+    head = F.from_json(F.substring(F.col("content"), F.lit(13), size).cast("string"), "docs long, least long, greatest long")
+    return shards.select(F.col("path").alias("file"), head.alias("_h")).select("file", "_h.*")
+
+
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """(file, docs, least, greatest) of each shard file under path."""
+    return spark.read.schema("file string, docs long, least long, greatest long").parquet(f"{path}/_directory")
+
+
+def _binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+
+
+def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every document with one of these keys, ids as little-endian unsigned 32-bit integers."""
+    wanted = np.unique(np.array(keys, np.int64))
+    within = F.exists(F.array(*[F.lit(k) for k in wanted.tolist()]).cast("array<bigint>"), lambda k: k.between(F.col("least"), F.col("greatest")))
+    found = [r["file"] for r in directory(spark, path).filter(within).select("file").collect()]  # about one file a key
+    schema = "doc_id long, n_tokens long, ids binary"
+    if not found:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                s = Shard(data.as_buffer().to_pybytes())
+                rows = [(k, ids) for k, i in zip(wanted.tolist(), s.ordinals(wanted).tolist(), strict=True) if i >= 0 for ids in s.copies(k, i)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([len(x) for _, x in rows], pa.int64()), pa.array([x.astype("<u4").tobytes() for _, x in rows], pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    return _binary(spark, found).select("content").mapInArrow(run, schema)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """The shard files as rows, a `content` each."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return _binary(spark, path).select("content")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

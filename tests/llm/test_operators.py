@@ -424,8 +424,13 @@ def test_token_files(spark, docs, none, monkeypatch):
     shards = [tokenfile.Shard(bytes(r[0])) for r in tokenfile.files(spark, path).collect()]
     for i in (3, 12, 999):
         assert sum(len(s.get(i)) for s in shards) == sum(r[0] == i for r in ROWS)
+    wanted = [3, 12, 999, 10**12]
+    assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in tokenfile.lookup(spark, path, wanted).collect()) == Counter({k: n for k, n in whole.items() if k[0] in wanted})
+    assert tokenfile.directory(spark, path).agg(F.sum("docs")).first()[0] == len(ROWS)
+    assert tokenfile.lookup(spark, path, [10**12]).count() == 0 and tokenfile.lookup(spark, path, []).count() == 0
     empty = new_path(spark, "test-ids")
     tokenfile.write(none, empty, TOKENIZER)
+    assert tokenfile.lookup(spark, empty, wanted).count() == 0
     assert tokenfile.starts(tokenfile.read(spark, empty)).count() == 0
 
 
