@@ -10,7 +10,7 @@ One file holds one shard (little-endian throughout):
                  key i64[docs]; valid u8[docs]; offset u64[docs+1]; words u64 (hash levels);
                  print u32[keys] and ordinal u32[keys] by slot; ids u16 or u32 [ids]
 
-The folder `_directory` beside them holds (file, docs, least, greatest) of each shard as Parquet: `lookup` opens only files
+The folder `_directory` beside them, written by the first lookup, holds (file, docs, least, greatest) of each shard: `lookup` opens only files
 whose range holds a key, one for a key unless its copies run on into the next shard.
 
 What follows the last section is not part of the file's data. Spark's own writer makes the files (one row, one file), so
@@ -136,7 +136,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
 
     files = rows.mapInArrow(run, "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    _headers(docs.sparkSession, path).coalesce(1).write.parquet(f"{path}/_directory")
 
 
 def _headers(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +147,10 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
-    """(file, docs, least, greatest) of each shard file under path."""
+    """(file, docs, least, greatest) of each shard file under path; written at the first call, each task reading its share of the files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_directory/_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        _headers(spark, path).write.mode("overwrite").parquet(f"{path}/_directory")
     return spark.read.schema("file string, docs long, least long, greatest long").parquet(f"{path}/_directory")
 
 
