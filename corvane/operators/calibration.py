@@ -2,41 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CALIBRATION_SAMPLE, CALIBRATION_SEED
+from .retrieval import HELD_BYTES, cosine_scores
 
 
-def calibrate(vecs: DataFrame, n: int, sample: int = CALIBRATION_SAMPLE, seed: int = CALIBRATION_SEED, pos: str = "pos", vec: str = "embedding") -> DataFrame:
-    """One row (mean, std, sample_size): of at most `sample` rows, drawn without replacement from positions 0..n-1, the greatest dot product with any row at another position; population deviation. Zeros below two rows."""
+def calibrate(vecs: DataFrame, n: int, sample: int = CALIBRATION_SAMPLE, seed: int = CALIBRATION_SEED, pos: str = "pos", vec: str = "embedding", held_bytes: int = HELD_BYTES) -> DataFrame:
+    """One row (mean, std, sample_size): of at most `sample` rows, drawn without replacement from positions 0..n-1, the greatest dot product with any row at another position (-1 at least); population deviation. Zeros below two rows. A sample of n or more is every row, and nothing is drawn."""
     spark = vecs.sparkSession
     if n < 2:
         return spark.createDataFrame([(0.0, 0.0, 0)], "mean double, std double, sample_size bigint")
-    drawn = np.random.default_rng(seed).choice(n, size=min(sample, n), replace=False).tolist()
-    rows = vecs.select(F.col(pos).cast("bigint").alias("pos"), F.col(vec).cast("array<double>").alias("vec"))
-    wanted = spark.createDataFrame([(int(i),) for i in drawn], "pos bigint")
-    held = rows.join(F.broadcast(wanted), "pos").collect()  # at most `sample` vectors
-    at = np.array([r["pos"] for r in held])
-    matrix = spark.sparkContext.broadcast((at, np.array([r["vec"] for r in held])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = matrix.value
-        best = np.full(len(at), -1.0)
-        for batch in batches:
-            where = batch.column(0).to_numpy()
-            if not len(where):
-                continue
-            values = batch.column(1).flatten().to_numpy().reshape(len(where), -1)
-            for lo in range(0, len(where), 1024):
-                dots = known @ values[lo : lo + 1024].T
-                dots[at[:, None] == where[None, lo : lo + 1024]] = -1.0
-                best = np.maximum(best, dots.max(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(best)], ["pos", "best"])
-
-    best = rows.mapInArrow(run, "pos bigint, best double").groupBy("pos").agg(F.max("best").alias("best"))
-    return best.agg(F.avg("best").alias("mean"), F.stddev_pop("best").alias("std"), F.count("*").alias("sample_size"))
+    rows = vecs.select(F.col(pos).cast("bigint").alias("pos"), F.col(vec).alias("vec"))
+    taken = rows
+    if sample < n:
+        drawn = np.random.default_rng(seed).choice(n, size=sample, replace=False).tolist()
+        taken = rows.join(F.broadcast(spark.createDataFrame([(int(i),) for i in drawn], "pos bigint")), "pos")  # `sample` numbers
+    # The two best of a block hold the best at another position.
+    scores = cosine_scores(taken.select(F.col("pos").alias("query_id"), F.col("vec").alias("vector")), rows, vec="vec", key="pos", best=2, held_bytes=held_bytes)
+    best = scores.filter(F.col("query_id") != F.col("doc")).groupBy(F.col("query_id").alias("pos")).agg(F.max("score").alias("best"))
+    found = taken.select("pos").join(best, "pos", "left").select(F.greatest(F.coalesce("best", F.lit(-1.0)), F.lit(-1.0)).alias("best"))
+    return found.agg(F.avg("best").alias("mean"), F.stddev_pop("best").alias("std"), F.count("*").alias("sample_size"))

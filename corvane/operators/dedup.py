@@ -23,14 +23,11 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 from ..schemas import NEAR_DUP_COSINE
 from ..session import keep
+from .blocks import BLOCK, by_cell, matrix
 from .positions import with_positions
 
-#: Vectors that stand for a group, and vectors of a block.
-PIVOTS, BLOCK = 64, 2048
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1)
+#: Vectors that stand for a group.
+PIVOTS = 64
 
 
 def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "pos", vec: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -54,7 +51,7 @@ def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "
             same = np.flatnonzero(size == dims)
             for lo in range(0, len(same), 4096):
                 rows = same[lo : lo + 4096]
-                x = _matrix(batch.column(1).take(pa.array(rows)))
+                x = matrix(batch.column(1).take(pa.array(rows)))
                 away = (x * x).sum(1)[:, None] + square - 2 * (x @ c.T)
                 group[rows] = away.argmin(1)
                 far[rows] = np.sqrt(np.maximum(away.min(1), 0))
@@ -78,7 +75,7 @@ def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "
 
     def product(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
-        side, where, x = t.column(4).to_numpy(), t.column(5).to_numpy(), _matrix(t.column(6).combine_chunks())
+        side, where, x = t.column(4).to_numpy(), t.column(5).to_numpy(), matrix(t.column(6).combine_chunks())
         rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         for lo in range(0, len(rows), 1024):
             some = rows[lo : lo + 1024]
@@ -94,23 +91,7 @@ def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "
                 a, b = a[a < b], b[a < b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(c).to_numpy() for c in range(4)], 1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if held and tuple(key[lo]) != last:
-                    yield from product(held)
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-                last = tuple(key[lo])
-        if held:
-            yield from product(held)
-
-    return dealt.mapInArrow(products, "a bigint, b bigint").filter("a < b")
+    return dealt.mapInArrow(lambda batches: by_cell(batches, 4, product), "a bigint, b bigint").filter("a < b")
 
 
 def greedy_keep(rows: DataFrame, edges: DataFrame, pos: str = "pos") -> DataFrame:

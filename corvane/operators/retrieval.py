@@ -5,12 +5,20 @@ These are extensions: the statistics and the container are what the index format
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import dot
 from ..schemas import Bm25
+from .blocks import BLOCK, by_cell, matrix
+
+#: Vectors of queries that every task may hold.
+HELD_BYTES = 32 << 20
 
 
 def bm25_scores(queries: DataFrame, tf: DataFrame, lengths: DataFrame, df: DataFrame, docs: int, avg_len: float, p: Bm25 = Bm25()) -> DataFrame:
@@ -29,9 +37,65 @@ def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scores.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def cosine_scores(queries: DataFrame, rows: DataFrame, vec: str = "embedding", key: str = "doc") -> DataFrame:
-    """(query_id, doc, score): dot products of a small, given set of queries (query_id, vector) with all rows."""
-    return rows.join(F.broadcast(queries.withColumnRenamed("vector", "_q")), F.lit(True)).select("query_id", F.col(key).alias("doc"), dot(F.col("_q"), F.col(vec)).alias("score"))
+def cosine_scores(queries: DataFrame, rows: DataFrame, vec: str = "embedding", key: str = "doc", best: int | None = None, slack: float = 1e-6, held_bytes: int = HELD_BYTES, block: int = BLOCK) -> DataFrame:
+    """(query_id, doc, score): dot products of a given set of queries (query_id, vector) with all rows, in blocks.
+
+    With `best`, each block leaves out what can't be among a query's best: scores of more than `slack` below the best-th of
+    the block; top_k takes the rest. Queries of at most held_bytes are held by every task, and rows are not shuffled;
+    more of them are cut into blocks, as rows are, and each pair of blocks is one cell, dealt out over tasks. Null and
+    empty vectors, and pairs of different lengths, have no score.
+    """
+    spark = rows.sparkSession
+    some = lambda c: c.isNotNull() & (F.size(c) > 0)
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vec")).filter(some(F.col("vec")))
+    x = rows.select(F.col(key).alias("doc"), F.col(vec).cast("array<double>").alias("vec")).filter(some(F.col("vec")))
+    kinds = q.schema["query_id"].dataType.simpleString(), x.schema["doc"].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
+
+    def scores(ids: pa.Array, known: np.ndarray, docs: pa.Array, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(values), 4096):
+            for at in range(0, len(known), 256):
+                dots = known[at : at + 256] @ values[lo : lo + 4096].T
+                least = np.full(len(dots), -np.inf)
+                if best is not None and dots.shape[1] > best:
+                    least = np.partition(dots, -best, axis=1)[:, -best] - slack
+                i, j = np.nonzero(dots >= least[:, None])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + i)), docs.take(pa.array(lo + j)), pa.array(dots[i, j])], ["query_id", "doc", "score"])
+
+    size = q.agg(F.sum(F.size("vec").cast("long")).alias("numbers"), F.count("*").alias("rows")).first()
+    if 8 * (size["numbers"] or 0) <= held_bytes:
+        t = q.toArrow().combine_chunks()  # at most held_bytes of vectors
+        length = pc.list_value_length(t["vec"]).to_numpy()
+        groups = {int(d): t.filter(pa.array(length == d)).combine_chunks() for d in np.unique(length)}
+        held = spark.sparkContext.broadcast({d: (g["query_id"].combine_chunks(), matrix(g["vec"].combine_chunks())) for d, g in groups.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                length = pc.list_value_length(batch.column(1)).to_numpy()
+                for d, (ids, known) in held.value.items():
+                    same = batch.filter(pa.array(length == d))
+                    if same.num_rows:
+                        yield from scores(ids, known, same.column(0), matrix(same.column(1)))
+
+        return x.mapInArrow(run, schema)
+
+    n, m = -(-size["rows"] // block), -(-x.count() // block)
+    d, own = F.size("vec").alias("d"), lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).alias("own")
+    other = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("other")
+    if not m:
+        return spark.createDataFrame([], schema)
+    left = q.select(d, own("query_id", n), other(m), "query_id", "vec").select("d", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "query_id", F.lit(None).cast(kinds[1]).alias("doc"), "vec")
+    right = x.select(d, own("doc", m), other(n), "doc", "vec").select("d", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), F.lit(None).cast(kinds[0]).alias("query_id"), "doc", "vec")
+    dealt = left.unionByName(right).repartition("d", "i", "j").sortWithinPartitions("d", "i", "j")
+
+    def product(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        side = t["side"].to_numpy()
+        asks, holds = (t.filter(pa.array(side == k)).combine_chunks() for k in (0, 1))
+        if asks.num_rows and holds.num_rows:
+            yield from scores(asks["query_id"].combine_chunks(), matrix(asks["vec"].combine_chunks()), holds["doc"].combine_chunks(), matrix(holds["vec"].combine_chunks()))
+
+    return dealt.mapInArrow(lambda batches: by_cell(batches, 3, product), schema)
 
 
 def fuse(first: DataFrame, second: DataFrame, c: int = 60) -> DataFrame:

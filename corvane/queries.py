@@ -265,16 +265,16 @@ def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cosine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 10 vectors, by position, of each hundredth vector."""
-    scores = retrieval.cosine_scores(_query_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings"), key="vec_id")
+    scores = retrieval.cosine_scores(_query_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings"), key="vec_id", best=10)
     return retrieval.top_k(scores.withColumn("score", F.round("score", 9)), 10)
 
 
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank fusion of exact and int8 rankings."""
     rows = table(spark, sf_dir, "embeddings")
-    exact = retrieval.top_k(retrieval.cosine_scores(_query_vectors(spark, sf_dir), rows, key="vec_id").withColumn("score", F.round("score", 9)), 10)
+    exact = retrieval.top_k(retrieval.cosine_scores(_query_vectors(spark, sf_dir), rows, key="vec_id", best=10).withColumn("score", F.round("score", 9)), 10)
     low = rows.withColumn("embedding", vectors.dequantise(vectors.quantise(F.col("embedding"))))
-    coarse = retrieval.top_k(retrieval.cosine_scores(_query_vectors(spark, sf_dir), low, key="vec_id").withColumn("score", F.round("score", 9)), 10)
+    coarse = retrieval.top_k(retrieval.cosine_scores(_query_vectors(spark, sf_dir), low, key="vec_id", best=10).withColumn("score", F.round("score", 9)), 10)
     return retrieval.fuse(exact, coarse).select("query_id", "doc", F.round("score", 9).alias("score"))
 
 

@@ -89,6 +89,40 @@ def test_calibration_of_a_sample(spark):
     assert got["sample_size"] == 500 and got["mean"] == pytest.approx(best.mean()) and got["std"] == pytest.approx(best.std())
 
 
+@pytest.mark.parametrize("held", [retrieval.HELD_BYTES, 0])
+def test_search_in_blocks(spark, held):
+    """Held queries and cells give what one product gives: ties by id, nulls and other lengths apart, names as ids."""
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=(90, 3)), 1)
+    v[40:60] = v[20:40]
+    rows = [(f"d{i:02}", x.tolist()) for i, x in enumerate(v)] + [("null", None), ("none", []), ("two", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "name string, e array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows) if i % 10 == 0 or i >= 90], "query_id long, vector array<double>")
+    every = {(i, n): float(np.dot(x, y)) for i, x in asked.collect() for n, y in rows if x and y and len(x) == len(y)}
+    assert len(every) == 9 * 90 + 1
+    search = lambda **more: retrieval.cosine_scores(asked, df, "e", "name", held_bytes=held, block=4, **more)
+    got = {(r["query_id"], r["doc"]): r["score"] for r in search().collect()}
+    assert got.keys() == every.keys() and all(got[k] == pytest.approx(every[k], abs=1e-12) for k in got)
+    best = retrieval.top_k(search(best=4).withColumn("score", F.round("score", 9)), 4)
+    expected = {(i, n, k + 1) for i in {i for i, _ in every} for k, n in enumerate(sorted((n for j, n in every if j == i), key=lambda n: (-round(every[i, n], 9), n))[:4])}
+    assert {(r["query_id"], r["doc"], r["rank"]) for r in best.collect()} == expected
+    assert retrieval.cosine_scores(asked, df.limit(0), "e", "name", held_bytes=held).count() == retrieval.cosine_scores(asked.limit(0), df, "e", "name", held_bytes=held).count() == 0
+    plan = search()._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_calibration_of_every_row_in_cells(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(70, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "pos long, embedding array<double>").repartition(3)
+    dots = v @ v.T
+    np.fill_diagonal(dots, -1.0)
+    best = np.maximum(dots.max(1), -1.0)
+    for held in (0, 1 << 20):
+        got = calibrate(df, 70, sample=70, held_bytes=held).first()
+        assert got["sample_size"] == 70 and got["mean"] == pytest.approx(best.mean()) and got["std"] == pytest.approx(best.std())
+
+
 def test_parents_stay_in_their_row(spark):
     """Pages that repeat id and URL are cut apart, without a shuffle."""
     section = lambda text: [(None, text), ("More", text)]
