@@ -97,8 +97,9 @@ def test_stages_take_awkward_rows(spark, small, name, stage):
         assert out.columns == corpus_pipeline.COLUMNS
     if name == "quality":  # rows of equal text have one fate
         assert ids.count(9) in (0, 3) and len(ids) <= len(AWKWARD)
-    if name == "lines":  # null and empty texts stay; rows equal in id and text are decided alike; copies of other ids lose all lines, and go
-        assert {0, 1, 2, 12, None} <= set(ids) and ids.count(9) == 3 and not {18, 19} & set(ids)
+    if name == "lines":  # null and empty texts stay; rows equal in id and text are decided alike; texts whose only line goes, go
+        gone = {i for i, _ in brute_lines([r[:2] for r in AWKWARD if r[0] not in (None, 7, 20)], linededup.Settings())}
+        assert gone == {13, 14, 15, 16, 19} and set(ids) == {r[0] for r in AWKWARD} - gone and ids.count(9) == ids.count(None) == 3
     if name == "near_dups":  # rows equal in id and text are one document
         assert ids.count(9) == 1 and {0, 1, 2} <= set(ids) and ids.count(None) == 3
     if name == "decontaminate":
