@@ -67,7 +67,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("lines", lines), ("near_dups", near_dups), ("decontaminate", decontaminated), ("pack", pack)]
 
-#: A classifier, a tokenizer and fuzzy lines can't be said in SQL; tests hold near_dups, and the operators of the other stages, against brute-force versions.
+#: A classifier, a tokenizer and fuzzy lines can't be said in SQL; tests hold the first four stages against brute force on small tables, packing by coverage.
 ORACLE_SQL = None
 
 
