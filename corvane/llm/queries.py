@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, langid, linededup, neardup, packing, quality_rules, substring, tokenfile
+from . import chat, classifier, decontaminate, langid, linededup, neardup, packing, periodic, quality_rules, substring, tokenfile
 from .shared import new_path, stage
 
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
@@ -82,7 +82,29 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", n.alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed_lines"), F.sha2(F.coalesce("_kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_rules, op2_fm_index_repeats, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files, op10_fuzzy_lines)}
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs, where every tenth id (by its checksum) has a period planted in its words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("_h"), F.floor(h / 10).alias("_g"))
+    words = F.when(F.col("_h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != ""))
+    rows = rows.withColumn("_w", words).withColumn("_n", F.size("_w")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    a, p = F.col("_a"), F.col("_p")
+    moved = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.get("_w", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    return rows.select("doc_id", F.when(F.col("_n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.collapse_runs(planted_periods(table(spark, sf_dir, "documents")))
+    first = F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.when(x["length"] > y["length"], -1).otherwise(1)).when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1)).otherwise(F.when(x["period"] < y["period"], -1).when(x["period"] > y["period"], 1).otherwise(0)))
+    best = F.get(first, F.lit(0))
+    every = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(F.lit(1000) * F.col("_best.length") / F.col("_best.period")).cast("long")
+    return rows.select("doc_id", "n_runs", "_best.start", "_best.length", "_best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_host_rules, op2_fm_index_repeats, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files, op10_fuzzy_lines, op13_periodic_runs)}
 
 ORACLE = {
     "op1_host_rules": r"""
