@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, langid, linededup, neardup, packing, periodic, quality_rules, substring, tokenfile
+from . import chat, classifier, decontaminate, langid, linededup, neardup, packing, periodic, quality_rules, substring, tokenfile, warc
 from .shared import new_path, stage
 
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
@@ -82,6 +82,13 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", n.alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed_lines"), F.sha2(F.coalesce("_kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    rows = warc.read(spark, path)
+    return rows.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text of docs, where every tenth id (by its checksum) has a period planted in its words."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -104,7 +111,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "_best.start", "_best.length", "_best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_host_rules, op2_fm_index_repeats, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files, op10_fuzzy_lines, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_host_rules, op2_fm_index_repeats, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files, op10_fuzzy_lines, op12_warc_chunks, op13_periodic_runs)}
 
 ORACLE = {
     "op1_host_rules": r"""
@@ -161,6 +168,14 @@ r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u
 k AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
 SELECT s.doc_id, len(s.x)::BIGINT AS n_shingles, coalesce(k.root, c.rep, s.doc_id) AS component_id, s.doc_id = coalesce(k.root, c.rep, s.doc_id) AS kept
 FROM s LEFT JOIN c ON s.x = c.x LEFT JOIN k ON c.rep = k.node""",
+    "op12_warc_chunks": r"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT r, page_id, octet_length(b)::BIGINT AS n, sha1(b) AS d, first_value(page_id) OVER (PARTITION BY b ORDER BY page_id NULLS FIRST, r) AS f, row_number() OVER (PARTITION BY b ORDER BY page_id NULLS FIRST, r) AS i FROM p),
+x AS (SELECT *, list_transform(range(1, 41), lambda k: strpos('0123456789abcdef', d[k:k]) - 1) AS q FROM h),
+bits AS (SELECT *, array_to_string(list_transform(q, lambda v: (v // 8)::VARCHAR || (v // 4 % 2)::VARCHAR || (v // 2 % 2)::VARCHAR || (v % 2)::VARCHAR), '') AS s FROM x)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: substr(s, 5 * k + j, 1)::INT * (1 << (5 - j))))::INT, 1)), '') AS payload_digest,
+  CASE WHEN i = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN i > 1 THEN f END AS refers_to FROM bits""",
     "op8_chat_parts": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
