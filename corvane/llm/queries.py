@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, langid, linededup, neardup, packing, periodic, quality_rules, substring, tokenfile, warc
+from . import chat, classifier, decontaminate, langid, linededup, neardup, packing, periodic, quality_rules, ranked, substring, tokenfile, warc
 from .shared import new_path, stage
 
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
@@ -82,6 +82,12 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", n.alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed_lines"), F.sha2(F.coalesce("_kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build(table(spark, sf_dir, "documents"))
+    rows = ranked.search(index, table(spark, sf_dir, "benchmark"), 50)
+    return rows.select("item_id", F.col("rank").cast("int"), F.col("_id").alias("doc_id"), "score")
+
+
 def op12_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -111,7 +117,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "_best.start", "_best.length", "_best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_host_rules, op2_fm_index_repeats, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files, op10_fuzzy_lines, op12_warc_chunks, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_host_rules, op2_fm_index_repeats, op3_winnowing, op4_neighbour_quality, op5_hyperdimensional_language, op6_inverted_minhash, op7_best_fit_packing, op8_chat_parts, op9_token_files, op10_fuzzy_lines, op11_inverted_treaps, op12_warc_chunks, op13_periodic_runs)}
 
 ORACLE = {
     "op1_host_rules": r"""
@@ -168,6 +174,16 @@ r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u
 k AS (SELECT node, min(seen) AS root FROM r GROUP BY node)
 SELECT s.doc_id, len(s.x)::BIGINT AS n_shingles, coalesce(k.root, c.rep, s.doc_id) AS component_id, s.doc_id = coalesce(k.root, c.rep, s.doc_id) AS kept
 FROM s LEFT JOIN c ON s.x = c.x LEFT JOIN k ON c.rep = k.node""",
+    "op11_inverted_treaps": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+t AS (SELECT q, unnest(w) AS term FROM i),
+p AS (SELECT r, doc_id, len(w)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * g.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, g GROUP BY term, g.n),
+s AS (SELECT q, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * p.n * g.n) // g.l)))))::BIGINT AS score FROM t JOIN p USING (term) JOIN f USING (term), g GROUP BY q, r, doc_id),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k JOIN i USING (q) WHERE rank <= 50""",
     "op12_warc_chunks": r"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT r, page_id, octet_length(b)::BIGINT AS n, sha1(b) AS d, first_value(page_id) OVER (PARTITION BY b ORDER BY page_id NULLS FIRST, r) AS f, row_number() OVER (PARTITION BY b ORDER BY page_id NULLS FIRST, r) AS i FROM p),
