@@ -7,11 +7,12 @@ shingles; `bands` bands of `rows` coordinates each give high recall (at Jaccard
 similarity of their shingle sets, in two passes:
 
   near   each class meets the bucket's first class and its neighbour in order; links are merged into components.
-  rest   a bucket of four or more classes (in a smaller one, all have met) whose members are in one component is done. In
-         any other, all members outside the bucket's largest component are compared with all of other components, in
-         blocks of bounded size that are dealt out over tasks; a row is emitted only if it links two components. No
-         bucket is cut. Within a block, a pair is left to the first band that it shares, and pairs that agree on fewer
-         than `screen_match` of the `bands * rows` coordinates (at Jaccard 0.8: a chance of 1e-5) are passed over.
+  rest   a bucket of four or more classes (in a smaller one, all have met) whose members are in one component is done. All
+         members of the others are joined by prefixes of their sets, exactly: shingles are put in one order, rare ones
+         first, and two sets of sizes n <= m of the wanted similarity t share one of the first n - ceil(2t/(1+t) n) + 1 of
+         the smaller and m - ceil(t m) + 1 of the larger, at places that leave room for the whole overlap. What lines of
+         one template share lies behind their prefixes, so they don't meet. A line first meets up to four of the least
+         classes of its prefixes' lists; what the links leave in different components meets in all lists.
 
 A distributed union-find makes components, and of each component the first line (least document id, then text hash, then
 line number) is kept, all others go.
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .graph import components
+from .graph import components, contract
 from .shared import stage
 
 
@@ -49,9 +50,8 @@ class Settings:
     rows: int = 4
     percent: int = 80
     min_chars: int = 20
-    block: int = 1024
-    block_bytes: int = 1 << 20
-    screen_match: int = 36
+    block: int = 1024  # lines of a block, and bytes of their sets; a cell holds two blocks
+    block_bytes: int = 8 << 20
     local: int = 32
     held: int = 1 << 23
 
@@ -187,14 +187,14 @@ def _pieces(data: bytes, limit: int = 1 << 19) -> Iterator[bytes]:
         lo = hi
 
 
-_MET = ["_key", "_l1", "_first", "_last", "_at"]
+_MET = ["_key", "_l1", "_first", "_last"]
 
 
 class _Buckets:
     """Lets the lines of a bucket meet: each but the first meets the first and the one before it."""
 
     def __init__(self):
-        self.key, self.first, self.last, self.n = (np.zeros(0, np.int64) for _ in range(4))
+        self.key, self.first, self.last = (np.zeros(0, np.int64) for _ in range(3))
 
     def met(self, key: np.ndarray, line: np.ndarray, hold: bool, at_least: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """(rows of _MET of buckets of at_least lines, mask of records that were in none). hold: remember a record for each bucket, for later calls."""
@@ -218,17 +218,17 @@ class _Buckets:
         some, x, y, new = some[fresh], x[fresh], y[fresh], new[fresh]
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(x)))
-        first, last, place = np.repeat(y[begin], size), np.concatenate([y[:1], y[:-1]]), np.arange(len(x)) - np.repeat(begin, size)
+        first, last = np.repeat(y[begin], size), np.concatenate([y[:1], y[:-1]])
         meets = ~new & (np.repeat(size, size) >= at_least)
         if len(self.key) and len(x):
             known = np.minimum(np.searchsorted(self.key, x[begin]), len(self.key) - 1)
             old = self.key[known] == x[begin]
             every = np.repeat(old, size)
-            first, place = np.where(every, np.repeat(self.first[known], size), first), np.where(every, np.repeat(self.n[known], size) + place, place)
+            first = np.where(every, np.repeat(self.first[known], size), first)
             last[begin[old]] = self.last[known[old]]
             meets = every | meets
             meets &= (y != first)
-        rows = np.stack([x, y, first, last, place])[:, meets]
+        rows = np.stack([x, y, first, last])[:, meets]
         alone = np.ones(len(line), bool)
         alone[some[np.repeat(size, size) >= at_least]] = False
         if hold and len(k):
@@ -237,7 +237,6 @@ class _Buckets:
             key = np.concatenate([self.key, k[begin]])
             self.key, at, of = np.unique(key, return_index=True, return_inverse=True)  # what is held already comes first
             self.first = np.concatenate([self.first, now[begin]])[at]
-            self.n = np.bincount(of, np.concatenate([self.n, np.diff(np.append(begin, len(k)))])).astype(np.int64)
             last = np.empty(len(self.key), np.int64)
             last[of] = np.concatenate([self.last, now[np.append(begin[1:], len(k)) - 1]])  # the later one stays
             self.last = last
@@ -317,7 +316,7 @@ def _meet(s: Settings):
 
         for batch in batches:
             for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows = np.frombuffer(data.as_buffer().to_pybytes(), np.int64).reshape(-1, 5 if kind else 2)
+                rows = np.frombuffer(data.as_buffer().to_pybytes(), np.int64).reshape(-1, 4 if kind else 2)
                 if part != last:
                     yield from table(flush(False))
                     buckets, last, blobs, held = _Buckets(), part, [], 0
@@ -417,95 +416,225 @@ def _verify(s: Settings):
     return run
 
 
-def _compare(rows: pa.Table, cuts: list[int], s: Settings) -> list[int]:
-    """Links between different components of cells (rows cuts[i] to cuts[i + 1]), as row numbers one after the other: columns _key, _i, _j, _one (is it a line to compare with all others), _root, _l1, _l2, _line."""
-    one = rows.column(3).to_numpy()
-    roots, _ = _numbered([(r["x"], r["y"]) for r in rows.column(4).to_pylist()])
-    of, lines = _numbered(rows.column(7).to_pylist())
-    cell, at = line_sets(_fed(lines), s.k)
-    least = list(line_coordinates(cell << B.U64(16), at, s))
-    bands, least, key = line_bands(iter(least), s), np.stack(least, 1), rows.column(0).to_numpy()
-    size, out = np.diff(at), []
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        band = int(np.argmax(bands[of[lo]] == key[lo]))
-        ones, others = lo + np.flatnonzero(one[lo:hi]), lo + np.flatnonzero(~one[lo:hi])
-        root = roots[lo:hi].copy()  # components of this cell: a link is wanted once
-        for step in range(0, len(ones), max(1, (1 << 16) // max(len(others), 1))):
-            some = ones[step : step + max(1, (1 << 16) // max(len(others), 1))]
-            apart = root[some - lo][:, None] != root[others - lo]
-            n, m = size[of[some]][:, None], size[of[others]]
-            apart &= 100 * np.minimum(n, m) >= s.percent * np.maximum(n, m)
-            x, y = np.nonzero(apart)
-            x, y = some[x], others[y]
-            agree = least[of[x]] == least[of[y]]
-            earlier = agree.reshape(len(x), s.bands, s.rows)[:, :band].all(2).any(1)  # they meet in that band's bucket too
-            near = (agree.sum(1) >= s.screen_match) & ~earlier
-            x, y = x[near], y[near]
-            both = common(cell, at, of[x], of[y])
-            linked = 100 * both >= s.percent * (size[of[x]] + size[of[y]] - both)
-            for a, b in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
-                if root[a - lo] != root[b - lo]:
-                    out += [a, b]
-                    root[root == root[b - lo]] = root[a - lo]
-    return out
+#: Shingles are ordered by how often their slot (upper bits) is met among the lines to join, so the table of counts is bounded.
+SLOT_BITS = 22
+
+
+def _sets(s: Settings):
+    """Rows (_l1, _set): the distinct shingles of each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line, upto = batch.column(1), np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 19), "right")), lo + 1)
+                shingle, at = line_shingles(_fed(line.slice(lo, hi - lo).to_pylist()), s.k)
+                of = np.repeat(np.arange(hi - lo), np.diff(at))
+                order = np.lexsort((shingle, of))
+                of, shingle = of[order], shingle[order]
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])
+                sets = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[new], np.arange(hi - lo + 1)).astype(np.int32)), pa.array(shingle[new].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["_l1", "_set"])
+                lo = hi
+
+    return run
+
+
+def _least(n: np.ndarray, above: int, below: int) -> np.ndarray:
+    """n * above / below, rounded up."""
+    return -(-n * above // below)
+
+
+def _prefixes(s: Settings, counts: np.ndarray):
+    """Rows (_h, _l1, _n, _at, _held) of a line's prefix: shingle, set size, place; is it in the shorter prefix, that of the smaller set? Shingles of one line alone are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            shingle = batch.column(1).flatten().to_numpy().view(B.U64)
+            of, met = np.repeat(np.arange(len(n)), n), counts[shingle >> B.U64(64 - SLOT_BITS)]
+            order = np.lexsort((shingle, met, of))
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            long, short = n - _least(n, s.percent, 100) + 1, n - _least(n, 2 * s.percent, 100 + s.percent) + 1
+            keep = np.flatnonzero((at < long[of]) & (met[order] > 1))
+            of, at = of[keep], at[keep]
+            cols = [pa.array(shingle[order][keep].view(np.int64)), batch.column(0).take(pa.array(of)), pa.array(n[of]), pa.array(at), pa.array(at < short[of])]
+            for lo in range(0, len(keep), 1 << 17):
+                yield pa.RecordBatch.from_arrays([c.slice(lo, 1 << 17) for c in cols], ["_h", "_l1", "_n", "_at", "_held"])
+
+    return run
 
 
-def _blocks(s: Settings):
-    """Rows sorted by (_key, _i, _j), some cells at a time, to links (_l1, _l2, _m1, _m2)."""
+class Cell:
+    """The sets of some lines, for counting what many pairs of them share."""
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
+        order = np.argsort(ids)
+        self.ids, self.size = ids[order], np.array([len(sets[i]) for i in order], np.int64)
+        self.line = np.repeat(np.arange(len(ids), dtype=np.int32), self.size)
+        self.shingle = np.concatenate([sets[i] for i in order])
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.table: np.ndarray | None = None
+
+    def _every(self) -> np.ndarray:
+        """Shared shingles of each two lines: rare shingles pair by pair, others as products of columns."""
+        n = len(self.ids)
+        table, order = np.zeros((n, n), np.float32), np.argsort(self.shingle, kind="stable")
+        line, h = self.line[order], self.shingle[order]
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        met = np.diff(np.append(begin, len(h)))
+        for m in range(2, 9):
+            of = line[_ranges(begin[met == m], met[met == m])].reshape(-1, m).astype(np.int64)
+            for i in range(m):
+                for j in range(m):
+                    table += np.bincount(of[:, i] * n + of[:, j], minlength=n * n).reshape(n, n) if len(of) else 0
+        begin, met = begin[met > 8], met[met > 8]
+        for lo in range(0, len(begin), 2048):
+            some = met[lo : lo + 2048]
+            column = np.zeros((n, len(some)), np.float32)
+            column[line[_ranges(begin[lo : lo + 2048], some)], np.repeat(np.arange(len(some)), some)] = 1
+            table += column @ column.T
+        return table
+
+    def linked(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the pairs of ids are as similar as wanted."""
+        x, y = np.searchsorted(self.ids, x), np.searchsorted(self.ids, y)
+        n, m = self.size[x], self.size[y]
+        if self.table is None and 8 * (n + m).sum() > len(self.ids) * len(self.shingle):
+            self.table = self._every()
+        if self.table is not None:
+            both = self.table[x, y].astype(np.int64)
+        else:
+            both, upto, lo = np.zeros(len(x), np.int64), np.cumsum(n + m), 0
+            while lo < len(x):
+                hi = min(max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20))), lo + 1), len(x))
+                h = np.concatenate([self.shingle[_ranges(self.at[z[lo:hi]], self.size[z[lo:hi]])] for z in (x, y)])
+                pair = np.concatenate([np.repeat(np.arange(hi - lo), self.size[z[lo:hi]]) for z in (x, y)])
+                order = np.lexsort((h, pair))
+                h, pair = h[order], pair[order]
+                same = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
+                both[lo:hi] = np.bincount(pair[1:][same], minlength=hi - lo)
+                lo = hi
+        return 100 * both >= percent * (n + m - both)
+
+
+def _linked(s: Settings):
+    """Links (a, b) of cells: rows (_i, _j, _pair, a, b, _set), sorted; a cell's sets come before its pairs."""
 
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        key = np.stack([rows.column(c).to_numpy() for c in range(3)], 1)
-        links = _compare(rows, [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)], s)
-        if links:
-            one, two = (rows.select([5, 6]).take(pa.array(links[k::2])).combine_chunks() for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in (*one.columns, *two.columns)], ["_l1", "_l2", "_m1", "_m2"])
+    def links(cell: Cell, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ok = cell.linked(x, y, s.percent)
+        root = contract(np.searchsorted(cell.ids, x[ok]), np.searchsorted(cell.ids, y[ok]), len(cell.ids))
+        child = np.flatnonzero(root != np.arange(len(root)))  # as many links as lines at most
+        if len(child):
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ids[child]), pa.array(cell.ids[root[child]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, n, last = 0, 0, None
+        last, ids, sets, cell, held, n = None, [], [], None, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal cell, held, n
+            if held:
+                cell = cell or Cell(np.array(ids, np.int64), sets)
+                yield from links(cell, *(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+                held, n = [], 0
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-            length = pc.binary_length(batch.column(7)).to_numpy()
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                now = tuple(key[lo])
-                if now != last and (size >= s.block_bytes or n >= 16384):
-                    yield from flush(held)
-                    held, size, n = [], 0, 0
-                held.append(batch.slice(lo, hi - lo))
-                size, n, last = size + int(length[lo:hi].sum()), n + hi - lo, now
-        if held:
-            yield from flush(held)
+                if hi == lo:
+                    continue
+                if tuple(key[lo, :2]) != last:
+                    yield from flush()
+                    last, ids, sets, cell = tuple(key[lo, :2]), [], [], None
+                if key[lo, 2]:
+                    held.append([batch.column(c).slice(lo, hi - lo).to_numpy() for c in (3, 4)])
+                    n += hi - lo
+                    if n >= 1 << 20:
+                        yield from flush()
+                else:
+                    ids += batch.column(3).slice(lo, hi - lo).to_pylist()
+                    sets += [x.values.to_numpy().view(B.U64) for x in batch.column(5).slice(lo, hi - lo)]
+        yield from flush()
 
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(_l1, _l2, _m1, _m2) of the pairs (a, b) of lines that are as similar as wanted."""
+    one, two = texts.toDF("a", "_l2", "_x"), texts.toDF("b", "_m2", "_y")
+    both = pairs.join(one, "a").join(two, "b").select(F.col("a").alias("_l1"), "_l2", F.col("b").alias("_m1"), "_m2", "_x", "_y")
+    return stage(both.mapInArrow(_verify(s), "_l1 long, _l2 long, _m1 long, _m2 long"), "links")
+
+
+def _verified_sets(pairs: DataFrame, sets: DataFrame, texts: DataFrame, blocks: int, s: Settings) -> DataFrame:
+    """The same, enough of them for the same components, where lines have many pairs: a line's set goes once to each cell of two blocks that needs it, not with each pair."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    i, j = block("a"), block("b")
+    dealt = stage(pairs.distinct().select(F.least(i, j).alias("_i"), F.greatest(i, j).alias("_j"), "a", "b"), "pairs")
+    need = dealt.select("_i", "_j", F.col("a").alias("_l1")).unionByName(dealt.select("_i", "_j", F.col("b").alias("_l1"))).distinct()
+    rows = need.join(sets, "_l1").select("_i", "_j", F.lit(False).alias("_pair"), F.col("_l1").alias("a"), F.lit(None).cast("long").alias("b"), "_set")
+    rows = rows.unionByName(dealt.select("_i", "_j", F.lit(True).alias("_pair"), "a", "b", F.lit(None).cast("array<long>").alias("_set")))
+    links = rows.repartition("_i", "_j").sortWithinPartitions("_i", "_j", "_pair").mapInArrow(_linked(s), "a long, b long")
+    names = texts.select("_l1", "_l2")
+    return stage(links.join(names.toDF("a", "_l2"), "a").join(names.toDF("b", "_m2"), "b").select(F.col("a").alias("_l1"), "_l2", F.col("b").alias("_m1"), "_m2"), "links")
+
+
 def _pairs(links: DataFrame) -> DataFrame:
     return links.select(F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y")).alias("a"), F.struct(F.col("_m1").alias("x"), F.col("_m2").alias("y")).alias("b"))
 
 
-def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
-    """(_l1, _l2, _m1, _m2): links of different components in buckets of four or more. met: rows of _meet; roots: (node, root) of the components so far."""
+def _rooted(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """(_l1, _root) of lines (_l1, _l2)."""
     own = F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))
-    lines = texts.select("_l1", "_l2", F.length("_line").alias("_bytes"), own.alias("_own"))
-    lines = lines.join(roots, lines["_own"] == roots["node"], "left").select("_l1", "_l2", "_bytes", F.coalesce("root", "_own").alias("_root"))
-    every = met.select("_key", "_l1").unionByName(met.filter("_at = 1").select("_key", F.col("_first").alias("_l1")))
-    member = stage(every.join(lines, "_l1"), "members")
-    by_root = member.groupBy("_key", "_root").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_sum"))
-    of = lambda n, size: F.ceil(F.greatest(n / s.block, size / s.block_bytes)).cast("long")
-    main = F.max(F.struct("_n", "_sum", "_root")).alias("_main")
-    mixed = by_root.groupBy("_key").agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.count("*").alias("_roots"), main).filter("_roots > 1 and _n > 3")
-    mixed = stage(mixed.select("_key", F.col("_main._root").alias("_main"), of(F.col("_n") - F.col("_main._n"), F.col("_sum") - F.col("_main._sum")).alias("_ni"), of(F.col("_n"), F.col("_sum")).alias("_nj")), "mixed")
-    dealt = member.join(mixed, "_key").join(texts, ["_l1", "_l2"])
-    block, upto = lambda n: F.pmod(F.xxhash64("_l1", "_l2"), n), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    cols = ["_key", "_i", "_j", "_one", "_root", "_l1", "_l2", "_line"]
-    one = dealt.filter("_root <> _main").withColumn("_j", upto(F.col("_nj"))).withColumn("_i", block(F.col("_ni"))).withColumn("_one", F.lit(True))
-    other = dealt.withColumn("_i", upto(F.col("_ni"))).withColumn("_j", block(F.col("_nj"))).withColumn("_one", F.lit(False))
-    cells = one.select(cols).unionByName(other.select(cols)).repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
-    return stage(cells.mapInArrow(_blocks(s), "_l1 long, _l2 long, _m1 long, _m2 long"), "links")
+    rows = lines.select("_l1", own.alias("_own"))
+    return rows.join(roots, rows["_own"] == roots["node"], "left").select("_l1", F.coalesce("root", "_own").alias("_root"))
+
+
+def _mixed(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The keys of n rows or more that lie in several components."""
+    return rows.groupBy(key).agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.count("*").alias("_rows")).filter(f"_r0 <> _r1 and _rows >= {n}").select(key)
+
+
+def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """(node, root) of the components, with all links in buckets of four or more that hold several of the components so far. met: rows of _meet; roots: (node, root) so far."""
+    spark = met.sparkSession
+    every = met.select("_key", "_l1").unionByName(met.select("_key", F.col("_first").alias("_l1")))
+    member = stage(every.join(_rooted(texts, roots), "_l1"), "members")
+    lines = stage(member.join(_mixed(member, "_key", 4), "_key").select("_l1").distinct(), "mixed-lines")
+    if lines.isEmpty():
+        return roots
+    mine = texts.join(lines, "_l1")
+    sets = stage(mine.select("_l1", "_line").mapInArrow(_sets(s), "_l1 long, _set array<long>"), "sets")
+    slots = sets.select(F.explode(F.transform("_set", lambda h: F.shiftrightunsigned(h, 64 - SLOT_BITS))).alias("_slot")).groupBy("_slot").count().toArrow()  # 2**SLOT_BITS rows at most
+    lines_, shingles = sets.agg(F.count("*"), F.sum(F.size("_set").cast("long"))).first()
+    blocks = max(1, -(-lines_ // s.block), -(-8 * shingles // s.block_bytes))
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[slots["_slot"].to_numpy()] = slots["count"].to_numpy()
+    held = spark.sparkContext.broadcast(counts)
+    entries = stage(sets.mapInArrow(lambda batches: _prefixes(s, held.value)(batches), "_h long, _l1 long, _n long, _at long, _held boolean"), "prefixes")
+
+    # A list's least class is where its lines meet first: each line goes to four of its lists.
+    least = entries.filter("_held").groupBy("_h").agg(F.min(F.struct(F.xxhash64("_h", "_l1").alias("o"), "_l1", "_n")).alias("_f"))
+    n, m = F.col("_n"), F.col("_f._n")
+    fits = (F.col("_l1") != F.col("_f._l1")) & (100 * F.least(n, m) >= s.percent * F.greatest(n, m))
+    some = entries.join(least, "_h").filter(fits).groupBy("_l1").agg(*[f(F.struct(F.xxhash64(F.lit(salt), "_h").alias("o"), F.col("_f._l1").alias("b"))).alias(f"_{i}") for i, (f, salt) in enumerate([(F.min, 0), (F.max, 0), (F.min, 1), (F.max, 1)])])
+    some = some.select("_l1", F.explode(F.array_distinct(F.array(*[F.col(f"_{i}.b") for i in range(4)]))).alias("b"))
+    pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    links = _verified_sets(some.select(*pair("_l1", "b")), sets, mine, blocks, s)
+    if not links.isEmpty():
+        roots = components(roots.toDF("a", "b").unionByName(_pairs(links)))
+
+    rooted = stage(entries.join(_rooted(mine, roots), "_l1"), "rooted")
+    rooted = rooted.join(_mixed(rooted, "_h", 2), "_h")
+    small = rooted.filter("_held").select("_h", F.col("_l1").alias("b"), F.col("_n").alias("m"), F.col("_at").alias("_bt"), F.col("_root").alias("_other"))
+    earlier = (F.col("m") < F.col("_n")) | (F.col("m") == F.col("_n")) & (F.col("b") < F.col("_l1"))
+    room = F.least(F.col("_n") - F.col("_at"), F.col("m") - F.col("_bt"))  # what they can share from here on
+    near = earlier & (F.col("_root") != F.col("_other")) & (100 * F.col("m") >= s.percent * F.col("_n")) & ((100 + s.percent) * room >= s.percent * (F.col("_n") + F.col("m")))
+    links = _verified_sets(rooted.join(small, "_h").filter(near).select(*pair("_l1", "b")), sets, mine, blocks, s)
+    return roots if links.isEmpty() else components(roots.toDF("a", "b").unionByName(_pairs(links)))
 
 
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,7 +656,7 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     lines = stage(rows.mapInArrow(_lines(s), f"_id {kind}, _t long, _pos int, _l1 long, _l2 long"), "lines")
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = rows.select("_text").mapInArrow(_banded(s, parts), "_part int, _kind int, _data binary").repartition("_part").sortWithinPartitions("_part")
-    met = stage(bands.mapInArrow(_meet(s), "_key long, _l1 long, _first long, _last long, _at long"), "buckets")
+    met = stage(bands.mapInArrow(_meet(s), "_key long, _l1 long, _first long, _last long"), "buckets")
     pair = lambda c: met.select(F.greatest("_l1", c).alias("a"), F.least("_l1", c).alias("b"))
     cand = stage(pair("_first").unionByName(pair("_last")).distinct(), "candidates")
     wanted = cand.select(F.col("a").alias("_l1")).unionByName(cand.select(F.col("b").alias("_l1"))).distinct()
@@ -536,13 +665,7 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     where = where.select(F.col("_id").alias("_wid"), F.col("_t").alias("_wt"), "_at")
     found = rows.join(where, rows["_id"].eqNullSafe(where["_wid"]) & (rows["_t"] == where["_wt"])).select("_at", "_text")
     texts = stage(found.mapInArrow(_wanted_lines(s), "_l1 long, _l2 long, _line binary").dropDuplicates(["_l1", "_l2"]), "texts")
-    one, two = texts.toDF("a", "_l2", "_x"), texts.toDF("b", "_m2", "_y")
-    pairs = cand.join(one, "a").join(two, "b").select(F.col("a").alias("_l1"), "_l2", F.col("b").alias("_m1"), "_m2", "_x", "_y")
-    links = stage(pairs.mapInArrow(_verify(s), "_l1 long, _l2 long, _m1 long, _m2 long"), "links")
-    roots = components(_pairs(links))
-    rest = link_rest(met, texts, roots, s)
-    if not rest.isEmpty():
-        roots = components(roots.toDF("a", "b").unionByName(_pairs(rest)))
+    roots = link_rest(met, texts, components(_pairs(_verified(cand, texts, s))), s)
     # Classes that repeat, and those of a component with its first line; the rest of the classes lose nothing.
     own = F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))
     linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node.x").alias("_l1"), F.col("node.y").alias("_l2"), "root")

@@ -513,6 +513,67 @@ def test_fuzzy_lines_in_hot_buckets(spark, more):
     assert {(r["doc_id"], p) for r in linededup.dedup_lines(df, linededup.Settings(**more)).collect() for p in r["_removed"]} == gone
 
 
+def gram_lines(rows, s):
+    """What brute_lines says of texts of one line each, by one product of all their sets."""
+    sets = [sorted({t[j : j + s.k] for j in range(len(t) - s.k + 1)}) for _, t in rows]
+    number = {x: k for k, x in enumerate(sorted({x for u in sets for x in u}))}
+    both, size = np.zeros((len(rows), len(rows)), np.float32), np.array([len(u) for u in sets])
+    at = [np.array([number[x] for x in u]) for u in sets]
+    for lo in range(0, len(number), 8192):
+        table = np.zeros((len(rows), 8192), np.float32)
+        for i, x in enumerate(at):
+            table[i, x[(x >= lo) & (x < lo + 8192)] - lo] = 1
+        both += table @ table.T
+    x, y = np.nonzero(100 * both >= s.percent * (size[:, None] + size - both))
+    root = graph.contract(x, y, len(rows))
+    first = {}
+    for (i, _), r in zip(rows, root.tolist(), strict=True):
+        first[r] = min(i, first.get(r, i))
+    return {i for (i, _), r in zip(rows, root.tolist(), strict=True) if first[r] != i}
+
+
+@pytest.mark.parametrize("more", [{}, {"local": 2, "held": 256}])
+def test_fuzzy_lines_of_a_template(spark, more):
+    """2,400 lines of one template at Jaccard 0.7 to each other, 200 pairs and a family of 100 among them; every line in two tasks."""
+    rng = np.random.default_rng(13)
+    base = rng.choice(list("abcdefghijk"), 400)
+
+    def edited(x, n):
+        x = x.copy()
+        x[rng.choice(400, n, replace=False)] = rng.choice(list("lmnopqrstuvwxyz"), n)
+        return x
+
+    lines = [edited(base, 5) for _ in range(1900)]
+    for _ in range(200):
+        both = edited(base, 3)
+        lines += [edited(both, 2), edited(both, 2)]
+    family = edited(base, 4)
+    lines += [edited(family, 1) for _ in range(100)]
+    lines = ["".join(x) for x in lines]
+    rows = [(int(i), lines[n]) for i, n in enumerate(rng.permutation(len(lines)))]
+    twice = rows + [(i + len(rows), t) for i, t in rows]
+    s = linededup.Settings(**more)
+    gone = gram_lines(rows, s)
+    df = spark.createDataFrame(twice, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    got = {r["doc_id"] for r in linededup.dedup_lines(df, s).filter("size(_removed) > 0").select("doc_id").collect()}
+    assert {i for i in got if i >= len(rows)} == {i + len(rows) for i, _ in rows}
+    mine = {i for i in got if i < len(rows)}
+    assert len(gone) > 250 and mine <= gone and len(mine) >= 0.99 * len(gone)
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_pairs_of_a_cell(dense):
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 60 if i % 3 else 4000, rng.integers(1, 90))).astype(np.uint64) for i in range(40)]
+    ids = rng.permutation(1000)[:40]
+    x, y = np.nonzero(~np.eye(40, dtype=bool)) if dense else (np.array([0, 5, 9]), np.array([1, 3, 39]))
+    cell = linededup.Cell(ids, sets)
+    got = cell.linked(ids[x], ids[y], 20)
+    assert (cell.table is not None) == dense
+    want = [100 * len(np.intersect1d(sets[a], sets[b])) >= 20 * len(np.union1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)]
+    assert got.tolist() == want
+
+
 def test_fuzzy_lines_of_awkward_texts(docs):
     got = linededup.dedup_lines(docs)
     assert got.count() == len(ROWS) and got.columns == [*docs.columns, "_removed", "_kept_text"]
