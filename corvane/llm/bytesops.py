@@ -156,3 +156,14 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Boolean mask of positions 0..n-1 inside any [start, end)."""
     d = np.bincount(starts, minlength=n + 1)[: n + 1].astype(np.int64) - np.bincount(ends, minlength=n + 1)[: n + 1]
     return np.cumsum(d[:n]) > 0
+
+
+def stretches(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the stretches of a mask; none goes over a document's border."""
+    opens, closes = mask.copy(), mask.copy()
+    opens[1:] &= ~mask[:-1]
+    closes[:-1] &= ~mask[1:]
+    cut = first[(first > 0) & (first < len(mask))]
+    opens[cut] = mask[cut]
+    closes[cut - 1] = mask[cut - 1]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1

@@ -2,13 +2,14 @@
 
 Texts are lower-cased (A-Z) word sequences. From every `span - k + 1` consecutive k-grams the one of least hash is kept
 as a fingerprint, on both sides by the same rule, so two texts that share `span` words share a fingerprint. Fingerprints
-of documents are joined with those of benchmark items, and each match is extended in both directions word by word,
-comparing the words themselves; what reaches `span` words is a hit. An item of fewer words is one window of its own
-length, found by the hash of its whole sequence and compared likewise.
+of documents are joined with those of benchmark items. A hit is extended to the windows of `span` words around it: each
+window that holds the fingerprint is looked up among the items' windows, once for each distinct one, and its words are
+compared. So a word that repeats a million times costs a lookup for each of its places, not for each pair of places. An
+item of fewer words is one window of its own length, found by the hash of its whole sequence and compared likewise.
 
 The benchmark is broadcast in blocks of at most `block_bytes` of text (a longer text is a block of its own), held as
-arrays of about three times that. One block (the usual case) needs no shuffle at
-all; more blocks run one after the other, and their hits, rows of documents that have any, meet in one aggregation.
+arrays of about six times that. One block (the usual case) needs no shuffle at all; more blocks run one after the other
+over distinct texts, which are written once, and their hits, rows of documents that have any, meet in one aggregation.
 
 Defined cases: null texts have no words; items without words are no windows; equal items are each reported; equal
 documents are each judged; empty tables give no rows or no hits; null item ids are left out of the lists but their words
@@ -17,7 +18,6 @@ count as hit; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,24 +29,25 @@ from . import bytesops as B
 from .shared import stage
 
 SPAN, GRAM = 10, 6
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
-class Postings:
-    """Values by hash: sorted arrays, so they cost 16 bytes a value."""
+_SEPARATED = bytes(int(B.LOWER[b]) if B.ALNUM[b] else 0x20 for b in range(256))
+
 
-    def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, first = np.unique(hashes[order], return_index=True)
-        self.bounds, self.values = np.append(first, len(hashes)), values[order]
+class Windows:
+    """The distinct windows of one length of the items: hash, one place, and the items that have it."""
 
-    def __getitem__(self, h: int) -> list[int]:
-        i = int(np.searchsorted(self.hashes, B.U64(h)))
-        return self.values[self.bounds[i] : self.bounds[i + 1]].tolist()
+    def __init__(self, size: int, hashes: np.ndarray, at: np.ndarray, item: np.ndarray):
+        self.size = size
+        self.hashes, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+        self.at = at[first]
+        both = np.unique(np.stack([code, item], 1), axis=0) if len(code) else np.zeros((0, 2), np.int64)
+        self.bounds, self.items = np.searchsorted(both[:, 0], np.arange(len(self.hashes) + 1)), both[:, 1].astype(np.int32)
 
 
 class Index:
-    """Fingerprints of a block of items, scanned as documents are: arrays of word spans over the items' bytes."""
+    """Fingerprints and windows of a block of items, scanned as documents are."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], span: int = SPAN, k: int = GRAM):
         if not 0 < k <= span:
@@ -61,9 +62,7 @@ class Index:
         self.names = list(same.values())
         texts = pa.array(list(same), pa.large_binary())
         self.data = b"".join(same)
-        starts, ends, sizes, base = [], [], [], 0
-        prints, at, short = [], [], {}
-        done = 0
+        starts, ends, prints, windows, base, done = [], [], [], {}, 0, 0
         for lo, hi in B.slices(texts):
             buf, offs = B.raw(texts.slice(lo, hi - lo))
             s, e, first = B.word_spans(buf, offs, B.ALNUM)
@@ -71,112 +70,88 @@ class Index:
             g, w = B.grams(h, k), span - k + 1
             if len(g) >= w:
                 p = B.winnow(g, w)
-                p = np.unique(p[B.in_document(first, span, len(p))])
-                prints.append(g[p])
-                at.append(p + done)
+                prints.append(np.unique(g[p[B.in_document(first, span, len(p))]]))
+                at = np.flatnonzero(B.in_document(first, span, len(g) - w + 1))
+                windows.setdefault(span, []).append((B.grams(h, span)[at], at + done, lo + np.searchsorted(first, at, "right") - 1))
             for m in np.unique(n[n < span]).tolist():
                 of = np.flatnonzero(n == m)
-                short.setdefault(m, []).append((B.grams(h, m)[first[of]], of + lo))
+                windows.setdefault(m, []).append((B.grams(h, m)[first[of]], first[of] + done, of + lo))
             starts.append(s + base)
             ends.append(e + base)
-            sizes.append(n)
-            base += len(buf)
-            done += len(s)
+            base, done = base + len(buf), done + len(s)
         kind = np.int32 if base < 1 << 31 else np.int64
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         self.starts, self.ends = join(starts, kind), join(ends, kind)
-        self.first = np.concatenate([[0], np.cumsum(join(sizes, np.int64))])
-        self.long = Postings(join(prints, B.U64), join(at, np.int64))
-        self.short = {m: Postings(join([x for x, _ in found], B.U64), join([x for _, x in found], np.int64)) for m, found in short.items()}
-
-    def item(self, i: int) -> Words:
-        a, b = self.first[i], self.first[i + 1]
-        return Words(self.data, self.starts[a:b], self.ends[a:b])
-
-    def hits(self, words: list[bytes] | Words, prints: list[tuple[int, int]], short: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """(start, end, item) of what the matches of one document extend to; prints: (position, hash); short: (position, length, hash)."""
-        out, done = [], {}
-        for p, h in prints:
-            for at in self.long[h]:
-                i = int(np.searchsorted(self.first, at, "right")) - 1
-                q = at - int(self.first[i])
-                if p < done.get((i, p - q), 0):
-                    continue
-                item = self.item(i)
-                a, b = 0, 0
-                while a < p and a < q and words[p - a - 1] == item[q - a - 1]:
-                    a += 1
-                while p + b < len(words) and q + b < len(item) and words[p + b] == item[q + b]:
-                    b += 1
-                done[i, p - q] = p + max(b, 1)
-                if a + b >= self.span and b:
-                    out.append((p - a, p + b, i))
-        for p, n, h in short:
-            for i in self.short[n][h]:
-                item = self.item(i)
-                if all(words[p + j] == item[j] for j in range(n)):
-                    out.append((p, p + n, i))
-        return out
-
-
-_SEPARATED = bytes(int(B.LOWER[b]) if B.ALNUM[b] else 0x20 for b in range(256))
-
-
-class Words:
-    """The words of one document of a scanned slice, by position."""
+        self.prints = np.unique(join(prints, B.U64))
+        self.windows = {m: Windows(m, *(join(x, t) for x, t in zip(zip(*found, strict=True), (B.U64, np.int64, np.int64), strict=True))) for m, found in windows.items()}
 
-    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray):
-        self.data, self.starts, self.ends = data, starts, ends
+    def words(self, at: int, n: int) -> list[bytes]:
+        return [self.data[a:b] for a, b in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True)]
 
-    def __len__(self) -> int:
-        return len(self.starts)
 
-    def __getitem__(self, i: int) -> bytes:
-        return self.data[self.starts[i] : self.ends[i]]
-
-
-def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-    """(row, words, hits) of each text."""
+def scan(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, list[tuple[int, int]], list[int]]]:
+    """(row, words, merged spans of hit words, items) of each text."""
+    w = index.span - index.k + 1
     for lo, hi in B.slices(texts):
         buf, offs = B.raw(texts.slice(lo, hi - lo))
         buf = B.LOWER[buf]
         starts, ends, first = B.word_spans(buf, offs, B.ALNUM)
-        h = B.span_hashes(buf, starts, ends)
-        g = B.grams(h, index.k)
-        w = index.span - index.k + 1
-        sizes = np.diff(first)
+        h, sizes = B.span_hashes(buf, starts, ends), np.diff(first)
         doc = np.repeat(np.arange(hi - lo), sizes)
-        found: dict[int, tuple[list, list]] = {}
-        if len(index.long.hashes) and len(g) >= w:
-            at = B.winnow(g, w)
-            at = np.unique(at[B.in_document(first, index.span, len(at))])
-            at = at[np.isin(g[at], index.long.hashes)]
-            for p, d, x in zip((at - first[doc[at]]).tolist(), doc[at].tolist(), g[at].tolist(), strict=True):
-                found.setdefault(d, ([], []))[0].append((p, x))
-        for n, postings in index.short.items():
-            s = B.grams(h, n)
-            if len(s):
-                at = np.flatnonzero(B.in_document(first, n, len(s)) & np.isin(s, postings.hashes))
-                for p, d, x in zip((at - first[doc[at]]).tolist(), doc[at].tolist(), s[at].tolist(), strict=True):
-                    found.setdefault(d, ([], []))[1].append((p, n, x))
-        data = buf.tobytes() if found else b""
+        begins, stops, pairs = [], [], []
+
+        def met(at: np.ndarray, hashes: np.ndarray, of: Windows) -> None:
+            """Windows of the documents at some places, if the items have them."""
+            code = np.searchsorted(of.hashes, hashes)
+            ok = np.flatnonzero(code < len(of.hashes))
+            ok = ok[of.hashes[code[ok]] == hashes[ok]]
+            at, code = at[ok], code[ok]
+            if not len(at):
+                return
+            known, one, each = np.unique(code, return_index=True, return_inverse=True)
+            place = at[one]  # of each distinct window one is compared by its words, the others with that one
+            same = np.array([[buf[starts[p + j] : ends[p + j]].tobytes() for j in range(of.size)] == index.words(int(of.at[c]), of.size) for p, c in zip(place.tolist(), known.tolist(), strict=True)])[each]
+            for j in range(of.size):
+                same &= h[at + j] == h[place[each] + j]
+            at, code = at[same], code[same]
+            begins.append(at)
+            stops.append(at + of.size)
+            both = np.unique(doc[at].astype(np.int64) * len(of.hashes) + code)  # a document and a window once
+            d, code = both // len(of.hashes), both % len(of.hashes)
+            n = of.bounds[code + 1] - of.bounds[code]
+            upto = np.cumsum(n)
+            where = np.arange(int(upto[-1]) if len(n) else 0) + np.repeat(of.bounds[code] - (upto - n), n)
+            pairs.append(np.unique(np.stack([np.repeat(d, n), of.items[where]], 1), axis=0))
+
+        for size, windows in index.windows.items():
+            if size < index.span:
+                g = B.grams(h, size)
+                at = np.flatnonzero(B.in_document(first, size, len(g)))
+                met(at, g[at], windows)
+            elif len(h) >= size:
+                g = B.grams(h, index.k)
+                p = B.winnow(g, w)
+                p = np.unique(p[B.in_document(first, size, len(p))])
+                p = p[np.isin(g[p], index.prints)]
+                around = np.zeros(len(h) + 1, np.int64)  # each window that holds the fingerprint begins up to w - 1 words before it
+                np.add.at(around, np.maximum(p - w + 1, 0), 1)
+                np.add.at(around, p + 1, -1)
+                at = np.flatnonzero(np.cumsum(around[:-1]) > 0)
+                at = at[doc[at] == doc[np.minimum(at + size - 1, len(h) - 1)]]
+                at = at[at + size <= len(h)]
+                met(at, B.grams(h, size)[at], windows)
+        if begins:
+            hit = B.covered(len(h), np.concatenate(begins), np.concatenate(stops))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            begin, stop = B.stretches(hit, first)
+            by, item = np.searchsorted(begin, first), np.searchsorted(found[:, 0], np.arange(hi - lo + 1))
         for d in range(hi - lo):
-            hits = []
-            if d in found:
-                a, b = first[d], first[d + 1]
-                hits = index.hits(Words(data, starts[a:b], ends[a:b]), *found[d])
-            yield lo + d, int(sizes[d]), hits
-
-
-def union_length(spans: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
-    """Positions in any span, and the spans merged."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return sum(b - a for a, b in out), [(a, b) for a, b in out]
+            if begins:
+                a, b = by[d], by[d + 1]
+                spans = list(zip((begin[a:b] - first[d]).tolist(), (stop[a:b] - first[d]).tolist(), strict=True))
+                yield lo + d, int(sizes[d]), spans, found[item[d] : item[d + 1], 1].tolist()
+            else:
+                yield lo + d, int(sizes[d]), [], []
 
 
 _SPANS = "array<struct<start:bigint,stop:bigint>>"
@@ -212,13 +187,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             index = held.value
             for batch in batches:
                 at, words, spans, names = [], [], [], []
-                for row, size, hits in scan(B.text_array(batch.column(batch.num_columns - 1)), index):
+                for row, size, hits, items in scan(B.text_array(batch.column(batch.num_columns - 1)), index):
                     if key_only and not hits:
                         continue
                     at.append(row)
                     words.append(size)
-                    spans.append([{"start": a, "stop": b} for a, b in union_length([(a, b) for a, b, _ in hits])[1]])
-                    names.append(sorted({x for _, _, i in hits for x in index.names[i]}))
+                    spans.append([{"start": a, "stop": b} for a, b in hits])
+                    names.append(sorted({x for i in items for x in index.names[i]}))
                 kept = batch.take(pa.array(at, pa.int64())).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(names, pa.list_(pa.string()))], [*batch.schema.names[:-1], "_words", "_spans", "_items"])
 
@@ -229,7 +204,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out = rows.mapInArrow(matcher(block(0), False), f"{kinds}, {tail}")
     else:
         key = F.unhex(F.md5(F.col("_text").cast("binary"))).alias("_h")  # 128 bits name a text across the corpus
-        keyed = rows.select(key, "_text").dropDuplicates(["_h"])
+        keyed = stage(rows.select(key, "_text").dropDuplicates(["_h"]), "texts")  # read once for each block
         found = None
         for b in range(n):
             part = stage(keyed.mapInArrow(matcher(block(b), True), f"_h binary, {tail}"), "hits")
@@ -254,7 +229,3 @@ def merge_spans(spans):
         return F.when((F.size(out) > 0) & (s["start"] <= last["stop"]), joined).otherwise(F.concat(out, F.array(s)))
 
     return F.aggregate(F.array_sort(spans), empty, one)
-
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

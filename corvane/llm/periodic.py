@@ -102,20 +102,9 @@ def _repeated(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return B.covered(len(h), at, at + k)
 
 
-def _stretches(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, end) of the stretches of a mask; none goes over a group's border."""
-    opens, closes = mask.copy(), mask.copy()
-    opens[1:] &= ~mask[:-1]
-    closes[:-1] &= ~mask[1:]
-    cut = first[(first > 0) & (first < len(mask))]
-    opens[cut] = mask[cut]
-    closes[cut - 1] = mask[cut - 1]
-    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
-
-
 def segments(h: np.ndarray, first: np.ndarray, k: int, min_length: int) -> list[tuple[int, int]]:
     """Stretches of words that may hold runs, by masking within documents and then within what that leaves."""
-    begin, end = _stretches(_repeated(h, first, k), first) if len(h) else (h, h)
+    begin, end = B.stretches(_repeated(h, first, k), first) if len(h) else (h, h)
     whole = end - begin >= min_length
     begin, end = begin[whole], end[whole]
     if not len(begin):
@@ -123,7 +112,7 @@ def segments(h: np.ndarray, first: np.ndarray, k: int, min_length: int) -> list[
     size = end - begin
     place = np.concatenate([[0], np.cumsum(size)])
     word = np.arange(place[-1]) + np.repeat(begin - place[:-1], size)
-    lo, hi = _stretches(_repeated(h[word], place, k), place)
+    lo, hi = B.stretches(_repeated(h[word], place, k), place)
     whole = hi - lo >= min_length
     return list(zip(word[lo[whole]].tolist(), (word[hi[whole] - 1] + 1).tolist(), strict=True))
 

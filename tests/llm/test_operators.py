@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -532,6 +533,22 @@ def gram_lines(rows, s):
     return {i for (i, _), r in zip(rows, root.tolist(), strict=True) if first[r] != i}
 
 
+def test_winnowing_of_repeated_words():
+    """A word repeated a million times against items of one word repeated, and pairs of words."""
+    index = decontaminate.Index([("a", "a " * 1000), ("z", "0 " * 12), ("ab", "a b " * 500), ("short", "a a a")])
+    texts = ["a " * 1_000_000, "a b " * 300_000, "0 " * 9, "x " + "0 " * 10 + "y", "b a " * 5 + "a a"]
+    began = time.perf_counter()
+    got = [(words, spans, sorted(index.names[i][0] for i in items)) for _, words, spans, items in decontaminate.scan(pa.array(texts), index)]
+    assert got == [
+        (1_000_000, [(0, 1_000_000)], ["a", "short"]),
+        (600_000, [(0, 600_000)], ["ab"]),
+        (9, [], []),
+        (12, [(1, 11)], ["z"]),
+        (12, [(0, 12)], ["ab", "short"]),
+    ]
+    assert time.perf_counter() - began < 10
+
+
 @pytest.mark.parametrize("more", [{}, {"local": 2, "held": 256}])
 def test_fuzzy_lines_of_a_template(spark, more):
     """2,400 lines of one template at Jaccard 0.7 to each other, 200 pairs and a family of 100 among them; every line in two tasks."""
