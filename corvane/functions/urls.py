@@ -8,26 +8,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File extensions and patterns that decide which URLs are in scope.
-BINARY_EXTENSIONS = """pdf zip gz exe rar 7z tar bin dmg iso apk
-png jpg jpeg gif svg webp bmp tiff tif ico avif heic
-mp4 mp3 wav ogg m4a flac webm mov avi wmv mkv
-doc docx xls xlsx ppt pptx
-woff woff2 ttf eot otf""".split()
-SOURCE_EXTENSIONS = """py js ts jsx tsx java go rb php c cpp h hpp
-cs swift kt rs sh ps1 sql yml yaml lock toml ini cfg""".split()
-PAGE_ASSET_EXTENSIONS = "ico css js xml json".split()
+BINARY_EXTENSIONS = [
+    "pdf", "zip", "gz", "exe", "rar", "7z", "tar", "bin", "dmg", "iso", "apk",
+    "png", "jpg", "jpeg", "gif", "svg", "webp", "bmp", "tiff", "tif", "ico", "avif", "heic",
+    "mp4", "mp3", "wav", "ogg", "m4a", "flac", "webm", "mov", "avi", "wmv", "mkv",
+    "doc", "docx", "xls", "xlsx", "ppt", "pptx",
+    "woff", "woff2", "ttf", "eot", "otf",
+]
+SOURCE_EXTENSIONS = [
+    "py", "js", "ts", "jsx", "tsx", "java", "go", "rb", "php", "c", "cpp", "h", "hpp",
+    "cs", "swift", "kt", "rs", "sh", "ps1", "sql", "yml", "yaml", "lock", "toml", "ini", "cfg",
+]
+PAGE_ASSET_EXTENSIONS = ["ico", "css", "js", "xml", "json"]
 GIT_HOST = r"^(?:github\.com|gitlab\.com|git\.[^.]+\.(?:com|edu|org|io)|(?:[^.]+\.)?github\.io)$"
 GIT_TEXT_FILE = r"/blob/[^/]+/.+\.(md|markdown|txt)$"
 PORTAL_MARK, PORTAL_PREFIX = "teamdynamix.", r"/TDClient/\d+/[^/]+/"
-_SHARED_EXCLUDES = r"""
-/Search[/?$] /Login[/?$] /Login\.aspx /Tags[/?$] /Print[/?$] /PrintArticle\?ID= \?print= /Archive[/?$] /FileOpen[/?$] /FileDownload[/?$]
-/pulse$ /tags$ /tagged$ /TagID= /TagID/[0-9]+ &tab=
-/issues?[/?] /projects?[/?] /pulls?[/?] /pushes?[/?] /forks?[/?] /network[/?] /commits?[/?] /discussions?[/?] /categories[/?]
-/announcements?[/?] /settings[/?] /contribs?[/?] /contributions?[/?] /checks?[/?] /comments?[/?] /author[/?] /profile[/?]
-/watchers[/?] /stargazers[/?] /stars[/?] /graphs[/?] /actions[/?] /security[/?] /compare[/?] /blame/ /raw/ /find/
-/deployments[/?] /environments[/?] /packages[/?] /sponsors[/?] /people[/?] /followers[/?] /following[/?]
-/_edit$ /_history$ /_new$ /_access$
-""".split()
+_SHARED_EXCLUDES = [
+    r"/Search[/?$]", r"/Login[/?$]", r"/Login\.aspx", r"/Tags[/?$]", r"/Print[/?$]", r"/PrintArticle\?ID=", r"\?print=", r"/Archive[/?$]", r"/FileOpen[/?$]", r"/FileDownload[/?$]",
+    r"/pulse$", r"/tags$", r"/tagged$", r"/TagID=", r"/TagID/[0-9]+", r"&tab=",
+    r"/issues?[/?]", r"/projects?[/?]", r"/pulls?[/?]", r"/pushes?[/?]", r"/forks?[/?]", r"/network[/?]", r"/commits?[/?]", r"/discussions?[/?]", r"/categories[/?]",
+    r"/announcements?[/?]", r"/settings[/?]", r"/contribs?[/?]", r"/contributions?[/?]", r"/checks?[/?]", r"/comments?[/?]", r"/author[/?]", r"/profile[/?]",
+    r"/watchers[/?]", r"/stargazers[/?]", r"/stars[/?]", r"/graphs[/?]", r"/actions[/?]", r"/security[/?]", r"/compare[/?]", r"/blame/", r"/raw/", r"/find/",
+    r"/deployments[/?]", r"/environments[/?]", r"/packages[/?]", r"/sponsors[/?]", r"/people[/?]", r"/followers[/?]", r"/following[/?]",
+    r"/_edit$", r"/_history$", r"/_new$", r"/_access$",
+]
 CRAWL_EXCLUDES = _SHARED_EXCLUDES + [rf"\.{e}$" for e in BINARY_EXTENSIONS + SOURCE_EXTENSIONS]
 INDEX_EXCLUDES = ["/CategoryID=", "/CategoryID/[0-9]+", "/Category/", "/tree/", *CRAWL_EXCLUDES]
 ASSET = rf"\.({'|'.join(BINARY_EXTENSIONS + SOURCE_EXTENSIONS + PAGE_ASSET_EXTENSIONS)})(\?|$)"

@@ -21,8 +21,8 @@ def cut_parent(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
     return F.when(F.length(text) < least, F.array().cast("array<string>")).otherwise(pieces)
 
 
-def child_windows(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
-    """Windows of child_max characters each child_step, trimmed at their last line break unless they reach the end, stripped, those of child_min kept; a text of child_max or less, or without a window, is its own child."""
+def _windows(text: Column, sizes: ChunkSizes) -> Column:
+    """Windows of child_max characters each child_step, trimmed at their last line break unless they reach the end, stripped, those of child_min kept; null for a text of child_max or less."""
     n, size, step = F.length(text), sizes.child_max, sizes.child_step
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
 
@@ -31,18 +31,27 @@ def child_windows(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
         where = rfind(piece, "\n")
         return strip(F.when((s + size < n) & (where > 0), F.substring(piece, F.lit(1), where)).otherwise(piece))
 
-    kept = F.filter(F.transform(starts, window), lambda x: F.length(x) >= sizes.child_min)
-    return F.when((n <= size) | (F.size(kept) == 0), F.array(text)).otherwise(kept)
+    return F.when(n > size, F.filter(F.transform(starts, window), lambda x: F.length(x) >= sizes.child_min))
+
+
+def _or_whole(windows: Column, text: Column) -> Column:
+    return F.when(F.coalesce(F.size(windows), F.lit(0)) < 1, F.array(text)).otherwise(windows)
+
+
+def child_windows(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
+    """The children of a parent's text: its windows; a text of child_max or less, or without a window, is its own child."""
+    return _or_whole(_windows(text, sizes), text)
 
 
 def parents(pages: DataFrame, order: str, url: str = "url", sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
     """(order, t, x, u, host, kind, weight, local_pid) of pages with title and sections."""
-    # A page's pieces are an array of its own row: no shuffle, and pages that repeat id and URL stay apart.
+    # A page's pieces are an array of its own row: no shuffle, and pages that repeat id and URL stay apart. The outer form
+    # of the generator keeps the optimizer from evaluating it once more as a filter of its own.
     def pieces(section: Column) -> Column:
         heading = F.when(section["heading"].isNull(), F.col("title")).otherwise(F.concat("title", F.lit(" -- "), section["heading"]))
         return F.transform(cut_parent(squeeze_breaks(F.coalesce(section["text"], F.lit(""))), sizes), lambda x: F.struct(heading.alias("t"), x.alias("x")))
 
-    out = pages.select(F.col(order).alias("_page"), F.col(url).alias("u"), F.posexplode(F.flatten(F.transform("sections", pieces))).alias("local_pid", "_c"))
+    out = pages.select(F.col(order).alias("_page"), F.col(url).alias("u"), F.posexplode_outer(F.flatten(F.transform("sections", pieces))).alias("local_pid", "_c")).filter("_c is not null")
     return out.select(F.col("_page").alias(order), F.col("_c.t").alias("t"), F.col("_c.x").alias("x"), "u", urls.host(F.col("u")).alias("host"), urls.kind(F.col("u")).alias("kind"), F.lit(1.0).alias("weight"), F.col("local_pid").cast("bigint").alias("local_pid"))
 
 
@@ -54,7 +63,8 @@ def number_parents(parent: DataFrame, order: str) -> DataFrame:
 def children(parent: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
     """Rows of parents (with pid) to rows of children: parent's columns with x replaced, and `ordinal` within the parent."""
     rest = [c for c in parent.columns if c != "x"]
-    out = parent.select(*rest, F.posexplode(child_windows(F.col("x"), sizes)).alias("ordinal", "x"))
+    cut = parent.select("*", _windows(F.col("x"), sizes).alias("_w"))  # evaluated once, used twice
+    out = cut.select(*rest, F.posexplode_outer(_or_whole(F.col("_w"), F.col("x"))).alias("ordinal", "x"))
     return out.withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 

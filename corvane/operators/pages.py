@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import dom, urls
 from ..functions.text import strip
 from ..schemas import SECTION
+from ..session import spread
 
 # Where content is, by kind of page, and what is noise in it.
 PORTAL_CONTENT = ["#divMainContent", "#questionsContent"]
@@ -98,7 +99,7 @@ def read_pages(pages: DataFrame, url: str = "url", body: str = "body", generic:
     markdown = F.lower(u).endswith(".md") | F.lower(u).endswith(".markdown")
     form = F.when(~raw, "html").when(markdown, "markdown").otherwise("text")
     p = profile(u, generic)
-    df = pages.withColumn("_d", _walked(u, b, form, p["selectors"], p["noise"], p["need_text"]))
+    df = spread(pages).withColumn("_d", _walked(u, b, form, p["selectors"], p["noise"], p["need_text"]))
     links = F.filter(F.transform(F.col("_d.links"), urls.normalise), lambda x: x != "")
     return df.select(*pages.columns, title_of(F.col("_d.title"), F.col("_d.h1"), u).alias("site_title"), title_of(F.col("_d.title_left"), F.col("_d.h1_left"), u).alias("title"), links.alias("links"), F.col("_d.sections").alias("sections"))
 
@@ -109,5 +110,5 @@ def read_texts(files: DataFrame, url: str = "url", body: str = "body") -> DataFr
     text = strip(F.coalesce(F.col(body), F.lit("")))
     none = F.lit(None).cast("string")
     sections = F.when(text != "", F.array(F.struct(none.alias("heading"), text.alias("text"))))
-    return files.select(*files.columns, title_of(none, none, u).alias("site_title"), title_of(none, none, u).alias("title"), F.array().cast("array<string>").alias("links"), sections.cast(SECTION).alias("sections"))
+    return spread(files).select(*files.columns, title_of(none, none, u).alias("site_title"), title_of(none, none, u).alias("title"), F.array().cast("array<string>").alias("links"), sections.cast(SECTION).alias("sections"))
 

@@ -9,7 +9,7 @@ from .functions import urls, vectors
 from .functions.text import tokens
 from .operators import bm25, cache, calibration, chunking, crawl, dedup, embedding, metadata, pages, retrieval
 from .plans.build import build_index
-from .session import keep
+from .session import keep, spread
 from .sources import files
 
 DOC_BASE = "https://github.com/org/repo/blob/main/docs/doc-"
@@ -34,7 +34,7 @@ def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as BM25 sees them: their whole text, one row each."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), tokens(F.coalesce("text", F.lit(""))).alias("terms"))
 
 
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _ZIP = "corvane-package.zip"
+#: Bytes a core beyond which an input has splits enough.
+SPLIT_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -60,6 +62,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, ahead of costly work on each row. Few bytes are few splits (a file of one row group is one, however its bytes are cut), so they are dealt out anew; larger inputs have splits enough and aren't moved."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage of loops, and outlives any executor."""
     path = shared_path(df.sparkSession, name)
