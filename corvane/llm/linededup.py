@@ -420,23 +420,29 @@ def _verify(s: Settings):
 SLOT_BITS = 22
 
 
+def distinct_shingles(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles of each line, ascending; offsets)."""
+    shingle, at = line_shingles(data, k)
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((shingle, of))
+    of, shingle = of[order], shingle[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])
+    return shingle[new], np.searchsorted(of[new], np.arange(len(at)))
+
+
 def _sets(s: Settings):
-    """Rows (_l1, _set): the distinct shingles of each line."""
+    """Rows (_l1, _root, _set): the distinct shingles of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            line, upto = batch.column(1), np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            line, upto = batch.column(2), np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
             lo = 0
             while lo < batch.num_rows:
                 hi = max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 19), "right")), lo + 1)
-                shingle, at = line_shingles(_fed(line.slice(lo, hi - lo).to_pylist()), s.k)
-                of = np.repeat(np.arange(hi - lo), np.diff(at))
-                order = np.lexsort((shingle, of))
-                of, shingle = of[order], shingle[order]
-                new = np.ones(len(of), bool)
-                new[1:] = (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])
-                sets = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[new], np.arange(hi - lo + 1)).astype(np.int32)), pa.array(shingle[new].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["_l1", "_set"])
+                shingle, at = distinct_shingles(_fed(line.slice(lo, hi - lo).to_pylist()), s.k)
+                sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(shingle.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), sets], ["_l1", "_root", "_set"])
                 lo = hi
 
     return run
@@ -448,21 +454,21 @@ def _least(n: np.ndarray, above: int, below: int) -> np.ndarray:
 
 
 def _prefixes(s: Settings, counts: np.ndarray):
-    """Rows (_h, _l1, _n, _at, _held) of a line's prefix: shingle, set size, place; is it in the shorter prefix, that of the smaller set? Shingles of one line alone are left out."""
+    """Rows (_h, _l1, _root, _n, _at, _held) of a line's prefix: shingle, component, set size, place; is it in the shorter prefix, that of the smaller set? Shingles of one line alone are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            shingle = batch.column(1).flatten().to_numpy().view(B.U64)
+            n = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            shingle = batch.column(2).flatten().to_numpy().view(B.U64)
             of, met = np.repeat(np.arange(len(n)), n), counts[shingle >> B.U64(64 - SLOT_BITS)]
             order = np.lexsort((shingle, met, of))
             at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             long, short = n - _least(n, s.percent, 100) + 1, n - _least(n, 2 * s.percent, 100 + s.percent) + 1
             keep = np.flatnonzero((at < long[of]) & (met[order] > 1))
             of, at = of[keep], at[keep]
-            cols = [pa.array(shingle[order][keep].view(np.int64)), batch.column(0).take(pa.array(of)), pa.array(n[of]), pa.array(at), pa.array(at < short[of])]
+            cols = [pa.array(shingle[order][keep].view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in (0, 1)), pa.array(n[of]), pa.array(at), pa.array(at < short[of])]
             for lo in range(0, len(keep), 1 << 17):
-                yield pa.RecordBatch.from_arrays([c.slice(lo, 1 << 17) for c in cols], ["_h", "_l1", "_n", "_at", "_held"])
+                yield pa.RecordBatch.from_arrays([c.slice(lo, 1 << 17) for c in cols], ["_h", "_l1", "_root", "_n", "_at", "_held"])
 
     return run
 
@@ -470,12 +476,12 @@ def _prefixes(s: Settings, counts: np.ndarray):
 class Cell:
     """The sets of some lines, for counting what many pairs of them share."""
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
+    def __init__(self, ids: np.ndarray, lines: list[bytes], k: int):
         order = np.argsort(ids)
-        self.ids, self.size = ids[order], np.array([len(sets[i]) for i in order], np.int64)
+        self.ids = ids[order]
+        self.shingle, self.at = distinct_shingles(_fed([lines[i] for i in order]), k)
+        self.size = np.diff(self.at)
         self.line = np.repeat(np.arange(len(ids), dtype=np.int32), self.size)
-        self.shingle = np.concatenate([sets[i] for i in order])
-        self.at = np.concatenate([[0], np.cumsum(self.size)])
         self.table: np.ndarray | None = None
 
     def _every(self) -> np.ndarray:
@@ -521,7 +527,7 @@ class Cell:
 
 
 def _linked(s: Settings):
-    """Links (a, b) of cells: rows (_i, _j, _pair, a, b, _set), sorted; a cell's sets come before its pairs."""
+    """Links (a, b) of cells: rows (_i, _j, _pair, a, b, _line), sorted; a cell's lines come before its pairs."""
 
     def links(cell: Cell, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
         ok = cell.linked(x, y, s.percent)
@@ -531,12 +537,12 @@ def _linked(s: Settings):
             yield pa.RecordBatch.from_arrays([pa.array(cell.ids[child]), pa.array(cell.ids[root[child]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, sets, cell, held, n = None, [], [], None, [], 0
+        last, ids, lines, cell, held, n = None, [], [], None, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal cell, held, n
             if held:
-                cell = cell or Cell(np.array(ids, np.int64), sets)
+                cell = cell or Cell(np.array(ids, np.int64), lines, s.k)
                 yield from links(cell, *(np.concatenate([h[k] for h in held]) for k in (0, 1)))
                 held, n = [], 0
 
@@ -548,7 +554,7 @@ def _linked(s: Settings):
                     continue
                 if tuple(key[lo, :2]) != last:
                     yield from flush()
-                    last, ids, sets, cell = tuple(key[lo, :2]), [], [], None
+                    last, ids, lines, cell = tuple(key[lo, :2]), [], [], None
                 if key[lo, 2]:
                     held.append([batch.column(c).slice(lo, hi - lo).to_numpy() for c in (3, 4)])
                     n += hi - lo
@@ -556,7 +562,7 @@ def _linked(s: Settings):
                         yield from flush()
                 else:
                     ids += batch.column(3).slice(lo, hi - lo).to_pylist()
-                    sets += [x.values.to_numpy().view(B.U64) for x in batch.column(5).slice(lo, hi - lo)]
+                    lines += batch.column(5).slice(lo, hi - lo).to_pylist()
         yield from flush()
 
     return run
@@ -569,14 +575,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return stage(both.mapInArrow(_verify(s), "_l1 long, _l2 long, _m1 long, _m2 long"), "links")
 
 
-def _verified_sets(pairs: DataFrame, sets: DataFrame, texts: DataFrame, blocks: int, s: Settings) -> DataFrame:
-    """The same, enough of them for the same components, where lines have many pairs: a line's set goes once to each cell of two blocks that needs it, not with each pair."""
+def _verified_in_cells(pairs: DataFrame, texts: DataFrame, blocks: int, s: Settings) -> DataFrame:
+    """The same, enough of them for the same components, where lines have many pairs: a line goes once to each cell of two blocks that needs it, not with each pair."""
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     i, j = block("a"), block("b")
     dealt = stage(pairs.distinct().select(F.least(i, j).alias("_i"), F.greatest(i, j).alias("_j"), "a", "b"), "pairs")
     need = dealt.select("_i", "_j", F.col("a").alias("_l1")).unionByName(dealt.select("_i", "_j", F.col("b").alias("_l1"))).distinct()
-    rows = need.join(sets, "_l1").select("_i", "_j", F.lit(False).alias("_pair"), F.col("_l1").alias("a"), F.lit(None).cast("long").alias("b"), "_set")
-    rows = rows.unionByName(dealt.select("_i", "_j", F.lit(True).alias("_pair"), "a", "b", F.lit(None).cast("array<long>").alias("_set")))
+    rows = need.join(texts.select("_l1", "_line"), "_l1").select("_i", "_j", F.lit(False).alias("_pair"), F.col("_l1").alias("a"), F.lit(None).cast("long").alias("b"), "_line")
+    rows = rows.unionByName(dealt.select("_i", "_j", F.lit(True).alias("_pair"), "a", "b", F.lit(None).cast("binary").alias("_line")))
     links = rows.repartition("_i", "_j").sortWithinPartitions("_i", "_j", "_pair").mapInArrow(_linked(s), "a long, b long")
     names = texts.select("_l1", "_l2")
     return stage(links.join(names.toDF("a", "_l2"), "a").join(names.toDF("b", "_m2"), "b").select(F.col("a").alias("_l1"), "_l2", F.col("b").alias("_m1"), "_m2"), "links")
@@ -593,47 +599,51 @@ def _rooted(lines: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, rows["_own"] == roots["node"], "left").select("_l1", F.coalesce("root", "_own").alias("_root"))
 
 
-def _mixed(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """The keys of n rows or more that lie in several components."""
-    return rows.groupBy(key).agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.count("*").alias("_rows")).filter(f"_r0 <> _r1 and _rows >= {n}").select(key)
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys that lie in several components."""
+    several = rows.groupBy(key).agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1")).filter("_r0 <> _r1").select(key)
+    return rows.join(several, key)
 
 
 def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
     """(node, root) of the components, with all links in buckets of four or more that hold several of the components so far. met: rows of _meet; roots: (node, root) so far."""
     spark = met.sparkSession
-    every = met.select("_key", "_l1").unionByName(met.select("_key", F.col("_first").alias("_l1")))
+    every = met.select("_key", "_l1", F.lit(1).alias("_more")).unionByName(met.select("_key", F.col("_first").alias("_l1"), F.lit(0).alias("_more")))
     member = stage(every.join(_rooted(texts, roots), "_l1"), "members")
-    lines = stage(member.join(_mixed(member, "_key", 4), "_key").select("_l1").distinct(), "mixed-lines")
+    large = member.groupBy("_key").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.sum("_more").alias("_n")).filter("_r0 <> _r1 and _n > 2").select("_key")
+    lines = stage(member.join(large, "_key").select("_l1").distinct(), "mixed-lines")
     if lines.isEmpty():
         return roots
-    mine = texts.join(lines, "_l1")
-    sets = stage(mine.select("_l1", "_line").mapInArrow(_sets(s), "_l1 long, _set array<long>"), "sets")
-    slots = sets.select(F.explode(F.transform("_set", lambda h: F.shiftrightunsigned(h, 64 - SLOT_BITS))).alias("_slot")).groupBy("_slot").count().toArrow()  # 2**SLOT_BITS rows at most
-    lines_, shingles = sets.agg(F.count("*"), F.sum(F.size("_set").cast("long"))).first()
-    blocks = max(1, -(-lines_ // s.block), -(-8 * shingles // s.block_bytes))
+    mine = stage(texts.join(lines, "_l1"), "mixed-texts")
+    rooted = mine.join(_rooted(mine, roots).select("_l1", F.xxhash64("_root").alias("_root")), "_l1")
+    sets = stage(rooted.select("_l1", "_root", "_line").mapInArrow(_sets(s), "_l1 long, _root long, _set array<long>"), "sets")
+    n_lines, shingles = sets.agg(F.count("*"), F.sum(F.size("_set").cast("long"))).first()
+    blocks = max(1, -(-n_lines // s.block), -(-8 * shingles // s.block_bytes))
+    slots = sets.select(F.explode(F.transform("_set", lambda h: F.shiftrightunsigned(h, 64 - SLOT_BITS))).alias("_slot")).groupBy("_slot").count().filter("count > 1").toArrow()  # 2**SLOT_BITS rows at most
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     counts[slots["_slot"].to_numpy()] = slots["count"].to_numpy()
     held = spark.sparkContext.broadcast(counts)
-    entries = stage(sets.mapInArrow(lambda batches: _prefixes(s, held.value)(batches), "_h long, _l1 long, _n long, _at long, _held boolean"), "prefixes")
+    every = sets.mapInArrow(lambda batches: _prefixes(s, held.value)(batches), "_h long, _l1 long, _root long, _n long, _at long, _held boolean")
+    entries = stage(_mixed(stage(every, "prefixes"), "_h"), "mixed-prefixes")
 
     # A list's least class is where its lines meet first: each line goes to four of its lists.
-    least = entries.filter("_held").groupBy("_h").agg(F.min(F.struct(F.xxhash64("_h", "_l1").alias("o"), "_l1", "_n")).alias("_f"))
+    least = entries.filter("_held").groupBy("_h").agg(F.min(F.struct(F.xxhash64("_h", "_l1").alias("o"), "_l1", "_n", "_root")).alias("_f"))
     n, m = F.col("_n"), F.col("_f._n")
-    fits = (F.col("_l1") != F.col("_f._l1")) & (100 * F.least(n, m) >= s.percent * F.greatest(n, m))
+    fits = (F.col("_root") != F.col("_f._root")) & (100 * F.least(n, m) >= s.percent * F.greatest(n, m))
     some = entries.join(least, "_h").filter(fits).groupBy("_l1").agg(*[f(F.struct(F.xxhash64(F.lit(salt), "_h").alias("o"), F.col("_f._l1").alias("b"))).alias(f"_{i}") for i, (f, salt) in enumerate([(F.min, 0), (F.max, 0), (F.min, 1), (F.max, 1)])])
     some = some.select("_l1", F.explode(F.array_distinct(F.array(*[F.col(f"_{i}.b") for i in range(4)]))).alias("b"))
     pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    links = _verified_sets(some.select(*pair("_l1", "b")), sets, mine, blocks, s)
+    links = _verified_in_cells(some.select(*pair("_l1", "b")), mine, blocks, s)
     if not links.isEmpty():
         roots = components(roots.toDF("a", "b").unionByName(_pairs(links)))
+        now = _rooted(mine, roots).select("_l1", F.xxhash64("_root").alias("_root"))
+        entries = stage(_mixed(entries.drop("_root").join(now, "_l1"), "_h"), "mixed-prefixes")
 
-    rooted = stage(entries.join(_rooted(mine, roots), "_l1"), "rooted")
-    rooted = rooted.join(_mixed(rooted, "_h", 2), "_h")
-    small = rooted.filter("_held").select("_h", F.col("_l1").alias("b"), F.col("_n").alias("m"), F.col("_at").alias("_bt"), F.col("_root").alias("_other"))
+    small = entries.filter("_held").select("_h", F.col("_l1").alias("b"), F.col("_n").alias("m"), F.col("_at").alias("_bt"), F.col("_root").alias("_other"))
     earlier = (F.col("m") < F.col("_n")) | (F.col("m") == F.col("_n")) & (F.col("b") < F.col("_l1"))
     room = F.least(F.col("_n") - F.col("_at"), F.col("m") - F.col("_bt"))  # what they can share from here on
     near = earlier & (F.col("_root") != F.col("_other")) & (100 * F.col("m") >= s.percent * F.col("_n")) & ((100 + s.percent) * room >= s.percent * (F.col("_n") + F.col("m")))
-    links = _verified_sets(rooted.join(small, "_h").filter(near).select(*pair("_l1", "b")), sets, mine, blocks, s)
+    links = _verified_in_cells(entries.join(small, "_h").filter(near).select(*pair("_l1", "b")), mine, blocks, s)
     return roots if links.isEmpty() else components(roots.toDF("a", "b").unionByName(_pairs(links)))
 
 

@@ -581,14 +581,14 @@ def test_fuzzy_lines_of_a_template(spark, more):
 @pytest.mark.parametrize("dense", [False, True])
 def test_pairs_of_a_cell(dense):
     rng = np.random.default_rng(14)
-    sets = [np.unique(rng.integers(0, 60 if i % 3 else 4000, rng.integers(1, 90))).astype(np.uint64) for i in range(40)]
+    lines = ["".join(rng.choice(list("ab" if i % 3 else "abcdefgh"), rng.integers(1, 90))) for i in range(40)]
+    sets = [{t[j : j + 4] for j in range(max(1, len(t) - 3))} for t in lines]
     ids = rng.permutation(1000)[:40]
     x, y = np.nonzero(~np.eye(40, dtype=bool)) if dense else (np.array([0, 5, 9]), np.array([1, 3, 39]))
-    cell = linededup.Cell(ids, sets)
-    got = cell.linked(ids[x], ids[y], 20)
+    cell = linededup.Cell(ids, [t.encode() for t in lines], 4)
+    got = cell.linked(ids[x], ids[y], 60)
     assert (cell.table is not None) == dense
-    want = [100 * len(np.intersect1d(sets[a], sets[b])) >= 20 * len(np.union1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)]
-    assert got.tolist() == want
+    assert got.tolist() == [100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b]) for a, b in zip(x, y, strict=True)]
 
 
 def test_fuzzy_lines_of_awkward_texts(docs):
