@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .operators.keywords import STOP_WORDS
 from .functions.urls import ASSET, CRAWL_EXCLUDES, INDEX_EXCLUDES
 
 _NETLOC = "regexp_extract({u}, '^[^:/?#]+://([^/?#]*)', 1)"
@@ -11,6 +12,7 @@ _NORMALISE = r"regexp_replace(regexp_replace(split_part({u}, '#', 1), '^\s+|\s+$
 _GIT_HOST = r"regexp_full_match(lower(" + _NETLOC + r"), '(?:github\.com|gitlab\.com|git\.[^.]+\.(?:com|edu|org|io)|(?:[^.]+\.)?github\.io)')"
 _ANY = lambda patterns: "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text, 'https://github.com/org/repo/blob/main/docs/doc-' || doc_id || '.txt' AS u, 'Doc ' || doc_id AS t FROM documents)"
 # Each takes a table d of (doc_id, text, u, t).
 _PARENTS_OF = r"""
@@ -45,6 +47,11 @@ o AS (SELECT unnest(seen) AS page_id, unnest(range(0, len(seen))) AS doc_id FROM
 d AS (SELECT o.doc_id, {_ARTICLE} AS text, 'https://docs.example.org/p/' || page_id AS u, {_TITLE.replace('{html}', 'html')} AS t FROM o JOIN pages USING (page_id)),{_CHILDREN_OF},
 m AS (SELECT *, row_number() OVER (ORDER BY doc_id, pid) - 1 AS parent, length(x) AS parent_chars FROM p),
 b AS (SELECT row_number() OVER (ORDER BY c.doc_id, c.pid, c.ordinal) - 1 AS doc, m.parent AS pid, c.t, c.u, c.x, length(c.x) AS chars, m.parent_chars FROM c JOIN m ON m.doc_id = c.doc_id AND m.pid = c.pid)"""
+# The three versions of a site: vv(version, page_id, html); then pages, parents and children of a version.
+_VERSIONS = """vv AS (SELECT 0 AS version, page_id, html FROM pages WHERE page_id % 5 <> 4
+  UNION ALL SELECT 1, page_id, CASE WHEN page_id % 3 = 0 THEN replace(html, '</article>', '<p>This page was revised once, and that is all that happened to it.</p></article>') ELSE html END FROM pages WHERE page_id % 7 <> 1
+  UNION ALL SELECT 2, page_id, CASE WHEN page_id % 3 = 0 THEN replace(html, '</article>', '<p>This page was revised again, now for good, in the third version.</p></article>') WHEN page_id % 4 = 1 THEN replace(html, '</article>', '<p>Another remark.</p></article>') ELSE html END FROM pages WHERE page_id % 11 <> 2)"""
+_VERSION_PAGES = f"d AS (SELECT version * 1000000000 + page_id AS doc_id, {_ARTICLE} AS text, 'https://docs.example.org/p/' || page_id AS u, {_TITLE.replace('{html}', 'html')} AS t FROM vv WHERE {{which}}),{_CHILDREN_OF}"
 _TERMS = "d AS (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{3,}') AS terms FROM documents)"
 _TF = _TERMS + ", tf AS (SELECT term, doc, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) GROUP BY term, doc)"
 _VECS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -138,5 +145,34 @@ SELECT query_id, doc, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM
   CASE WHEN regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') THEN 'email' END, CASE WHEN regexp_matches(text, '(?i)\b(?:mrn|medical record)\b\D{0,12}\d{5,}') THEN 'record_number' END,
   CASE WHEN regexp_matches(text, '(?i)\b(?:dob|date of birth|born)\b\D{0,12}\d{1,4}[/-]\d{1,2}[/-]\d{1,4}') THEN 'birth_date' END], lambda x: x IS NOT NULL) AS flags FROM documents)
 SELECT doc_id, array_to_string(flags, ',') AS flags FROM f WHERE len(flags) > 0""",
+    "document_keywords": rf"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?\n]+'), lambda s: list_filter(list_transform(string_split_regex(s, '[,;:()\[\]"]+'), lambda p: regexp_extract_all(p, '{_WORD}')), lambda p: len(p) > 0)), lambda s: len(s) > 0) AS ss FROM documents),
+s AS (SELECT doc_id, len(ss) AS n, unnest(range(0, len(ss))) AS si, unnest(ss) AS ps FROM d),
+p AS (SELECT doc_id, n, si, unnest(range(0, len(ps))) AS pi, unnest(ps) AS ws FROM s),
+w AS (SELECT doc_id, n, si, pi, unnest(range(0, len(ws))) AS ti, unnest(ws) AS w FROM p),
+k AS (SELECT *, lower(w) AS term, lag(lower(w)) OVER o AS l, lead(lower(w)) OVER o AS r, length(w) > 2 AND NOT lower(w) IN ({', '.join(f"'{x}'" for x in STOP_WORDS)}) AND regexp_matches(w, '[^0-9]') AS ok,
+  length(w) > 1 AND w = upper(w) AND w <> lower(w) AS acronym, left(w, 1) <> lower(left(w, 1)) AND (pi > 0 OR ti > 0) AS capital FROM w WINDOW o AS (PARTITION BY doc_id, si, pi ORDER BY ti)),
+t AS (SELECT doc_id, n, term, count(*) AS tf, greatest(count(*) FILTER (capital AND NOT acronym), count(*) FILTER (acronym)) AS c, count(DISTINCT si) AS sf, median(si) AS med,
+  coalesce(count(DISTINCT l) / nullif(count(l), 0), 0) + coalesce(count(DISTINCT r) / nullif(count(r), 0), 0) AS apart FROM k WHERE ok GROUP BY doc_id, n, term),
+f AS (SELECT doc_id, term, c / (1 + ln(tf)) AS c, tf / (avg(tf) OVER o + stddev_pop(tf) OVER o) AS f, 1 + apart * tf / max(tf) OVER o AS r, ln(ln(3 + med)) AS m, sf / n AS d FROM t WINDOW o AS (PARTITION BY doc_id)),
+v AS (SELECT doc_id, term, m * r / (c + f / r + d / r) AS s FROM f),
+x AS (SELECT k.doc_id, si, pi, ti, k.term, ok, v.s FROM k LEFT JOIN v ON k.doc_id = v.doc_id AND k.term = v.term),
+g AS (SELECT doc_id, ok AS o1, term AS t1, s AS s1, lead(ok) OVER o AS o2, lead(term) OVER o AS t2, lead(s) OVER o AS s2, lead(ok, 2) OVER o AS o3, lead(term, 2) OVER o AS t3, lead(s, 2) OVER o AS s3 FROM x WINDOW o AS (PARTITION BY doc_id, si, pi ORDER BY ti)),
+c AS (SELECT doc_id, t1 AS keyword, s1 AS product, s1 AS total FROM g WHERE o1 UNION ALL SELECT doc_id, t1 || ' ' || t2, s1 * s2, s1 + s2 FROM g WHERE o1 AND o2 UNION ALL SELECT doc_id, t1 || ' ' || t2 || ' ' || t3, s1 * s2 * s3, s1 + s2 + s3 FROM g WHERE o1 AND o2 AND o3),
+q AS (SELECT doc_id, keyword, round(any_value(product) / (count(*) * (1 + any_value(total))), 9) AS score, CASE WHEN length(keyword) < 2 THEN [keyword] ELSE list_distinct(list_transform(range(1, length(keyword)), lambda i: substr(keyword, i, 2))) END AS b FROM c GROUP BY doc_id, keyword),
+l AS (SELECT doc_id, list([{{'s': score, 'k': keyword, 'b': b}}] ORDER BY score, keyword) AS l FROM q GROUP BY doc_id),
+h AS (SELECT doc_id, list_reduce(l, lambda a, y: CASE WHEN len(a) >= 10 OR len(list_filter(a, lambda z: 200 * len(list_intersect(z.b, y[1].b)) >= 80 * (len(z.b) + len(y[1].b)))) > 0 THEN a ELSE list_concat(a, y) END) AS h FROM l)
+SELECT doc_id, unnest(range(1, len(h) + 1)) AS rank, unnest(list_transform(h, lambda y: y.k)) AS keyword, unnest(list_transform(h, lambda y: y.s)) AS score FROM h""",
+    "delta_index": f"""WITH RECURSIVE {_VERSIONS}, {_VERSION_PAGES.replace('{which}', 'version = 2')},
+m AS (SELECT doc_id, pid, row_number() OVER (ORDER BY doc_id, pid) - 1 AS parent FROM p)
+SELECT row_number() OVER (ORDER BY c.doc_id, c.pid, c.ordinal) - 1 AS doc, m.parent AS pid, c.u, sha256(c.x) AS x_sha256, 384::BIGINT AS dims FROM c JOIN m ON m.doc_id = c.doc_id AND m.pid = c.pid""",
+    "delta_terms": f"""WITH RECURSIVE {_VERSIONS}, {_VERSION_PAGES.replace('{which}', 'version = 2')},
+i AS (SELECT row_number() OVER () AS doc, regexp_extract_all(lower(t || ' ' || x), '[a-z0-9]{{3,}}') AS terms FROM c) SELECT term, count(DISTINCT doc) AS df FROM (SELECT doc, unnest(terms) AS term FROM i) GROUP BY term""",
+    "delta_history": f"""WITH RECURSIVE {_VERSIONS}, {_VERSION_PAGES.replace('{which}', 'true')},
+f AS (SELECT a.version, a.page_id FROM vv a LEFT JOIN vv b ON b.version = a.version - 1 AND b.page_id = a.page_id WHERE b.html IS DISTINCT FROM a.html),
+g AS (SELECT b.version + 1 AS version, count(*) AS dead FROM vv b LEFT JOIN vv a ON b.version = a.version - 1 AND b.page_id = a.page_id WHERE b.version < 2 AND b.html IS DISTINCT FROM a.html GROUP BY b.version),
+kk AS (SELECT f.version, CASE WHEN t = '' THEN x ELSE t || chr(10) || x END AS y FROM c JOIN f ON c.doc_id = f.version * 1000000000 + f.page_id),
+e AS (SELECT version, count(*) AS embedded FROM (SELECT y, min(version) AS version FROM kk GROUP BY y) GROUP BY version)
+SELECT n.version::INT AS segment_id, n.pages, coalesce(g.dead, 0) AS dead, coalesce(q.chunks, 0) AS chunks, coalesce(e.embedded, 0) AS embedded FROM (SELECT version, count(*) AS pages FROM f GROUP BY version) n
+LEFT JOIN g ON g.version = n.version LEFT JOIN (SELECT version, count(*) AS chunks FROM kk GROUP BY version) q ON q.version = n.version LEFT JOIN e ON e.version = n.version""",
     "caption_texts": "SELECT 'https://video.example.org/' || conv_id || '.txt' AS url, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS body_sha256 FROM conversations GROUP BY conv_id",
 }

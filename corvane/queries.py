@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import urls, vectors
 from .functions.text import tokens
-from .operators import bm25, cache, calibration, chunking, crawl, dedup, embedding, metadata, pages, retrieval
+from .operators import bm25, cache, calibration, chunking, crawl, dedup, embedding, keywords, metadata, pages, retrieval
+from .operators.segments import Segments
 from .plans.build import build_index
-from .session import keep, spread
+from .session import keep, shared_path, spread
 from .sources import files
 
 DOC_BASE = "https://github.com/org/repo/blob/main/docs/doc-"
@@ -310,9 +311,43 @@ def caption_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("url", F.sha2("body", 256).alias("body_sha256"))
 
 
+def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten keywords of each document."""
+    return keywords.keywords(table(spark, sf_dir, "documents"))
+
+
+def _three_versions(spark: SparkSession, sf_dir: str) -> Segments:
+    """A site in three versions: pages come, change (once and back, once for good) and go."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.concat(F.lit("https://docs.example.org/p/"), F.col("page_id").cast("string")).alias("url"), F.col("html").alias("body"))
+    m = lambda k: F.col("ord") % k
+    said = lambda text: F.replace("body", F.lit("</article>"), F.lit(f"<p>{text}</p></article>"))
+    held = Segments(spark, shared_path(spark, "segments"), generic=["article"])
+    held.apply(p.filter(m(5) != 4))
+    held.apply(p.filter(m(7) != 1).withColumn("body", F.when(m(3) == 0, said("This page was revised once, and that is all that happened to it.")).otherwise(F.col("body"))))
+    held.apply(p.filter(m(11) != 2).withColumn("body", F.when(m(3) == 0, said("This page was revised again, now for good, in the third version.")).when(m(4) == 1, said("Another remark.")).otherwise(F.col("body"))))
+    return held
+
+
+def delta_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index after two deltas, numbered as one that is built anew."""
+    _, chunks = _three_versions(spark, sf_dir).compact()
+    return chunks.select("doc", "pid", "u", F.sha2("x", 256).alias("x_sha256"), F.size("embedding").cast("bigint").alias("dims"))
+
+
+def delta_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies after two deltas, by adding and taking away."""
+    return _three_versions(spark, sf_dir).document_frequencies()
+
+
+def delta_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each delta read and embedded."""
+    return _three_versions(spark, sf_dir).history()
+
+
 QUERIES = {f.__name__: f for f in (
     url_parts, url_scope, url_filters, git_files, page_titles, page_links, page_sections, page_chunks, markdown_sections, parent_chunks, child_chunks, chunk_positions,
     token_lists, bm25_doc_lengths, bm25_document_frequencies, bm25_postings, bm25_statistics, bm25_child_frequencies, quantised_vectors, near_duplicate_edges,
     greedy_near_duplicates, compacted_parents, calibration_stats, calibration_all, hash_embeddings, cache_revalidation, cache_after_fetch, changed_pages, crawl_order,
     crawl_limited, site_crawl, index_manifest, bm25_search, cosine_search, fused_search, calibrated_matches, parent_lookup, parent_metadata, privacy_review, caption_texts,
+    document_keywords, delta_index, delta_terms, delta_history,
 )}
