@@ -93,6 +93,11 @@ k AS (SELECT page_id, url, place::BIGINT AS place, """
     + " AS link FROM j)"
 )
 
+_BM25_SEARCH = f"""WITH {_TF}, n AS (SELECT count(*) AS n, avg(len(terms)) AS a FROM d), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS term FROM benchmark),
+s AS (SELECT query_id, tf.doc, round(sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * (0.5 + tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len(d.terms) / n.a)))), 6) AS score FROM q JOIN f USING (term) JOIN tf USING (term) JOIN d ON d.doc = tf.doc, n GROUP BY query_id, tf.doc)
+SELECT query_id, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10"""
+
 ORACLE = {
     "url_parts": f"SELECT page_id, {_fmt(_NORMALISE)} AS normalised, {_fmt(_ORIGIN)} AS origin, lower({_fmt(_NETLOC)}) AS host, {_fmt(_PATH)} AS path, CASE WHEN {_fmt(_GIT_HOST)} THEN 'code' WHEN contains(lower(url), 'teamdynamix.') THEN 'kb' ELSE 'page' END AS kind, {_fmt(_GIT_HOST)} AS git_host, contains(lower(url), 'teamdynamix.') AS portal FROM pages",
     "url_scope": f"""WITH {_LINKS}, s AS (SELECT *, {_fmt(_ORIGIN)} AS o, regexp_extract(url, '/TDClient/[0-9]+/[^/]+/') AS x, regexp_matches(link, '(?i)(?:example\\.(com|org)/)') AS i, regexp_matches(link, '(?i){ASSET}') AS asset, regexp_matches(link, '{_ANY(CRAWL_EXCLUDES)}') AS e FROM k)
@@ -128,10 +133,9 @@ SELECT doc_id, url, regexp_matches(url, '(?i){ASSET}') AS asset, regexp_matches(
     "index_manifest": f"""WITH RECURSIVE {_SITE}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc) AS copy FROM b) WHERE copy = 1),
 y AS (SELECT count(DISTINCT term) AS terms FROM (SELECT unnest(regexp_extract_all(lower(t || ' ' || x), '[a-z0-9]{{3,}}')) AS term FROM f))
 SELECT count(*) AS chunks, count(DISTINCT u) AS sources, count(DISTINCT pid) AS parents, any_value(terms) AS terms, least(count(*), 500) AS sample_size, (SELECT t FROM d WHERE doc_id = 0) AS site FROM f, y""",
-    "bm25_search": f"""WITH {_TF}, n AS (SELECT count(*) AS n, avg(len(terms)) AS a FROM d), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS term FROM benchmark),
-s AS (SELECT query_id, tf.doc, round(sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * (0.5 + tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len(d.terms) / n.a)))), 6) AS score FROM q JOIN f USING (term) JOIN tf USING (term) JOIN d ON d.doc = tf.doc, n GROUP BY query_id, tf.doc)
-SELECT query_id, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""",
+    "bm25_search": _BM25_SEARCH,
+    "bm25_block_search": _BM25_SEARCH,
+    "posting_blocks": f"WITH {_TF} SELECT term, count(*) AS postings, min(doc) AS first, max(doc) AS last, true AS bounded FROM tf GROUP BY term",
     "cosine_search": f"WITH {_QV} SELECT query_id, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM (SELECT query_id, vec_id AS doc, round(list_dot_product(q.e, v.e), 9) AS score FROM q, v)) WHERE rank <= 10",
     "fused_search": f"""WITH {_QV}, i AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(-127, least(127, round_even((x * 127::FLOAT)::DOUBLE, 0)))::DOUBLE / 127) AS e FROM embeddings),
 a AS (SELECT query_id, vec_id AS doc, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q.e, v.e), 9) DESC, vec_id) AS r FROM q, v),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import urls, vectors
 from .functions.text import tokens
-from .operators import bm25, cache, calibration, chunking, crawl, dedup, embedding, keywords, metadata, pages, retrieval
+from .operators import bm25, cache, calibration, chunking, crawl, dedup, embedding, keywords, metadata, pages, postings, retrieval
 from .operators.segments import Segments
 from .plans.build import build_index
 from .session import keep, shared_path, spread
@@ -260,6 +260,26 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), 10)
 
 
+def _block_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int, float]:
+    terms = keep(_terms(spark, sf_dir), "terms")
+    stats = bm25.statistics(bm25.doc_lengths(terms)).first()
+    index = keep(postings.blocks(terms, stats["avg_doc_len"]), "posting-blocks")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index, queries, index.groupBy("term").agg(F.sum("n").alias("df")), stats["docs"], stats["avg_doc_len"]
+
+
+def bm25_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_search over blocks of postings, most of which are skipped."""
+    scores = postings.search(*_block_index(spark, sf_dir))
+    return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), 10)
+
+
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each term's postings over all blocks, and its longest block."""
+    index, *_ = _block_index(spark, sf_dir)
+    return index.groupBy("term").agg(F.sum("n").alias("postings"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max("n") <= postings.BLOCK_DOCS).alias("bounded"))
+
+
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
@@ -349,5 +369,5 @@ QUERIES = {f.__name__: f for f in (
     token_lists, bm25_doc_lengths, bm25_document_frequencies, bm25_postings, bm25_statistics, bm25_child_frequencies, quantised_vectors, near_duplicate_edges,
     greedy_near_duplicates, compacted_parents, calibration_stats, calibration_all, hash_embeddings, cache_revalidation, cache_after_fetch, changed_pages, crawl_order,
     crawl_limited, site_crawl, index_manifest, bm25_search, cosine_search, fused_search, calibrated_matches, parent_lookup, parent_metadata, privacy_review, caption_texts,
-    document_keywords, delta_index, delta_terms, delta_history,
+    document_keywords, delta_index, delta_terms, delta_history, bm25_block_search, posting_blocks,
 )}
