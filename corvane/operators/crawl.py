@@ -12,23 +12,64 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..schemas import DEFAULT_SITE, MAX_PAGES, ChunkSizes
-from ..session import keep
+from ..session import keep, shared_path
 from .chunking import children, number_children, number_parents, parents
 from .pages import read_pages
 from .positions import with_positions
 
 
+#: Buckets of visited URLs, and rows of a level up to which they are looked up in memory (20 MB at most).
+BUCKETS, HELD_ROWS = 16, 100_000
+
+
+class _Visited:
+    """Visited URLs as parts that are only added to, in buckets by URL; parts of like size are merged, so there are few, and a URL is written as often as the logarithm of their number."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.parts = spark, []
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema("url string, visit_seq bigint, bucket int").parquet(*paths) if len(paths) == 1 else self._rows(paths[:1]).unionByName(self._rows(paths[1:]))
+
+    def _write(self, rows: DataFrame) -> str:
+        path = shared_path(self.spark, "visited")
+        rows.withColumn("bucket", _bucket("url")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        return path
+
+    def add(self, rows: DataFrame, n: int) -> None:
+        self.parts.append((self._write(rows), n))
+        while len(self.parts) > 1 and self.parts[-2][1] <= 2 * self.parts[-1][1]:
+            (one, a), (two, b) = self.parts[-2:]
+            self.parts[-2:] = [(self._write(self._rows([one, two]).drop("bucket")), a + b)]
+
+    def rows(self) -> DataFrame:
+        return self._rows([p for p, _ in self.parts]).select("url", "visit_seq")
+
+    def known(self, links: DataFrame, n: int) -> DataFrame:
+        """Those of n distinct links that are visited. The visited rows of their buckets are read, but not moved if the links are few."""
+        some = [r[0] for r in links.select(_bucket("link")).distinct().collect()]  # at most BUCKETS
+        rows = self._rows([p for p, _ in self.parts]).filter(F.col("bucket").isin(some)).select(F.col("url").alias("link"))
+        return rows.join(F.broadcast(links.select("link")) if n <= HELD_ROWS else links.select("link"), "link", "left_semi")
+
+
+def _bucket(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 def walk(spark: SparkSession, links: DataFrame, seed: str, max_pages: int | None = MAX_PAGES, scope: Column | None = None) -> DataFrame:
     """(url, visit_seq) of visited pages. links: (url, place, link), one row for each link in page order; scope: a predicate on `link`; max_pages None: no limit."""
     edges = links.filter("link is not null")
     edges = edges if scope is None else edges.filter(scope)
     level = spark.createDataFrame([(seed, 0)], "url string, visit_seq bigint")
     most = float("inf") if max_pages is None else max_pages
-    visited, n = level if most >= 1 else level.limit(0), min(1, most)
-    queued = level.select("url")
+    visited, n = _Visited(spark), min(1, most)
+    visited.add(level if n else level.limit(0), n)
     while 0 < n < most:
-        named = edges.join(level, "url").groupBy("link").agg(F.min(F.struct("visit_seq", "place")).alias("_first"))
-        fresh = named.join(queued, named["link"] == queued["url"], "left_anti")
+        named = keep(edges.join(level, "url").groupBy("link").agg(F.min(F.struct("visit_seq", "place")).alias("_first")), "named")
+        met = named.count()
+        if not met:
+            break
+        fresh = named.join(visited.known(named, met), "link", "left_anti")
         numbered = with_positions(fresh.select(F.col("link").alias("url"), F.col("_first.visit_seq").alias("_by"), F.col("_first.place").alias("_place")), ["_by", "_place", "url"], "_rank")
         numbered = numbered if max_pages is None else numbered.filter(F.col("_rank") < max_pages - n)
         level = keep(numbered.select("url", (F.col("_rank") + n).alias("visit_seq")), "level")
@@ -36,9 +77,8 @@ def walk(spark: SparkSession, links: DataFrame, seed: str, max_pages: int | None
         if not more:
             break
         n += more
-        visited = keep(visited.unionByName(level), "visited")
-        queued = visited.select("url")  # what a level leaves out is beyond max_pages, so it is never reached
-    return visited
+        visited.add(level, more)  # what a level leaves out is beyond max_pages, so it is never reached
+    return visited.rows()
 
 
 def crawl(spark: SparkSession, web: DataFrame, seed: str, max_pages: int | None = MAX_PAGES, includes: list[str] = (), crawl_excludes: list[str] | None = None, index_excludes: list[str] | None = None, sizes: ChunkSizes = ChunkSizes(), generic: list[str] | None = None) -> tuple[DataFrame, DataFrame, str]:

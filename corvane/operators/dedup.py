@@ -1,11 +1,12 @@
 """Greedy near-duplicate collapse of vectors, and compaction of what is left.
 
 In position order a row goes if its dot product with some row that stayed is above the threshold. Edges (pairs above it)
-come from exact products of bounded blocks. Every vector belongs to the nearest of a bounded number of pivots (one for each block of vectors, 64 at most); vectors
+come from exact products of bounded blocks. Every vector belongs to the nearest of a bounded number of pivots (one for each block of vectors, 512 at most); vectors
 above the threshold are within sqrt(2 r**2 - 2 threshold) of each other, r being the greatest norm, so two pivots whose
 distance less their radii is more than that have no pair, and are left out. What is left is cut into cells of two blocks
 each, dealt out over tasks; a cell is one matrix product and emits its edges only. How many cells are left depends on
-the data: among vectors without clusters, or at a low threshold, it is all of them, n * n / 2 products.
+the data: among vectors without clusters, or at a low threshold, it is all of them, n * n / 2 products. Vectors of up to
+`held_bytes` in all need none of this: every task holds them and multiplies its rows by all.
 
 The greedy result is the lexicographically first maximal independent set of the edge graph, found in rounds.
 """
@@ -17,20 +18,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..schemas import NEAR_DUP_COSINE
-from ..session import keep
+from ..session import keep, spread
 from .blocks import BLOCK, by_cell, matrix
 from .positions import with_positions
 
 #: Vectors that stand for a group.
-PIVOTS = 64
+PIVOTS = 512
+#: Vectors that every task may hold.
+HELD_BYTES = 32 << 20
 
 
-def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "pos", vec: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def _pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and of y whose dot product is above the threshold; close ones are added up in component order."""
+    value = x @ y.T
+    p, q = np.nonzero(value > threshold - 1e-9)
+    ok = np.ones(len(p), bool)
+    for k in np.flatnonzero(value[p, q] < threshold + 1e-9).tolist():
+        ok[k] = np.cumsum(x[p[k]] * y[q[k]])[-1] > threshold
+    return p[ok], q[ok]
+
+
+def _held_edges(v: DataFrame, threshold: float) -> DataFrame:
+    """near_edges of few vectors (pos, vec)."""
+    t = v.toArrow().combine_chunks()  # at most held_bytes of vectors
+    size = pc.list_value_length(t["vec"]).to_numpy()
+    groups = {int(d): t.filter(pa.array(size == d)).combine_chunks() for d in np.unique(size)}
+    held = v.sparkSession.sparkContext.broadcast({d: (g["pos"].combine_chunks().to_numpy(), matrix(g["vec"].combine_chunks())) for d, g in groups.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for d, (where, known) in held.value.items():
+                same = batch.filter(pa.array(size == d))
+                for lo in range(0, same.num_rows, 1024):
+                    part = same.slice(lo, 1024)
+                    p, q = _pairs(matrix(part.column(1)), known, threshold)
+                    a, b = part.column(0).to_numpy()[p], where[q]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], ["a", "b"])
+
+    return spread(v).mapInArrow(run, "a bigint, b bigint")
+
+
+def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "pos", vec: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(a, b), a < b: positions whose dot product is above the threshold (strictly). Null vectors, and pairs of different lengths, have none."""
     spark = vecs.sparkSession
     v = vecs.select(F.col(pos).cast("bigint").alias("pos"), F.col(vec).cast("array<double>").alias("vec")).filter("pos is not null and vec is not null and size(vec) > 0")
@@ -38,6 +73,8 @@ def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "
     reach = 2 * float(top["n"] or 0.0) - 2 * threshold
     if top["d"] is None or reach <= 0:
         return v.select(F.col("pos").alias("a"), F.col("pos").alias("b")).limit(0)
+    if 8 * top["d"] * top["rows"] <= held_bytes:
+        return _held_edges(v, threshold)
     near, dims = math.sqrt(reach) * (1 + 1e-9) + 1e-9, top["d"]
     held = v.filter(F.size("vec") == dims).orderBy(F.xxhash64("pos"), "pos").limit(min(pivots, top["rows"] // block + 1)).collect()  # at most `pivots` vectors
     centre = spark.sparkContext.broadcast(np.array([r["vec"] for r in held]))
@@ -79,14 +116,8 @@ def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "
         rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         for lo in range(0, len(rows), 1024):
             some = rows[lo : lo + 1024]
-            value = x[some] @ x[cols].T
-            p, q = np.nonzero(value > threshold - 1e-9)
-            close = np.flatnonzero(value[p, q] < threshold + 1e-9)
-            p, q = some[p], cols[q]
-            ok = np.ones(len(p), bool)
-            for k in close.tolist():  # in component order
-                ok[k] = np.cumsum(x[p[k]] * x[q[k]])[-1] > threshold
-            a, b = where[p[ok]], where[q[ok]]
+            p, q = _pairs(x[some], x[cols], threshold)
+            a, b = where[some[p]], where[cols[q]]
             if t.column(0)[0] == t.column(1)[0] and t.column(2)[0] == t.column(3)[0]:
                 a, b = a[a < b], b[a < b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +88,35 @@ def title_of(title: Column, h1: Column, url: Column) -> Column:
     return F.when(title.isNotNull(), urls.page_title(from_title, url)).when(h1.isNotNull(), urls.page_title(h1, url)).when(urls.is_git_text(url), urls.blob_title(url)).otherwise("Untitled")
 
 
+def form_of(url: Column, raw: Column | None = None) -> Column:
+    """html, markdown or text; raw as in read_pages."""
+    raw = urls.is_git_text(url) if raw is None else raw
+    markdown = F.lower(url).endswith(".md") | F.lower(url).endswith(".markdown")
+    return F.when(~raw, "html").when(markdown, "markdown").otherwise("text")
+
+
+def prepared(pages: DataFrame, url: str = "url", body: str = "body", generic: list[str] | None = None) -> DataFrame:
+    """pages with what page_sections takes: url, body, form, selectors, noise, need_text."""
+    u = F.col(url)
+    rest = [c for c in pages.columns if c not in (url, body, "form", "selectors", "noise", "need_text", "_p")]
+    return spread(pages).withColumn("_p", profile(u, generic)).select(*rest, u.alias("url"), F.col(body).alias("body"), form_of(u).alias("form"), "_p.selectors", "_p.noise", "_p.need_text")
+
+
+@F.udtf(returnType="place bigint, heading string, text string", useArrow=True)
+class PageSections:
+    """A page's sections as rows; none without content or body."""
+
+    def eval(self, url: str, body: str, form: str, selectors: list, noise: list, need_text: bool):
+        found = _walk(url, body, form, list(selectors or []), list(noise or []), need_text)
+        for place, s in enumerate((found or {}).get("sections") or []):
+            yield place, s["heading"], s["text"]
+
+
+def register_sections(spark: SparkSession) -> None:
+    """SQL function page_sections, to be joined laterally with rows of prepared()."""
+    spark.udtf.register("page_sections", PageSections)
+
+
 def read_pages(pages: DataFrame, url: str = "url", body: str = "body", generic: list[str] | None = None, raw: Column | None = None) -> DataFrame:
     """pages with site_title (before noise goes), title, links (resolved, normalised, in order, with repeats) and sections (null if no content) added.
 
@@ -95,10 +124,7 @@ def read_pages(pages: DataFrame, url: str = "url", body: str = "body", generic:
     A null body gives nulls.
     """
     u, b = F.col(url), F.col(body)
-    raw = urls.is_git_text(u) if raw is None else raw
-    markdown = F.lower(u).endswith(".md") | F.lower(u).endswith(".markdown")
-    form = F.when(~raw, "html").when(markdown, "markdown").otherwise("text")
-    p = profile(u, generic)
+    form, p = form_of(u, raw), profile(u, generic)
     df = spread(pages).withColumn("_d", _walked(u, b, form, p["selectors"], p["noise"], p["need_text"]))
     links = F.filter(F.transform(F.col("_d.links"), urls.normalise), lambda x: x != "")
     return df.select(*pages.columns, title_of(F.col("_d.title"), F.col("_d.h1"), u).alias("site_title"), title_of(F.col("_d.title_left"), F.col("_d.h1_left"), u).alias("title"), links.alias("links"), F.col("_d.sections").alias("sections"))

@@ -37,11 +37,11 @@ def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scores.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def cosine_scores(queries: DataFrame, rows: DataFrame, vec: str = "embedding", key: str = "doc", best: int | None = None, slack: float = 1e-6, held_bytes: int = HELD_BYTES, block: int = BLOCK) -> DataFrame:
+def cosine_scores(queries: DataFrame, rows: DataFrame, vec: str = "embedding", key: str = "doc", best: int | None = None, floor: float | None = None, slack: float = 1e-6, held_bytes: int = HELD_BYTES, block: int = BLOCK) -> DataFrame:
     """(query_id, doc, score): dot products of a given set of queries (query_id, vector) with all rows, in blocks.
 
     With `best`, each block leaves out what can't be among a query's best: scores of more than `slack` below the best-th of
-    the block; top_k takes the rest. Queries of at most held_bytes are held by every task, and rows are not shuffled;
+    the block; top_k takes the rest. With `floor`, scores of more than `slack` below it are left out. Queries of at most held_bytes are held by every task, and rows are not shuffled;
     more of them are cut into blocks, as rows are, and each pair of blocks is one cell, dealt out over tasks. Null and
     empty vectors, and pairs of different lengths, have no score.
     """
@@ -59,6 +59,8 @@ def cosine_scores(queries: DataFrame, rows: DataFrame, vec: str = "embedding", k
                 least = np.full(len(dots), -np.inf)
                 if best is not None and dots.shape[1] > best:
                     least = np.partition(dots, -best, axis=1)[:, -best] - slack
+                if floor is not None:
+                    least = np.maximum(least, floor - slack)
                 i, j = np.nonzero(dots >= least[:, None])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + i)), docs.take(pa.array(lo + j)), pa.array(dots[i, j])], ["query_id", "doc", "score"])
 

@@ -80,6 +80,31 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "title", F.posexplode("sections").alias("place", "s")).select("page_id", "title", F.col("place").cast("bigint").alias("place"), "s.heading", "s.text")
 
 
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of every kind that has a rule of its own for where content is, made from the titles of pages."""
+    said, i = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.col("page_id").cast("string")
+    boxes = ['<div id="divMainContent">', '<div class="wide markdown-body">', '<div class="markdown-body">', '<div class="markdown-body">', "", "<main>"]
+    links = ["https://corp.teamdynamix.com/TDClient/12/Portal/KB/ArticleDet?ID=", "https://github.com/org/repo/wiki/Page-", "https://github.com/org/repo/releases/tag/v", "https://github.com/org/repo/issues/", "https://github.com/org/repo/blob/main/docs/page-", "https://docs.example.org/p/"]
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % 6 + 1).cast("int"))
+    markdown = F.col("page_id") % 6 == 4
+    page = F.concat(F.lit("<html><head><title>Article - "), said, F.lit("</title></head><body><nav>menu</nav>"), pick(boxes), F.lit("<p>Intro of page "), i, F.lit(".</p><h2>First "), said, F.lit("</h2><p>"), said, F.lit('</p><div class="breadcrumb">no</div><p>End.</p><h3>Second</h3><p>Last words.</p></div></main><footer>foot</footer></body></html>'))
+    text = F.concat(F.lit("# Page "), i, F.lit("\n\nIntro of page "), i, F.lit(".\n\n## First\n\nSome words.\n\n### Second\n\nLast words.\n"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(pick(links), i, F.when(markdown, ".md").otherwise("")).alias("url"), F.when(markdown, text).otherwise(page).alias("body"))
+
+
+def content_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with headings of portal, wiki, release, other code-host, Markdown and generic pages; those without content have one row of nulls."""
+    found = pages.read_pages(_branches(spark, sf_dir))
+    return found.select("page_id", "site_title", "title", F.posexplode_outer("sections").alias("place", "s")).select("page_id", "site_title", "title", F.col("place").cast("bigint").alias("place"), "s.heading", "s.text")
+
+
+def section_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_sections in SQL: a table function joined laterally."""
+    pages.register_sections(spark)
+    pages.prepared(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body")), generic=["article"]).createOrReplaceTempView("corvane_prepared_pages")
+    return spark.sql("SELECT p.page_id, s.place, s.heading, s.text FROM corvane_prepared_pages p, LATERAL page_sections(p.url, p.body, p.form, p.selectors, p.noise, p.need_text) s")
+
+
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.read_pages(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body")), generic=["article"])
     return chunking.children(chunking.parents(found, "page_id").withColumnRenamed("local_pid", "pid"))
@@ -304,7 +329,8 @@ def calibrated_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     n = v.count()
     c = calibration.calibrate(v, n, sample=n, pos="vec_id").first()
-    scores = retrieval.cosine_scores(_query_vectors(spark, sf_dir), v, key="vec_id").filter(F.col("query_id") != F.col("doc"))
+    floor = c["mean"] - 1.001 * c["std"]  # below what z > -1 needs, whatever the rounding
+    scores = retrieval.cosine_scores(_query_vectors(spark, sf_dir), v, key="vec_id", floor=floor).filter(F.col("query_id") != F.col("doc"))
     z = retrieval.z_score(F.col("score"), c["mean"], c["std"])
     return scores.withColumn("z", F.round(z, 4)).filter("z > -1").select("query_id", "doc", "z")
 
@@ -369,5 +395,5 @@ QUERIES = {f.__name__: f for f in (
     token_lists, bm25_doc_lengths, bm25_document_frequencies, bm25_postings, bm25_statistics, bm25_child_frequencies, quantised_vectors, near_duplicate_edges,
     greedy_near_duplicates, compacted_parents, calibration_stats, calibration_all, hash_embeddings, cache_revalidation, cache_after_fetch, changed_pages, crawl_order,
     crawl_limited, site_crawl, index_manifest, bm25_search, cosine_search, fused_search, calibrated_matches, parent_lookup, parent_metadata, privacy_review, caption_texts,
-    document_keywords, delta_index, delta_terms, delta_history, bm25_block_search, posting_blocks,
+    document_keywords, delta_index, delta_terms, delta_history, bm25_block_search, posting_blocks, content_branches, section_lateral,
 )}

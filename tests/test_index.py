@@ -59,6 +59,7 @@ def test_greedy_collapse(spark, thr):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "pos long, embedding array<double>")
     edges = {(r["a"], r["b"]) for r in dedup.near_edges(df, thr).collect()}
+    assert edges == {(r["a"], r["b"]) for r in dedup.near_edges(df, thr, held_bytes=0).collect()}
     assert edges == {(i, j) for j in range(150) for i in range(j) if v[i] @ v[j] > thr}
     assert sorted(r["pos"] for r in dedup.drop_near_duplicates(df, thr).collect()) == greedy(v, thr)
 
@@ -72,7 +73,7 @@ def test_edges_of_pivots_and_blocks(spark, thr):
     v[7] = v[100]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (301, []), (302, [1.0, 0.0]), (303, [1.0, 0.1]), (304, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "pos long, embedding array<double>").repartition(3)
-    edges = Counter((r["a"], r["b"]) for r in dedup.near_edges(df, thr, block=16).collect())
+    edges = Counter((r["a"], r["b"]) for r in dedup.near_edges(df, thr, block=16, held_bytes=0).collect())
     assert edges == Counter((i, j) for j in range(240) for i in range(j) if v[i] @ v[j] > thr) + Counter({(302, 303): 1})
 
 
@@ -140,7 +141,8 @@ def test_nothing_to_collapse(spark):
 
 def test_threshold_is_strict(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.6, 0.0])], "pos long, embedding array<double>")
-    assert {(r["a"], r["b"]) for r in dedup.near_edges(df, 0.5).collect()} == {(0, 2)}
+    for held in (0, dedup.HELD_BYTES):
+        assert {(r["a"], r["b"]) for r in dedup.near_edges(df, 0.5, held_bytes=held).collect()} == {(0, 2)}
 
 
 def test_parents_are_compacted(spark):
