@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import classifier, decontaminate, linededup, neardup, packing
-from corvane.llm.shared import new_path
+from corvane.llm.shared import new_path, scope
 from corvane.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -76,7 +76,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scope(spark):  # what the stage wrote on its way goes when its result is there
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

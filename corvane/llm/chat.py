@@ -64,12 +64,12 @@ def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """One row per conversation: conv_id, n_turns, formatted, loss_spans array<struct<start,stop>> (code points of the formatted text that are learnt: the texts of roles in `learn`), attachments, expanded_tokens (of attachments)."""
     seen = F.struct(escape(F.coalesce(F.col(text), F.lit(""))).alias("text")) if parts is None else visit_parts(F.col(parts))
     name = F.coalesce(F.col(role), F.lit(""))
-    one = messages.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.replace(escape(name), F.lit("\n"), F.lit(BREAK)).alias("_role"), name.isin(*learn).alias("_learn"), seen.alias("_seen"))
+    one = messages.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.replace(escape(name), F.lit("\n"), F.lit(BREAK)).alias("_role"), name.alias("_name"), name.isin(*learn).alias("_learn"), seen.alias("_seen"))
     more = ["attachments", "expanded"] if parts else []
-    one = one.select("_conv", "_turn", "_role", F.col("_seen.text").alias("text"), "_learn", *([F.col("_seen.attachments").alias("attachments"), F.col("_seen.expanded_tokens").alias("expanded")] if parts else []))
+    one = one.select("_conv", "_turn", "_role", "_name", F.col("_seen.text").alias("text"), unescape(F.col("_seen.text")).alias("_said"), "_learn", *([F.col("_seen.attachments").alias("attachments"), F.col("_seen.expanded_tokens").alias("expanded")] if parts else []))
     head = lambda role: F.concat(F.lit(START), role, F.lit("\n"))
     # Where each turn starts is a running sum over the same partitioning that gathers the turns, so no step copies a growing list.
-    order = Window.partitionBy("_conv").orderBy(F.col("_turn").asc_nulls_first(), "_role", "text", "_learn", *([F.to_json("attachments")] if parts else []))
+    order = Window.partitionBy("_conv").orderBy(F.col("_turn").asc_nulls_first(), "_name", "_said", "_learn", *([F.to_json("attachments")] if parts else []))
     size = F.length(head(F.col("_role"))) + F.length("text") + len(END)
     one = one.withColumn("_size", size).withColumn("_at", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size"))
     kept = one.groupBy("_conv").agg(F.sort_array(F.collect_list(F.struct("_at", "_role", "text", "_learn", *more))).alias("_m"))

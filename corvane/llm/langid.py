@@ -188,9 +188,9 @@ def _add(sums: dict[str, np.ndarray], text: pa.Array, langs: np.ndarray) -> None
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep's columns (all but the text if None) with lang_pred and score."""
+    """keep's columns (if None, all but the text, and but those of the names added) with lang_pred and score."""
     held = docs.sparkSession.sparkContext.broadcast(profiles)
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")] if keep is None else keep
     names = [f"_c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("_text"))
 

@@ -86,12 +86,24 @@ def text_stats(text: Column, docs: DataFrame, keep: dict[str, Column]) -> DataFr
     return rows.mapInArrow(run, schema)
 
 
+def rule_failures(rules: Rules) -> dict[str, Column]:
+    """Whether a document fails a rule, by rule."""
+    return {"few_words": F.col("n_words") < rules.min_words, "repeats": 100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")}
+
+
 def base_failed(rules: Rules) -> Column:
-    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+    few, repeats = rule_failures(rules).values()
+    return few | repeats
+
+
+def domain(source: Column) -> Column:
+    """Host of a URL, in lower case, without user, port and a leading www; any other name as it is."""
+    host = F.lower(F.regexp_extract(source, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    return F.when(source.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.regexp_replace(host, r"^www\.", "")).otherwise(source)
 
 
 def beta_prior(hosts: DataFrame, rules: Rules) -> tuple[float, float]:
-    """(alpha, beta) from rows host, n, f: the corpus rate, and the strength that the spread of host rates leaves."""
+    """(alpha, beta) from rows host, n, f (documents, failures): the corpus rate, and the strength that the spread of host rates leaves."""
     a = hosts.agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("n"), F.sum("f").cast("double").alias("f"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn")).first()
     if not a["n"]:
         return 0.0, 0.0
@@ -105,12 +117,18 @@ def beta_prior(hosts: DataFrame, rules: Rules) -> tuple[float, float]:
 
 
 def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(documents: id_col, host, STATS, base_failed, host_rate, kept; hosts: host, n, f, host_rate, host_rejected)."""
-    stats = stage(text_stats(F.col(text_col), docs, {id_col: F.col(id_col), "host": F.col(host_col).cast("string")}).withColumn("base_failed", base_failed(rules)), "rules")
-    hosts = stage(stats.filter("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")), "hosts")
+    """(documents: id_col, host, STATS, base_failed, host_rate, kept; hosts: host, n, f, host_rate, host_rejected, and of each rule f_<rule>, rate_<rule>: its failures and their rate, shrunk by the rule's own prior).
+
+    A document is out if it fails a rule, or if its host's rate of documents that fail any is above max_host_rate.
+    """
+    stats = stage(text_stats(F.col(text_col), docs, {id_col: F.col(id_col), "host": domain(F.col(host_col).cast("string"))}).withColumn("base_failed", base_failed(rules)), "rules")
+    hosts = stage(stats.filter("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"), *[F.sum(failed.cast("long")).alias(f"f_{name}") for name, failed in rule_failures(rules).items()]), "hosts")
     alpha, beta = beta_prior(hosts, rules)
     hosts = hosts.withColumn("host_rate", (F.col("f") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta)))
     hosts = hosts.withColumn("host_rejected", F.col("host_rate") > rules.max_host_rate)
+    for name in rule_failures(rules):
+        a, b = beta_prior(hosts.select("host", "n", F.col(f"f_{name}").alias("f")), rules)
+        hosts = hosts.withColumn(f"rate_{name}", (F.col(f"f_{name}") + F.lit(a)) / (F.col("n") + F.lit(a + b)))
     verdicts = hosts.select("host", "host_rate", "host_rejected")
     if hosts.limit(rules.broadcast_hosts + 1).count() <= rules.broadcast_hosts:
         joined = stats.join(F.broadcast(verdicts), "host", "left")

@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_dir, shared_path as new_path
+from ..session import shared_dir, shared_path
+
+__all__ = ["new_path", "release", "scope", "stage"]
+
+_open: list[list[str]] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; inside a scope it goes with the scope."""
+    path = shared_path(spark, name)
+    if _open:
+        _open[-1].append(path)
+    return path
 
-__all__ = ["new_path", "release", "stage"]
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made within, when it is left: write what is wanted before, outside of the shared tables."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -19,6 +48,4 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this module; results that were not written yet are lost with them."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))

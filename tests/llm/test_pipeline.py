@@ -110,7 +110,7 @@ def test_stages_take_awkward_rows(spark, small, name, stage):
 def test_near_dups_leave_one_of_each_group(staged):
     before, after = staged[2]
     rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-    kept = {r[0] for r in brute_components(rows, 85) if r[3]}
+    kept = {r[0] for r in brute_components(rows, 80) if r[3]}
     assert {r["doc_id"] for r in after.collect()} == kept
     assert any(shingles(t) for _, t in rows)
 
