@@ -50,7 +50,7 @@ class Settings:
     rows: int = 4
     percent: int = 80
     min_chars: int = 20
-    meets: int = 6  # shingles of their prefixes that two lines share before they are compared
+    meets: int = 1  # shingles of their prefixes that two lines share before they are compared
     block: int = 1024  # lines of a block, and bytes of their sets; a cell holds two blocks
     block_bytes: int = 8 << 20
     local: int = 32
