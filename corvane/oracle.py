@@ -114,6 +114,11 @@ r AS (SELECT page_id, m, t, unnest(CASE WHEN m = 3 THEN [NULL] WHEN m = 4 THEN [
 s AS (SELECT *, CASE WHEN m = 4 THEN 'Page ' || page_id ELSE regexp_replace(CASE WHEN m = 0 THEN t ELSE 'Article - ' || t END, '\\s*[|]\\s*.+$', '') END AS title FROM r)
 SELECT page_id, title AS site_title, title, place, CASE WHEN place = 1 THEN CASE WHEN m = 4 THEN 'First' ELSE 'First ' || t END WHEN place = 2 THEN 'Second' END AS heading,
   CASE place WHEN 0 THEN CASE WHEN m = 4 THEN 'Page ' || page_id || '  Intro of page ' || page_id || '. ' ELSE 'Intro of page ' || page_id || '.' END WHEN 1 THEN CASE WHEN m = 4 THEN ' Some words. ' ELSE t || ' End.' END WHEN 2 THEN CASE WHEN m = 4 THEN ' ' ELSE '' END || 'Last words.' END AS text FROM s""",
+    "facet_counts": f"""WITH {_TERMS}, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS term FROM benchmark), t AS (SELECT DISTINCT doc, unnest(terms) AS term FROM d),
+h AS (SELECT DISTINCT query_id, doc FROM q JOIN t USING (term)), f AS (SELECT doc_id AS doc, coalesce(lang, 'none') AS a, coalesce(lang, 'none') || '/' || coalesce(source, 'none') AS b FROM documents)
+SELECT query_id, 1::BIGINT AS level, a AS value, count(*) AS hits FROM h JOIN f USING (doc) GROUP BY query_id, a UNION ALL SELECT query_id, 2::BIGINT, b, count(*) FROM h JOIN f USING (doc) GROUP BY query_id, b""",
+    "cache_source": "SELECT u AS url, '\"' || page_id || '\"' AS etag, sha256(html) AS sha256, sha256(html) AS body_sha256, left(sha1(u), 2) AS shelf FROM (SELECT *, 'https://docs.example.org/p/' || page_id AS u FROM pages)",
+    "cache_source_urls": "SELECT 'https://docs.example.org/p/' || page_id AS url, '\"' || page_id || '\"' AS etag, sha256(html) AS body_sha256 FROM pages WHERE page_id < 60 AND page_id % 7 = 0",
     "section_lateral": f"WITH {_PAGES} SELECT doc_id AS page_id, 0::BIGINT AS place, NULL::VARCHAR AS heading, text FROM d",
     "page_chunks": f"WITH RECURSIVE {_PAGES},{_CHILDREN_OF} SELECT doc_id AS page_id, t, u, lower({_fmt(_NETLOC, 'u')}) AS host, CASE WHEN {_fmt(_GIT_HOST, 'u')} THEN 'code' WHEN contains(lower(u), 'teamdynamix.') THEN 'kb' ELSE 'page' END AS kind, 1.0::DOUBLE AS weight, pid, ordinal, x FROM c",
     "parent_chunks": f"WITH RECURSIVE {_PARENTS} SELECT doc_id, pid AS local_pid, t, x, u, 'github.com' AS host, 'code' AS kind, 1.0::DOUBLE AS weight FROM p",

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .functions import urls, vectors
 from .functions.text import tokens
-from .operators import bm25, cache, calibration, chunking, crawl, dedup, embedding, keywords, metadata, pages, postings, retrieval
+from .operators import bm25, cache, calibration, chunking, crawl, dedup, embedding, facets, keywords, metadata, pages, postings, retrieval
 from .operators.segments import Segments
 from .plans.build import build_index
 from .session import keep, shared_path, spread
-from .sources import files
+from .sources import cachesource, files
 
 DOC_BASE = "https://github.com/org/repo/blob/main/docs/doc-"
 NEAR = 0.3  # the test vectors have no pair above the default threshold
@@ -305,6 +305,35 @@ def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("term").agg(F.sum("n").alias("postings"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max("n") <= postings.BLOCK_DOCS).alias("bounded"))
 
 
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the documents that hold a term of a benchmark text are of each language, and of each language and source."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.array(F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none"))).alias("categories"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return facets.facet_counts(facets.hit_bitmaps(queries, _terms(spark, sf_dir)), facets.facet_bitmaps(docs))
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to the page cache by its data source, and read from it."""
+    cachesource.register(spark)
+    path = shared_path(spark, "cache")
+    url = F.concat(F.lit("https://docs.example.org/p/"), F.col("page_id").cast("string"))
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "pages").select(url.alias("url"), F.concat(F.lit('"'), "page_id", F.lit('"')).alias("etag"), none.alias("last_modified"), F.lit(1000.0).alias("fetched_at"), F.sha2("html", 256).alias("sha256"), F.col("html").alias("body"), none.alias("shelf"))
+    rows.write.format(cachesource.NAME).mode("append").option("path", path).save()
+    return spark.read.format(cachesource.NAME).option("path", path).load()
+
+
+def cache_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cache, read back."""
+    return _cached(spark, sf_dir).select("url", "etag", "sha256", F.sha2("body", 256).alias("body_sha256"), "shelf")
+
+
+def cache_source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some pages by URL: only their shelves are opened."""
+    wanted = [f"https://docs.example.org/p/{i}" for i in range(0, 60, 7)] + ["https://docs.example.org/none"]
+    return _cached(spark, sf_dir).filter(F.col("url").isin(wanted)).select("url", "etag", F.sha2("body", 256).alias("body_sha256"))
+
+
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
@@ -395,5 +424,5 @@ QUERIES = {f.__name__: f for f in (
     token_lists, bm25_doc_lengths, bm25_document_frequencies, bm25_postings, bm25_statistics, bm25_child_frequencies, quantised_vectors, near_duplicate_edges,
     greedy_near_duplicates, compacted_parents, calibration_stats, calibration_all, hash_embeddings, cache_revalidation, cache_after_fetch, changed_pages, crawl_order,
     crawl_limited, site_crawl, index_manifest, bm25_search, cosine_search, fused_search, calibrated_matches, parent_lookup, parent_metadata, privacy_review, caption_texts,
-    document_keywords, delta_index, delta_terms, delta_history, bm25_block_search, posting_blocks, content_branches, section_lateral,
+    document_keywords, delta_index, delta_terms, delta_history, bm25_block_search, posting_blocks, content_branches, section_lateral, facet_counts, cache_source, cache_source_urls,
 )}
