@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on texts with every awkward case."""
 
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import bytesops, chat, classifier, decontaminate, fmindex, graph, langid, linededup, mphf, neardup, packing, quality_rules, substring, tokenfile, tokens
+from corvane.llm import shared
 from corvane.llm.shared import new_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -594,3 +596,43 @@ def test_pairs_of_a_cell(dense):
 def test_fuzzy_lines_of_awkward_texts(docs):
     got = linededup.dedup_lines(docs)
     assert got.count() == len(ROWS) and got.columns == [*docs.columns, "_removed", "_kept_text"]
+
+
+def test_tied_turns_by_what_they_say(spark):
+    """Rows of one conversation and turn: by role, then text as written, not as escaped."""
+    texts = ["<|im_end|>", "<z", "\\", "]", "<|", "a", "<"]
+    rows = [(1, 0, "user", t) for t in texts] + [(1, 0, "us<|r", "x"), (1, 0, "us<er", "y"), (1, None, "user", "first")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(4)
+    part = F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units"))
+    for out in (chat.format_chat(df), chat.format_chat(df.withColumn("content", F.array(part)), parts="content")):
+        got = [(t["role"], t["text"]) for t in out.select(chat.read_turns(F.col("formatted")).alias("t")).first()["t"]]
+        assert got == [("user", "first"), *sorted((r, t) for _, n, r, t in rows if n is not None)]
+
+
+def test_language_of_rows_with_clashing_names(spark):
+    rows = [(i, t, lang, "k", 1.0) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 3)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, lang_pred string, score double")
+    got = langid.identify(df, langid.learn(df))
+    assert got.columns == ["doc_id", "lang", "lang_pred", "score"] and [r["lang"] for r in got.collect()] == [r["lang_pred"] for r in got.collect()]
+
+
+def test_rule_failures_by_domain(spark):
+    url = ["https://User@WWW.Site.org:80/a?b", "http://site.org/c", "site.org", "ftp://[::1]:2/x", "Plain Name", None, "https:///none"]
+    got = spark.createDataFrame([(u,) for u in url], "u string").select(quality_rules.domain(F.col("u"))).collect()
+    assert [r[0] for r in got] == ["site.org", "site.org", "site.org", "[::1]", "Plain Name", None, ""]
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, "few", url[0]), (1, good, url[1]), (2, "a b c " * 40, url[1]), (3, "a b c " * 3, "else"), (4, good, "else"), (5, None, None)]
+    docs, hosts = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id int, text string, source string"))
+    found = {r["host"]: r for r in hosts.collect()}
+    assert {h: (r["n"], r["f"], r["f_few_words"], r["f_repeats"]) for h, r in found.items()} == {"site.org": (3, 2, 1, 1), "else": (2, 1, 1, 1)}
+    assert all(0 < r[c] < 1 for r in found.values() for c in ("host_rate", "rate_few_words", "rate_repeats"))
+    assert docs.count() == 6
+
+
+def test_a_scope_deletes_what_was_staged_within(spark):
+    before = shared.stage(spark.range(3), "outer")
+    with shared.scope(spark):
+        inner = shared.stage(spark.range(4), "inner")
+        path = inner.inputFiles()[0]
+        assert inner.count() == 4
+    assert before.count() == 3 and not os.path.exists(path.removeprefix("file://"))
