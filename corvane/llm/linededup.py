@@ -103,14 +103,15 @@ def line_shingles(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_coordinates(shingle: np.ndarray, at: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
-    """Minimum of each non-empty line, coordinate by coordinate."""
-    keys = _coordinate_keys(s)
+    """Coordinates of each non-empty line, one after the other: the least values of half as many hash functions, then their greatest, which two sets share with the same chance."""
     low = (shingle >> B.U64(32)).astype(np.uint32)
-    x = np.empty_like(low)
-    for key in keys:
+    x, greatest = np.empty_like(low), []
+    for key in _coordinate_keys(s)[: (s.bands * s.rows + 1) // 2]:
         np.bitwise_xor(low, np.uint32(key & B.U64(0xFFFFFFFF)), out=x)
         np.multiply(x, np.uint32((key >> B.U64(32)) | B.U64(1)), out=x)
         yield np.minimum.reduceat(x, at[:-1])
+        greatest.append(np.maximum.reduceat(x, at[:-1]))
+    yield from greatest[: s.bands * s.rows // 2]
 
 
 def _coordinate_keys(s: Settings) -> np.ndarray:
