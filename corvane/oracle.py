@@ -138,6 +138,7 @@ SELECT query_id, 1::BIGINT AS level, a AS value, count(*) AS hits FROM h JOIN f
     "hash_embeddings": f"WITH RECURSIVE {_CHILDREN} SELECT doc_id, pid, ordinal, 384::BIGINT AS dims, 1.0::DOUBLE AS norm FROM c",
     "cache_revalidation": f"WITH {_SCRIPT} SELECT url, conditional, outcome, sha256(body) AS body_sha256, etag, last_modified, fetched_at, sha256 FROM f",
     "cache_after_fetch": f"WITH {_SCRIPT} SELECT url, etag, fetched_at, sha256 FROM f WHERE sha256 IS NOT NULL",
+    "cache_states": f"WITH {_SCRIPT} SELECT url, etag, fetched_at, sha256 FROM f WHERE sha256 IS NOT NULL",
     "changed_pages": "SELECT page_id FROM pages WHERE page_id % 3 = 0",
     "crawl_order": f"WITH RECURSIVE {_WALK} SELECT 'p' || unnest(seen) AS url, unnest(range(0, len(seen))) AS visit_seq FROM w",
     "crawl_limited": f"WITH RECURSIVE {_WALK} SELECT 'p' || unnest(seen[1:17]) AS url, unnest(range(0, least(17, len(seen)))) AS visit_seq FROM w",

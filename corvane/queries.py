@@ -12,6 +12,7 @@ from .operators.segments import Segments
 from .plans.build import build_index
 from .session import keep, shared_path, spread
 from .sources import cachesource, files
+from .streaming import states
 
 DOC_BASE = "https://github.com/org/repo/blob/main/docs/doc-"
 NEAR = 0.3  # the test vectors have no pair above the default threshold
@@ -221,6 +222,15 @@ def cache_after_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.updated_cache(held, found).select("url", "etag", "fetched_at", "sha256")
 
 
+def cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cache_after_fetch, by a stream of answers with a state for each URL."""
+    requests, held, responses = _script(spark, sf_dir)
+    answer = lambda n, name: responses.filter(F.col("call_no") == n).select("url", F.struct("status", "content_type", "etag", "last_modified", "body").alias(name))
+    events = requests.join(answer(1, "first"), "url", "left").join(answer(2, "second"), "url", "left").select("url", F.lit(1).cast("bigint").alias("seq"), "expect_html", F.lit(2000.0).alias("now"), "first", "second")
+    found = states.replay(events, held, shared_path(spark, "states"))
+    return cache.updated_cache(held, found).select("url", "etag", "fetched_at", "sha256")
+
+
 def changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delta build: every third page has another body than the cache."""
     p = table(spark, sf_dir, "pages")
@@ -424,5 +434,5 @@ QUERIES = {f.__name__: f for f in (
     token_lists, bm25_doc_lengths, bm25_document_frequencies, bm25_postings, bm25_statistics, bm25_child_frequencies, quantised_vectors, near_duplicate_edges,
     greedy_near_duplicates, compacted_parents, calibration_stats, calibration_all, hash_embeddings, cache_revalidation, cache_after_fetch, changed_pages, crawl_order,
     crawl_limited, site_crawl, index_manifest, bm25_search, cosine_search, fused_search, calibrated_matches, parent_lookup, parent_metadata, privacy_review, caption_texts,
-    document_keywords, delta_index, delta_terms, delta_history, bm25_block_search, posting_blocks, content_branches, section_lateral, facet_counts, cache_source, cache_source_urls,
+    document_keywords, delta_index, delta_terms, delta_history, bm25_block_search, posting_blocks, content_branches, section_lateral, facet_counts, cache_states, cache_source, cache_source_urls,
 )}
