@@ -3,7 +3,8 @@
 `updates.cache_writer` compares each micro-batch with all versions; here a URL's row (validators, body, content hash) is its
 state, so a micro-batch touches the URLs it names only. An event is a request with the server's answer, and with the
 repeated call's answer where there was one; what it does is the table in operators/cache. With `ttl_ms`, a URL that no
-event has named for so long (processing time) is forgotten by a timer, and told as `expired`.
+event has named for so long (processing time) is forgotten by a timer, and told as `expired`; such a query runs until it
+is stopped, as timers ask for batches without data.
 
 State is kept by the RocksDB store: `prepare` sets it for the session. Rows of a null URL are left out.
 """
@@ -54,24 +55,24 @@ class Revalidation(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.row = handle, handle.getValueState("row", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = tuple(self.row.get())[:5] if self.row.exists() else None
         for event in sorted(rows, key=lambda e: e["seq"] or 0):
             outcome, held = decide(held, event)
             yield _told(key[0], event["seq"], outcome, held)
-        now = timers.getCurrentProcessingTimeInMs() if self.ttl else 0
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
         if held:
             self.row.update((*held, now))
         if self.ttl:
             self.handle.registerTimer(now + self.ttl)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
-        if self.row.exists() and self.row.get()[5] + self.ttl <= expired.getExpiryTimeInMs():  # not named since
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.row.exists() and self.row.get()[5] + self.ttl <= expiredTimerInfo.getExpiryTimeInMs():  # not named since
             self.row.clear()
             yield _told(key[0], None, "expired", None)
 
-    def handleInitialState(self, key, initial, timers) -> None:
-        for r in [initial] if isinstance(initial, Row) else initial:
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for r in [initialState] if isinstance(initialState, Row) else initialState:
             self.row.update((r["etag"], r["last_modified"], r["fetched_at"], r["sha256"], r["body"], 0))
 
     def close(self) -> None:
