@@ -23,7 +23,7 @@ BUCKETS, HELD_ROWS = 16, 100_000
 
 
 class _Visited:
-    """Visited URLs as parts that are only added to, in buckets by URL; parts of like size are merged, so there are few, and a URL is written as often as the logarithm of their number."""
+    """Visited URLs as parts that are only added to, a level each, in buckets by URL; eight parts of like size are merged, so there are few, and a URL is written as often as the logarithm of their number."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.parts = spark, []
@@ -36,18 +36,23 @@ class _Visited:
         rows.withColumn("bucket", _bucket("url")).repartition("bucket").write.partitionBy("bucket").parquet(path)
         return path
 
-    def add(self, rows: DataFrame, n: int) -> None:
-        self.parts.append((self._write(rows), n))
-        while len(self.parts) > 1 and self.parts[-2][1] <= 2 * self.parts[-1][1]:
-            (one, a), (two, b) = self.parts[-2:]
-            self.parts[-2:] = [(self._write(self._rows([one, two]).drop("bucket")), a + b)]
+    def add(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """The rows, written, and how many they are."""
+        path = self._write(rows)
+        out = self._rows([path]).select("url", "visit_seq")
+        if n := out.count():
+            self.parts.append((path, n))
+        size = lambda part: (part[1].bit_length() - 1) // 3
+        while len(self.parts) >= 8 and len({size(p) for p in self.parts[-8:]}) == 1:
+            some = self.parts[-8:]
+            self.parts[-8:] = [(self._write(self._rows([p for p, _ in some]).drop("bucket")), sum(n for _, n in some))]
+        return out, n
 
     def rows(self) -> DataFrame:
-        return self._rows([p for p, _ in self.parts]).select("url", "visit_seq")
+        return self._rows([p for p, _ in self.parts]).select("url", "visit_seq") if self.parts else self.spark.createDataFrame([], "url string, visit_seq bigint")
 
-    def known(self, links: DataFrame, n: int) -> DataFrame:
-        """Those of n distinct links that are visited. The visited rows of their buckets are read, but not moved if the links are few."""
-        some = [r[0] for r in links.select(_bucket("link")).distinct().collect()]  # at most BUCKETS
+    def known(self, links: DataFrame, n: int, some: list[int]) -> DataFrame:
+        """Those of n distinct links, which are in some buckets, that are visited. The visited rows of these buckets are read, but not moved if the links are few."""
         rows = self._rows([p for p, _ in self.parts]).filter(F.col("bucket").isin(some)).select(F.col("url").alias("link"))
         return rows.join(F.broadcast(links.select("link")) if n <= HELD_ROWS else links.select("link"), "link", "left_semi")
 
@@ -63,21 +68,20 @@ def walk(spark: SparkSession, links: DataFrame, seed: str, max_pages: int | None
     level = spark.createDataFrame([(seed, 0)], "url string, visit_seq bigint")
     most = float("inf") if max_pages is None else max_pages
     visited, n = _Visited(spark), min(1, most)
-    visited.add(level if n else level.limit(0), n)
+    if n:
+        visited.add(level)
     while 0 < n < most:
         named = keep(edges.join(level, "url").groupBy("link").agg(F.min(F.struct("visit_seq", "place")).alias("_first")), "named")
-        met = named.count()
-        if not met:
+        met = named.agg(F.count("*").alias("n"), F.collect_set(_bucket("link")).alias("buckets")).first()  # at most BUCKETS
+        if not met["n"]:
             break
-        fresh = named.join(visited.known(named, met), "link", "left_anti")
+        fresh = named.join(visited.known(named, met["n"], met["buckets"]), "link", "left_anti")
         numbered = with_positions(fresh.select(F.col("link").alias("url"), F.col("_first.visit_seq").alias("_by"), F.col("_first.place").alias("_place")), ["_by", "_place", "url"], "_rank")
         numbered = numbered if max_pages is None else numbered.filter(F.col("_rank") < max_pages - n)
-        level = keep(numbered.select("url", (F.col("_rank") + n).alias("visit_seq")), "level")
-        more = level.count()
+        level, more = visited.add(numbered.select("url", (F.col("_rank") + n).alias("visit_seq")))
         if not more:
             break
-        n += more
-        visited.add(level, more)  # what a level leaves out is beyond max_pages, so it is never reached
+        n += more  # what a level leaves out is beyond max_pages, so it is never reached
     return visited.rows()
 
 
