@@ -9,10 +9,10 @@ similarity of their shingle sets, in two passes:
   near   each class meets the bucket's first class and its neighbour in order; links are merged into components.
   rest   a bucket of four or more classes (in a smaller one, all have met) whose members are in one component is done. All
          members of the others are joined by prefixes of their sets, exactly: shingles are put in one order, rare ones
-         first, and two sets of sizes n <= m of the wanted similarity t share c of the first n - ceil(2t/(1+t) n) + c of the
-         smaller and m - ceil(t m) + c of the larger, at places that leave room for the whole overlap. What lines of one
-         template share lies behind their prefixes in the main, so few of them meet. Where lists are long, a line first
-         meets the two classes that are least in most of its lists; what is in different components then meets in all.
+         first, and two sets of sizes n <= m of the wanted similarity t share one of the first n - ceil(2t/(1+t) n) + 1 of
+         the smaller and m - ceil(t m) + 1 of the larger, at places that leave room for the whole overlap. What lines of
+         one template share lies behind their prefixes in the main, so few of them meet; a family of near-equal lines among
+         them mostly is one component already, by buckets of its own, and lines of one component don't meet.
 
 A distributed union-find makes components, and of each component the first line (least document id, then text hash, then
 line number) is kept, all others go.
@@ -50,7 +50,6 @@ class Settings:
     rows: int = 4
     percent: int = 80
     min_chars: int = 20
-    meets: int = 1  # shingles of their prefixes that two lines share before they are compared
     block: int = 1024  # lines of a block, and bytes of their sets; a cell holds two blocks
     block_bytes: int = 8 << 20
     local: int = 32
@@ -420,8 +419,6 @@ def _verify(s: Settings):
 
 #: Shingles are ordered by how often their slot (upper bits) is met among the lines to join, so the table of counts is bounded.
 SLOT_BITS = 22
-#: Comparisons an entry of prefixes' lists, on average, beyond which lines first meet their lists' least classes.
-LONG = 64
 
 
 def distinct_shingles(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -467,7 +464,7 @@ def _prefixes(s: Settings, counts: np.ndarray):
             of, met = np.repeat(np.arange(len(n)), n), counts[shingle >> B.U64(64 - SLOT_BITS)]
             order = np.lexsort((shingle, met, of))
             at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            long, short = n - _least(n, s.percent, 100) + s.meets, n - _least(n, 2 * s.percent, 100 + s.percent) + s.meets
+            long, short = n - _least(n, s.percent, 100) + 1, n - _least(n, 2 * s.percent, 100 + s.percent) + 1
             keep = np.flatnonzero((at < long[of]) & (met[order] > 1))
             of, at = of[keep], at[keep]
             cols = [pa.array(shingle[order][keep].view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in (0, 1)), pa.array(n[of]), pa.array(at), pa.array(at < short[of])]
@@ -604,12 +601,10 @@ def _rooted(lines: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, rows["_own"] == roots["node"], "left").select("_l1", F.coalesce("root", "_own").alias("_root"))
 
 
-def _mixed(entries: DataFrame) -> tuple[DataFrame, bool]:
-    """The entries of lists that lie in several components; and whether these lists are long: more than LONG comparisons an entry."""
-    lists = entries.groupBy("_h").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.count_if("_held").alias("_p"), F.count("*").alias("_m"))
-    lists = stage(lists.filter("_r0 <> _r1 and _p > 0").select("_h", "_p", "_m"), "mixed-lists")
-    work, n = lists.agg(F.sum(F.col("_p").cast("double") * F.col("_m")), F.sum("_m")).first()
-    return stage(entries.join(lists.select("_h"), "_h"), "mixed-prefixes"), (work or 0) > LONG * (n or 0)
+def _mixed(entries: DataFrame) -> DataFrame:
+    """The entries of lists that lie in several components."""
+    lists = entries.groupBy("_h").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.max("_held").alias("_p")).filter("_r0 <> _r1 and _p").select("_h")
+    return stage(entries.join(stage(lists, "mixed-lists"), "_h"), "mixed-prefixes")
 
 
 def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
@@ -631,29 +626,14 @@ def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -
     counts[slots["_slot"].to_numpy()] = slots["count"].to_numpy()
     held = spark.sparkContext.broadcast(counts)
     every = sets.mapInArrow(lambda batches: _prefixes(s, held.value)(batches), "_h long, _l1 long, _root long, _n long, _at long, _held boolean")
-    entries, long = _mixed(stage(every, "prefixes"))
+    entries = _mixed(stage(every, "prefixes"))
 
     pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    if long:
-        # A list's least class is where its lines meet first: each line goes to the two that are so in most of its lists.
-        least = entries.filter("_held").groupBy("_h").agg(F.min(F.struct("_l1", "_n", "_root")).alias("_f"))
-        n, m = F.col("_n"), F.col("_f._n")
-        fits = (F.col("_root") != F.col("_f._root")) & (100 * F.least(n, m) >= s.percent * F.greatest(n, m))
-        some = entries.join(least, "_h").filter(fits).groupBy("_l1", F.col("_f._l1").alias("b")).agg(F.count("*").alias("_c")).filter(F.col("_c") >= s.meets)
-        some = some.groupBy("_l1").agg(F.max(F.struct("_c", "b")).alias("_1"), F.max(F.struct("_c", (-F.col("b")).alias("o"))).alias("_2"))
-        some = some.select("_l1", F.explode(F.array_distinct(F.array(F.col("_1.b"), -F.col("_2.o")))).alias("b"))
-        links = _verified_in_cells(some.select(*pair("_l1", "b")), mine, blocks, s)
-        if not links.isEmpty():
-            roots = components(roots.toDF("a", "b").unionByName(_pairs(links)))
-            now = _rooted(mine, roots).select("_l1", F.xxhash64("_root").alias("_root"))
-            entries, _ = _mixed(entries.drop("_root").join(now, "_l1"))
-
     small = entries.filter("_held").select("_h", F.col("_l1").alias("b"), F.col("_n").alias("m"), F.col("_at").alias("_bt"), F.col("_root").alias("_other"))
     earlier = (F.col("m") < F.col("_n")) | (F.col("m") == F.col("_n")) & (F.col("b") < F.col("_l1"))
-    room = F.least(F.col("_n") - F.col("_at"), F.col("m") - F.col("_bt")) + s.meets - 1  # what they can share: from here on, and before
+    room = F.least(F.col("_n") - F.col("_at"), F.col("m") - F.col("_bt"))  # what they can share from here on
     near = earlier & (F.col("_root") != F.col("_other")) & (100 * F.col("m") >= s.percent * F.col("_n")) & ((100 + s.percent) * room >= s.percent * (F.col("_n") + F.col("m")))
-    met_often = entries.join(small, "_h").filter(near).groupBy(*pair("_l1", "b")).agg(F.count("*").alias("_c")).filter(F.col("_c") >= s.meets)
-    links = _verified_in_cells(met_often.select("a", "b"), mine, blocks, s)
+    links = _verified_in_cells(entries.join(small, "_h").filter(near).select(*pair("_l1", "b")), mine, blocks, s)
     return roots if links.isEmpty() else components(roots.toDF("a", "b").unionByName(_pairs(links)))
 
 
