@@ -52,11 +52,17 @@ def cache_metadata(spark: SparkSession, path: str) -> DataFrame:
     return by_url.select("url", "_m.etag", "_m.last_modified", "_m.fetched_at", "_m.sha256")
 
 
+#: Rows that one JSON object of metadata may have (some 300 bytes each); a larger cache is a table, see cachesource.
+METADATA_ROWS = 1_000_000
+
+
 def save_cache_metadata(meta: DataFrame, path: str) -> None:
-    """Write meta as that JSON object: to a folder beside path, then renamed in its place, so a reader sees all or nothing."""
+    """Write meta as that JSON object: to a folder beside path, then renamed in its place, so a reader sees all or nothing. ValueError for more than METADATA_ROWS rows."""
     spark = meta.sparkSession
+    if meta.select("url").limit(METADATA_ROWS + 1).count() > METADATA_ROWS:
+        raise ValueError(f"more than {METADATA_ROWS} pages: one JSON object can't be built in one task; write the cache as a table")
     entry = F.struct("url", F.struct("etag", "last_modified", "fetched_at", "sha256").alias("m"))
-    one = meta.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry))), {"ignoreNullFields": "false"}).alias("value"))  # a crawl's metadata, max_pages rows
+    one = meta.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry))), {"ignoreNullFields": "false"}).alias("value"))  # METADATA_ROWS at most
     jvm, part = spark._jvm, f"{path}.part"
     one.coalesce(1).write.mode("overwrite").text(part)
     fs_path = jvm.org.apache.hadoop.fs.Path
