@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .graph import components, contract
-from .shared import stage
+from .shared import release_table, stage
 
 
 @dataclass(frozen=True)
@@ -626,7 +626,10 @@ def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -
     counts[slots["_slot"].to_numpy()] = slots["count"].to_numpy()
     held = spark.sparkContext.broadcast(counts)
     every = sets.mapInArrow(lambda batches: _prefixes(s, held.value)(batches), "_h long, _l1 long, _root long, _n long, _at long, _held boolean")
-    entries = _mixed(stage(every, "prefixes"))
+    prefixes = stage(every, "prefixes")
+    entries = _mixed(prefixes)
+    for table in (sets, prefixes, member):  # not read again, and large
+        release_table(table)
 
     pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     small = entries.filter("_held").select("_h", F.col("_l1").alias("b"), F.col("_n").alias("m"), F.col("_at").alias("_bt"), F.col("_root").alias("_other"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir, shared_path
 
-__all__ = ["new_path", "release", "scope", "stage"]
+__all__ = ["delete", "new_path", "reads", "recorded", "release", "release_table", "scope", "stage"]
 
 _open: list[list[str]] = []
 
@@ -22,11 +22,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def reads(df: DataFrame) -> set[str]:
+    """Root paths of the files that df reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            out |= {paths.apply(j).toString() for j in range(paths.size())}
+    return out
+
+
+def release_table(df: DataFrame) -> None:
+    """Delete what stage() wrote for df, which nothing reads any more."""
+    for path in reads(df):
+        delete(df.sparkSession, path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths of intermediate tables made within."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.pop()
+        if _open:
+            _open[-1].extend(made)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Deletes the intermediate tables made within, when it is left: write what is wanted before, outside of the shared tables."""
@@ -35,7 +65,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _open.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -48,4 +78,4 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this module; results that were not written yet are lost with them."""
-    _delete(spark, shared_dir(spark))
+    delete(spark, shared_dir(spark))
