@@ -8,12 +8,16 @@ Each stage takes what its predecessor kept and returns the columns of `documents
     decontaminate  documents with a passage of the benchmark go
     pack           best-fit decreasing sequences of 4096 ids
 
+A stage deletes the intermediate tables of the stage that was called before it, once its own docs don't read them: then the
+former result has been written and read again. run() deletes each stage's tables as soon as its result is written.
+
 n_chars always is the length of the text. Null texts count as empty: they keep their row until packing. Rows that are
 equal in id and text are one document from the third stage on.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import classifier, decontaminate, linededup, neardup, packing
-from corvane.llm.shared import new_path, scope
+from corvane.llm.shared import delete, new_path, reads, recorded, scope
 from corvane.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,11 +38,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _cleans_up(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not any(path.rstrip("/").endswith(old.split("://")[-1].rstrip("/")) for path in reads(docs) for old in _left):
+            for path in _left:
+                delete(spark, path)
+            _left.clear()
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run
+
+
+@_cleans_up
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = classifier.fit(docs, _table(spark, sf_dir, "labels"))
     return classifier.score(docs.select(*COLUMNS), model, out_col="_score").filter(F.col("_score") >= REJECT_BELOW).drop("_score")
 
 
+@_cleans_up
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = linededup.dedup_lines(docs.select(*COLUMNS))
@@ -46,6 +71,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("text", F.col("_kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_cleans_up
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = docs.select(*COLUMNS)
@@ -54,17 +80,18 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(stays, rows["doc_id"].eqNullSafe(stays["_kid"]) & (rows["_t"] == stays["_kt"])).dropDuplicates(["_kid", "_kt"]).select(*COLUMNS)
 
 
+@_cleans_up
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = decontaminate.decontaminate(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"), keep_columns=True)
     return rows.filter(F.size("_spans") == 0).select(*COLUMNS)
 
 
+@_cleans_up
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2, 4096)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("lines", lines), ("near_dups", near_dups), ("decontaminate", decontaminated), ("pack", pack)]
 
 #: A classifier, a tokenizer and fuzzy lines can't be said in SQL; tests hold the first four stages against brute force on small tables, packing by coverage.
