@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from ..session import shuffles_deleted
+from .shared import release_table, stage
 
 #: Edges that a task contracts at once.
 HELD = 1 << 18
@@ -67,7 +68,8 @@ def _stars(both: pa.Array, n: int) -> pa.RecordBatch:
 def _is_forest(edges: DataFrame) -> bool:
     """Whether every node has one edge upwards at most, and none if another leads to it."""
     ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
+    with shuffles_deleted(edges.sparkSession):
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -80,5 +82,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         out = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = stage(out, "edges")
+        before, now = now, stage(out, "edges")
+        for table in (before, least):
+            release_table(table)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -587,7 +587,9 @@ def _verified_in_cells(pairs: DataFrame, texts: DataFrame, blocks: int, s: Setti
     rows = rows.unionByName(dealt.select("_i", "_j", F.lit(True).alias("_pair"), "a", "b", F.lit(None).cast("binary").alias("_line")))
     links = rows.repartition("_i", "_j").sortWithinPartitions("_i", "_j", "_pair").mapInArrow(_linked(s), "a long, b long")
     names = texts.select("_l1", "_l2")
-    return stage(links.join(names.toDF("a", "_l2"), "a").join(names.toDF("b", "_m2"), "b").select(F.col("a").alias("_l1"), "_l2", F.col("b").alias("_m1"), "_m2"), "links")
+    out = stage(links.join(names.toDF("a", "_l2"), "a").join(names.toDF("b", "_m2"), "b").select(F.col("a").alias("_l1"), "_l2", F.col("b").alias("_m1"), "_m2"), "links")
+    release_table(dealt)
+    return out
 
 
 def _pairs(links: DataFrame) -> DataFrame:
@@ -604,7 +606,10 @@ def _rooted(lines: DataFrame, roots: DataFrame) -> DataFrame:
 def _mixed(entries: DataFrame) -> DataFrame:
     """The entries of lists that lie in several components."""
     lists = entries.groupBy("_h").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.max("_held").alias("_p")).filter("_r0 <> _r1 and _p").select("_h")
-    return stage(entries.join(stage(lists, "mixed-lists"), "_h"), "mixed-prefixes")
+    lists = stage(lists, "mixed-lists")
+    mixed = stage(entries.join(lists, "_h"), "mixed-prefixes")
+    release_table(lists)
+    return mixed
 
 
 def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
@@ -614,7 +619,9 @@ def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -
     member = stage(every.join(_rooted(texts, roots), "_l1"), "members")
     large = member.groupBy("_key").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.sum("_more").alias("_n")).filter("_r0 <> _r1 and _n > 2").select("_key")
     lines = stage(member.join(large, "_key").select("_l1").distinct(), "mixed-lines")
+    release_table(member)
     if lines.isEmpty():
+        release_table(lines)
         return roots
     mine = stage(texts.join(lines, "_l1"), "mixed-texts")
     rooted = mine.join(_rooted(mine, roots).select("_l1", F.xxhash64("_root").alias("_root")), "_l1")
@@ -628,7 +635,7 @@ def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -
     every = sets.mapInArrow(lambda batches: _prefixes(s, held.value)(batches), "_h long, _l1 long, _root long, _n long, _at long, _held boolean")
     prefixes = stage(every, "prefixes")
     entries = _mixed(prefixes)
-    for table in (sets, prefixes, member):  # not read again, and large
+    for table in (sets, prefixes, lines):  # not read again, and large
         release_table(table)
 
     pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
@@ -637,7 +644,10 @@ def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -
     room = F.least(F.col("_n") - F.col("_at"), F.col("m") - F.col("_bt"))  # what they can share from here on
     near = earlier & (F.col("_root") != F.col("_other")) & (100 * F.col("m") >= s.percent * F.col("_n")) & ((100 + s.percent) * room >= s.percent * (F.col("_n") + F.col("m")))
     links = _verified_in_cells(entries.join(small, "_h").filter(near).select(*pair("_l1", "b")), mine, blocks, s)
-    return roots if links.isEmpty() else components(roots.toDF("a", "b").unionByName(_pairs(links)))
+    out = roots if links.isEmpty() else components(roots.toDF("a", "b").unionByName(_pairs(links)))
+    for table in (entries, mine, links):
+        release_table(table)
+    return out
 
 
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -668,16 +678,29 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     where = where.select(F.col("_id").alias("_wid"), F.col("_t").alias("_wt"), "_at")
     found = rows.join(where, rows["_id"].eqNullSafe(where["_wid"]) & (rows["_t"] == where["_wt"])).select("_at", "_text")
     texts = stage(found.mapInArrow(_wanted_lines(s), "_l1 long, _l2 long, _line binary").dropDuplicates(["_l1", "_l2"]), "texts")
-    roots = link_rest(met, texts, components(_pairs(_verified(cand, texts, s))), s)
+    near = _verified(cand, texts, s)
+    roots = components(_pairs(near))
+    for table in (cand, near):  # here and below: tables that nothing reads any more
+        release_table(table)
+    first, roots = roots, link_rest(met, texts, roots, s)
+    for table in (met, texts):
+        release_table(table)
     # Classes that repeat, and those of a component with its first line; the rest of the classes lose nothing.
     own = F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))
     linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node.x").alias("_l1"), F.col("node.y").alias("_l2"), "root")
     groups = stage(classes.join(linked, ["_l1", "_l2"], "left").filter("_n > 1 or root is not null").select("_l1", "_l2", "_first", F.coalesce("root", own).alias("_root")), "groups")
+    for table in (classes, first, roots):
+        release_table(table)
     keep = stage(groups.groupBy("_root").agg(F.min("_first").alias("_keep")), "keep")
     kept = stage(groups.join(keep, "_root").select("_l1", "_l2", "_keep"), "kept")
+    for table in (groups, keep):
+        release_table(table)
     gone = lines.join(kept, ["_l1", "_l2"]).filter(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("_keep")))
     numbers = gone.groupBy("_id", "_t").agg(F.array_sort(F.collect_set("_pos")).alias("removed"))
-    return stage(numbers.mapInArrow(_flagged, f"_id {kind}, _t long, removed array<int>, flags array<boolean>"), "removed")
+    removed = stage(numbers.mapInArrow(_flagged, f"_id {kind}, _t long, removed array<int>, flags array<boolean>"), "removed")
+    for table in (lines, kept):
+        release_table(table)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

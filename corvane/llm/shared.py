@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_dir, shared_path
+from ..session import shared_dir, shared_path, shuffles_deleted
 
 __all__ = ["delete", "new_path", "reads", "recorded", "release", "release_table", "scope", "stage"]
 
@@ -72,7 +72,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: later plans read a table that outlives any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,8 +73,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends, not when the driver next collects garbage; what it wrote stays."""
+    held = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, held)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage of loops, and outlives any executor."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
