@@ -6,14 +6,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-#: Vectors of a block (two blocks are a cell, one matrix product).
+#: Vectors of a block at least (two blocks are a cell, one matrix product).
 BLOCK = 2048
+#: Blocks that a table is cut into, as long as they hold no more than BLOCK_BYTES: each vector goes to as many cells.
+BLOCKS, BLOCK_BYTES = 16, 32 << 20
+
+
+def block_rows(rows: int, dims: int, block: int = BLOCK) -> int:
+    """Vectors of a block: so many that the number of blocks, and with it how often a vector is shuffled, doesn't grow with the table until blocks are full."""
+    return max(block, min(-(-rows // BLOCKS), BLOCK_BYTES // (8 * max(dims, 1))))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows."""
-    return column.flatten().to_numpy().reshape(len(column), -1)
+    """Vectors of one length as rows of doubles."""
+    return column.flatten().to_numpy().astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def as_given(df: DataFrame, vec: str) -> Column:
+    """Vectors as numbers that Python takes: single precision stays, at half the bytes to shuffle; others become doubles."""
+    return F.col(vec) if dict(df.dtypes)[vec] == "array<float>" else F.col(vec).cast("array<double>")
 
 
 def by_cell(batches: Iterator[pa.RecordBatch], keys: int, product: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:

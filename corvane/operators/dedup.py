@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 from ..schemas import NEAR_DUP_COSINE
 from ..session import keep, spread
-from .blocks import BLOCK, by_cell, matrix
+from .blocks import BLOCK, BLOCK_BYTES, BLOCKS, as_given, block_rows, by_cell, matrix
 from .positions import with_positions
 
 #: Vectors that stand for a group.
@@ -68,8 +68,9 @@ def _held_edges(v: DataFrame, threshold: float) -> DataFrame:
 def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "pos", vec: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(a, b), a < b: positions whose dot product is above the threshold (strictly). Null vectors, and pairs of different lengths, have none."""
     spark = vecs.sparkSession
-    v = vecs.select(F.col(pos).cast("bigint").alias("pos"), F.col(vec).cast("array<double>").alias("vec")).filter("pos is not null and vec is not null and size(vec) > 0")
-    top = v.agg(F.max(dot(F.col("vec"), F.col("vec"))).alias("n"), F.max(F.size("vec")).alias("d"), F.count("*").alias("rows")).first()
+    v = vecs.select(F.col(pos).cast("bigint").alias("pos"), as_given(vecs, vec).alias("vec")).filter("pos is not null and vec is not null and size(vec) > 0")
+    exact, kind = F.col("vec").cast("array<double>"), dict(v.dtypes)["vec"]
+    top = v.agg(F.max(dot(exact, exact)).alias("n"), F.max(F.size("vec")).alias("d"), F.count("*").alias("rows")).first()
     reach = 2 * float(top["n"] or 0.0) - 2 * threshold
     if top["d"] is None or reach <= 0:
         return v.select(F.col("pos").alias("a"), F.col("pos").alias("b")).limit(0)
@@ -94,15 +95,22 @@ def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "
                 far[rows] = np.sqrt(np.maximum(away.min(1), 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(far)], ["pos", "vec", "g", "far"])
 
-    rows = keep(v.mapInArrow(nearest, "pos bigint, vec array<double>, g bigint, far double"), "vectors")
+    rows = keep(v.mapInArrow(nearest, f"pos bigint, vec {kind}, g bigint, far double"), "vectors")
     # Groups: one for each pivot, and one for each other length of vectors.
-    group = rows.groupBy("g").agg(F.max("far").alias("r"), F.ceil(F.count("*") / block).cast("bigint").alias("nb"))
-    one, two = group.toDF("g", "r", "nb"), group.toDF("h", "s", "nc")
+    group = rows.groupBy("g").agg(F.max("far").alias("r"), F.ceil(F.count("*") / block).cast("bigint").alias("nb"), F.count("*").alias("n"))
+    one, two = group.toDF("g", "r", "nb", "n"), group.toDF("h", "s", "nc", "m")
     at = centre.value
     apart = np.sqrt(np.maximum(((at[:, None, :] - at[None, :, :]) ** 2).sum(2), 0))
     far = spark.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(at)) for j in range(i, len(at))], "g bigint, h bigint, away double")  # at most pivots**2 / 2 rows
     cells = far.join(one, "g").join(two, "h").filter(F.col("away") - F.col("r") - F.col("s") <= near * (1 + 1e-6) + 1e-6)
-    other = group.filter("g < 0").select("g", F.col("g").alias("h"), "nb", F.col("nb").alias("nc"))
+    own = F.greatest(F.lit(block), F.least(F.ceil(F.col("n") / BLOCKS), F.floor(BLOCK_BYTES / (-8 * F.col("g")))))  # block_rows
+    other = group.filter("g < 0").select("g", F.col("g").alias("h"), F.ceil(F.col("n") / own).cast("bigint").alias("nb")).select("g", "h", "nb", F.col("nb").alias("nc"))
+    copies = cells.agg(F.sum(F.col("n") * F.col("nc") + F.when(F.col("g") == F.col("h"), 0).otherwise(F.col("m") * F.col("nb")))).first()[0] or 0
+    full = -(-top["rows"] // block_rows(top["rows"], dims, block))
+    if copies > top["rows"] * (full + 1):
+        # Too few groups are apart: fewer, larger blocks without groups move less, and a vector's copies don't grow with the table.
+        rows = rows.withColumn("g", F.least("g", F.lit(0).cast("bigint")))
+        cells = spark.createDataFrame([(0, 0, full, full)], "g bigint, h bigint, nb bigint, nc bigint")
     cells = keep(cells.select("g", "h", "nb", "nc").unionByName(other), "cells")
     spread = lambda own, n, upto: rows.join(cells, rows["g"] == cells[own]).select("pos", "vec", cells["g"].alias("g"), cells["h"].alias("h"), F.pmod(F.xxhash64("pos"), n).alias("_own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(upto) - 1)).alias("_other"))
     left = spread("g", F.col("nb"), "nc").select("g", "h", F.col("_own").alias("i"), F.col("_other").alias("j"), F.lit(0).alias("side"), "pos", "vec")
@@ -114,9 +122,11 @@ def near_edges(vecs: DataFrame, threshold: float = NEAR_DUP_COSINE, pos: str = "
         t = pa.Table.from_batches(held).combine_chunks()
         side, where, x = t.column(4).to_numpy(), t.column(5).to_numpy(), matrix(t.column(6).combine_chunks())
         rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for lo in range(0, len(rows), 1024):
-            some = rows[lo : lo + 1024]
-            p, q = _pairs(x[some], x[cols], threshold)
+        right = x[cols]
+        step = max(1, min(1024, (1 << 21) // max(len(cols), 1)))  # products held at once
+        for lo in range(0, len(rows), step):
+            some = rows[lo : lo + step]
+            p, q = _pairs(x[some], right, threshold)
             a, b = where[some[p]], where[cols[q]]
             if t.column(0)[0] == t.column(1)[0] and t.column(2)[0] == t.column(3)[0]:
                 a, b = a[a < b], b[a < b]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schemas import Bm25
-from .blocks import BLOCK, by_cell, matrix
+from .blocks import BLOCK, as_given, block_rows, by_cell, matrix
 
 #: Vectors of queries that every task may hold.
 HELD_BYTES = 32 << 20
@@ -47,8 +47,8 @@ def cosine_scores(queries: DataFrame, rows: DataFrame, vec: str = "embedding", k
     """
     spark = rows.sparkSession
     some = lambda c: c.isNotNull() & (F.size(c) > 0)
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vec")).filter(some(F.col("vec")))
-    x = rows.select(F.col(key).alias("doc"), F.col(vec).cast("array<double>").alias("vec")).filter(some(F.col("vec")))
+    q = queries.select("query_id", as_given(queries, "vector").alias("vec")).filter(some(F.col("vec")))
+    x = rows.select(F.col(key).alias("doc"), as_given(rows, vec).alias("vec")).filter(some(F.col("vec")))
     kinds = q.schema["query_id"].dataType.simpleString(), x.schema["doc"].dataType.simpleString()
     schema = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
 
@@ -81,11 +81,15 @@ def cosine_scores(queries: DataFrame, rows: DataFrame, vec: str = "embedding", k
 
         return x.mapInArrow(run, schema)
 
-    n, m = -(-size["rows"] // block), -(-x.count() // block)
+    many = x.count()
+    dims = -(-size["numbers"] // size["rows"])
+    n, m = -(-size["rows"] // block_rows(size["rows"], dims, block)), -(-many // block_rows(many, dims, block))
     d, own = F.size("vec").alias("d"), lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).alias("own")
     other = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("other")
     if not m:
         return spark.createDataFrame([], schema)
+    if q.schema["vec"].dataType != x.schema["vec"].dataType:
+        q, x = (t.withColumn("vec", F.col("vec").cast("array<double>")) for t in (q, x))
     left = q.select(d, own("query_id", n), other(m), "query_id", "vec").select("d", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "query_id", F.lit(None).cast(kinds[1]).alias("doc"), "vec")
     right = x.select(d, own("doc", m), other(n), "doc", "vec").select("d", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), F.lit(None).cast(kinds[0]).alias("query_id"), "doc", "vec")
     dealt = left.unionByName(right).repartition("d", "i", "j").sortWithinPartitions("d", "i", "j")

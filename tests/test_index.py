@@ -263,3 +263,20 @@ def test_local_files(spark, tmp_path):
     (tmp_path / "b.bin").write_text("no")
     rows = files.local_files(spark, str(tmp_path)).collect()
     assert [(r["url"].endswith("sub/a.md"), r["body"], r["raw"]) for r in rows] == [(True, "# A\n\ntext", True)]
+
+
+def test_copies_of_vectors_do_not_grow_with_the_table(spark, monkeypatch):
+    from corvane.operators import blocks, dedup
+
+    assert [-(-n // blocks.block_rows(n, 64)) for n in (100, 100_000, 1_000_000)] == [1, 16, 16]
+    assert blocks.block_rows(10**9, 64) * 64 * 8 == blocks.BLOCK_BYTES
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((700, 8)).astype("f4")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pos long, embedding array<float>")
+    made, kept = [], dedup.keep
+    monkeypatch.setattr(dedup, "keep", lambda t, name: (made.append((name, kept(t, name))), made[-1][1])[1])
+    edges = {(r["a"], r["b"]) for r in dedup.near_edges(df, 0.3, block=8, held_bytes=0).collect()}
+    assert edges == {(r["a"], r["b"]) for r in dedup.near_edges(df, 0.3).collect()} and edges
+    cells = next(t for name, t in made if name == "cells").collect()
+    assert [(r["g"], r["h"], r["nb"], r["nc"]) for r in cells] == [(0, 0, 16, 16)]  # 87 groups, none of them apart
