@@ -126,3 +126,8 @@ def test_pids_run_over_pages(spark):
     parents = chunking.number_parents(chunking.parents(pages.read_pages(df), "seq"), "seq")
     got = [(r["pid"], r["seq"], r["t"]) for r in parents.orderBy("pid").collect()]
     assert got == [(0, 1, "T1 -- S0"), (1, 2, "T2 -- S0"), (2, 2, "T2 -- S1"), (3, 3, "T3 -- S0"), (4, 3, "T3 -- S1"), (5, 3, "T3 -- S2")]
+
+
+def test_references_without_a_semicolon(spark):
+    r = read(spark, ("https://a.org", "<title>A &amp;&amp; B &amp</title><main>C &amp</main>"), ("https://a.org", "<title>A &amp;&am</title>"))
+    assert [x["title"] for x in r] == ["A && B &", "A &&am"] and r[0]["sections"][0]["text"] == "C &"
