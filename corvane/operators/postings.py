@@ -2,7 +2,8 @@
 
 `blocks` writes a term's postings as rows of at most `size` documents of one shard (a range of document numbers): numbers
 as differences and frequencies, both in bytes of seven bits, with the first and last document and the greatest BM25 part
-of the block. Rows are dealt out by ranges of (shard, term, document), so no term, however frequent, is in one row or task.
+of the block. Documents, not their postings, are dealt out by ranges of their numbers; a task takes them in order and cuts
+blocks of HELD_TERMS terms' worth of them at a time, so no term, however frequent, is in one row or task.
 
 `search` gives each shard's blocks of the queries' terms to one task, which takes a query's terms from the greatest bound
 (idf * greatest part) down. As long as what is left could lift an unseen document among the best k, a term's blocks are
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from ..schemas import Bm25
 
 #: Postings of a block, and documents of a shard (a power of two).
 BLOCK_DOCS, SHARD_BITS = 128, 16
+#: Terms, with repeats, of the documents that a task makes blocks of at a time.
+HELD_TERMS = 1 << 21
 #: Query text that a task may hold.
 HELD_BYTES = 32 << 20
 #: Scores are compared after rounding to six digits; nothing within that is pruned.
@@ -57,46 +61,59 @@ def unpack(data: bytes | memoryview) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), begin)
 
 
-def blocks(terms: DataFrame, avg_len: float, p: Bm25 = Bm25(), size: int = BLOCK_DOCS, shard_bits: int = SHARD_BITS) -> DataFrame:
-    """(shard, term, first, last, n, top, docs, tfs, lens) from (doc, terms): a block of postings each; top is the greatest BM25 part without idf, lens are lengths of documents."""
-    rows = terms.filter("doc is not null").select(F.col("doc").cast("bigint").alias("doc"), F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    tf = rows.groupBy("term", "doc", "len").agg(F.count("*").alias("tf")).select(F.shiftright("doc", shard_bits).alias("shard"), "term", "doc", "tf", "len")
-    order = ["shard", "term", "doc"]
+def packed(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """pack() of each stretch of values, which start at begin (0 first), at once."""
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        sizes += values >= 1 << 7 * k
+    offsets = np.append(0, np.cumsum(sizes))[np.append(begin, len(values))]
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(pack(values))])
+
+
+def blocks(terms: DataFrame, avg_len: float, p: Bm25 = Bm25(), size: int = BLOCK_DOCS, shard_bits: int = SHARD_BITS, held: int = HELD_TERMS) -> DataFrame:
+    """(shard, term, first, last, n, top, docs, tfs, lens) from (doc, terms): a block of postings each; top is the greatest BM25 part without idf, lens are lengths of documents. Rows of one doc are one document."""
+    rows = terms.filter("doc is not null AND size(terms) > 0").select(F.col("doc").cast("bigint").alias("doc"), F.size("terms").alias("n"), F.array_join("terms", " ").alias("text"))
+    names = ["shard", "term", "first", "last", "n", "top", "docs", "tfs", "lens"]
+
+    def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The blocks of documents of one shard, in ascending order."""
+        t = pa.Table.from_batches(parts).combine_chunks()
+        doc, n = t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.int64)
+        here, at = np.unique(doc, return_inverse=True)
+        length = np.bincount(at, n).astype(np.int64)
+        word = pc.split_pattern(t.column(2).combine_chunks(), " ").flatten().dictionary_encode()
+        key = np.sort(word.indices.to_numpy().astype(np.int64) * len(here) + np.repeat(at, n))
+        run = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        tf, code, at = np.diff(np.append(run, len(key))), key[run] // len(here), key[run] % len(here)
+        doc, length = here[at], length[at]
+        group = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        place = np.arange(len(doc)) - np.repeat(group, np.diff(np.append(group, len(doc))))
+        begin = np.flatnonzero(place % size == 0)
+        end = np.append(begin[1:], len(doc))
+        part = p.d + tf * (p.k + 1) / (tf + p.k * (1 - p.b + p.b * length / avg_len))
+        gap = np.diff(doc, prepend=doc[0])
+        gap[begin] = 0
+        cols = [
+            pa.array(doc[begin] >> shard_bits), word.dictionary.take(pa.array(code[begin])), pa.array(doc[begin]), pa.array(doc[end - 1]), pa.array(end - begin), pa.array(np.maximum.reduceat(part, begin)),
+            packed(gap, begin), packed(tf, begin), packed(length, begin),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def made(t: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-            """Blocks of whole rows of t; what may go on in the next batch is left."""
-            shard, doc, tf, length = (t.column(c).to_numpy() for c in (0, 2, 3, 4))
-            term = t.column(1).combine_chunks().dictionary_encode()
-            code = (term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term).indices.to_numpy()
-            new = np.ones(len(doc), bool)
-            new[1:] = (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])
-            group = np.flatnonzero(new)
-            place = np.arange(len(doc)) - np.repeat(group, np.diff(np.append(group, len(doc))))
-            begin = np.flatnonzero(place % size == 0)
-            end = np.append(begin[1:], len(doc))
-            if not last:
-                begin, end = begin[:-1], end[:-1]
-            part = p.d + tf * (p.k + 1) / (tf + p.k * (1 - p.b + p.b * length / avg_len))
-            cols = [
-                pa.array(shard[begin]), t.column(1).take(pa.array(begin)).combine_chunks(), pa.array(doc[begin]), pa.array(doc[end - 1]), pa.array(end - begin), pa.array(np.maximum.reduceat(part, begin) if len(begin) else part[:0]),
-                pa.array([pack(np.diff(doc[a:b], prepend=doc[a])) for a, b in zip(begin, end, strict=True)], pa.binary()), pa.array([pack(tf[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary()),
-                pa.array([pack(length[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(cols, ["shard", "term", "first", "last", "n", "top", "docs", "tfs", "lens"]), t.slice(int(end[-1]) if len(end) else 0)
-
+        parts, total, last = [], 0, None
         for batch in batches:
-            if batch.num_rows:
-                t = pa.Table.from_batches([batch])
-                out, held = made(t if held is None else pa.concat_tables([held, t]).combine_chunks(), False)
-                yield out
-        if held is not None and held.num_rows:
-            yield made(held, True)[0]
+            start = 0
+            for i, (doc, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if last is not None and doc != last and (total >= held or doc >> shard_bits != last >> shard_bits):
+                    yield made([*parts, batch.slice(start, i - start)])
+                    parts, total, start = [], 0, i
+                total, last = total + n, doc
+            parts.append(batch.slice(start))
+        if total:
+            yield made(parts)
 
     schema = "shard bigint, term string, first bigint, last bigint, n bigint, top double, docs binary, tfs binary, lens binary"
-    return tf.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return rows.repartitionByRange("doc").sortWithinPartitions("doc").mapInArrow(run, schema)
 
 
 @dataclass
@@ -163,7 +180,8 @@ def search(index: DataFrame, queries: DataFrame, df: DataFrame, docs: int, avg_l
     if size > HELD_BYTES:
         raise ValueError("more query text than a task may hold: search in parts")
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = q.select(F.explode("terms").alias("term")).distinct().join(df, "term").select("term", idf.alias("idf"))
+    known = q.select(F.explode("terms").alias("term")).distinct()
+    known = df.join(F.broadcast(known), "term", "left_semi").select("term", idf.alias("idf"))  # goes below the sum of df
     weight = {r["term"]: r["idf"] for r in known.collect()}  # a term of the queries each
     asked = [(r["query_id"], [t for t in r["terms"] if t in weight]) for r in q.collect()]
     kind = queries.schema["query_id"].dataType.simpleString()
