@@ -17,18 +17,26 @@ from ..functions.text import tokens
 from ..schemas import Bm25
 from .blocks import BLOCK, as_given, block_rows, by_cell, matrix
 
-#: Vectors of queries that every task may hold.
+#: Vectors or texts of queries that every task may hold.
 HELD_BYTES = 32 << 20
 
 
-def bm25_scores(queries: DataFrame, tf: DataFrame, lengths: DataFrame, df: DataFrame, docs: int, avg_len: float, p: Bm25 = Bm25()) -> DataFrame:
-    """(query_id, doc, score) for queries (query_id, text): sum over distinct terms of idf * (d + tf (k + 1) / (tf + k (1 - b + b len / avg)))."""
+def bm25_scores(queries: DataFrame, tf: DataFrame, lengths: DataFrame | None, df: DataFrame, docs: int, avg_len: float, p: Bm25 = Bm25()) -> DataFrame:
+    """(query_id, doc, score) for queries (query_id, text): sum over distinct terms of idf * (d + tf (k + 1) / (tf + k (1 - b + b len / avg))).
+
+    Without lengths, tf brings each document's `len` itself. Queries of at most HELD_BYTES are held by every task, and only
+    postings of their terms go on, without a shuffle.
+    """
+    size = queries.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    held = F.broadcast if size <= HELD_BYTES else lambda x: x
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = wanted.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    asked = df.join(held(wanted.select("term").distinct()), "term", "left_semi")
+    known = held(wanted.join(held(asked), "term").select("query_id", "term", idf.alias("idf")))
     share = 1 - p.b + p.b * F.col("len") / F.lit(avg_len)
     part = F.col("idf") * (p.d + F.col("tf") * (p.k + 1) / (F.col("tf") + p.k * share))
-    return tf.join(known, "term").join(lengths, "doc").groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
+    found = tf.join(known, "term")
+    return (found if lengths is None else found.join(lengths, "doc")).groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc") -> DataFrame:

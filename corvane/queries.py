@@ -39,6 +39,11 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), tokens(F.coalesce("text", F.lit(""))).alias("terms"))
 
 
+def _once(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether each document has an id of its own."""
+    return bm25.unique(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", urls.normalise(u).alias("normalised"), urls.origin(u).alias("origin"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.kind(u).alias("kind"), urls.is_git_host(u).alias("git_host"), urls.is_portal(u).alias("portal"))
@@ -139,11 +144,11 @@ def bm25_doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.document_frequencies(bm25.term_frequencies(_terms(spark, sf_dir)))
+    return bm25.token_frequencies(_terms(spark, sf_dir))
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.term_frequencies(_terms(spark, sf_dir))
+    return bm25.term_frequencies(_terms(spark, sf_dir), _once(spark, sf_dir))
 
 
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +156,8 @@ def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_child_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over child chunks, headings included: what an index holds."""
-    key = F.concat_ws("-", "doc_id", "pid", "ordinal")
-    return bm25.document_frequencies(bm25.term_frequencies(bm25.doc_tokens(_children(spark, sf_dir).withColumn("doc", key))))
+    """Over child chunks, headings included: what an index holds. Each row is a chunk, also where documents repeat an id."""
+    return bm25.row_frequencies(bm25.doc_tokens(_children(spark, sf_dir), "doc_id"))
 
 
 def quantised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,10 +292,15 @@ def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 10 documents of each benchmark text."""
     terms = keep(_terms(spark, sf_dir), "terms")
-    tf, lengths = bm25.term_frequencies(terms), bm25.doc_lengths(terms)
+    lengths = bm25.doc_lengths(terms)
     stats = bm25.statistics(lengths).first()
+    if once := _once(spark, sf_dir):
+        tf, df = bm25.term_frequencies(terms.withColumn("len", F.size("terms")), True, "len"), bm25.row_frequencies(terms)
+    else:
+        tf = bm25.term_frequencies(terms)
+        df = bm25.document_frequencies(tf)
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scores = retrieval.bm25_scores(queries, tf, lengths, bm25.document_frequencies(tf), stats["docs"], stats["avg_doc_len"])
+    scores = retrieval.bm25_scores(queries, tf, None if once else lengths, df, stats["docs"], stats["avg_doc_len"])
     return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), 10)
 
 
