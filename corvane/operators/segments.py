@@ -7,13 +7,16 @@ touched, so a delta costs what changed:
     order     url, ord of all pages now (the last one counts)      dead    was (segment), url
     pages     url, sha256                                           df      term, df: plus new chunks, minus dead ones
     parents   url, local_pid, ...                                   totals  docs, terms: likewise
-    chunks    url, pid, ordinal, ..., text_sha, len                 vectors text_sha, embedding of texts not yet embedded
-    tf        url, pid, ordinal, term, tf                           manifest, written last: what makes the segment count
+    chunks    url, pid, ordinal, ..., text_sha, len, terms          vectors text_sha, embedding of texts not yet embedded
+    manifest, written last: what makes the segment count
 
 Every table of a segment is a folder `<table>/segment=<n>`, overwritten if a delta is tried again; a delta that fails
 before its manifest leaves no trace. Document frequencies, lengths and averages are sums over segments. `compact` numbers
 what lives in page order, as a build from nothing would.
 
+Frequencies are counted within a chunk's row, from its terms. Bodies are shuffled once where pages are compared, and not
+at all by a first build; vectors once, when `compact` has numbered all else.
+
 A page is a url; pages are taken once (of rows that repeat a url any one). Null bodies give no chunks.
 """
 
@@ -59,7 +62,10 @@ class Segments:
         return rows.join(dead, ["segment", "url"], "left_anti")
 
     def live(self, name: str) -> DataFrame:
-        """Rows of pages, parents, chunks or tf that aren't dead."""
+        """Rows of pages, parents, chunks or tf (url, pid, ordinal, term, tf of chunks) that aren't dead."""
+        if name == "tf":
+            rows = self.live("chunks").select("segment", *_CHUNK, F.explode_outer(bm25.counted(F.col("terms"))).alias("_t"))
+            return rows.filter("_t is not null").select("segment", *_CHUNK, "_t.term", "_t.tf")
         return self._alive(self.table(name))
 
     def _put(self, df: DataFrame, name: str, n: int) -> DataFrame:
@@ -70,25 +76,30 @@ class Segments:
     def apply(self, web: DataFrame) -> None:
         """Take the site as it is now: web (url, body, ord)."""
         n, empty = self.committed(), lambda ddl: self.spark.createDataFrame([], ddl)
-        now = self._put(web.dropDuplicates(["url"]).select("url", "ord", F.sha2(F.coalesce("body", F.lit("")), 256).alias("sha256")), "order", n)
+        sha = F.sha2(F.coalesce("body", F.lit("")), 256).alias("sha256")
+        now = self._put(web.select("url", "ord", sha).dropDuplicates(["url"]), "order", n)
         held = self.live("pages").select("segment", "url", "sha256") if n else empty("segment int, url string, sha256 string")
         fresh = self._put(now.join(held, ["url", "sha256"], "left_anti").select("url", "sha256"), "pages", n)
         dead = self._put(held.join(now, ["url", "sha256"], "left_anti").select(F.col("segment").alias("was"), "url"), "dead", n)
 
-        bodies = web.select("url", "body", F.sha2(F.coalesce("body", F.lit("")), 256).alias("sha256")).join(fresh, ["url", "sha256"], "left_semi").dropDuplicates(["url"])
+        once = web.count() == now.count()
+        bodies = web.filter("url is not null").select("url", "body", sha)
+        if n or not once:
+            bodies = bodies.join(fresh, ["url", "sha256"], "left_semi")
+        if not once:
+            bodies = bodies.dropDuplicates(["url"])
         found = read_pages(bodies.select("url", "body"), generic=self.generic).select("url", "title", "sections")
         parent = self._put(parents(found, "url", sizes=self.sizes), "parents", n)
         child = children(parent.withColumnRenamed("local_pid", "pid"), self.sizes).withColumn("text_sha", F.sha2(embed_text(F.col("t"), F.col("x")), 256))
         terms = bm25.doc_tokens(child.withColumn("doc", F.struct(*_CHUNK, "text_sha", "u", "host", "kind", "weight", "t", "x")))
         chunk = self._put(terms.select("doc.*", F.size("terms").cast("bigint").alias("len"), "terms"), "chunks", n)
-        tf = self._put(chunk.select(*_CHUNK, F.explode("terms").alias("term")).groupBy(*_CHUNK, "term").agg(F.count("*").alias("tf")), "tf", n)
 
-        count = lambda rows, sign: rows.groupBy("term").agg((sign * F.count("*")).alias("df"))
+        count = lambda rows, sign: bm25.row_frequencies(rows).select("term", (sign * F.col("df")).alias("df"))
         total = lambda rows, sign: rows.agg((sign * F.count("*")).alias("docs"), (sign * F.coalesce(F.sum("len"), F.lit(0))).alias("terms"))
-        df, totals = count(tf, 1), total(chunk, 1)
+        df, totals = count(chunk, 1), total(chunk, 1)
         if n:
             gone = dead.withColumnRenamed("was", "segment")
-            df = df.unionByName(count(self.table("tf").join(gone, ["segment", "url"], "left_semi"), -1))
+            df = df.unionByName(count(self.table("chunks").join(gone, ["segment", "url"], "left_semi"), -1))
             totals = totals.unionByName(total(self.table("chunks").join(gone, ["segment", "url"], "left_semi"), -1))
         self._put(df.groupBy("term").agg(F.sum("df").alias("df")), "df", n)
         self._put(totals.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")), "totals", n)
@@ -116,9 +127,9 @@ class Segments:
         order = self.table("order").filter(F.col("segment") == self.committed() - 1).select("url", "ord")
         parent = with_positions(self.live("parents").join(order, "url").drop("segment"), ["ord", "local_pid"], "_pid")
         place = parent.select("url", F.col("local_pid").alias("pid"), "_pid")
-        chunk = self.live("chunks").join(place, ["url", "pid"]).join(self.table("vectors").drop("segment"), "text_sha")
-        chunk = chunk.drop("pid", "segment", "terms", "text_sha", "len").withColumnRenamed("_pid", "pid")
+        chunk = self.live("chunks").drop("segment", "terms", "len").join(place, ["url", "pid"]).drop("pid").withColumnRenamed("_pid", "pid")
         chunk = with_positions(chunk, ["pid", "ordinal"], "doc").drop("ordinal", "url")
+        chunk = chunk.join(self.table("vectors").drop("segment"), "text_sha").drop("text_sha")
         return parent.drop("ord", "local_pid", "url").withColumnRenamed("_pid", "pid"), chunk
 
     def merged(self, path: str) -> Segments:
@@ -128,8 +139,7 @@ class Segments:
         out._put(self.table("order").filter(F.col("segment") == last).drop("segment"), "order", 0)
         pages = out._put(self.live("pages").drop("segment"), "pages", 0)
         out._put(self.table("dead").drop("segment").limit(0), "dead", 0)
-        for name in ("parents", "tf"):
-            out._put(self.live(name).drop("segment"), name, 0)
+        out._put(self.live("parents").drop("segment"), "parents", 0)
         chunk = out._put(self.live("chunks").drop("segment"), "chunks", 0)
         out._put(self.document_frequencies(), "df", 0)
         out._put(self.table("totals").agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")), "totals", 0)
