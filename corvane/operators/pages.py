@@ -6,9 +6,12 @@ text needs no UDF at all.
 
 from __future__ import annotations
 
+import itertools
 from urllib.parse import urljoin
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,9 @@ RELEASE_CONTENT = [".markdown-body"]
 GENERIC_CONTENT = ["#tdBodyContent", ".kb-article-body", ".td-page-body", "[data-region='article-body']", "#articleBody", ".article-content", "main"]
 NOISE = ["script", "style", "noscript", "nav", "footer", "header", "aside", ".breadcrumb", ".td-utility-bar", ".td-nav", ".pager", ".pagination", "#tdBreadcrumb", "#tdNavigation", "#tdSideMenu", ".td-side-menu"]
 
+#: Bytes of bodies that are Python objects at a time, with what is found in them: a batch of rows may hold far more.
+WALK_BYTES = 1 << 20
+
 
 def profile(url: Column, generic: list[str] | None = None) -> Column:
     """struct<selectors, noise, need_text> of a page; selectors are empty for pages that hold links only."""
@@ -76,10 +82,16 @@ def _walk(url: str | None, body: str | None, form: str, selectors: list[str], no
 
 @F.arrow_udf(_FOUND)
 def _walked(url: pa.Array, body: pa.Array, form: pa.Array, selectors: pa.Array, noise: pa.Array, need_text: pa.Array) -> pa.Array:
-    rows = zip(*(x.to_pylist() for x in (url, body, form, selectors, noise, need_text)), strict=True)
     strings = pa.list_(pa.string())
     kind = pa.struct([("title", pa.string()), ("h1", pa.string()), ("title_left", pa.string()), ("h1_left", pa.string()), ("links", strings), ("sections", pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())])))])
-    return pa.array([_walk(*r) for r in rows], kind)
+    columns = (url, body, form, selectors, noise, need_text)
+
+    def some(start: int, end: int) -> pa.Array:
+        return pa.array([_walk(*r) for r in zip(*(x.slice(start, end - start).to_pylist() for x in columns), strict=True)], kind)
+
+    part = np.cumsum(pc.fill_null(pc.binary_length(body), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // WALK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(body)]
+    return pa.concat_arrays([some(*cut) for cut in itertools.pairwise(cuts)])
 
 
 def title_of(title: Column, h1: Column, url: Column) -> Column:
