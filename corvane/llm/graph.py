@@ -54,6 +54,11 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(both: pa.Array, n: int) -> pa.RecordBatch:
+    if pa.types.is_integer(both.type):
+        names, at = np.unique(both.to_numpy(), return_inverse=True)
+        root = contract(at[:n], at[n:], len(names))
+        child = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[root[child]])], ["a", "b"])
     nodes = both.to_pylist()
     key = (lambda v: tuple(v.values())) if pa.types.is_struct(both.type) else (lambda v: v)
     names = sorted({key(v): v for v in nodes}.items())

@@ -54,6 +54,7 @@ class Settings:
     block_bytes: int = 8 << 20
     local: int = 32
     held: int = 1 << 23
+    whole: int = 32  # lines of a mixed bucket from which on it is joined by prefixes
 
 
 #: What counts towards min_chars: letters, digits and first bytes of other characters.
@@ -61,11 +62,20 @@ _COUNTS = np.array([0x30 <= b < 0x3A or 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or
 #: Lower case, and one kind of blank; line feeds stay.
 _NORMAL = np.where(B.NOT_BLANK | (np.arange(256) == 10), B.LOWER, np.uint8(0x20))
 _CODE = B.mix(np.arange(1, (1 << 16) + 1, dtype=B.U64))
+_CODE32 = (_CODE >> B.U64(32)).astype(np.uint32)
 _SHINGLE = B.U64(0xD6E8FEB86659FD93)
 
 
-def line_shingles(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit shingle hashes, offsets) of lines that each end with a line feed, repeats included; a line shorter than k is one shingle."""
+def _mix32(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    return x
+
+
+def line_shingles(data: bytes, k: int, word: type = B.U64) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, offsets) of lines that each end with a line feed, repeats included; a line shorter than k is one shingle. word: 64-bit hashes, or 32-bit ones in half the time."""
+    mix, codes, step = (B.mix, _CODE, _SHINGLE) if word is B.U64 else (_mix32, _CODE32, np.uint32(_SHINGLE & B.U64(0xFFFFFFFF)))
     code = np.frombuffer(data, np.uint8)
     if len(code) and int(code.max()) >= 0x80:
         code = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
@@ -74,40 +84,38 @@ def line_shingles(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
     size = end - start
     n = np.maximum(size - k + 1, np.minimum(size, 1))
     total = np.concatenate([[0], np.cumsum(n)])
-    h = _CODE[code] if code.dtype == np.uint8 or int(code.max()) < 1 << 16 else np.where(code < 1 << 16, _CODE[np.minimum(code, (1 << 16) - 1)], B.mix(code.astype(B.U64) + B.U64(1)))
+    h = codes[code] if code.dtype == np.uint8 or int(code.max()) < 1 << 16 else np.where(code < 1 << 16, codes[np.minimum(code, (1 << 16) - 1)], mix(code.astype(word) + word(1)))
     h[end] = 0  # so what a short line's shingle takes from beyond its end is nothing
-    out, have, step = h, 1, _SHINGLE
-    whole = np.zeros(len(h), B.U64)
+    out, have = h, 1
+    whole = np.zeros(len(h), word)
     done = 0
     for bit in range(k.bit_length()):  # polynomial hash of k codes, doubling
         if k >> bit & 1:
-            shifted = np.zeros(len(h), B.U64)
+            shifted = np.zeros(len(h), word)
             shifted[: len(h) - done] = out[done:]
             whole = whole * step + shifted if done else out.copy()
             done += have
         if done < k:
             twice = out * step
             twice[: len(h) - have] += out[have:]
-            out, have, step = twice, 2 * have, B.U64(int(step) ** 2 % (1 << 64))
+            out, have, step = twice, 2 * have, word(int(step) ** 2 % (1 << 8 * h.itemsize))
     inside = np.zeros(len(h) + 1, np.int8)  # where a shingle begins
     np.add.at(inside, start[n > 0], 1)
     np.add.at(inside, (start + n)[n > 0], -1)
     found = whole[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
     for i in np.flatnonzero((size < k) & (size > 0)).tolist():  # their shingle ends with the line
-        x = np.zeros(1, B.U64)
+        x = np.zeros(1, word)
         for c in range(start[i], end[i]):
-            x = B.mix(x + h[c : c + 1])
+            x = mix(x + h[c : c + 1])
         found[total[i]] = x[0]
-    return B.mix(found), total
+    return mix(found), total
 
 
-def line_coordinates(shingle: np.ndarray, at: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
-    """Coordinates of each non-empty line, one after the other: the least values of half as many hash functions, then their greatest, which two sets share with the same chance."""
-    low = (shingle >> B.U64(32)).astype(np.uint32)
+def line_coordinates(low: np.ndarray, at: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
+    """Coordinates of each non-empty line from 32-bit shingles, one after the other: the least values of half as many hash functions, then their greatest, which two sets share with the same chance."""
     x, greatest = np.empty_like(low), []
     for key in _coordinate_keys(s)[: (s.bands * s.rows + 1) // 2]:
-        np.bitwise_xor(low, np.uint32(key & B.U64(0xFFFFFFFF)), out=x)
-        np.multiply(x, np.uint32((key >> B.U64(32)) | B.U64(1)), out=x)
+        np.multiply(low, np.uint32((key >> B.U64(32)) | B.U64(1)), out=x)
         yield np.minimum.reduceat(x, at[:-1])
         greatest.append(np.maximum.reduceat(x, at[:-1]))
     yield from greatest[: s.bands * s.rows // 2]
@@ -155,17 +163,33 @@ def taking_part(text: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, by
     return doc, np.flatnonzero(takes) - first[doc], _NORMAL[buf[keep]].tobytes()
 
 
+def _keyed(fresh: np.ndarray, keys: np.ndarray) -> pa.Array:
+    """The rows of keys as bytes where fresh, null elsewhere."""
+    at = np.concatenate([[0], np.cumsum(fresh)]).astype(np.int32) * np.int32(keys.shape[1] * keys.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(fresh), [pa.py_buffer(np.packbits(fresh, bitorder="little")), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(keys))])
+
+
 def _lines(s: Settings):
-    """Rows (_id, _t, _pos, _l1, _l2) of lines that take part."""
+    """Rows (_id, _t, _pos, _l1, _l2, _keys) of lines that take part; band keys once for a line of a task, mostly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             text = B.text_array(batch.column(2))
-            for lo, hi in B.slices(text):
+            for lo, hi in B.slices(text, 1 << 19):
                 doc, pos, data = taking_part(text.slice(lo, hi - lo), s)
-                if len(doc):
-                    ids, take = _ids(data), pa.array(doc + lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["_id", "_t", "_pos", "_l1", "_l2"])
+                if not len(doc):
+                    continue
+                ids, take = _ids(data), pa.array(doc + lo)
+                fresh = np.zeros(len(ids), bool)
+                fresh[np.unique(ids[:, 0], return_index=True)[1]] = True
+                fresh &= np.array([i not in seen for i in ids[:, 0].tolist()])
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                seen.update(ids[fresh, 0].tolist())
+                keys = [line_bands(line_coordinates(*line_shingles(some, s.k, np.uint32), s), s) for some in _pieces(_some(data, fresh))]
+                keys = np.concatenate(keys) if keys else np.zeros((0, s.bands), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1]), _keyed(fresh, keys)], ["_id", "_t", "_pos", "_l1", "_l2", "_keys"])
 
     return run
 
@@ -249,7 +273,7 @@ def _records(rows: np.ndarray) -> bytes:
 
 
 def _banded(s: Settings, parts: int):
-    """Rows (_part, _kind, _data): packed records of a range of keys. Kind 0: (_key, _l1); kind 1: _MET of buckets that have more than s.local lines here."""
+    """Rows (_part, _kind, _data) from rows (_l1, _keys): packed records of a range of keys. Kind 0: (_key, _l1); kind 1: _MET of buckets that have more than s.local lines here."""
 
     def flush(keys: list[np.ndarray], lines: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, line = np.concatenate(keys), np.concatenate(lines)
@@ -262,7 +286,7 @@ def _banded(s: Settings, parts: int):
         out = [(0, np.stack([key, line]))] + ([(1, met)] if met.shape[1] else [])
         for kind, rows in out:
             part = ((rows[0].view(B.U64) >> B.U64(32)) * B.U64(parts) >> B.U64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")  # by radix, if parts are few
             part, rows = part[order], rows[:, order]
             cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
             pairs = list(zip(cuts, cuts[1:], strict=False))
@@ -271,27 +295,12 @@ def _banded(s: Settings, parts: int):
                 yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([_records(rows[:, a:b]) for a, b in some], pa.binary())], ["_part", "_kind", "_data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         keys, lines, held = [], [], 0
         for batch in batches:
-            text = B.text_array(batch.column(0))
-            for lo, hi in B.slices(text, 1 << 18):
-                data = taking_part(text.slice(lo, hi - lo), s)[2]
-                if not data:
-                    continue
-                ids = _ids(data)[:, 0]
-                fresh = np.zeros(len(ids), bool)
-                fresh[np.unique(ids, return_index=True)[1]] = True
-                fresh &= np.array([i not in seen for i in ids.tolist()])
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.update(ids[fresh].tolist())
-                if not fresh.any():
-                    continue
-                lines.append(np.repeat(ids[fresh], s.bands))
-                for some in _pieces(_some(data, fresh)):
-                    keys.append(line_bands(line_coordinates(*line_shingles(some, s.k), s), s).ravel())
-                    held += len(keys[-1])
+            for x in (batch.slice(lo, 8192) for lo in range(0, batch.num_rows, 8192)):
+                lines.append(np.repeat(x.column(0).to_numpy(), s.bands))
+                keys.append(np.frombuffer(b"".join(x.column(1).to_pylist()), np.int64))
+                held += len(keys[-1])
                 if held >= 1 << 20:
                     yield from flush(keys, lines)
                     keys, lines, held = [], [], 0
@@ -397,22 +406,70 @@ def common(cell: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
     return out
 
 
+def similar(cell: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the lines x[i] and y[i] are as similar as wanted; sets of sizes too far apart aren't compared."""
+    size = np.diff(at)
+    out = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+    x, y = x[out], y[out]
+    both = common(cell, at, x, y)
+    out[out] = 100 * both >= percent * (size[x] + size[y] - both)
+    return out
+
+
 def _verify(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bytes_ = np.cumsum([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5), strict=True)])
+            bytes_ = np.cumsum([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)])
             ok, lo = [], 0
             while lo < batch.num_rows:
                 hi = min(max(int(np.searchsorted(bytes_, (bytes_[lo - 1] if lo else 0) + (1 << 20))), lo + 1), lo + 16384)
-                x, y = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (4, 5))
+                x, y = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (2, 3))
                 of, lines = _numbered([*x, *y])
                 cell, at = line_sets(_fed(lines), s.k)
                 one, two = of[: len(x)], of[len(x) :]
-                both, size = common(cell, at, one, two), np.diff(at)
-                ok.append(100 * both >= s.percent * (size[one] + size[two] - both))
+                ok.append(similar(cell, at, one, two, s.percent))
                 lo = hi
             if ok:
-                yield pa.RecordBatch.from_arrays(batch.columns[:4], ["_l1", "_l2", "_m1", "_m2"]).filter(pa.array(np.concatenate(ok)))
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(np.concatenate(ok)))
+
+    return run
+
+
+def _met_whole(s: Settings):
+    """Links (a, b) of all lines of a bucket that are in several components, from rows (_key, _no, _root, _line) sorted by _key."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key, no, root = (rows.column(c).to_numpy() for c in range(3))
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ids, at, of = np.unique(no, return_index=True, return_inverse=True)
+        cell, offsets = line_sets(_fed(rows.column(3).take(pa.array(at)).to_pylist()), s.k)
+        size, a, b = np.diff(offsets), [], []
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+            line, n = of[lo:hi], hi - lo
+            shingle, column = np.unique(cell[_ranges(offsets[line], size[line])] & _REST, return_inverse=True)
+            held = np.zeros((n, len(shingle)), np.float32)
+            held[np.repeat(np.arange(n), size[line]), column] = 1
+            both = (held @ held.T).astype(np.int64)
+            x, y = np.nonzero((100 * both >= s.percent * (size[line][:, None] + size[line] - both)) & (root[lo:hi][:, None] > root[lo:hi]))
+            a.append(line[x])
+            b.append(line[y])
+        return pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(z)]) for z in (a, b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size = [], 0, 0
+        for batch in (b.slice(lo, 4096) for b in batches for lo in range(0, b.num_rows, 4096)):
+            held.append(batch)
+            n, size = n + batch.num_rows, size + batch.nbytes
+            if n >= 16384 or size >= 2 << 20:
+                rows = pa.Table.from_batches(held)
+                key = rows.column(0).to_numpy()
+                whole = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+                if whole:
+                    yield links(rows.slice(0, whole))
+                    rows = rows.slice(whole)
+                    held, n, size = rows.to_batches(), rows.num_rows, rows.nbytes
+        if n:
+            yield links(pa.Table.from_batches(held))
 
     return run
 
@@ -571,36 +628,28 @@ def _linked(s: Settings):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(_l1, _l2, _m1, _m2) of the pairs (a, b) of lines that are as similar as wanted."""
-    one, two = texts.toDF("a", "_l2", "_x"), texts.toDF("b", "_m2", "_y")
-    both = pairs.join(one, "a").join(two, "b").select(F.col("a").alias("_l1"), "_l2", F.col("b").alias("_m1"), "_m2", "_x", "_y")
-    return stage(both.mapInArrow(_verify(s), "_l1 long, _l2 long, _m1 long, _m2 long"), "links")
+    """Links (a, b) by number, of the pairs (a, b) of lines by _l1 that are as similar as wanted."""
+    texts = texts.select("_l1", "_no", "_line")
+    both = pairs.join(texts.toDF("a", "_a", "_x"), "a").join(texts.toDF("b", "_b", "_y"), "b").select("_a", "_b", "_x", "_y")
+    return stage(both.mapInArrow(_verify(s), "a long, b long"), "links")
 
 
 def _verified_in_cells(pairs: DataFrame, texts: DataFrame, blocks: int, s: Settings) -> DataFrame:
-    """The same, enough of them for the same components, where lines have many pairs: a line goes once to each cell of two blocks that needs it, not with each pair."""
+    """Of pairs (a, b) by number, links enough for the same components, where lines have many pairs: a line goes once to each cell of two blocks that needs it, not with each pair."""
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     i, j = block("a"), block("b")
     dealt = stage(pairs.distinct().select(F.least(i, j).alias("_i"), F.greatest(i, j).alias("_j"), "a", "b"), "pairs")
-    need = dealt.select("_i", "_j", F.col("a").alias("_l1")).unionByName(dealt.select("_i", "_j", F.col("b").alias("_l1"))).distinct()
-    rows = need.join(texts.select("_l1", "_line"), "_l1").select("_i", "_j", F.lit(False).alias("_pair"), F.col("_l1").alias("a"), F.lit(None).cast("long").alias("b"), "_line")
+    need = dealt.select("_i", "_j", F.col("a").alias("_no")).unionByName(dealt.select("_i", "_j", F.col("b").alias("_no"))).distinct()
+    rows = need.join(texts.select("_no", "_line"), "_no").select("_i", "_j", F.lit(False).alias("_pair"), F.col("_no").alias("a"), F.lit(None).cast("long").alias("b"), "_line")
     rows = rows.unionByName(dealt.select("_i", "_j", F.lit(True).alias("_pair"), "a", "b", F.lit(None).cast("binary").alias("_line")))
-    links = rows.repartition("_i", "_j").sortWithinPartitions("_i", "_j", "_pair").mapInArrow(_linked(s), "a long, b long")
-    names = texts.select("_l1", "_l2")
-    out = stage(links.join(names.toDF("a", "_l2"), "a").join(names.toDF("b", "_m2"), "b").select(F.col("a").alias("_l1"), "_l2", F.col("b").alias("_m1"), "_m2"), "links")
+    out = stage(rows.repartition("_i", "_j").sortWithinPartitions("_i", "_j", "_pair").mapInArrow(_linked(s), "a long, b long"), "links")
     release_table(dealt)
     return out
 
 
-def _pairs(links: DataFrame) -> DataFrame:
-    return links.select(F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y")).alias("a"), F.struct(F.col("_m1").alias("x"), F.col("_m2").alias("y")).alias("b"))
-
-
 def _rooted(lines: DataFrame, roots: DataFrame) -> DataFrame:
-    """(_l1, _root) of lines (_l1, _l2)."""
-    own = F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))
-    rows = lines.select("_l1", own.alias("_own"))
-    return rows.join(roots, rows["_own"] == roots["node"], "left").select("_l1", F.coalesce("root", "_own").alias("_root"))
+    """lines with _root, by their _no."""
+    return lines.join(roots.select(F.col("node").alias("_no"), F.col("root").alias("_root")), "_no", "left").withColumn("_root", F.coalesce("_root", "_no"))
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
@@ -614,18 +663,28 @@ def _mixed(entries: DataFrame) -> DataFrame:
 
 def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
     """(node, root) of the components, with all links in buckets of four or more that hold several of the components so far. met: rows of _meet; roots: (node, root) so far."""
-    spark = met.sparkSession
+    rooted = stage(_rooted(texts, roots), "rooted")
     every = met.select("_key", "_l1", F.lit(1).alias("_more")).unionByName(met.select("_key", F.col("_first").alias("_l1"), F.lit(0).alias("_more")))
-    member = stage(every.join(_rooted(texts, roots), "_l1"), "members")
-    large = member.groupBy("_key").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.sum("_more").alias("_n")).filter("_r0 <> _r1 and _n > 2").select("_key")
-    lines = stage(member.join(large, "_key").select("_l1").distinct(), "mixed-lines")
-    release_table(member)
-    if lines.isEmpty():
-        release_table(lines)
-        return roots
-    mine = stage(texts.join(lines, "_l1"), "mixed-texts")
-    rooted = mine.join(_rooted(mine, roots).select("_l1", F.xxhash64("_root").alias("_root")), "_l1")
-    sets = stage(rooted.select("_l1", "_root", "_line").mapInArrow(_sets(s), "_l1 long, _root long, _set array<long>"), "sets")
+    member = stage(every.join(rooted.select("_l1", "_no", "_root").hint("shuffle_hash"), "_l1").select("_key", "_no", "_root", "_more"), "members")
+    mixed = stage(member.groupBy("_key").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.sum("_more").alias("_n")).filter("_r0 <> _r1 and _n > 2").select("_key", "_n"), "mixed-buckets")
+    of = lambda few: member.join(mixed.filter(F.col("_n") < s.whole if few else F.col("_n") >= s.whole).select("_key").hint("shuffle_hash"), "_key")
+    met_whole = of(True).select("_key", "_no").distinct().join(rooted.select("_no", "_root", "_line"), "_no").select("_key", "_no", "_root", "_line")
+    links = stage(met_whole.repartition("_key").sortWithinPartitions("_key").mapInArrow(_met_whole(s), "a long, b long"), "links")
+    lines = stage(of(False).select("_no").distinct(), "mixed-lines")
+    for table in (member, mixed):
+        release_table(table)
+    more = None if lines.isEmpty() else _joined_by_prefixes(stage(rooted.join(lines.hint("shuffle_hash"), "_no").select("_no", "_root", "_line"), "mixed-texts"), s)
+    found = links if more is None else links.unionByName(more)
+    out = roots if found.isEmpty() else components(roots.toDF("a", "b").unionByName(found))
+    for table in (rooted, lines, found):
+        release_table(table)
+    return out
+
+
+def _joined_by_prefixes(mine: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b), enough for the components, of rows (_no, _root, _line) of different components; mine is deleted."""
+    spark = mine.sparkSession
+    sets = stage(mine.mapInArrow(_sets(s), "_l1 long, _root long, _set array<long>"), "sets")
     n_lines, shingles = sets.agg(F.count("*"), F.sum(F.size("_set").cast("long"))).first()
     blocks = max(1, -(-n_lines // s.block), -(-8 * shingles // s.block_bytes))
     slots = sets.select(F.explode(F.transform("_set", lambda h: F.shiftrightunsigned(h, 64 - SLOT_BITS))).alias("_slot")).groupBy("_slot").count().filter("count > 1").toArrow()  # 2**SLOT_BITS rows at most
@@ -635,7 +694,7 @@ def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -
     every = sets.mapInArrow(lambda batches: _prefixes(s, held.value)(batches), "_h long, _l1 long, _root long, _n long, _at long, _held boolean")
     prefixes = stage(every, "prefixes")
     entries = _mixed(prefixes)
-    for table in (sets, prefixes, lines):  # not read again, and large
+    for table in (sets, prefixes):  # not read again, and large
         release_table(table)
 
     pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
@@ -644,10 +703,9 @@ def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -
     room = F.least(F.col("_n") - F.col("_at"), F.col("m") - F.col("_bt"))  # what they can share from here on
     near = earlier & (F.col("_root") != F.col("_other")) & (100 * F.col("m") >= s.percent * F.col("_n")) & ((100 + s.percent) * room >= s.percent * (F.col("_n") + F.col("m")))
     links = _verified_in_cells(entries.join(small, "_h").filter(near).select(*pair("_l1", "b")), mine, blocks, s)
-    out = roots if links.isEmpty() else components(roots.toDF("a", "b").unionByName(_pairs(links)))
-    for table in (entries, mine, links):
+    for table in (entries, mine):
         release_table(table)
-    return out
+    return links
 
 
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -666,39 +724,41 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"))
     kind = dict(rows.dtypes)["_id"]
-    lines = stage(rows.mapInArrow(_lines(s), f"_id {kind}, _t long, _pos int, _l1 long, _l2 long"), "lines")
+    lines = stage(rows.mapInArrow(_lines(s), f"_id {kind}, _t long, _pos int, _l1 long, _l2 long, _keys binary"), "lines")
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bands = rows.select("_text").mapInArrow(_banded(s, parts), "_part int, _kind int, _data binary").repartition("_part").sortWithinPartitions("_part")
+    once = lines.filter("_keys is not null")
+    bands = once.select("_l1", "_keys").mapInArrow(_banded(s, parts), "_part int, _kind int, _data binary").repartition("_part").sortWithinPartitions("_part")
     met = stage(bands.mapInArrow(_meet(s), "_key long, _l1 long, _first long, _last long"), "buckets")
     pair = lambda c: met.select(F.greatest("_l1", c).alias("a"), F.least("_l1", c).alias("b"))
     cand = stage(pair("_first").unionByName(pair("_last")).distinct(), "candidates")
     wanted = cand.select(F.col("a").alias("_l1")).unionByName(cand.select(F.col("b").alias("_l1"))).distinct()
-    classes = stage(lines.groupBy("_l1", "_l2").agg(F.min(F.struct("_id", "_t", "_pos")).alias("_first"), F.count("*").alias("_n")), "classes")
-    where = classes.join(wanted, "_l1").select("_first.*").groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_at"))  # within one document
+    places = once.select("_id", "_t", "_pos", "_l1", "_l2").join(wanted.hint("shuffle_hash"), "_l1").groupBy("_l1", "_l2").agg(F.min(F.struct("_id", "_t", "_pos")).alias("_at"))
+    where = places.select("_at.*").groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_at"))  # within one document
     where = where.select(F.col("_id").alias("_wid"), F.col("_t").alias("_wt"), "_at")
-    found = rows.join(where, rows["_id"].eqNullSafe(where["_wid"]) & (rows["_t"] == where["_wt"])).select("_at", "_text")
-    texts = stage(found.mapInArrow(_wanted_lines(s), "_l1 long, _l2 long, _line binary").dropDuplicates(["_l1", "_l2"]), "texts")
+    found = rows.join(where.hint("shuffle_hash"), rows["_id"].eqNullSafe(where["_wid"]) & (rows["_t"] == where["_wt"])).select("_at", "_text")
+    texts = found.mapInArrow(_wanted_lines(s), "_l1 long, _l2 long, _line binary").dropDuplicates(["_l1", "_l2"])
+    texts = stage(texts.withColumn("_no", F.monotonically_increasing_id()), "texts")  # lines are nodes by these numbers
     near = _verified(cand, texts, s)
-    roots = components(_pairs(near))
+    roots = components(near)
     for table in (cand, near):  # here and below: tables that nothing reads any more
         release_table(table)
     first, roots = roots, link_rest(met, texts, roots, s)
-    for table in (met, texts):
-        release_table(table)
-    # Classes that repeat, and those of a component with its first line; the rest of the classes lose nothing.
-    own = F.struct(F.col("_l1").alias("x"), F.col("_l2").alias("y"))
-    linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node.x").alias("_l1"), F.col("node.y").alias("_l2"), "root")
-    groups = stage(classes.join(linked, ["_l1", "_l2"], "left").filter("_n > 1 or root is not null").select("_l1", "_l2", "_first", F.coalesce("root", own).alias("_root")), "groups")
-    for table in (classes, first, roots):
+    release_table(met)
+    # Lines that repeat, and those of a component by its least number's line; the rest of the lines lose nothing.
+    name = lambda no, *names: texts.select("_no", "_l1", "_l2").toDF(no, *names)
+    linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(name("node", "_l1", "_l2"), "node").join(name("root", "_r1", "_r2"), "root")
+    groups = lines.groupBy("_l1", "_l2").agg(F.count("*").alias("_n")).filter("_n > 1").join(linked, ["_l1", "_l2"], "full_outer")
+    groups = stage(groups.select("_l1", "_l2", F.coalesce("_r1", "_l1").alias("_r1"), F.coalesce("_r2", "_l2").alias("_r2")), "groups")
+    for table in (texts, first, roots):
         release_table(table)
-    keep = stage(groups.groupBy("_root").agg(F.min("_first").alias("_keep")), "keep")
-    kept = stage(groups.join(keep, "_root").select("_l1", "_l2", "_keep"), "kept")
-    for table in (groups, keep):
+    mine = stage(lines.drop("_keys").join(groups.hint("shuffle_hash"), ["_l1", "_l2"]).select("_id", "_t", "_pos", "_r1", "_r2"), "grouped")
+    for table in (lines, groups):
         release_table(table)
-    gone = lines.join(kept, ["_l1", "_l2"]).filter(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("_keep")))
+    keep = stage(mine.groupBy("_r1", "_r2").agg(F.min(F.struct("_id", "_t", "_pos")).alias("_keep")), "keep")
+    gone = mine.join(keep.hint("shuffle_hash"), ["_r1", "_r2"]).filter(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("_keep")))
     numbers = gone.groupBy("_id", "_t").agg(F.array_sort(F.collect_set("_pos")).alias("removed"))
     removed = stage(numbers.mapInArrow(_flagged, f"_id {kind}, _t long, removed array<int>, flags array<boolean>"), "removed")
-    for table in (lines, kept):
+    for table in (mine, keep):
         release_table(table)
     return removed
 
@@ -708,6 +768,6 @@ def dedup_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     docs = docs.drop("_removed", "_kept_text")
     gone = removed_lines(docs, s, id_col, text_col).select(F.col("_id").alias("_gid"), F.col("_t").alias("_gt"), F.col("removed").alias("_gone"), F.col("flags").alias("_gflags"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gid"]) & (F.xxhash64(text) == gone["_gt"]), "left")
+    joined = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["_gid"]) & (F.xxhash64(text) == gone["_gt"]), "left")
     left = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.coalesce(F.get(gone["_gflags"], i), F.lit(False))), "\n")
     return joined.select(*[docs[c] for c in docs.columns], F.coalesce(gone["_gone"], F.expr("cast(array() as array<int>)")).alias("_removed"), F.when(gone["_gone"].isNull(), docs[text_col]).otherwise(left).alias("_kept_text"))
