@@ -56,12 +56,13 @@ class Revalidation(StatefulProcessor):
         self.handle, self.row = handle, handle.getValueState("row", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = tuple(self.row.get())[:5] if self.row.exists() else None
+        row = self.row.get()  # None for a URL without one; each call here is a round trip
+        before = held = row and tuple(row)[:5]
         for event in sorted(rows, key=lambda e: e["seq"] or 0):
             outcome, held = decide(held, event)
             yield _told(key[0], event["seq"], outcome, held)
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
-        if held:
+        if held and (self.ttl or held != before):
             self.row.update((*held, now))
         if self.ttl:
             self.handle.registerTimer(now + self.ttl)
@@ -86,12 +87,13 @@ def outcomes(events: DataFrame, cache: DataFrame | None = None, ttl_ms: int | No
     return events.filter("url is not null").groupBy("url").transformWithState(Revalidation(ttl_ms), OUTCOME, "append", mode, initialState=first)
 
 
-def replay(events: DataFrame, cache: DataFrame | None, folder: str, files: int = 4) -> DataFrame:
-    """The outcomes of a table of events that is streamed file by file under folder, as a table."""
+def replay(events: DataFrame, cache: DataFrame | None, folder: str, batches: int = 4) -> DataFrame:
+    """The outcomes of a table of events that is streamed in so many batches under folder, as a table; a batch has files enough for all cores."""
     spark = events.sparkSession
     prepare(spark)
-    events.repartition(files).write.parquet(f"{folder}/events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    files = max(1, spark.sparkContext.defaultParallelism)
+    events.repartition(batches * files).write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/events")
     query = outcomes(stream, cache).writeStream.format("parquet").option("path", f"{folder}/outcomes").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(OUTCOME).parquet(f"{folder}/outcomes")
