@@ -7,8 +7,8 @@ shingles; `bands` bands of `rows` coordinates each give high recall (at Jaccard
 similarity of their shingle sets, in two passes:
 
   near   each class meets the bucket's first class and its neighbour in order; links are merged into components.
-  rest   a bucket of four or more classes (in a smaller one, all have met) whose members are in one component is done. All
-         members of the others are joined by prefixes of their sets, exactly: shingles are put in one order, rare ones
+  rest   a bucket of four or more classes (in a smaller one, all have met) whose members are in one component is done. Of the
+         others, all members of one of less than about `whole` classes are compared; those of larger ones are joined by prefixes of their sets, exactly: shingles are put in one order, rare ones
          first, and two sets of sizes n <= m of the wanted similarity t share one of the first n - ceil(2t/(1+t) n) + 1 of
          the smaller and m - ceil(t m) + 1 of the larger, at places that leave room for the whole overlap. What lines of
          one template share lies behind their prefixes in the main, so few of them meet; a family of near-equal lines among
