@@ -58,52 +58,71 @@ class Settings:
 
 
 #: What counts towards min_chars: letters, digits and first bytes of other characters.
-_COUNTS = np.array([0x30 <= b < 0x3A or 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or b >= 0xC0 for b in range(256)], np.uint8)
+_COUNTS = np.array([0x30 <= b < 0x3A or 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or b >= 0xC0 for b in range(256)], np.uint8).tobytes()
 #: Lower case, and one kind of blank; line feeds stay.
-_NORMAL = np.where(B.NOT_BLANK | (np.arange(256) == 10), B.LOWER, np.uint8(0x20))
+_NORMAL = np.where(B.NOT_BLANK | (np.arange(256) == 10), B.LOWER, np.uint8(0x20)).tobytes()
+_SOLID = B.NOT_BLANK.tobytes()
 _CODE = B.mix(np.arange(1, (1 << 16) + 1, dtype=B.U64))
 _CODE32 = (_CODE >> B.U64(32)).astype(np.uint32)
 _SHINGLE = B.U64(0xD6E8FEB86659FD93)
 
 
-def _mix32(x: np.ndarray) -> np.ndarray:
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-        x ^= x >> np.uint32(shift)
-        x *= np.uint32(factor)
+#: Elements that are mixed at once, so that they stay in the cache.
+_BLOCK = 1 << 15
+_MIX = {np.uint32: ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)), B.U64: ((32, 0xD6E8FEB86659FD93), (32, 0xD6E8FEB86659FD93), (32, 1))}
+
+
+def _mixed_in_place(x: np.ndarray, word: type) -> np.ndarray:
+    """A bijective finaliser on words (B.mix for 64 bits)."""
+    spare = np.empty(min(len(x), _BLOCK), word)
+    for lo in range(0, len(x), _BLOCK):
+        some = x[lo : lo + _BLOCK]
+        for shift, factor in _MIX[word]:
+            some ^= np.right_shift(some, word(shift), out=spare[: len(some)])
+            if factor != 1:
+                some *= word(factor)
     return x
 
 
 def line_shingles(data: bytes, k: int, word: type = B.U64) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, offsets) of lines that each end with a line feed, repeats included; a line shorter than k is one shingle. word: 64-bit hashes, or 32-bit ones in half the time."""
-    mix, codes, step = (B.mix, _CODE, _SHINGLE) if word is B.U64 else (_mix32, _CODE32, np.uint32(_SHINGLE & B.U64(0xFFFFFFFF)))
+    mix = lambda x: _mixed_in_place(x, word)
+    codes, step = (_CODE, _SHINGLE) if word is B.U64 else (_CODE32, np.uint32(_SHINGLE & B.U64(0xFFFFFFFF)))
     code = np.frombuffer(data, np.uint8)
-    if len(code) and int(code.max()) >= 0x80:
+    if not data.isascii():
         code = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
     end = np.flatnonzero(code == 10)
     start = np.concatenate([[0], end[:-1] + 1])
     size = end - start
     n = np.maximum(size - k + 1, np.minimum(size, 1))
     total = np.concatenate([[0], np.cumsum(n)])
-    h = codes[code] if code.dtype == np.uint8 or int(code.max()) < 1 << 16 else np.where(code < 1 << 16, codes[np.minimum(code, (1 << 16) - 1)], mix(code.astype(word) + word(1)))
+    h = codes.take(code, mode="clip")
+    if code.dtype != np.uint8 and int(code.max()) >= 1 << 16:
+        high = np.flatnonzero(code >= 1 << 16)
+        h[high] = mix(code[high].astype(word) + word(1))
     h[end] = 0  # so what a short line's shingle takes from beyond its end is nothing
     out, have = h, 1
-    whole = np.zeros(len(h), word)
+    whole = None
     done = 0
     for bit in range(k.bit_length()):  # polynomial hash of k codes, doubling
         if k >> bit & 1:
-            shifted = np.zeros(len(h), word)
-            shifted[: len(h) - done] = out[done:]
-            whole = whole * step + shifted if done else out.copy()
+            if whole is None:
+                whole = out if done + have == k else out.copy()
+            else:
+                whole = whole * step
+                whole[: max(len(h) - done, 0)] += out[done:]
             done += have
         if done < k:
             twice = out * step
-            twice[: len(h) - have] += out[have:]
+            twice[: max(len(h) - have, 0)] += out[have:]
             out, have, step = twice, 2 * have, word(int(step) ** 2 % (1 << 8 * h.itemsize))
-    inside = np.zeros(len(h) + 1, np.int8)  # where a shingle begins
-    np.add.at(inside, start[n > 0], 1)
-    np.add.at(inside, (start + n)[n > 0], -1)
-    found = whole[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
-    for i in np.flatnonzero((size < k) & (size > 0)).tolist():  # their shingle ends with the line
+    inside = np.ones(len(h), bool)  # where a shingle begins
+    for back in range(k):
+        inside[np.maximum(end - back, start)] = False
+    short = np.flatnonzero((size < k) & (size > 0))
+    inside[start[short]] = True
+    found = whole[inside]
+    for i in short.tolist():  # their shingle ends with the line
         x = np.zeros(1, word)
         for c in range(start[i], end[i]):
             x = mix(x + h[c : c + 1])
@@ -149,18 +168,19 @@ def taking_part(text: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, by
     begin = np.concatenate([[0], end[:-1] + 1])
     if not len(end):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), b""
-    takes = np.add.reduceat(_COUNTS[buf], begin, dtype=np.int32) >= s.min_chars
+    data = buf.tobytes()
+    takes = np.add.reduceat(np.frombuffer(data.translate(_COUNTS), np.uint8), begin, dtype=np.int32) >= s.min_chars
     first = np.searchsorted(begin, offs[:-1])
     doc = np.searchsorted(first, np.flatnonzero(takes), "right") - 1
     inside = np.repeat(takes, end - begin + 1)
-    solid = B.NOT_BLANK[buf] & inside
+    solid = np.frombuffer(data.translate(_SOLID), bool) & inside
     opens = solid.copy()  # words begin; \n is a blank
     opens[1:] &= ~solid[:-1]
     at = np.flatnonzero(opens)
     opens[at[np.searchsorted(at, begin[takes])]] = False  # the first of a line has no blank before it
     keep = solid | (feed & inside)
     keep[:-1] |= opens[1:]
-    return doc, np.flatnonzero(takes) - first[doc], _NORMAL[buf[keep]].tobytes()
+    return doc, np.flatnonzero(takes) - first[doc], buf[keep].tobytes().translate(_NORMAL)
 
 
 def _keyed(fresh: np.ndarray, keys: np.ndarray) -> pa.Array:
@@ -187,8 +207,8 @@ def _lines(s: Settings):
                 if len(seen) > 1 << 20:
                     seen.clear()
                 seen.update(ids[fresh, 0].tolist())
-                keys = [line_bands(line_coordinates(*line_shingles(some, s.k, np.uint32), s), s) for some in _pieces(_some(data, fresh))]
-                keys = np.concatenate(keys) if keys else np.zeros((0, s.bands), np.int64)
+                parts = [list(line_coordinates(*line_shingles(some, s.k, np.uint32), s)) for some in _pieces(_some(data, fresh))]
+                keys = line_bands(map(np.concatenate, zip(*parts, strict=True)), s) if parts else np.zeros((0, s.bands), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1]), _keyed(fresh, keys)], ["_id", "_t", "_pos", "_l1", "_l2", "_keys"])
 
     return run
@@ -203,7 +223,7 @@ def _some(data: bytes, which: np.ndarray) -> bytes:
     return buf[np.repeat(which, size)].tobytes()
 
 
-def _pieces(data: bytes, limit: int = 1 << 19) -> Iterator[bytes]:
+def _pieces(data: bytes, limit: int = 1 << 17) -> Iterator[bytes]:
     """Whole lines of about `limit` bytes; a longer line is a piece of its own."""
     lo = 0
     while lo < len(data):
@@ -226,10 +246,9 @@ class _Buckets:
         order = np.argsort(key)
         k = key[order]
         same = k[1:] == k[:-1]
-        multi = np.zeros(len(k), bool)
-        multi[1:] |= same
-        multi[:-1] |= same
-        known = np.zeros(len(k), np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], ~same])) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(k)))
+        multi = np.repeat(size >= at_least, size)
         if len(self.key):
             known = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
             multi |= self.key[known] == k
@@ -277,7 +296,11 @@ def _banded(s: Settings, parts: int):
 
     def flush(keys: list[np.ndarray], lines: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, line = np.concatenate(keys), np.concatenate(lines)
-        met, alone = _Buckets().met(key, line, False, s.local + 1)
+        order = np.argsort(key.view(B.U64))
+        key, line = key[order], line[order]
+        met = np.zeros((4, 0), np.int64)
+        if (key[s.local :] == key[: max(len(key) - s.local, 0)]).any():
+            met, alone = _Buckets().met(key, line, False, s.local + 1)
         if met.shape[1]:  # of such a bucket, its first and its last line go on
             new = np.ones(met.shape[1] + 1, bool)
             new[1:-1] = met[0, 1:] != met[0, :-1]
@@ -286,8 +309,9 @@ def _banded(s: Settings, parts: int):
         out = [(0, np.stack([key, line]))] + ([(1, met)] if met.shape[1] else [])
         for kind, rows in out:
             part = ((rows[0].view(B.U64) >> B.U64(32)) * B.U64(parts) >> B.U64(32)).astype(np.int64)
-            order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")  # by radix, if parts are few
-            part, rows = part[order], rows[:, order]
+            if (part[1:] < part[:-1]).any():
+                order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")  # by radix, if parts are few
+                part, rows = part[order], rows[:, order]
             cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
             pairs = list(zip(cuts, cuts[1:], strict=False))
             for at in range(0, len(pairs), 64):  # a bounded batch each
@@ -299,7 +323,7 @@ def _banded(s: Settings, parts: int):
         for batch in batches:
             for x in (batch.slice(lo, 8192) for lo in range(0, batch.num_rows, 8192)):
                 lines.append(np.repeat(x.column(0).to_numpy(), s.bands))
-                keys.append(np.frombuffer(b"".join(x.column(1).to_pylist()), np.int64))
+                keys.append(B.raw(x.column(1))[0].view(np.int64))
                 held += len(keys[-1])
                 if held >= 1 << 20:
                     yield from flush(keys, lines)
@@ -311,14 +335,26 @@ def _banded(s: Settings, parts: int):
 
 
 def _meet(s: Settings):
-    """Rows of _MET, from rows (_part, _kind, _data) sorted by _part."""
+    """Rows of _MET and _many, from rows (_part, _kind, _data) sorted by _part. _many is false if the bucket has less than four lines."""
 
-    def table(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def table(rows: np.ndarray, many: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        many = np.ones(rows.shape[1], bool) if many is None else many
         for lo in range(0, rows.shape[1], 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:, lo : lo + (1 << 17)]], _MET)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[:, lo : lo + (1 << 17)]), pa.array(many[lo : lo + (1 << 17)])], [*_MET, "_many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, last, blobs, held = _Buckets(), None, [], 0
+        buckets, last, blobs, held, hot = _Buckets(), None, [], 0, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            whole = not len(buckets.key)  # all records of the range, but those of kind 1
+            rows = flush(False)
+            if not whole or not rows.shape[1]:
+                yield from table(rows)
+                return
+            begin = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+            size = np.diff(np.append(begin, rows.shape[1]))
+            many = np.repeat(size > 2, size)
+            yield from table(rows, many | np.isin(rows[0], np.concatenate(hot)) if hot else many)
 
         def flush(hold: bool) -> np.ndarray:
             pairs = np.concatenate(blobs) if blobs else np.zeros((0, 2), np.int64)
@@ -328,9 +364,10 @@ def _meet(s: Settings):
             for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 rows = np.frombuffer(data.as_buffer().to_pybytes(), np.int64).reshape(-1, 4 if kind else 2)
                 if part != last:
-                    yield from table(flush(False))
-                    buckets, last, blobs, held = _Buckets(), part, [], 0
+                    yield from ended()
+                    buckets, last, blobs, held, hot = _Buckets(), part, [], 0, []
                 if kind:
+                    hot.append(np.unique(rows[:, 0]))
                     yield from table(rows.T)
                     continue
                 blobs.append(rows)
@@ -338,7 +375,7 @@ def _meet(s: Settings):
                 if held >= max(s.held, 2 * len(buckets.key)):
                     yield from table(flush(True))
                     blobs, held = [], 0
-        yield from table(flush(False))
+        yield from ended()
 
     return run
 
@@ -368,9 +405,6 @@ def _wanted_lines(s: Settings):
     return run
 
 
-_SHIFT, _REST = B.U64(48), B.U64((1 << 48) - 1)
-
-
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The n numbers from each lo on, one range after the other."""
     end = np.cumsum(n)
@@ -384,34 +418,33 @@ def _numbered(values: list) -> tuple[np.ndarray, list]:
 
 
 def line_sets(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(48 bits of each distinct shingle under the line's number, sorted; offsets) of fewer than 65,536 lines."""
+    """(distinct shingles of each line, ascending; offsets)."""
     shingle, at = line_shingles(data, k)
-    line = np.arange(len(at), dtype=B.U64) << _SHIFT
-    cell = np.sort(np.repeat(line[:-1], np.diff(at)) | (shingle >> B.U64(16)))
-    new = np.ones(len(cell), bool)
-    new[1:] = cell[1:] != cell[:-1]
-    return (cell := cell[new]), np.searchsorted(cell, line)
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):  # lines are small, so each is sorted in the cache
+        shingle[lo:hi].sort()
+    new = np.ones(len(shingle), bool)
+    new[1:] = shingle[1:] != shingle[:-1]
+    new[at[:-1][np.diff(at) > 0]] = True
+    return shingle[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
-def common(cell: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def common(shingle: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Number of shingles that the lines x[i] and y[i] share."""
-    size, out = np.diff(at), np.zeros(len(x), np.int64)
-    upto, lo = np.cumsum(size[x] + size[y]), 0
-    while lo < len(x):
-        hi = min(max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20))), lo + 1), lo + 65535, len(x))
-        pair = np.arange(hi - lo, dtype=B.U64) << _SHIFT
-        both = np.sort(np.concatenate([(cell[_ranges(at[z], size[z])] & _REST) | np.repeat(pair, size[z]) for z in (x[lo:hi], y[lo:hi])]))
-        out[lo:hi] = np.bincount((both[1:][both[1:] == both[:-1]] >> _SHIFT).astype(np.int64), minlength=hi - lo)
-        lo = hi
+    out = np.empty(len(x), np.int64)
+    bounds = zip(at[x].tolist(), at[x + 1].tolist(), at[y].tolist(), at[y + 1].tolist(), strict=True)
+    for i, (a, b, c, d) in enumerate(bounds):
+        both = np.concatenate((shingle[a:b], shingle[c:d]))
+        both.sort()
+        out[i] = np.count_nonzero(both[1:] == both[:-1])
     return out
 
 
-def similar(cell: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+def similar(shingle: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Which of the lines x[i] and y[i] are as similar as wanted; sets of sizes too far apart aren't compared."""
     size = np.diff(at)
     out = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
     x, y = x[out], y[out]
-    both = common(cell, at, x, y)
+    both = common(shingle, at, x, y)
     out[out] = 100 * both >= percent * (size[x] + size[y] - both)
     return out
 
@@ -419,15 +452,15 @@ def similar(cell: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, perc
 def _verify(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bytes_ = np.cumsum([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)])
+            bytes_ = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3)))
             ok, lo = [], 0
             while lo < batch.num_rows:
-                hi = min(max(int(np.searchsorted(bytes_, (bytes_[lo - 1] if lo else 0) + (1 << 20))), lo + 1), lo + 16384)
+                hi = min(max(int(np.searchsorted(bytes_, (bytes_[lo - 1] if lo else 0) + (1 << 21))), lo + 1), lo + 16384)
                 x, y = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (2, 3))
                 of, lines = _numbered([*x, *y])
-                cell, at = line_sets(_fed(lines), s.k)
+                shingle, at = line_sets(_fed(lines), s.k)
                 one, two = of[: len(x)], of[len(x) :]
-                ok.append(similar(cell, at, one, two, s.percent))
+                ok.append(similar(shingle, at, one, two, s.percent))
                 lo = hi
             if ok:
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(np.concatenate(ok)))
@@ -435,24 +468,52 @@ def _verify(s: Settings):
     return run
 
 
+#: Places of the table by which equal shingles of a bucket find each other.
+_PLACES = 16
+
+
+def columns(shingle: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A number for each shingle, the same for equal ones only, below twice their count. table: 2**_PLACES numbers, to be written over."""
+    place = (shingle >> B.U64(64 - _PLACES)).astype(np.int64)
+    table[place] = np.arange(len(shingle))
+    out = table[place]
+    other = np.flatnonzero(shingle[out] != shingle)  # those that share a place with another shingle
+    if len(other):
+        out[other] = len(shingle) + np.unique(shingle[other], return_inverse=True)[1]
+    return out
+
+
 def _met_whole(s: Settings):
     """Links (a, b) of all lines of a bucket that are in several components, from rows (_key, _no, _root, _line) sorted by _key."""
+    table = np.zeros(1 << _PLACES, np.int64)
 
     def links(rows: pa.Table) -> pa.RecordBatch:
         key, no, root = (rows.column(c).to_numpy() for c in range(3))
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ids, at, of = np.unique(no, return_index=True, return_inverse=True)
-        cell, offsets = line_sets(_fed(rows.column(3).take(pa.array(at)).to_pylist()), s.k)
-        size, a, b = np.diff(offsets), [], []
+        shingles, offsets = line_sets(_fed(rows.column(3).take(pa.array(at)).to_pylist()), s.k)
+        size, a, b, single = np.diff(offsets), [], [], []
         for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
             line, n = of[lo:hi], hi - lo
-            shingle, column = np.unique(cell[_ranges(offsets[line], size[line])] & _REST, return_inverse=True)
-            held = np.zeros((n, len(shingle)), np.float32)
-            held[np.repeat(np.arange(n), size[line]), column] = 1
-            both = (held @ held.T).astype(np.int64)
-            x, y = np.nonzero((100 * both >= s.percent * (size[line][:, None] + size[line] - both)) & (root[lo:hi][:, None] > root[lo:hi]))
-            a.append(line[x])
-            b.append(line[y])
+            x, y = np.nonzero(root[lo:hi][:, None] > root[lo:hi])
+            total = int(size[line].sum())
+            if len(x) * (400 + 2 * total // n) < 10_000 + 5 * total:  # about what either way takes
+                single.append(line[x] * len(ids) + line[y])
+                continue
+            column = columns(shingles[_ranges(offsets[line], size[line])], table)
+            shared = np.bincount(column) > 1
+            held = np.zeros((n, int(np.count_nonzero(shared))), np.float32)
+            some = shared[column]
+            held[np.repeat(np.arange(n), size[line])[some], (np.cumsum(shared) - 1)[column[some]]] = 1
+            both, x, y = (held @ held.T)[x, y].astype(np.int64), line[x], line[y]
+            ok = 100 * both >= s.percent * (size[x] + size[y] - both)
+            a.append(x[ok])
+            b.append(y[ok])
+        if single:
+            x, y = np.divmod(np.unique(np.concatenate(single)), len(ids))  # lines that meet in several buckets meet once
+            ok = similar(shingles, offsets, x, y, s.percent)
+            a.append(x[ok])
+            b.append(y[ok])
         return pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(z)]) for z in (a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,17 +539,6 @@ def _met_whole(s: Settings):
 SLOT_BITS = 22
 
 
-def distinct_shingles(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingles of each line, ascending; offsets)."""
-    shingle, at = line_shingles(data, k)
-    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((shingle, of))
-    of, shingle = of[order], shingle[order]
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])
-    return shingle[new], np.searchsorted(of[new], np.arange(len(at)))
-
-
 def _sets(s: Settings):
     """Rows (_l1, _root, _set): the distinct shingles of each line."""
 
@@ -498,7 +548,7 @@ def _sets(s: Settings):
             lo = 0
             while lo < batch.num_rows:
                 hi = max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 19), "right")), lo + 1)
-                shingle, at = distinct_shingles(_fed(line.slice(lo, hi - lo).to_pylist()), s.k)
+                shingle, at = line_sets(_fed(line.slice(lo, hi - lo).to_pylist()), s.k)
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(shingle.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), sets], ["_l1", "_root", "_set"])
                 lo = hi
@@ -537,7 +587,7 @@ class Cell:
     def __init__(self, ids: np.ndarray, lines: list[bytes], k: int):
         order = np.argsort(ids)
         self.ids = ids[order]
-        self.shingle, self.at = distinct_shingles(_fed([lines[i] for i in order]), k)
+        self.shingle, self.at = line_sets(_fed([lines[i] for i in order]), k)
         self.size = np.diff(self.at)
         self.line = np.repeat(np.arange(len(ids), dtype=np.int32), self.size)
         self.table: np.ndarray | None = None
@@ -630,7 +680,7 @@ def _linked(s: Settings):
 def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) by number, of the pairs (a, b) of lines by _l1 that are as similar as wanted."""
     texts = texts.select("_l1", "_no", "_line")
-    both = pairs.join(texts.toDF("a", "_a", "_x"), "a").join(texts.toDF("b", "_b", "_y"), "b").select("_a", "_b", "_x", "_y")
+    both = pairs.join(texts.toDF("a", "_a", "_x").hint("shuffle_hash"), "a").join(texts.toDF("b", "_b", "_y").hint("shuffle_hash"), "b").select("_a", "_b", "_x", "_y")
     return stage(both.mapInArrow(_verify(s), "a long, b long"), "links")
 
 
@@ -649,7 +699,7 @@ def _verified_in_cells(pairs: DataFrame, texts: DataFrame, blocks: int, s: Setti
 
 def _rooted(lines: DataFrame, roots: DataFrame) -> DataFrame:
     """lines with _root, by their _no."""
-    return lines.join(roots.select(F.col("node").alias("_no"), F.col("root").alias("_root")), "_no", "left").withColumn("_root", F.coalesce("_root", "_no"))
+    return lines.join(roots.select(F.col("node").alias("_no"), F.col("root").alias("_root")).hint("shuffle_hash"), "_no", "left").withColumn("_root", F.coalesce("_root", "_no"))
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
@@ -662,21 +712,23 @@ def _mixed(entries: DataFrame) -> DataFrame:
 
 
 def link_rest(met: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
-    """(node, root) of the components, with all links in buckets of four or more that hold several of the components so far. met: rows of _meet; roots: (node, root) so far."""
-    rooted = stage(_rooted(texts, roots), "rooted")
+    """(node, root) of the components, with all links in buckets of four or more that hold several of the components so far. met: rows of _meet, those of smaller buckets aren't moved; roots: (node, root) so far."""
+    met = met.filter("_many")
+    rooted = _rooted(texts.select("_l1", "_no"), roots)  # texts are only joined to what is left of the lines
     every = met.select("_key", "_l1", F.lit(1).alias("_more")).unionByName(met.select("_key", F.col("_first").alias("_l1"), F.lit(0).alias("_more")))
     member = stage(every.join(rooted.select("_l1", "_no", "_root").hint("shuffle_hash"), "_l1").select("_key", "_no", "_root", "_more"), "members")
     mixed = stage(member.groupBy("_key").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.sum("_more").alias("_n")).filter("_r0 <> _r1 and _n > 2").select("_key", "_n"), "mixed-buckets")
     of = lambda few: member.join(mixed.filter(F.col("_n") < s.whole if few else F.col("_n") >= s.whole).select("_key").hint("shuffle_hash"), "_key")
-    met_whole = of(True).select("_key", "_no").distinct().join(rooted.select("_no", "_root", "_line"), "_no").select("_key", "_no", "_root", "_line")
+    lines = texts.select("_no", "_line").hint("shuffle_hash")
+    met_whole = of(True).select("_key", "_no", "_root").distinct().join(lines, "_no").select("_key", "_no", "_root", "_line")
     links = stage(met_whole.repartition("_key").sortWithinPartitions("_key").mapInArrow(_met_whole(s), "a long, b long"), "links")
-    lines = stage(of(False).select("_no").distinct(), "mixed-lines")
+    many = stage(of(False).select("_no", "_root").distinct(), "mixed-lines")
     for table in (member, mixed):
         release_table(table)
-    more = None if lines.isEmpty() else _joined_by_prefixes(stage(rooted.join(lines.hint("shuffle_hash"), "_no").select("_no", "_root", "_line"), "mixed-texts"), s)
+    more = None if many.isEmpty() else _joined_by_prefixes(stage(many.join(lines, "_no").select("_no", "_root", "_line"), "mixed-texts"), s)
     found = links if more is None else links.unionByName(more)
     out = roots if found.isEmpty() else components(roots.toDF("a", "b").unionByName(found))
-    for table in (rooted, lines, found):
+    for table in (many, found):
         release_table(table)
     return out
 
@@ -724,13 +776,13 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"))
     kind = dict(rows.dtypes)["_id"]
-    lines = stage(rows.mapInArrow(_lines(s), f"_id {kind}, _t long, _pos int, _l1 long, _l2 long, _keys binary"), "lines")
+    lines = stage(rows.mapInArrow(_lines(s), f"_id {kind}, _t long, _pos int, _l1 long, _l2 long, _keys binary"), "lines", "lz4_raw")  # keys don't get smaller
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = lines.filter("_keys is not null")
     bands = once.select("_l1", "_keys").mapInArrow(_banded(s, parts), "_part int, _kind int, _data binary").repartition("_part").sortWithinPartitions("_part")
-    met = stage(bands.mapInArrow(_meet(s), "_key long, _l1 long, _first long, _last long"), "buckets")
-    pair = lambda c: met.select(F.greatest("_l1", c).alias("a"), F.least("_l1", c).alias("b"))
-    cand = stage(pair("_first").unionByName(pair("_last")).distinct(), "candidates")
+    met = stage(bands.mapInArrow(_meet(s), "_key long, _l1 long, _first long, _last long, _many boolean"), "buckets")
+    pair = lambda rows, c: rows.select(F.greatest("_l1", c).alias("a"), F.least("_l1", c).alias("b"))
+    cand = stage(pair(met, "_first").unionByName(pair(met.filter("_last <> _first"), "_last")).distinct(), "candidates")
     wanted = cand.select(F.col("a").alias("_l1")).unionByName(cand.select(F.col("b").alias("_l1"))).distinct()
     places = once.select("_id", "_t", "_pos", "_l1", "_l2").join(wanted.hint("shuffle_hash"), "_l1").groupBy("_l1", "_l2").agg(F.min(F.struct("_id", "_t", "_pos")).alias("_at"))
     where = places.select("_at.*").groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_at"))  # within one document
@@ -747,7 +799,9 @@ def removed_lines(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_
     # Lines that repeat, and those of a component by its least number's line; the rest of the lines lose nothing.
     name = lambda no, *names: texts.select("_no", "_l1", "_l2").toDF(no, *names)
     linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(name("node", "_l1", "_l2"), "node").join(name("root", "_r1", "_r2"), "root")
-    groups = lines.groupBy("_l1", "_l2").agg(F.count("*").alias("_n")).filter("_n > 1").join(linked, ["_l1", "_l2"], "full_outer")
+    none = F.lit(None).cast("long")
+    every = lines.select("_l1", "_l2", F.lit(1).alias("_n"), none.alias("_r1"), none.alias("_r2")).unionByName(linked.select("_l1", "_l2", F.lit(0).alias("_n"), "_r1", "_r2"))
+    groups = every.groupBy("_l1", "_l2").agg(F.sum("_n").alias("_n"), F.max("_r1").alias("_r1"), F.max("_r2").alias("_r2")).filter("_n > 1 or _r1 is not null")
     groups = stage(groups.select("_l1", "_l2", F.coalesce("_r1", "_l1").alias("_r1"), F.coalesce("_r2", "_l2").alias("_r2")), "groups")
     for table in (texts, first, roots):
         release_table(table)

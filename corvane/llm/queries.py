@@ -78,7 +78,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n = F.when(F.octet_length(F.coalesce("text", F.lit(""))) > 0, feeds + 1).otherwise(0).cast("long")
     return rows.select("doc_id", n.alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed_lines"), F.sha2(F.coalesce("_kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -68,12 +68,12 @@ def scope(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df once and read it back: later plans read a table that outlives any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with shuffles_deleted(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
